@@ -56,7 +56,7 @@ def _next_pending(scheduled: DataFrame, order: Sequence[str]) -> DataFrame:
     keyed = _sequence_key(scheduled)
     pending, replied = is_pending(F.col("status")), F.col("status") == "replied"
     rank = F.struct(*order)
-    row = F.struct("sequence_step", "status", "due_at", *order)
+    row = F.struct("sequence_step", "status", "due_at")
     return keyed.groupBy("__seq").agg(
         F.first("application_id").alias("application_id"),
         F.first("contact_id").alias("contact_id"),
@@ -190,11 +190,11 @@ def open_sequence(selectors: DataFrame, steps: DataFrame, contacts: DataFrame, q
     first_contact = contacts.groupBy("application_id").agg(
         F.min_by("contact_id", "created_at").alias("first_contact")
     )
-    owner = contacts.groupBy("contact_id").agg(F.min_by("application_id", "created_at").alias("owner"))
+    owner = contacts.groupBy("contact_id").agg(F.min_by("application_id", F.struct("created_at", "application_id")).alias("owner"))
     written = (
         steps.where(F.col("contact_id").isNotNull())
         .groupBy("contact_id")
-        .agg(F.min_by("application_id", "created_at").alias("written"))
+        .agg(F.min_by("application_id", F.struct("created_at", "application_id")).alias("written"))
     )
     urgent = (
         queue_rows.agg(
