@@ -241,17 +241,16 @@ def phrase_hits(phrases: DataFrame, lines: DataFrame, lengths: Sequence[int]) ->
 
 def boilerplate(units: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Every stock phrase with its suggestion: ``keys, pattern_no, phrase, suggestion``."""
-    parts = []
-    for i, (pattern, suggestion) in enumerate(vocab.BOILERPLATE):
+    def found(i: int, pattern: str, suggestion: str) -> Column:
         regex = pattern.replace("{B}", T.EDGE_BEFORE).replace("{E}", T.EDGE_AFTER)
-        parts.append(
-            F.transform(
-                F.regexp_extract_all(F.col(text), F.lit(f"(?i)({regex})"), 1),
-                lambda m, i=i, suggestion=suggestion: F.struct(
-                    F.lit(i).alias("pattern_no"), m.alias("phrase"), F.lit(suggestion).alias("suggestion")
-                ),
-            )
+        return F.transform(
+            F.regexp_extract_all(F.col(text), F.lit(f"(?i)({regex})"), 1),
+            lambda m: F.struct(
+                F.lit(i).alias("pattern_no"), m.alias("phrase"), F.lit(suggestion).alias("suggestion")
+            ),
         )
+
+    parts = [found(i, pattern, suggestion) for i, (pattern, suggestion) in enumerate(vocab.BOILERPLATE)]
     return units.select(*keys, F.inline(F.concat(*parts)))
 
 

@@ -113,28 +113,34 @@ _SUMMARY = {
 _COMPARED = {"experience", "education", "projects"}
 
 
-def _entry_array(content: Column) -> Column:
-    parts = []
-    for section, (fields, items) in L.SECTIONS.items():
-        compared = fields if section in _COMPARED else ()
-
-        def one(e: Column, i: Column, section=section, compared=compared, items=items) -> Column:
-            values = [
-                F.struct(F.lit(f).alias("key"), F.coalesce(e[f], F.lit("")).alias("value")) for f in compared
-            ]
-            empty = F.array().cast("array<struct<key:string,value:string>>")
-            return F.struct(
-                F.lit(section).alias("section"),
-                i.alias("i"),
-                _IDENTITY[section](e).alias("value"),
-                _SUMMARY[section](e).alias("summary"),
-                (F.array(*values) if values else empty).alias("fields"),
-                F.lit(items).alias("list_key"),
-                e[items].alias("list"),
-            )
+def _one_entry(section: str, fields: tuple[str, ...], items: str):
+    compared = fields if section in _COMPARED else ()
+    empty = "array<struct<key:string,value:string>>"
+
+    def one(e: Column, i: Column) -> Column:
+        values = [
+            F.struct(F.lit(f).alias("key"), F.coalesce(e[f], F.lit("")).alias("value")) for f in compared
+        ]
+        return F.struct(
+            F.lit(section).alias("section"),
+            i.alias("i"),
+            _IDENTITY[section](e).alias("value"),
+            _SUMMARY[section](e).alias("summary"),
+            F.array(*values).cast(empty).alias("fields"),
+            F.lit(items).alias("list_key"),
+            e[items].alias("list"),
+        )
+
+    return one
 
-        parts.append(F.transform(content[section], one))
-    return F.concat(*parts)
+
+def _entry_array(content: Column) -> Column:
+    return F.concat(
+        *[
+            F.transform(content[section], _one_entry(section, fields, items))
+            for section, (fields, items) in L.SECTIONS.items()
+        ]
+    )
 
 
 def _entries(pairs: DataFrame, key: str, column: str, side: str) -> DataFrame:

@@ -146,6 +146,18 @@ def _node(path: Column, kind: str, size: Column, value: Column) -> Column:
     )
 
 
+def _entry_nodes(section: str, items: str):
+    def entry(e: Column, i: Column) -> Column:
+        at = F.concat(F.lit(f"{section}."), i.cast("string"))
+        none = F.lit(None)
+        return F.array(
+            _node(at, "record", none, none),
+            _node(F.concat(at, F.lit(f".{items}")), "list", F.size(e[items]), none),
+        )
+
+    return entry
+
+
 def node_array(content: Column) -> Column:
     """Every address in the document: texts, lists and records, in dotted spelling."""
     none = F.lit(None)
@@ -156,15 +168,7 @@ def node_array(content: Column) -> Column:
     parts = [leaf_nodes, F.array(_node(F.lit("basics"), "record", none, none))]
     for section, (_, items) in SECTIONS.items():
         parts.append(F.array(_node(F.lit(section), "list", F.size(content[section]), none)))
-
-        def entry(e: Column, i: Column, section=section, items=items) -> Column:
-            at = F.concat(F.lit(f"{section}."), i.cast("string"))
-            return F.array(
-                _node(at, "record", none, none),
-                _node(F.concat(at, F.lit(f".{items}")), "list", F.size(e[items]), none),
-            )
-
-        parts.append(F.flatten(F.transform(content[section], entry)))
+        parts.append(F.flatten(F.transform(content[section], _entry_nodes(section, items))))
     return F.concat(*parts)
 
 

@@ -37,15 +37,11 @@ def posting_fields(postings: DataFrame, key: str, body: str) -> DataFrame:
         1, vocab.POSTING_FIELD_LINES,
     )
     rows = postings.select(key, lines.alias("lines"))
-    labelled = {
-        name: _first(
-            F.transform(
-                F.filter("lines", lambda l, p=pattern: l.rlike(p)),
-                lambda l, p=pattern: _clean(F.regexp_extract(l, p, 1)),
-            )
-        )
-        for name, pattern in vocab.POSTING_LABELS
-    }
+    def labelled_value(pattern: str) -> Column:
+        matching = F.filter("lines", lambda l: l.rlike(pattern))
+        return _first(F.transform(matching, lambda l: _clean(F.regexp_extract(l, pattern, 1))))
+
+    labelled = {name: labelled_value(pattern) for name, pattern in vocab.POSTING_LABELS}
 
     def unlabelled(line: Column) -> Column:
         keep = F.lit(True)

@@ -76,12 +76,13 @@ def saved_search_hits(
     # At most four lengths, 0 to GRAM: 0 is a search without keywords.
     lengths = [r[0] for r in anchored.select(F.length("__anchor")).distinct().collect()]
     distinct_words = F.array_distinct(_words(_haystack()))
-    parts = [
-        F.array(F.lit(""))
-        if size == 0
-        else F.flatten(F.transform(distinct_words, lambda w, size=size: _grams(w, size)))
-        for size in lengths
-    ]
+
+    def all_grams(size: int) -> Column:
+        if size == 0:
+            return F.array(F.lit(""))
+        return F.flatten(F.transform(distinct_words, lambda w: _grams(w, size)))
+
+    parts = [all_grams(size) for size in lengths]
     grams = F.array_distinct(F.concat(*parts)) if parts else F.array(F.lit(""))
     query_side = anchored.select(
         "query_id",

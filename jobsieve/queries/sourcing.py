@@ -1 +1,678 @@
-"""Queries."""
+"""Feed, link, duplicate, search and merge queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import testviews as V
+from .. import vocab
+from ..functions import fields as R
+from ..functions import links
+from ..functions.text import trim
+from ..operators import checks, dedupe, merge, postings, search
+from ..sources import documents as docs
+from ..sources import feeds
+from .registry import iso, query, sql_iso, with_views
+
+ORDER = ["adapter_rank", "pos"]
+
+# --- links ------------------------------------------------------------------
+
+_TRACK = "(?i)^(utm_|gh_src=|ref=|referer=|referrer=|source=|src=|fbclid=|gclid=)"
+_URL_TAIL = rf"""
+   regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)), '^www\.', '')
+   || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '')
+   || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'),
+        lambda p: p <> '' AND NOT regexp_matches(p, '{_TRACK}'))), '&'), ''), '')"""
+
+
+@query("canonical_urls", f"SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || {_URL_TAIL} AS canonical FROM pages")
+def canonical_urls(spark, sf):
+    return V.table(spark, sf, "pages").select("page_id", links.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query("url_match_keys", f"SELECT {_URL_TAIL} AS match_key, count(*) AS n FROM pages GROUP BY 1")
+def url_match_keys(spark, sf):
+    return V.table(spark, sf, "pages").groupBy(links.url_match_key(F.col("url")).alias("match_key")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def _board_links(spark, sf):
+    page = F.col("page_id")
+    org = F.concat(F.lit("Org-"), (page % 17).cast("string"))
+    job = page.cast("string")
+    form = page % 9
+    url = (
+        F.when(form == 0, F.concat(F.lit("https://boards.greenhouse.io/"), org, F.lit("/jobs/"), job, F.lit("?gh_src=a#app")))
+        .when(form == 1, F.concat(F.lit("https://job-boards.eu.greenhouse.io/embed/job_app?for="), org, F.lit("&token="), job))
+        .when(form == 2, F.concat(F.lit("https://boards.greenhouse.io/"), org, F.lit("?gh_jid="), job))
+        .when(form == 3, F.concat(F.lit(" https://JOBS.lever.co/"), org, F.lit("/"), job, F.lit("/apply ")))
+        .when(form == 4, F.concat(F.lit("https://jobs.eu.lever.co/"), org))
+        .when(form == 5, F.concat(F.lit("https://www.jobs.ashbyhq.com/"), org, F.lit("/"), job))
+        .when(form == 6, F.concat(F.lit("https://boards.greenhouse.io/"), org, F.lit("/jobs/")))
+        .when(form == 7, F.lit("boards.greenhouse.io/x/jobs/1"))
+        .otherwise(F.col("url"))
+    )
+    return V.table(spark, sf, "pages").select("page_id", url.alias("link"))
+
+
+@query(
+    "board_refs",
+    """SELECT page_id, CASE WHEN f IN (0, 1, 2) THEN 'greenhouse' WHEN f = 3 THEN 'lever' WHEN f = 5 THEN 'ashby' END AS board,
+         CASE WHEN f IN (0, 1, 2, 3, 5) THEN 'Org-' || (page_id % 17) END AS org,
+         CASE WHEN f IN (0, 1, 2, 3, 5) THEN CAST(page_id AS VARCHAR) END AS job_id
+       FROM (SELECT page_id, page_id % 9 AS f FROM pages)""",
+)
+def board_refs(spark, sf):
+    ref = links.board_reference(F.col("link"))
+    return _board_links(spark, sf).select("page_id", ref["board"].alias("board"), ref["org"].alias("org"), ref["job_id"].alias("job_id"))
+
+
+@query(
+    "page_identity",
+    r"""WITH h AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) || ' — Acme ' || page_id
+            WHEN 1 THEN 'Heading ' || page_id || ' | Beta' ELSE url END AS h FROM pages)
+        SELECT page_id, trim(regexp_split_to_array(h, '\s+[—–|·-]\s+')[1]) AS title,
+          trim(coalesce(regexp_split_to_array(h, '\s+[—–|·-]\s+')[2], regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\.', ''))) AS company
+        FROM h""",
+)
+def page_identity(spark, sf):
+    page = F.col("page_id")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    pages = V.table(spark, sf, "pages").select(
+        "page_id", "url",
+        F.when(page % 3 == 0, F.concat(title, F.lit(" — Acme "), page.cast("string"))).alias("title"),
+        F.when(page % 3 == 1, F.concat(F.lit("intro\n#  Heading "), page.cast("string"), F.lit(" | Beta\ntext"))).otherwise("").alias("markdown"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("fetched_at"),
+    )
+    ids = pages.select("page_id", "url")
+    return docs.land_pages(pages).join(ids, "url").select("page_id", "title", "company")
+
+
+# --- feeds ------------------------------------------------------------------
+
+
+def _feeds(spark, sf):
+    """Every page as one board response, in its provider's own shape; every 13th is cut short."""
+    page = F.col("page_id")
+    org = F.concat(F.lit("acme-labs_"), (page % 5).cast("string"))
+    one, two = page.cast("string"), F.concat(page.cast("string"), F.lit("b"))
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    place = F.when(page % 2 == 0, F.lit("Remote - EU")).otherwise(F.lit("Oslo"))
+    none = F.lit(None).cast("string")
+    at = F.lit("2024-03-01T10:00:00Z")
+
+    def gh(i):
+        return F.struct(i.alias("id"), title.alias("title"), F.col("url").alias("absolute_url"), at.alias("updated_at"),
+                        F.struct(place.alias("name")).alias("location"), none.alias("company_name"))
+
+    def lv(i):
+        return F.struct(i.alias("id"), title.alias("text"), F.col("url").alias("hostedUrl"), F.lit(1709287200000).alias("createdAt"),
+                        F.lit("remote").alias("workplaceType"), F.lit("<p>x</p>").alias("description"))
+
+    def ab(i):
+        return F.struct(i.alias("id"), none.alias("title"), F.col("url").alias("jobUrl"), place.alias("location"), at.alias("publishedAt"),
+                        F.lit("Named Org").alias("organizationName"))
+
+    def js(i):
+        return F.struct(i.alias("job_id"), title.alias("job_title"), F.lit("Oslo").alias("job_city"), F.lit("").alias("job_state"),
+                        F.col("url").alias("job_apply_link"), at.alias("job_posted_at_datetime_utc"))
+
+    kind = page % 4
+    body = (
+        F.when(kind == 0, F.to_json(F.struct(F.array(gh(one), gh(two)).alias("jobs"))))
+        .when(kind == 1, F.to_json(F.array(lv(one), lv(two))))
+        .when(kind == 2, F.to_json(F.struct(F.array(ab(one), ab(two)).alias("jobs"))))
+        .otherwise(F.to_json(F.struct(F.array(js(one), js(two)).alias("data"))))
+    )
+    provider = F.when(kind == 0, "greenhouse").when(kind == 1, "lever").when(kind == 2, "ashby").otherwise("jsearch")
+    broken = page % 13 == 0
+    # Each response has its own id as organisation suffix, so one bad response costs only itself.
+    return V.table(spark, sf, "pages").select(
+        provider.alias("provider"), F.concat(org, F.lit("-"), page.cast("string")).alias("org"),
+        F.when(broken, F.left(body, F.length(body) - 3)).otherwise(body).alias("body"),
+    )
+
+
+@query(
+    "feed_listings",
+    """WITH p AS (SELECT *, page_id % 4 AS k, 'acme-labs_' || (page_id % 5) || '-' || page_id AS org,
+           regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, page_id % 2 = 0 AS r FROM pages WHERE page_id % 13 <> 0),
+         e AS (SELECT p.*, i, CASE i WHEN 0 THEN CAST(page_id AS VARCHAR) ELSE page_id || 'b' END AS jid FROM p, (VALUES (0), (1)) v(i))
+       SELECT CASE k WHEN 0 THEN 'greenhouse-' || org || '-' || jid WHEN 1 THEN 'lever-' || org || '-' || jid WHEN 2 THEN 'ashby-' || org || '-' || jid ELSE jid END AS external_id,
+         CASE k WHEN 2 THEN 'Untitled role' ELSE t END AS title,
+         CASE k WHEN 2 THEN 'Named Org' WHEN 3 THEN 'Unknown' ELSE 'Acme Labs ' || (page_id % 5) || ' ' || page_id END AS company,
+         CASE k WHEN 1 THEN NULL WHEN 3 THEN 'Oslo' ELSE CASE WHEN r THEN 'Remote - EU' ELSE 'Oslo' END END AS location,
+         url, CASE k WHEN 1 THEN '<p>x</p>' END AS description, '2024-03-01 10:00:00.000000' AS posted_at,
+         CASE k WHEN 1 THEN true WHEN 3 THEN NULL ELSE r END AS remote,
+         CASE k WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' ELSE 'jsearch' END AS source, i AS pos
+       FROM e""",
+)
+def feed_listings(spark, sf):
+    found, _ = feeds.search(_feeds(spark, sf))
+    return found.withColumn("posted_at", iso("posted_at")).drop("adapter_rank", "org")
+
+
+@query(
+    "feed_failures",
+    """SELECT p AS provider, o AS org, p || ' board "' || o || '" returned invalid JSON' AS message
+       FROM (SELECT (['greenhouse', 'lever', 'ashby', 'jsearch'])[page_id % 4 + 1] AS p, 'acme-labs_' || (page_id % 5) || '-' || page_id AS o
+             FROM pages WHERE page_id % 13 = 0)""",
+)
+def feed_failures(spark, sf):
+    return feeds.failures(_feeds(spark, sf))
+
+
+@query(
+    "posting_lookup",
+    """SELECT page_id, page_id % 3 = 1 AS gone, CASE WHEN page_id % 3 = 0 THEN url END AS url FROM pages WHERE page_id % 4 = 2 AND page_id % 13 <> 0""",
+)
+def posting_lookup(spark, sf):
+    """References into fetched boards: present, taken down, or to a board never fetched."""
+    page = F.col("page_id")
+    found = feeds.listings(_feeds(spark, sf))
+    refs = V.table(spark, sf, "pages").where((page % 4 == 2) & (page % 13 != 0)).select(
+        "page_id", F.lit("ashby").alias("board"),
+        F.when(page % 3 == 2, "never-fetched").otherwise(
+            F.concat(F.lit("acme-labs_"), (page % 5).cast("string"), F.lit("-"), page.cast("string"))
+        ).alias("org"),
+        F.when(page % 3 == 1, "no-such-id").otherwise(F.concat(page.cast("string"), F.lit("B"))).alias("job_id"),
+    )
+    looked = feeds.posting_lookup(refs.drop("page_id"), found)
+    return refs.join(looked, ["board", "org", "job_id"]).where(
+        (F.col("page_id") % 3 != 2) | ~F.col("gone")
+    ).select("page_id", "gone", "url").distinct()
+
+
+@query(
+    "board_targets",
+    """WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ' Acme , acme,Lever:Acme' WHEN 1 THEN 'lever:' || lower(c_mktsegment) || ', ,'
+            WHEN 2 THEN 'other:thing' ELSE '' END AS csv, c_mktsegment FROM customer)
+       SELECT c_custkey, b AS board, 'Acme' AS token, 0 AS pos FROM c, (VALUES ('greenhouse'), ('lever'), ('ashby')) v(b) WHERE c_custkey % 4 = 0
+       UNION ALL SELECT c_custkey, 'lever', lower(c_mktsegment), 0 FROM c WHERE c_custkey % 4 = 1
+       UNION ALL SELECT c_custkey, b, 'other:thing', 0 FROM c, (VALUES ('greenhouse'), ('lever'), ('ashby')) v(b) WHERE c_custkey % 4 = 2""",
+)
+def board_targets(spark, sf):
+    k = F.col("c_custkey") % 4
+    csv = (
+        F.when(k == 0, " Acme , acme,Lever:Acme")
+        .when(k == 1, F.concat(F.lit("lever:"), F.lower("c_mktsegment"), F.lit(", ,")))
+        .when(k == 2, "other:thing").otherwise("")
+    )
+    return feeds.board_targets(V.table(spark, sf, "customer").withColumn("csv", csv), "c_custkey", "csv")
+
+
+@query(
+    "people_contacts",
+    """SELECT 'Supplier#' || s_suppkey AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'Recruiter' END AS title,
+         CASE WHEN s_suppkey % 3 = 0 THEN 'Org ' || s_nationkey ELSE 'Asked ' || s_suppkey END AS company,
+         CASE WHEN s_suppkey % 4 <> 0 THEN 's' || s_suppkey || '@x.io' END AS email, 'apollo' AS source FROM supplier""",
+)
+def people_contacts(spark, sf):
+    key = F.col("s_suppkey")
+    person = F.struct(
+        F.concat(F.lit("Supplier#"), key.cast("string")).alias("name"),
+        F.when(key % 2 == 0, "Recruiter").alias("title"),
+        F.when(key % 4 == 0, "email_not_unlocked@domain.com").otherwise(F.concat(F.lit("s"), key.cast("string"), F.lit("@x.io"))).alias("email"),
+        F.when(key % 3 == 0, F.struct(F.concat(F.lit("Org "), F.col("s_nationkey").cast("string")).alias("name"))).alias("organization"),
+    )
+    responses = V.table(spark, sf, "supplier").select(
+        F.concat(F.lit("Asked "), key.cast("string")).alias("company"),
+        F.to_json(F.struct(F.array(person).alias("people"))).alias("body"),
+    )
+    return feeds.contacts(responses).drop("linkedin_url")
+
+
+@query(
+    "manual_jobs",
+    """SELECT p_partkey AS row_id, trim(p_name) AS title, trim(p_brand) AS company, NULL AS location, '' AS jd_text, 'manual' AS source
+       FROM part WHERE p_partkey % 5 <> 0""",
+)
+def manual_jobs(spark, sf):
+    rows = V.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("row_id"),
+        F.concat(F.lit("  "), F.col("p_name")).alias("title"),
+        F.when(F.col("p_partkey") % 5 == 0, "  ").otherwise(F.col("p_brand")).alias("company"),
+        F.lit(" ").alias("location"), F.lit(None).cast("string").alias("jd_text"), F.lit("").alias("url"),
+    )
+    return docs.manual_jobs(rows)[0].drop("url")
+
+
+# --- posting fields ---------------------------------------------------------
+
+
+def _clean(v: str) -> str:
+    c = f"trim(regexp_replace(trim({v}), '[.,;:]+$', ''))"
+    return rf"(CASE WHEN {c} <> '' AND length({c}) <= 90 AND NOT regexp_matches({c}, '[.!?]\s+\S') THEN {c} END)"
+
+
+_LOC = (
+    r"(NOT regexp_matches({v}, '(?i)^(?:full|part)[\s-]?time$|^contract$|^intern(ship)?$|^\$|^[\d,]+\s*[-–]') AND "
+    r"(regexp_matches({v}, '(?i)^(?:fully\s+|100%\s+)?(?:remote|hybrid|on-?site|in-?office)\b.{{0,40}}$') OR "
+    r"regexp_matches({v}, '^[A-Z][A-Za-z.''’\- ]{{1,40}},\s*(?:[A-Z]{{2}}|[A-Z][a-z]{{2,}})$')))"
+)
+_SEG = r"'\s*[·•|]\s*|\s+[—–]\s+'"
+_LABEL = {
+    "title": r"'(?i)^(?:job\s+)?(?:title|role|position)\s*[:\-–]\s*(.+)$'",
+    "company": r"'(?i)^(?:company|employer|organisation|organization)\s*[:\-–]\s*(.+)$'",
+    "location": r"'(?i)^(?:location|based\s+in|office)\s*[:\-–]\s*(.+)$'",
+}
+_POST_TEXT = """CASE doc_id % 4
+    WHEN 0 THEN 'Job title: Role ' || doc_id || '.' || chr(10) || 'Company - ' || source || chr(10) || 'Based in: Oslo, NO' || chr(10) || text
+    WHEN 1 THEN chr(10) || '  Lead ' || lang || ' Writer at Firm ' || doc_id || ' · Remote (EU)' || chr(10) || text
+    WHEN 2 THEN 'Remote — Full-time' || chr(10) || 'Staff ' || source || ' Engineer' || chr(10) || 'Firm ' || doc_id || chr(10) || 'Paris, FR | Contract' || chr(10) || text
+    ELSE text END"""
+
+
+def _posting_fields_sql() -> str:
+    at = r"'(?i)^(.{3,}?)\s+at\s+(.{2,})$'"
+    labelled = ", ".join(
+        f"list_filter(list_transform(list_filter(ls, lambda l: regexp_matches(l, {p})), lambda l: {_clean(f'regexp_extract(l, {p}, 1)')}), lambda v: v IS NOT NULL)[1] AS l_{n}"
+        for n, p in _LABEL.items()
+    )
+    unlabelled = " AND ".join(f"NOT regexp_matches(l, {p})" for p in _LABEL.values())
+    return f"""
+      WITH d AS (SELECT doc_id, {_POST_TEXT} AS body FROM documents),
+        l0 AS (SELECT doc_id, list_filter(list_transform(string_split(body, chr(10)), lambda l: trim(l)), lambda l: l <> '')[1:20] AS ls FROM d),
+        l1 AS (SELECT doc_id, {labelled}, list_filter(ls, lambda l: {unlabelled}) AS rest FROM l0),
+        l2 AS (SELECT *,
+          list_filter(list_transform(flatten(list_transform(rest, lambda l: regexp_split_to_array(l, {_SEG}))),
+            lambda s: CASE WHEN {_clean('s')} IS NOT NULL AND {_LOC.format(v=_clean('s'))} THEN {_clean('s')} END), lambda v: v IS NOT NULL)[1] AS place,
+          list_filter(rest, lambda l: len(list_filter(regexp_split_to_array(l, {_SEG}), lambda s: NOT {_LOC.format(v='trim(s)')})) > 0) AS heads FROM l1),
+        l3 AS (SELECT *, {_clean(f'regexp_split_to_array(heads[1], {_SEG})[1]')} AS first, {_clean(f'regexp_split_to_array(heads[2], {_SEG})[1]')} AS second FROM l2)
+      SELECT doc_id,
+        coalesce(l_title, CASE WHEN regexp_matches(first, {at}) THEN {_clean(f'regexp_extract(first, {at}, 1)')} ELSE first END) AS title,
+        coalesce(l_company, CASE WHEN regexp_matches(first, {at}) THEN {_clean(f'regexp_extract(first, {at}, 2)')}
+          WHEN length(second) <= 50 AND len(regexp_split_to_array(second, '\\s+')) <= 5 THEN second END) AS company,
+        coalesce(l_location, place) AS location
+      FROM l3"""
+
+
+@query("posting_fields", _posting_fields_sql())
+def posting_fields(spark, sf):
+    doc, nl = F.col("doc_id"), F.lit("\n")
+    key = doc.cast("string")
+    body = (
+        F.when(doc % 4 == 0, F.concat(F.lit("Job title: Role "), key, F.lit(".\nCompany - "), F.col("source"), F.lit("\nBased in: Oslo, NO\n"), F.col("text")))
+        .when(doc % 4 == 1, F.concat(F.lit("\n  Lead "), F.col("lang"), F.lit(" Writer at Firm "), key, F.lit(" · Remote (EU)"), nl, F.col("text")))
+        .when(doc % 4 == 2, F.concat(F.lit("Remote — Full-time\nStaff "), F.col("source"), F.lit(" Engineer\nFirm "), key, F.lit("\nParis, FR | Contract\n"), F.col("text")))
+        .otherwise(F.col("text"))
+    )
+    return postings.posting_fields(V.table(spark, sf, "documents").select("doc_id", body.alias("body")), "doc_id", "body")
+
+
+# --- duplicates -------------------------------------------------------------
+
+_POINTED = """
+  , n AS (SELECT *, (adapter_rank, pos) AS node,
+       CASE WHEN url IS NOT NULL THEN 'url:jobs.example.com/p/' || (pos - pos % 5) || '?id=1|' || lower(title) || '|' || lower(company) END AS b FROM listings),
+    m AS (SELECT *, min(node) OVER (PARTITION BY external_id) AS fa, CASE WHEN b IS NOT NULL THEN min(node) OVER (PARTITION BY b) END AS fb FROM n),
+    p AS (SELECT *, CASE WHEN fa < node THEN fa WHEN fb < node THEN fb END AS ptr FROM m),
+    r AS (SELECT node, node AS root FROM p WHERE ptr IS NULL UNION ALL SELECT p.node, r.root FROM r JOIN p ON p.ptr = r.node)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "listing_keys",
+    with_views(
+        "listings",
+        """SELECT pos, 'id:' || external_id AS key FROM listings
+           UNION ALL SELECT pos, 'url:jobs.example.com/p/' || (pos - pos % 5) || '?id=1|' || lower(title) || '|' || lower(company) FROM listings WHERE url IS NOT NULL""",
+    ),
+)
+def listing_keys(spark, sf):
+    return dedupe.listing_keys(V.listings(spark, sf)).select("pos", "key")
+
+
+@query(
+    "listing_dedupe",
+    _recursive(
+        with_views(
+            "listings",
+            f"""{_POINTED}, g AS (SELECT root, min_by(description, p.node) FILTER (WHERE coalesce(description, '') <> '') AS description, count(*) AS sightings
+                   FROM p JOIN r USING (node) GROUP BY root)
+                SELECT external_id, title, company, location, url, source, tier, remote, adapter_rank, pos, md5(g.description) AS description_md5, sightings
+                FROM g JOIN p ON g.root = p.node""",
+        )
+    ),
+)
+def listing_dedupe(spark, sf):
+    kept = dedupe.dedupe_listings(V.listings(spark, sf), ORDER)
+    return kept.select(
+        "external_id", "title", "company", "location", "url", "source", "tier", "remote", "adapter_rank", "pos",
+        F.md5("description").alias("description_md5"), "sightings",
+    )
+
+
+@query(
+    "listing_owners",
+    _recursive(
+        with_views(
+            "listings",
+            f"""{_POINTED}, f AS (SELECT external_id, b, min(node) AS node FROM p GROUP BY external_id, b)
+                SELECT f.external_id, f.node[1] AS adapter_rank, f.node[2] AS pos, r.root[1] AS owner_adapter_rank, r.root[2] AS owner_pos
+                FROM f JOIN r USING (node)""",
+        )
+    ),
+)
+def listing_owners(spark, sf):
+    return dedupe.listing_owners(V.listings(spark, sf), ORDER)
+
+
+@query(
+    "first_seen_texts",
+    "SELECT md5(text) AS text_md5, min(doc_id) AS doc_id, min_by(source, doc_id) AS source FROM documents GROUP BY text",
+)
+def first_seen_texts(spark, sf):
+    """Exact copies of a text, the first sighting kept."""
+    rows = V.table(spark, sf, "documents").select("text", "doc_id", "source")
+    return dedupe.first_seen(rows, ["text"], ["doc_id"]).select(F.md5("text").alias("text_md5"), "doc_id", "source")
+
+
+# --- searches ---------------------------------------------------------------
+
+
+def _hits(spark, sf):
+    return search.saved_search_hits(V.searches(spark, sf), V.listings(spark, sf), ["external_id", *ORDER])
+
+
+@query("saved_search_hits", with_views("searches listings hits", "SELECT query_id, external_id, pos, source FROM hits"))
+def saved_search_hits(spark, sf):
+    return _hits(spark, sf).select("query_id", "external_id", "pos", "source")
+
+
+@query(
+    "adapter_labels",
+    with_views(
+        "searches listings hits",
+        """SELECT query_id, coalesce(string_agg(DISTINCT source, ',' ORDER BY source), 'adzuna,jsearch') AS adapter, count(source) AS result_count
+           FROM searches LEFT JOIN hits USING (query_id) GROUP BY query_id""",
+    ),
+)
+def adapter_labels(spark, sf):
+    return search.adapter_labels(_hits(spark, sf), V.searches(spark, sf), F.lit("adzuna,jsearch"))
+
+
+_KEY_JSON = """'{"keywords":"' || trim(lower(keywords)) || '","location":"' || coalesce(lower(location), '') || '","remoteOnly":' || CASE WHEN remote_only THEN 'true' ELSE 'false' END || '}'"""
+
+
+@query(
+    "run_history",
+    with_views(
+        "searches listings hits",
+        f"""SELECT query_id, {_KEY_JSON} AS query, (SELECT count(*) FROM hits h WHERE h.query_id = s.query_id) AS result_count FROM searches s
+            UNION ALL SELECT query_id, 'old', 0 FROM searches""",
+    ),
+)
+def run_history(spark, sf):
+    queries = V.searches(spark, sf)
+    now = F.lit("2024-05-01 00:00:00").cast("timestamp")
+    old = queries.select(
+        "query_id", F.lit("old").alias("query"), F.lit("x").alias("adapter"), F.lit(0).cast("long").alias("result_count"), now.alias("created_at")
+    )
+    labels = search.adapter_labels(_hits(spark, sf), queries, F.lit("jsearch"))
+    return search.run_history(old, labels, queries, now).select("query_id", "query", "result_count")
+
+
+@query(
+    "saved_searches",
+    with_views("searches", f"SELECT min(query_id % 7 * 1000 + query_id) AS oldest, {_KEY_JSON} AS query_key FROM (SELECT query_id, upper(left(trim(keywords), 1)) AS keywords, location, remote_only FROM searches) GROUP BY 2"),
+)
+def saved_searches(spark, sf):
+    """Searches reduced to their first letter, so that many share a key."""
+    q = F.col("query_id")
+    rows = V.searches(spark, sf).withColumn("keywords", F.left(trim(F.col("keywords")), F.lit(1))).withColumn(
+        "created_at", q % 7 * 1000 + q
+    )
+    saved = search.save_searches(rows.where(q % 2 == 0), rows.where(q % 2 == 1))
+    return saved.select(F.col("created_at").alias("oldest"), "query_key")
+
+
+@query(
+    "search_labels",
+    with_views(
+        "searches",
+        """SELECT query_id, coalesce(nullif(concat_ws(' · ', nullif(trim(keywords), ''), location, CASE WHEN remote_only THEN 'remote' END), ''), 'any role') AS label FROM searches""",
+    ),
+)
+def search_labels(spark, sf):
+    return V.searches(spark, sf).select(
+        "query_id", R.query_label(F.col("keywords"), F.col("location"), F.col("remote_only")).alias("label")
+    )
+
+
+@query(
+    "result_summaries",
+    with_views(
+        "searches listings hits",
+        """, s AS (SELECT query_id, source, count(*) AS n, count(tier) AS rated, min((adapter_rank, pos)) AS f FROM hits GROUP BY ALL)
+           SELECT query_id, concat_ws(' · ', sum(n) || CASE WHEN sum(n) = 1 THEN ' result' ELSE ' results' END,
+             CASE WHEN sum(rated) = 0 THEN NULL WHEN sum(rated) = sum(n) THEN 'rated for fit' ELSE sum(rated) || ' rated' END,
+             string_agg(source, ' · ' ORDER BY f)) AS summary FROM s GROUP BY query_id""",
+    ),
+)
+def result_summaries(spark, sf):
+    return search.result_summary(_hits(spark, sf), ["query_id"], ORDER)
+
+
+_RANK = "CASE tier WHEN 'strong' THEN 0 WHEN 'possible' THEN 1 WHEN 'reach' THEN 2 ELSE 3 END"
+
+
+@query("best_fit_order", with_views("listings", f"SELECT row_number() OVER (ORDER BY {_RANK}, adapter_rank, pos) AS place, {_RANK} AS tier_rank, pos FROM listings"))
+def best_fit_order(spark, sf):
+    ordered = search.best_fit_order(V.listings(spark, sf), ORDER)
+    blocked = ordered.withColumn("b", F.floor(F.col("pos") / 65536))
+    return search.positions(blocked, [], ["tier_rank", "adapter_rank", "b"], ["tier_rank", *ORDER], "place").select("place", "tier_rank", "pos")
+
+
+@query("newest_order", with_views("listings", "SELECT row_number() OVER (ORDER BY posted_at DESC NULLS LAST, adapter_rank, pos) AS place, pos FROM listings"))
+def newest_order(spark, sf):
+    ordered = search.newest_order(V.listings(spark, sf), ORDER)
+    # Newest first as an ascending key: age in seconds, undated last; days are the blocks.
+    age = -F.coalesce(F.unix_seconds("posted_at"), F.lit(-(10**15)))
+    blocked = ordered.withColumn("age", age).withColumns(
+        {"day": F.floor(F.col("age") / 86400), "b": F.when(F.col("posted_at").isNull(), F.col("adapter_rank")).otherwise(0)}
+    )
+    return search.positions(blocked, [], ["day", "b"], ["age", *ORDER], "place").select("place", "pos")
+
+
+@query(
+    "rating_batches",
+    with_views("searches listings hits", "SELECT query_id, pos, (row_number() OVER (PARTITION BY query_id ORDER BY adapter_rank, pos) - 1) // 18 AS batch FROM hits"),
+)
+def rating_batches(spark, sf):
+    hits = _hits(spark, sf).withColumn("b", F.floor(F.col("pos") / 65536))
+    return search.rating_batches(hits, ["query_id"], ["adapter_rank", "b"], ORDER).select("query_id", "pos", "batch")
+
+
+@query(
+    "batch_budgets",
+    with_views(
+        "searches listings hits",
+        """SELECT query_id, batch, count(*) AS listings, 400 + 260 * count(*) AS max_tokens
+           FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY adapter_rank, pos) - 1) // 18 AS batch FROM hits) GROUP BY ALL""",
+    ),
+)
+def batch_budgets(spark, sf):
+    hits = _hits(spark, sf).withColumn("b", F.floor(F.col("pos") / 65536))
+    return search.batch_budgets(search.rating_batches(hits, ["query_id"], ["adapter_rank", "b"], ORDER), ["query_id"])
+
+
+# --- merges -----------------------------------------------------------------
+
+_STORED = """
+  , st AS (SELECT doc_id AS job_id, CASE WHEN doc_id % 10 = 0 THEN 'https://jobs.example.com/p/' || doc_id || '?id=1' END AS url,
+       CASE WHEN doc_id % 10 = 0 THEN 'Stored ' || doc_id ELSE 'Role ' || (doc_id // 5) END AS title, lang AS company,
+       CASE WHEN doc_id % 20 <> 0 THEN source END AS location,
+       CASE WHEN doc_id % 10 = 7 THEN '' WHEN doc_id % 30 = 0 THEN 'No description was returned by x for this listing.'
+            WHEN doc_id % 30 = 10 THEN substr(text, 1, 50) ELSE text || text END AS jd_text
+     FROM documents WHERE doc_id % 10 IN (0, 7)),
+    inc AS (SELECT *, CASE WHEN url IS NOT NULL THEN 'https://jobs.example.com/p/' || (pos - pos % 5) || '?id=1' END AS cu,
+       coalesce(nullif(trim(description), ''), 'No description was returned by ' || source || ' for this listing.' || coalesce(' Open ' || url || ' for the full posting.', '')) AS body
+     FROM listings),
+    fo AS (SELECT cu, CASE WHEN cu IS NULL THEN title END AS kt, CASE WHEN cu IS NULL THEN company END AS kc, CASE WHEN cu IS NULL THEN location END AS kl,
+       min_by(title, (adapter_rank, pos)) AS title, min_by(company, (adapter_rank, pos)) AS company, max_by(location, (adapter_rank, pos)) AS location,
+       max_by(body, (length(body), -adapter_rank, -pos)) FILTER (WHERE NOT starts_with(body, 'No description was returned by')) AS real,
+       min_by(body, (adapter_rank, pos)) FILTER (WHERE starts_with(body, 'No description was returned by')) AS ph
+     FROM inc GROUP BY ALL),
+    j AS (SELECT st.job_id, st.url AS su, st.title AS s_title, st.company AS s_company, st.location AS s_location, st.jd_text AS old, fo.*, fo.title IS NOT NULL AS seen
+     FROM st FULL OUTER JOIN fo ON (st.url = fo.cu) OR (st.url IS NULL AND fo.cu IS NULL AND st.title = fo.kt AND st.company = fo.kc AND st.location IS NOT DISTINCT FROM fo.kl)),
+    b AS (SELECT *, CASE WHEN NOT seen THEN old WHEN job_id IS NULL THEN coalesce(real, ph)
+       WHEN real IS NOT NULL THEN CASE WHEN trim(old) = '' OR starts_with(old, 'No description was returned by') OR length(real) > length(old) THEN real ELSE old END
+       ELSE CASE WHEN trim(old) = '' THEN ph ELSE old END END AS jd FROM j)"""
+
+
+def _stored(spark, sf):
+    doc = F.col("doc_id")
+    return V.table(spark, sf, "documents").where((doc % 10).isin(0, 7)).select(
+        doc.alias("job_id"),
+        F.when(doc % 10 == 0, F.concat(F.lit("https://jobs.example.com/p/"), doc.cast("string"), F.lit("?id=1"))).alias("url"),
+        F.when(doc % 10 == 0, F.concat(F.lit("Stored "), doc.cast("string"))).otherwise(F.concat(F.lit("Role "), F.floor(doc / 5).cast("string"))).alias("title"),
+        F.col("lang").alias("company"), F.when(doc % 20 != 0, F.col("source")).alias("location"),
+        F.when(doc % 10 == 7, "").when(doc % 30 == 0, f"{vocab.NO_DESCRIPTION} x for this listing.")
+        .when(doc % 30 == 10, F.left("text", F.lit(50))).otherwise(F.concat("text", "text")).alias("jd_text"),
+        F.lit("manual").alias("source"), F.lit("2023-01-01 00:00:00").cast("timestamp").alias("scraped_at"),
+    )
+
+
+@query(
+    "job_merge",
+    with_views(
+        "listings",
+        f"""{_STORED} SELECT job_id, CASE WHEN job_id IS NULL THEN cu ELSE su END AS url, coalesce(s_title, title) AS title, coalesce(s_company, company) AS company,
+              coalesce(location, s_location) AS location, md5(jd) AS jd_md5, CASE WHEN job_id IS NULL THEN 'api' ELSE 'manual' END AS source,
+              CASE WHEN job_id IS NULL THEN 'inserted' WHEN seen AND jd IS DISTINCT FROM old THEN 'refreshed' WHEN seen THEN 'seen' ELSE 'kept' END AS outcome
+            FROM b""",
+    ),
+)
+def job_merge(spark, sf):
+    merged = merge.merge_jobs(_stored(spark, sf), V.listings(spark, sf), ORDER, F.lit("2024-01-01").cast("timestamp"))
+    return merged.select("job_id", "url", "title", "company", "location", F.md5("jd_text").alias("jd_md5"), "source", "outcome")
+
+
+@query(
+    "body_refresh",
+    """SELECT doc_id, md5(CASE WHEN starts_with(trim(inc), 'No description was returned by') THEN CASE WHEN trim(sto) <> '' THEN sto ELSE inc END
+          WHEN trim(sto) = '' OR starts_with(trim(sto), 'No description was returned by') THEN inc
+          WHEN length(inc) > length(sto) THEN inc ELSE sto END) AS body_md5
+       FROM (SELECT a.doc_id, CASE WHEN a.doc_id % 9 = 0 THEN ' ' WHEN a.doc_id % 9 = 1 THEN '  No description was returned by x' ELSE a.text END AS sto,
+               CASE WHEN a.doc_id % 8 = 0 THEN 'No description was returned by y' ELSE b.text END AS inc
+             FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)""",
+)
+def body_refresh(spark, sf):
+    doc = F.col("doc_id")
+    texts = V.table(spark, sf, "documents").select("doc_id", "text")
+    later = texts.select((doc - 1).alias("doc_id"), F.col("text").alias("inc"))
+    stored = F.when(doc % 9 == 0, " ").when(doc % 9 == 1, f"  {vocab.NO_DESCRIPTION} x").otherwise(F.col("text"))
+    incoming = F.when(doc % 8 == 0, f"{vocab.NO_DESCRIPTION} y").otherwise(F.col("inc"))
+    return texts.join(later, "doc_id").select("doc_id", F.md5(R.refreshed_body(stored, incoming)).alias("body_md5"))
+
+
+@query(
+    "pasted_upsert",
+    with_views(
+        "jobs",
+        """SELECT url, CASE WHEN job_id % 2 = 0 THEN 'Old' ELSE title END AS title, company,
+             CASE WHEN job_id % 3 = 2 AND job_id % 2 = 0 THEN 'Here' ELSE location END AS location FROM jobs WHERE job_id % 2 = 0 OR job_id % 3 <> 2""",
+    ),
+)
+def pasted_upsert(spark, sf):
+    j = F.col("job_id")
+    at = F.lit("2024-01-01").cast("timestamp")
+    rows = V.jobs(spark, sf).select(
+        "job_id", "url", "title", "company", "location", F.lit("body").alias("jd_text"), F.lit("paste").alias("source"), at.alias("scraped_at")
+    )
+    stored = rows.where(j % 2 == 0).withColumns({"title": F.lit("Old"), "location": F.lit("Here")}).drop("job_id")
+    return merge.upsert_pasted(stored, rows.where(j % 3 != 2), ["job_id"]).select("url", "title", "company", "location")
+
+
+_READINGS = """
+  , r AS (SELECT doc_id, doc_id % 5 AS job_id, k AS kind, CASE WHEN (CASE k WHEN 'format_lint' THEN quality ELSE toxic END) = 1 THEN 'pass' ELSE 'warn' END AS verdict, run
+     FROM labels, (VALUES ('format_lint'), ('ai_tell')) v(k), (VALUES (0), (1)) t(run))"""
+
+
+def _readings(spark, sf):
+    rows = V.table(spark, sf, "labels")
+    both = rows.select(
+        "doc_id", (F.col("doc_id") % 5).alias("job_id"),
+        F.inline(F.array(*[
+            F.struct(F.lit(k).alias("kind"), F.col(c).alias("v"), F.lit(run).alias("run"))
+            for k, c in (("format_lint", "quality"), ("ai_tell", "toxic")) for run in (0, 1)
+        ])),
+    )
+    return both.select("doc_id", "job_id", "kind", F.when(F.col("v") == 1, "pass").otherwise("warn").alias("verdict"), "run")
+
+
+@query(
+    "latest_checks",
+    "WITH x AS (SELECT 1)" + _READINGS + " SELECT doc_id, job_id, kind, verdict, run FROM r WHERE run = 1",
+)
+def latest_checks(spark, sf):
+    return checks.latest_checks(_readings(spark, sf), ["doc_id", "job_id"], ["run"])
+
+
+@query(
+    "replaced_checks",
+    "WITH x AS (SELECT 1)" + _READINGS + """ SELECT doc_id, job_id, kind, verdict, run FROM r WHERE doc_id % 2 = 0 AND run = 0
+       UNION ALL SELECT doc_id, job_id, kind, 'fail', 9 FROM r WHERE doc_id % 2 = 1 AND run = 1""",
+)
+def replaced_checks(spark, sf):
+    rows = _readings(spark, sf)
+    new = rows.where((F.col("doc_id") % 2 == 1) & (F.col("run") == 1)).withColumns({"verdict": F.lit("fail"), "run": F.lit(9)})
+    return merge.replace_by_key(rows.where(F.col("run") == 0), new, ["doc_id", "job_id"])
+
+
+@query(
+    "found_applications",
+    with_views(
+        "ev apps jobs",
+        """SELECT job_id, a.application_id, coalesce(a.status, 'sourced') AS status, a.application_id IS NULL AS created
+           FROM (SELECT DISTINCT job_id FROM jobs) j LEFT JOIN (
+             SELECT job_id, min_by(application_id, (created_at, application_id)) AS application_id, min_by(status, (created_at, application_id)) AS status
+             FROM apps WHERE application_id % 3 = 0 AND job_id % 2 = 0 GROUP BY job_id) a USING (job_id)""",
+    ),
+)
+def found_applications(spark, sf):
+    apps = V.applications(spark, sf).where((F.col("application_id") % 3 == 0) & (F.col("job_id") % 2 == 0))
+    return merge.find_or_create_applications(apps, V.jobs(spark, sf))
+
+
+@query(
+    "refused_deletions",
+    """SELECT r AS resume_id, n AS pins, 'Can''t delete this résumé: ' || n || ' application' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' pin one of its versions. Archive it instead.' AS reason
+       FROM (SELECT o_custkey AS r, count(*) AS n FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1)""",
+)
+def refused_deletions(spark, sf):
+    resumes = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("resume_id"))
+    pins = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("resume_id"))
+    return merge.delete_resumes(resumes, resumes.where(F.col("resume_id") % 3 == 0), pins)[1]
+
+
+@query(
+    "remaining_resumes",
+    "SELECT c_custkey AS resume_id FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey IN (SELECT o_custkey FROM orders)",
+)
+def remaining_resumes(spark, sf):
+    resumes = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("resume_id"))
+    pins = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("resume_id"))
+    return merge.delete_resumes(resumes, resumes.where(F.col("resume_id") % 3 == 0), pins)[0]
+
+
+@query(
+    "working_version_edits",
+    with_views(
+        "versions",
+        """, w AS (SELECT resume_id, max_by(version_id, (created_at, version_id)) AS w FROM versions GROUP BY 1)
+           SELECT version_id, CASE WHEN version_id = w THEN 'edited ' || version_id ELSE label END AS content FROM versions JOIN w USING (resume_id)""",
+    ),
+)
+def working_version_edits(spark, sf):
+    versions = V.versions(spark, sf).withColumn("content", F.col("label"))
+    edits = versions.select(
+        "resume_id", "version_id", F.concat(F.lit("edited "), F.col("version_id").cast("string")).alias("content"), F.lit(1).alias("edited_at")
+    )
+    return merge.edit_working_version(versions, edits)[0].select("version_id", "content")
