@@ -28,30 +28,37 @@ def _token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(vocab.TECH_TOKEN))
 
 
-def _tech_terms(line: Column) -> Column:
-    """Tokens that are technology by name or by shape, with their ordinal in the line."""
-    gaps = F.split(line, vocab.TECH_TOKEN, -1)
-    tokens = F.regexp_extract_all(line, F.lit(f"({vocab.TECH_TOKEN})"), 1)
-
-    def judged(token: Column, i: Column) -> Column:
-        lower = F.lower(token)
-        starts = (i == 0) | F.get(gaps, i).rlike(vocab.SENTENCE_GAP)
-        shaped = (
-            F.array_contains(_words_of(vocab.KNOWN_TECH), lower)
-            | token.rlike(r"^.[^A-Z]*[A-Z]")
-            | token.rlike(r"[0-9+#./]")
-            | (F.length(token).between(2, 6) & (token == F.upper(token)))
-            | (token.rlike(r"^[A-Z][a-z]") & ~starts)
-        )
-        common = F.array_contains(
-            _words_of(tuple(dict.fromkeys(vocab.TERM_STOPWORDS + vocab.COMMON_CAPITALISED))), lower
-        )
-        return F.when(
-            shaped & ~common,
-            F.struct(i.cast("int").alias("ord"), F.lit(2).alias("rank"), token.alias("term")),
-        )
+_CANDIDATES = "array<struct<ord:int,rank:int,text:string,gap:string>>"
+
+
+def _candidate(ord_: Column, rank: int, text: Column, gap: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(
+        ord_.cast("int").alias("ord"), F.lit(rank).alias("rank"), text.alias("text"),
+        (none if gap is None else gap).alias("gap"),
+    )
 
-    return F.filter(F.transform(tokens, judged), lambda t: t.isNotNull())
+
+def _tokens(line: Column) -> Column:
+    """Every token with its ordinal and the text between it and the token before."""
+    found = F.regexp_extract_all(line, F.lit(f"({vocab.TECH_TOKEN})"), 1)
+    paired = F.arrays_zip(found.alias("t"), F.split(line, vocab.TECH_TOKEN, -1).alias("g"))
+    placed = F.transform(paired, lambda z, i: _candidate(i, 2, z["t"], z["g"]))
+    return F.filter(placed, lambda c: c["text"].isNotNull())
+
+
+def _is_tech(token: Column, ordinal: Column, gap: Column) -> Column:
+    """Technology by name, or by shape; a capital that starts a sentence says nothing."""
+    lower = F.lower(token)
+    starts = (ordinal == 0) | gap.rlike(vocab.SENTENCE_GAP)
+    shaped = (
+        lower.isin(*vocab.KNOWN_TECH)
+        | token.rlike(r"^.[^A-Z]*[A-Z]")
+        | token.rlike(r"[0-9+#./]")
+        | (F.length(token).between(2, 6) & (token == F.upper(token)))
+        | (token.rlike(r"^[A-Z][a-z]") & ~starts)
+    )
+    return shaped & ~lower.isin(*vocab.TERM_STOPWORDS) & ~lower.isin(*vocab.COMMON_CAPITALISED)
 
 
 def _phrase_pattern(phrase: str) -> str:
@@ -67,52 +74,45 @@ def _known_phrases(line: Column) -> Column:
         found.append(
             F.when(
                 line.rlike(pattern),
-                F.struct(
-                    _token_count(F.get(F.split(line, pattern, 2), 0)).cast("int").alias("ord"),
-                    F.lit(1).alias("rank"),
-                    F.regexp_extract(line, pattern, 0).alias("term"),
+                _candidate(
+                    _token_count(F.get(F.split(line, pattern, 2), 0)), 1, F.regexp_extract(line, pattern, 0)
                 ),
             )
         )
     any_phrase = "|".join(
         f"(?:{_phrase_pattern(p).removeprefix('(?i)')})" for p in vocab.KNOWN_SKILL_PHRASES
     )
-    empty = F.array().cast("array<struct<ord:int,rank:int,term:string>>")
-    return F.when(line.rlike(f"(?i){any_phrase}"), F.array_compact(F.array(*found))).otherwise(empty)
+    return F.when(line.rlike(f"(?i){any_phrase}"), F.array_compact(F.array(*found))).otherwise(
+        F.array().cast(_CANDIDATES)
+    )
 
 
-def _requirement_phrases(line: Column) -> Column:
-    """Up to three words after "experience with" and its kin, to the end of the clause."""
-    pieces = F.split(line, vocab.REQUIREMENT_TRIGGER, -1)
+def _requirement_clauses(line: Column) -> Column:
+    """The clause after each "experience with" and its kin, and where it starts."""
     triggers = F.regexp_extract_all(line, F.lit(f"({vocab.REQUIREMENT_TRIGGER})"), 1)
-    stop = _words_of(vocab.TERM_STOPWORDS)
+    clauses = F.regexp_extract_all(line, F.lit(vocab.REQUIREMENT_CLAUSE), 1)
+    widths = F.zip_with(
+        F.split(line, vocab.REQUIREMENT_TRIGGER, -1), triggers, lambda p, t: F.length(p) + F.length(t)
+    )
+    ends = F.aggregate(
+        F.filter(widths, lambda w: w.isNotNull()),
+        F.array().cast("array<int>"),
+        lambda acc, w: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + w)),
+    )
+    placed = F.zip_with(ends, clauses, lambda end, c: _candidate(_token_count(F.left(line, end)), 0, c))
+    return F.when(line.rlike(vocab.REQUIREMENT_TRIGGER), placed).otherwise(F.array().cast(_CANDIDATES))
 
-    def phrase(trigger: Column, i: Column) -> Column:
-        head = F.concat(
-            F.array_join(
-                F.transform(F.slice(triggers, 1, i + 1), lambda t, j: F.concat(F.get(pieces, j), t)), ""
-            )
-        )
-        start = F.length(head)
-        clause = F.get(F.split(F.substr(line, start + 1), vocab.CLAUSE_END, 2), 0)
-        words = F.filter(F.split(clause, f"{T.SPACE}+"), lambda w: w != "")
-        # Leading stopwords go; the first word that is none starts the phrase.
-        flags = F.transform(
-            words, lambda w: F.array_contains(stop, F.regexp_replace(F.lower(w), "[^a-z0-9]", ""))
-        )
-        first = F.array_position(flags, F.lit(False))
-        kept = F.when(first > 0, F.slice(words, first.cast("int"), 3)).otherwise(F.array().cast("array<string>"))
-        text = F.regexp_replace(F.array_join(kept, " "), r"[^A-Za-z0-9+#./\s\-]+$", "")
-        return F.when(
-            text != "",
-            F.struct(_token_count(head).cast("int").alias("ord"), F.lit(0).alias("rank"), text.alias("term")),
-        )
 
-    empty = F.array().cast("array<struct<ord:int,rank:int,term:string>>")
-    return F.when(
-        line.rlike(vocab.REQUIREMENT_TRIGGER),
-        F.filter(F.transform(triggers, phrase), lambda t: t.isNotNull()),
-    ).otherwise(empty)
+def _requirement_phrase(clause: Column) -> Column:
+    """Up to three words of a clause, leading stopwords dropped."""
+    words = F.filter(F.split(clause, f"{T.SPACE}+"), lambda w: w != "")
+    stop = _words_of(vocab.TERM_STOPWORDS)
+    flags = F.transform(
+        words, lambda w: F.array_contains(stop, F.regexp_replace(F.lower(w), "[^a-z0-9]", ""))
+    )
+    first = F.array_position(flags, F.lit(False)).cast("int")
+    kept = F.when(first > 0, F.slice(words, first, 3)).otherwise(F.array().cast("array<string>"))
+    return F.regexp_replace(F.array_join(kept, " "), r"[^A-Za-z0-9+#./\s\-]+$", "")
 
 
 def posting_terms(postings: DataFrame, key: str, body: str) -> DataFrame:
@@ -126,14 +126,17 @@ def posting_terms(postings: DataFrame, key: str, body: str) -> DataFrame:
         key, F.posexplode(F.split(F.col(body), r"\r?\n")).alias("line_no", "line")
     )
     line = F.col("line")
-    found = lines.select(
-        key, "line_no",
-        F.explode(F.concat(_requirement_phrases(line), _known_phrases(line), _tech_terms(line))).alias("t"),
-    ).select(
-        key,
-        F.struct("line_no", "t.ord", "t.rank").alias("at"),
-        F.regexp_replace(T.trim(F.col("t.term")), f"{T.SPACE}+", " ").alias("term"),
+    candidates = F.concat(_requirement_clauses(line), _known_phrases(line), _tokens(line))
+    exploded = lines.select(key, "line_no", F.explode(candidates).alias("c")).select(
+        key, "line_no", "c.*"
     )
+    kept = exploded.where((F.col("rank") < 2) | _is_tech(F.col("text"), F.col("ord"), F.col("gap")))
+    text = F.when(F.col("rank") == 0, _requirement_phrase(F.col("text"))).otherwise(F.col("text"))
+    found = kept.select(
+        key,
+        F.struct("line_no", "ord", "rank").alias("at"),
+        F.regexp_replace(T.trim(text), f"{T.SPACE}+", " ").alias("term"),
+    ).where(F.col("term") != "")
     toks = T.tokens(F.col("term"))
     stop = _words_of(vocab.TERM_STOPWORDS)
     good = (

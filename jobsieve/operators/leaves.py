@@ -70,17 +70,19 @@ def leaves(resumes: DataFrame, key: str, content: str = "content") -> DataFrame:
     )
 
 
-def is_list_leaf() -> Column:
-    return F.col("key") == "bullets"
+def _unsearchable(section: Column, key: Column) -> Column:
+    return key.isin("start", "end", "phone") | ((section == "projects") & (key == "url"))
 
 
 def searchable(leaf_rows: DataFrame) -> DataFrame:
     """Fields a phrase may be found in: no dates, no phone, no project link."""
-    skip = (
-        F.col("key").isin("start", "end", "phone")
-        | ((F.col("section") == "projects") & (F.col("key") == "url"))
-    )
-    return leaf_rows.where(~skip)
+    return leaf_rows.where(~_unsearchable(F.col("section"), F.col("key")))
+
+
+def searchable_values(content: Column) -> Column:
+    """The same fields as an array inside the document's row."""
+    kept = F.filter(leaf_array(content), lambda l: ~_unsearchable(l["section"], l["key"]))
+    return F.transform(kept, lambda l: l["value"])
 
 
 def prose(leaf_rows: DataFrame) -> DataFrame:

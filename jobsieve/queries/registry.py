@@ -29,13 +29,16 @@ def sql_iso(expr: str) -> str:
     return f"strftime({expr}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
+# Views worth computing once.
+_ONCE = {"hay", "lv", "terms", "covered"}
+
 # SQL views, by name. A view may use the ones above it.
 VIEWS: dict[str, str] = {}
 
 
 def with_views(names: str, select: str) -> str:
     """``select`` with the named views in front of it."""
-    parts = [f"{n} AS ({VIEWS[n]})" for n in names.split()]
+    parts = [f"{n} AS {'MATERIALIZED ' if n in _ONCE else ''}({VIEWS[n]})" for n in names.split()]
     recursive = "RECURSIVE " if any("UNION ALL" in VIEWS[n] and f"FROM {n}" in VIEWS[n] for n in names.split()) else ""
     return f"WITH {recursive}" + ", ".join(parts) + " " + select
 
@@ -137,3 +140,133 @@ VIEWS["versions"] = """
     doc_id // 100 AS resume_id, TIMESTAMP '2024-01-01 00:00:00' + to_hours((doc_id * 13) % 29) AS created_at,
     lang || '-' || doc_id AS label
   FROM documents"""
+
+# --- documents as resumes ---------------------------------------------------
+
+_MONTHS = "(['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'])"
+
+
+def _month(year: str, month: str, shape: str) -> str:
+    return (
+        f"CASE {shape} WHEN 0 THEN ({year}) || '-' || lpad(CAST({month} AS VARCHAR), 2, '0') "
+        f"WHEN 1 THEN {_MONTHS}[CAST({month} AS INT)] || ' ' || ({year}) "
+        f"ELSE lpad(CAST({month} AS VARCHAR), 2, '0') || '/' || ({year}) END"
+    )
+
+
+VIEWS["rs"] = "SELECT doc_id, lang, source, text, string_split(text, chr(10)) AS ls FROM documents"
+
+VIEWS["je"] = f"""
+  SELECT doc_id, ls, e, 'Company ' || ((doc_id + e) % 13) AS company, 'Role ' || (e % 3) AS title,
+    {_month('2008 + (doc_id + e) % 12', '1 + (doc_id + 3 * e) % 12', '(CASE WHEN doc_id % 5 = 0 THEN e % 3 ELSE 0 END)')} AS start_,
+    CASE WHEN e = 0 AND doc_id % 3 = 0 THEN NULL WHEN e = 0 AND doc_id % 7 = 1 THEN 'Present'
+      ELSE {_month('2009 + (doc_id + e) % 12', '1 + (doc_id + 3 * e) % 12', '(CASE WHEN doc_id % 5 = 0 THEN e % 3 ELSE 0 END)')} END AS end_,
+    (2009 + (doc_id + e) % 12) * 12 + (doc_id + 3 * e) % 12 AS end_m
+  FROM (SELECT *, unnest(range(0, CAST(ceil((len(ls) - 1) / 4.0) AS INT))) AS e FROM rs)"""
+
+VIEWS["bl"] = """
+  SELECT doc_id, e, j, 'experience[' || e || '].bullets[' || j || ']' AS path,
+    CASE WHEN (doc_id + j) % 9 = 0 THEN 'My ' || b WHEN (doc_id + j) % 9 = 1 THEN replace(b, ' the ', ' seamlessly leveraged ') ELSE b END AS value
+  FROM (SELECT doc_id, e, generate_subscripts(ls[2 + 4 * e : 5 + 4 * e], 1) - 1 AS j, unnest(ls[2 + 4 * e : 5 + 4 * e]) AS b FROM je)"""
+
+VIEWS["lv"] = r"""
+  SELECT * FROM (
+    SELECT doc_id, 'basics' AS section, 0 AS entry, key, NULL AS item, 'basics.' || key AS path, value
+    FROM (SELECT doc_id, unnest([{'key': 'name', 'value': 'Person ' || doc_id}, {'key': 'label', 'value': source},
+            {'key': 'email', 'value': 'p' || doc_id || '@example.com'}, {'key': 'phone', 'value': '+1 555 0100'},
+            {'key': 'location', 'value': lang}, {'key': 'summary', 'value': ls[1]}], recursive := true) FROM rs)
+    UNION ALL SELECT doc_id, 'experience', e, key, NULL, 'experience[' || e || '].' || key, value
+    FROM (SELECT doc_id, e, unnest([{'key': 'company', 'value': company}, {'key': 'title', 'value': title},
+            {'key': 'start', 'value': start_}, {'key': 'end', 'value': end_}], recursive := true) FROM je)
+    UNION ALL SELECT doc_id, 'experience', e, 'bullets', j, path, value FROM bl
+    UNION ALL SELECT doc_id, 'education', 0, key, NULL, 'education[0].' || key, value
+    FROM (SELECT doc_id, unnest([{'key': 'institution', 'value': 'School ' || (doc_id % 7)}, {'key': 'degree', 'value': CASE WHEN doc_id % 2 = 1 THEN 'BSc' END},
+            {'key': 'start', 'value': '2001'}, {'key': 'end', 'value': CASE WHEN doc_id % 3 = 0 THEN 'June 2005' ELSE '2005-06' END}], recursive := true) FROM rs)
+    UNION ALL SELECT doc_id, 'skills', 0, 'category', NULL, 'skills[0].category', 'Words' FROM rs
+    UNION ALL SELECT doc_id, 'skills', 0, 'items', j, 'skills[0].items[' || j || ']', v
+    FROM (SELECT doc_id, generate_subscripts(string_split(ls[1], ' '), 1) - 1 AS j, unnest(string_split(ls[1], ' ')) AS v FROM rs)
+    UNION ALL SELECT doc_id, 'projects', 0, 'name', NULL, 'projects[0].name', 'Project ' || (doc_id % 5) FROM rs
+    UNION ALL SELECT doc_id, 'projects', 0, 'description', NULL, 'projects[0].description', ls[len(ls)] FROM rs WHERE len(ls) > 1
+    UNION ALL SELECT doc_id, 'custom', 0, 'title', NULL, 'custom[0].title', 'Notes' FROM rs WHERE doc_id % 10 = 0)
+  WHERE trim(value) <> ''"""
+
+
+def fold_sql(x: str) -> str:
+    """Folded tokens of a text, joined by a space."""
+    return (
+        f"array_to_string(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda t: t <> ''), "
+        "lambda t: CASE WHEN length(t) > 3 AND t LIKE '%ies' THEN left(t, length(t) - 3) || 'y' "
+        "WHEN length(t) > 4 AND regexp_matches(t, '(?:ses|xes|zes|ches|shes)$') THEN left(t, length(t) - 2) "
+        "WHEN length(t) > 2 AND t LIKE '%s' AND NOT regexp_matches(t, '(?:ss|us|is)$') THEN left(t, length(t) - 1) ELSE t END), ' ')"
+    )
+
+
+def plain_sql(x: str, extra: str = "") -> str:
+    return (
+        f"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '[‘’{extra}]', '''', 'g'), "
+        "'[“”]', '\"', 'g'), '[‐-―]', '-', 'g'), '\\s+', ' ', 'g')))"
+    )
+
+
+# --- what a posting asks for ------------------------------------------------
+
+_T = r"[A-Za-z][A-Za-z0-9+#]*(?:[./][A-Za-z0-9+#]+)*"
+_TRIG = (
+    r"(?i)\b(?:experience|expertise|proficiency|proficient|familiarity|familiar|knowledge|background|skilled|fluent)"
+    r"\s+(?:with|in|of|using|across)\b"
+)
+_CLAUSE = r"(?i)[,;:.!?()]|\s(?:and|or|plus|to|for|at|is|as)\s"
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _phrase_rows() -> str:
+    from .. import vocab
+
+    out = []
+    for p in vocab.KNOWN_SKILL_PHRASES:
+        words = "".join(c if c.isalnum() else " " for c in p).split()
+        out.append("('" + r"[\s-]+".join(words) + "')")
+    return "(VALUES " + ", ".join(out) + ") AS ph(rx)"
+
+
+def _term_views() -> None:
+    from .. import vocab
+
+    stop = _list(vocab.TERM_STOPWORDS)
+    common = _list(tuple(dict.fromkeys(vocab.TERM_STOPWORDS + vocab.COMMON_CAPITALISED)))
+    VIEWS["pl"] = """
+      SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM prose"""
+    VIEWS["tech"] = f"""
+      SELECT doc_id, line_no, i - 1 AS ord, 2 AS rank, t AS term
+      FROM (SELECT doc_id, line_no, generate_subscripts(toks, 1) AS i, unnest(toks) AS t, gaps
+            FROM (SELECT doc_id, line_no, regexp_extract_all(line, '{_T}') AS toks, regexp_split_to_array(line, '{_T}') AS gaps FROM pl))
+      WHERE NOT list_contains({common}, lower(t))
+        AND (list_contains({_list(vocab.KNOWN_TECH)}, lower(t)) OR regexp_matches(substr(t, 2), '[A-Z]') OR regexp_matches(t, '[0-9+#./]')
+          OR (length(t) BETWEEN 2 AND 6 AND t = upper(t))
+          OR (regexp_matches(t, '^[A-Z][a-z]') AND NOT (i = 1 OR regexp_matches(gaps[i], '[.!?;:•\\-–—()\\[\\]]'))))"""
+    VIEWS["known"] = f"""
+      SELECT doc_id, line_no, len(regexp_extract_all(regexp_extract(line, '(?is)^(.*?)\\b' || rx || '\\b', 1), '{_T}')) AS ord, 1 AS rank,
+        regexp_extract(line, '(?i)\\b' || rx || '\\b') AS term
+      FROM pl, {_phrase_rows()} WHERE regexp_matches(line, '(?i)\\b' || rx || '\\b')"""
+    VIEWS["wanted"] = f"""
+      SELECT doc_id, line_no, len(regexp_extract_all(head, '{_T}')) AS ord, 0 AS rank,
+        regexp_replace(array_to_string(CASE WHEN k IS NULL THEN [] ELSE words[k : k + 2] END, ' '), '[^A-Za-z0-9+#./\\s-]+$', '') AS term
+      FROM (SELECT *, list_position(list_transform(words, lambda w: list_contains({stop}, regexp_replace(lower(w), '[^a-z0-9]', '', 'g'))), false) AS k
+            FROM (SELECT *, list_filter(regexp_split_to_array(regexp_split_to_array(substr(line, length(head) + 1), '{_CLAUSE}')[1], '\\s+'), lambda w: w <> '') AS words
+                  FROM (SELECT *, array_to_string(list_transform(range(1, i + 1), lambda x: pieces[x] || trigs[x]), '') AS head
+                        FROM (SELECT *, unnest(range(1, len(trigs) + 1)) AS i
+                              FROM (SELECT *, regexp_extract_all(line, '{_TRIG}') AS trigs, regexp_split_to_array(line, '{_TRIG}') AS pieces FROM pl)))))"""
+    VIEWS["terms"] = f"""
+      SELECT doc_id, term_key, min_by(term, (line_no, ord, rank)) AS term, min((line_no, ord, rank)) AS at_
+      FROM (SELECT *, {fold_sql('term')} AS term_key FROM (
+              SELECT doc_id, line_no, ord, rank, regexp_replace(trim(term), '\\s+', ' ', 'g') AS term
+              FROM (SELECT * FROM tech UNION ALL SELECT * FROM known UNION ALL SELECT * FROM wanted)))
+      WHERE term_key <> '' AND regexp_matches(term, '[A-Za-z]')
+        AND len(list_filter(regexp_split_to_array(lower(term), '[^a-z0-9]+'), lambda t: t <> '' AND NOT list_contains({stop}, t))) > 0
+      GROUP BY doc_id, term_key"""
+
+
+_term_views()

@@ -16,9 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for field in df.schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
+    if name == "documents":
+        df = spread(df, "doc_id")
     return df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core when the files give fewer pieces than there are cores.
+
+    Text work is heavy per row. A large table has many more pieces than cores and is
+    left as it is, so nothing large is ever shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _rows(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
@@ -208,6 +220,13 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = F.ceil((F.size("ls") - 1) / F.lit(4)).cast("int")
     index = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
 
+    def bullet(b: Column, j: Column) -> Column:
+        return (
+            F.when((doc + j) % 9 == 0, F.concat(F.lit("My "), b))
+            .when((doc + j) % 9 == 1, F.replace(b, F.lit(" the "), F.lit(" seamlessly leveraged ")))
+            .otherwise(b)
+        )
+
     def job(e: Column) -> Column:
         shape = F.when(doc % 5 == 0, e % 3).otherwise(0)
         year, month = 2008 + (doc + e) % 12, 1 + (doc + 3 * e) % 12
@@ -222,7 +241,7 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(None).cast("string").alias("location"),
             month_text(year, month, shape).alias("start"),
             end.alias("end"),
-            F.slice(F.col("ls"), 2 + 4 * e, 4).alias("bullets"),
+            F.transform(F.slice(F.col("ls"), 2 + 4 * e, 4), bullet).alias("bullets"),
         )
 
     none = F.lit(None).cast("string")
@@ -264,7 +283,7 @@ def parsed_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def altered(e: Column) -> Column:
         bullets = F.transform(
-            e["bullets"], lambda b, j: F.when((doc + j) % 6 == 0, F.concat(b, F.lit(" x"))).otherwise(F.upper(b))
+            e["bullets"], lambda b, j: F.when((doc + j) % 6 == 0, F.concat(b, F.lit(" x"))).otherwise(F.replace(b, F.lit(" "), F.lit("  ")))
         )
         return F.struct(e["company"], e["title"], e["location"], e["start"], e["end"], bullets.alias("bullets"))
 
