@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import vocab
 from ..functions import dates as D
 from ..functions import text as T
+from ..plans.once import computed
 from ..plans.skew import lookup_join, salted_join
 from . import leaves as L
 
@@ -132,21 +133,15 @@ def posting_terms(postings: DataFrame, key: str, body: str) -> DataFrame:
     )
     kept = exploded.where((F.col("rank") < 2) | _is_tech(F.col("text"), F.col("ord"), F.col("gap")))
     text = F.when(F.col("rank") == 0, _requirement_phrase(F.col("text"))).otherwise(F.col("text"))
-    found = kept.select(
-        key,
-        F.struct("line_no", "ord", "rank").alias("at"),
-        F.regexp_replace(T.trim(text), f"{T.SPACE}+", " ").alias("term"),
-    ).where(F.col("term") != "")
-    toks = T.tokens(F.col("term"))
-    stop = _words_of(vocab.TERM_STOPWORDS)
-    good = (
-        (F.size(toks) > 0)
-        & F.exists(toks, lambda t: ~F.array_contains(stop, t))
-        & F.col("term").rlike("[A-Za-z]")
+    named = computed(kept, term=F.regexp_replace(T.trim(text), f"{T.SPACE}+", " "))
+    found = computed(named, toks=T.tokens(F.col("term"))).withColumn(
+        "at", F.struct("line_no", "ord", "rank")
     )
+    stop = _words_of(vocab.TERM_STOPWORDS)
+    good = F.exists("toks", lambda t: ~F.array_contains(stop, t)) & F.col("term").rlike("[A-Za-z]")
     return (
         found.where(good)
-        .withColumn("term_key", T.term_key(F.col("term")))
+        .withColumn("term_key", F.array_join(F.transform("toks", T.fold_plural), " "))
         .groupBy(key, "term_key")
         .agg(F.min("at").alias("at"), F.min_by("term", "at").alias("term"))
         .select(key, "at.line_no", "at.ord", "at.rank", "term_key", "term")

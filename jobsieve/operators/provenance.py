@@ -301,8 +301,9 @@ def check_reasons(reasons: DataFrame, resumes: DataFrame, key: str, row_id: list
     usable = reasons.where(T.optional(F.col("text")).isNotNull())
     found = _looked_up(_exploded(usable, "citations"), nodes, key, path_key(F.col("cite")), "at", [*row_id, "cite_no"])
     hit = F.col("at_kind").isNotNull()
+    owner = [] if key in row_id else [F.first(key).alias(key)]
     grouped = found.groupBy(*row_id).agg(
-        F.first(key).alias(key), F.first(T.trim(F.col("text"))).alias("text"),
+        *owner, F.first(T.trim(F.col("text"))).alias("text"),
         F.first(F.coalesce("gap", F.lit(False))).alias("gap"),
         _paths("resolved", F.col("cite").isNotNull() & hit),
         _paths("unresolved", F.col("cite").isNotNull() & ~hit),

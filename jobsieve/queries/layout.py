@@ -1 +1,188 @@
-"""Queries."""
+"""Layout queries over glyph and line tables derived from document text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import testviews as V
+from ..operators import layout as Y
+from .registry import VIEWS, query, with_views
+
+# --- glyphs -----------------------------------------------------------------
+# Words of a document set eight to a row in two columns, fifty rows to a page; every
+# tenth row has one run across the gutter.
+
+VIEWS["gl"] = """
+  SELECT doc_id, r // 50 AS page, CAST(10.0 * r + 0.5 * (c % 2) AS DOUBLE) AS y, CAST(10.0 * r AS DOUBLE) AS ry, CAST(x AS DOUBLE) AS x,
+    CAST(CASE WHEN r % 10 = 0 AND c = 3 THEN x + 200.0 ELSE x + least(55.0, 5.0 * length(w)) END AS DOUBLE) AS right_, w, c, r
+  FROM (SELECT *, i // 8 AS r, i % 8 AS c, 40.0 + 60.0 * (i % 8) + CASE WHEN i % 8 >= 4 THEN 40.0 ELSE 0.0 END AS x
+        FROM (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS w
+              FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS ws FROM documents)))"""
+
+
+def glyphs(spark, sf):
+    words = V.table(spark, sf, "documents").select(
+        "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)).alias("i", "str")
+    )
+    r, c = F.floor(F.col("i") / 8), F.col("i") % 8
+    placed = words.select("doc_id", "str", r.alias("r"), c.alias("c")).withColumn(
+        "x", F.lit(40.0) + 60.0 * F.col("c") + F.when(F.col("c") >= 4, 40.0).otherwise(0.0)
+    )
+    across = (F.col("r") % 10 == 0) & (F.col("c") == 3)
+    width = F.when(across, 200.0).otherwise(F.least(F.lit(55.0), 5.0 * F.length("str")))
+    return placed.select(
+        "doc_id", F.floor(F.col("r") / 50).cast("int").alias("page"), "x",
+        (10.0 * F.col("r") + 0.5 * (F.col("c") % 2)).alias("y"), (F.col("x") + width).alias("right"), "str",
+        F.when(F.col("c") == 0, 12.0).otherwise(10.0).alias("size"),
+        F.when(F.col("c") < 2, "Bold").otherwise("Text").alias("font"),
+    )
+
+
+@query("text_rows", with_views("gl", "SELECT doc_id, page, ry AS row_y, count(*) AS runs FROM gl GROUP BY ALL"))
+def text_rows(spark, sf):
+    return Y.baseline_rows(glyphs(spark, sf)).groupBy("doc_id", "page", "row_y").agg(F.count(F.lit(1)).alias("runs"))
+
+
+VIEWS["gut"] = """
+  SELECT ex.doc_id, ex.page, ex.lft + (b.s + b.t) / 2.0 AS gutter FROM ex LEFT JOIN (
+    SELECT doc_id, page, max_by(s, (t - s, -s)) AS s, max_by(t, (t - s, -s)) AS t FROM (
+      SELECT doc_id, page, min(cell) AS s, least(max(cell) + 1, to_) AS t FROM (
+        SELECT *, cell - row_number() OVER (PARTITION BY doc_id, page ORDER BY cell) AS isl FROM (
+          SELECT m.*, (SELECT count(*) FROM gl g WHERE g.doc_id = m.doc_id AND g.page = m.page
+              AND m.cell BETWEEN greatest(0, floor(g.x - m.lft)) AND least(ceil(m.span), ceil(g.right_ - m.lft))) AS n
+          FROM (SELECT *, CAST(ceil(span * 0.8) AS INT) AS to_, unnest(range(CAST(floor(span * 0.2) AS INT), CAST(ceil(span * 0.8) AS INT) + 1)) AS cell
+                FROM ex WHERE nrows >= 6 AND span >= 56) m)
+        WHERE n <= nrows * 0.12)
+      GROUP BY doc_id, page, to_, isl) WHERE t - s >= 14 GROUP BY doc_id, page) b USING (doc_id, page)"""
+VIEWS["ex"] = "SELECT doc_id, page, min(x) AS lft, max(right_) - min(x) AS span, count(DISTINCT ry) AS nrows FROM gl GROUP BY ALL"
+
+
+def _gutters(spark, sf):
+    rows = Y.baseline_rows(glyphs(spark, sf))
+    return rows, Y.gutters(rows)
+
+
+@query("page_gutters", with_views("gl ex gut", "SELECT doc_id, page, gutter FROM gut"))
+def page_gutters(spark, sf):
+    return _gutters(spark, sf)[1]
+
+
+def _lines(spark, sf):
+    return Y.assemble_lines(Y.reading_order(*_gutters(spark, sf)))
+
+
+@query(
+    "page_lines",
+    with_views(
+        "gl ex gut",
+        """, fu AS (SELECT doc_id, page, ry, bool_or(coalesce(x < gutter AND right_ > gutter, false)) AS f FROM gl JOIN gut USING (doc_id, page) GROUP BY ALL),
+           ba AS (SELECT *, CAST(coalesce(sum(CAST(f AS INT)) OVER (PARTITION BY doc_id, page ORDER BY ry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS band FROM fu),
+           si AS (SELECT *, CASE WHEN gutter IS NULL THEN 0 WHEN f THEN 2 WHEN right_ <= gutter THEN 0 ELSE 1 END AS side,
+                    lag(right_) OVER (PARTITION BY doc_id, page, ry, CASE WHEN gutter IS NULL THEN 0 WHEN f THEN 2 WHEN right_ <= gutter THEN 0 ELSE 1 END ORDER BY x) AS pr
+                  FROM gl JOIN gut USING (doc_id, page) JOIN ba USING (doc_id, page, ry)),
+           ha AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, ry, side ORDER BY x) AS k, count(*) OVER (PARTITION BY doc_id, page, ry, side) AS kn,
+                    regexp_matches(first_value(w) OVER (PARTITION BY doc_id, page, ry, side ORDER BY x), '^[•‣▪●◦⁃∙*·]$') AS hang FROM si),
+           tx AS (SELECT doc_id, page, band, side, ry, string_agg(CASE WHEN k = CASE WHEN hang AND kn > 1 THEN 2 ELSE 1 END OR x - pr <= 1.2 THEN w ELSE ' ' || w END, '' ORDER BY x) AS t
+                  FROM ha WHERE NOT (hang AND kn > 1 AND k = 1) GROUP BY ALL)
+           SELECT doc_id, page, band, side, ry AS row_y, trim(regexp_replace(t, '^[•‣▪●◦⁃∙*·]\\s*|^[-–—]\\s+', '')) AS text FROM tx""",
+    ),
+)
+def page_lines(spark, sf):
+    return _lines(spark, sf).select("doc_id", "page", "band", "side", "row_y", "text")
+
+
+# --- lines ------------------------------------------------------------------
+# Document lines with headings, dated lines, bullets and wrapped lines worked in.
+
+VIEWS["ln"] = """
+  SELECT doc_id, idx AS line_no, CAST(idx // 60 AS INT) AS page,
+    CASE idx % 16 WHEN 0 THEN 'Work Experience:' WHEN 7 THEN 'Awards' WHEN 10 THEN 'SKILLS' WHEN 2 THEN 'Role ' || idx || ', Jan 2019 – Present'
+      WHEN 4 THEN 'Other role 2015 - 2018' WHEN 9 THEN line || '-' ELSE line END AS text,
+    CASE WHEN idx % 16 IN (0, 7, 10) THEN 40.0 WHEN idx % 5 = 3 THEN 52.0 WHEN idx % 11 = 6 THEN 140.0 ELSE 44.0 END AS x,
+    CASE WHEN idx % 16 IN (0, 7, 10) THEN 14.0 WHEN idx % 13 = 12 THEN 11.0 ELSE 10.0 END AS font_size,
+    CASE WHEN idx % 16 IN (0, 7, 10) THEN 'Bold' ELSE 'Text' END AS font_name,
+    idx % 16 NOT IN (0, 7, 10) AND idx % 5 = 3 AS is_list_item
+  FROM segs"""
+
+
+def lines(spark, sf):
+    i = F.col("idx")
+    m = i % 16
+    heading = m.isin(0, 7, 10)
+    text = (
+        F.when(m == 0, "Work Experience:").when(m == 7, "Awards").when(m == 10, "SKILLS")
+        .when(m == 2, F.concat(F.lit("Role "), i.cast("string"), F.lit(", Jan 2019 – Present")))
+        .when(m == 4, "Other role 2015 - 2018").when(m == 9, F.concat(F.col("line"), F.lit("-"))).otherwise(F.col("line"))
+    )
+    return V.lines(spark, sf).select(
+        "doc_id", i.alias("line_no"), F.floor(i / 60).cast("int").alias("page"), text.alias("text"),
+        F.when(heading, 40.0).when(i % 5 == 3, 52.0).when(i % 11 == 6, 140.0).otherwise(44.0).alias("x"),
+        F.when(heading, 14.0).when(i % 13 == 12, 11.0).otherwise(10.0).alias("font_size"),
+        F.when(heading, "Bold").otherwise("Text").alias("font_name"),
+        (~heading & (i % 5 == 3)).alias("is_list_item"),
+    )
+
+
+# A one- or two-line document may have "Bold" as its commonest style; then there are no learned styles.
+VIEWS["sec"] = """
+  SELECT *, CASE WHEN line_no % 16 = 0 THEN 'experience' WHEN line_no % 16 = 10 THEN 'skills' WHEN line_no % 16 = 7 THEN 'custom' END AS own FROM ln"""
+
+
+@query(
+    "page_sections",
+    with_views(
+        "segs ln sec",
+        """SELECT doc_id, line_no, CAST(count(own) OVER w AS BIGINT) AS section_no, last_value(own IGNORE NULLS) OVER w AS kind,
+             last_value(CASE WHEN own IS NOT NULL THEN text END IGNORE NULLS) OVER w AS title, own IS NOT NULL AS is_heading
+           FROM sec WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)""",
+    ),
+)
+def page_sections(spark, sf):
+    return Y.sections(lines(spark, sf)).select("doc_id", "line_no", "section_no", "kind", "title", "is_heading")
+
+
+@query(
+    "heading_styles",
+    with_views(
+        "segs ln sec",
+        "SELECT doc_id, 'Bold@14.0' AS styles FROM sec GROUP BY doc_id HAVING count(*) > 20",
+    ),
+)
+def heading_styles(spark, sf):
+    """Documents long enough that body text is surely the commonest style."""
+    long = lines(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 20)
+    return Y.heading_styles(lines(spark, sf)).join(long, "doc_id").select("doc_id", F.array_join("styles", ",").alias("styles"))
+
+
+@query(
+    "entry_chunks",
+    """WITH RECURSIVE """ + f"""segs AS ({VIEWS['segs']}), ln AS ({VIEWS['ln']}),
+       sq AS (SELECT doc_id, line_no, is_list_item AS li, NOT is_list_item AND (line_no % 16 IN (2, 4)) AS dated FROM ln),
+       wk AS (
+         SELECT doc_id, line_no, CASE WHEN li THEN 0 ELSE 1 END AS chunk, li AS saw_item, dated AS saw_date FROM sq WHERE line_no = 0
+         UNION ALL
+         SELECT s.doc_id, s.line_no, CASE WHEN NOT s.li AND (wk.saw_item OR (s.dated AND wk.saw_date)) THEN wk.chunk + 1 ELSE wk.chunk END,
+           CASE WHEN NOT s.li AND (wk.saw_item OR (s.dated AND wk.saw_date)) THEN false ELSE wk.saw_item OR s.li END,
+           CASE WHEN NOT s.li AND (wk.saw_item OR (s.dated AND wk.saw_date)) THEN s.dated ELSE wk.saw_date OR s.dated END
+         FROM wk JOIN sq s ON s.doc_id = wk.doc_id AND s.line_no = wk.line_no + 1)
+       SELECT doc_id, line_no, CAST(chunk AS BIGINT) AS chunk FROM wk""",
+)
+def entry_chunks(spark, sf):
+    return Y.entry_chunks(lines(spark, sf), ["doc_id"]).select("doc_id", "line_no", "chunk")
+
+
+@query(
+    "rejoined_bullets",
+    with_views(
+        "segs ln",
+        r""", a AS (SELECT *, sum(CAST(is_list_item AS INT)) OVER w AS an,
+               last_value(CASE WHEN is_list_item THEN {'p': page, 'x': x, 's': font_size} END IGNORE NULLS) OVER w AS l
+             FROM ln WHERE trim(text) <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+           s AS (SELECT *, sum(CASE WHEN is_list_item THEN 0 WHEN l IS NOT NULL AND page = l.p AND x - l.x BETWEEN -2 AND 24 AND abs(font_size - l.s) <= 0.5
+                   AND line_no % 16 NOT IN (0, 2, 4, 10) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, an ORDER BY line_no) AS stops FROM a)
+           SELECT doc_id, line_no, text FROM s WHERE NOT (an > 0 AND stops = 0)
+           UNION ALL SELECT doc_id, min(line_no), replace(regexp_replace(string_agg(text, chr(10) ORDER BY line_no), '(\p{Ll})-\n(\p{Ll})', '\1\2', 'g'), chr(10), ' ') FROM s WHERE an > 0 AND stops = 0 GROUP BY doc_id, an""",
+    ),
+)
+def rejoined_bullets(spark, sf):
+    return Y.rejoin_wrapped(lines(spark, sf)).select("doc_id", "line_no", "text")
