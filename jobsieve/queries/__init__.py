@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, edits, funnel, layout, outreach, sourcing  # noqa: F401
+from . import documents, edits, funnel, layout, outreach, sourcing, streams  # noqa: F401
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]
