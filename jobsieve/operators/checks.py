@@ -288,12 +288,6 @@ def phrase_flags(resumes: DataFrame, key: str) -> DataFrame:
 # --- lint -------------------------------------------------------------------
 
 
-def _bullet_rows(resumes: DataFrame, key: str) -> DataFrame:
-    return L.leaves(resumes, key).where(F.col("key") == "bullets").select(
-        key, "leaf_no", "path", F.col("value").alias("text")
-    )
-
-
 def long_bullets(bullets: DataFrame, key: str) -> DataFrame:
     n = T.word_count(F.col("text"))
     return bullets.where(n > vocab.MAX_BULLET_WORDS).select(
@@ -408,54 +402,198 @@ def stale_end(ends: DataFrame, key: str, now: Column) -> DataFrame:
     )
 
 
-def oversized_skills(resumes: DataFrame, key: str) -> DataFrame:
-    return (
-        resumes.select(key, F.posexplode("content.skills").alias("i", "g"))
-        .withColumn("n", F.size("g.items"))
-        .where(F.col("n") > vocab.MAX_SKILL_GROUP_ITEMS)
-        .select(
-            key, F.col("i").alias("leaf_no"), F.lit("skills-undifferentiated").alias("code"),
-            F.concat(F.lit("skills["), F.col("i").cast("string"), F.lit("]")).alias("path"),
-            F.concat(
-                F.lit("skills["), F.col("i").cast("string"), F.lit("] ("),
-                F.coalesce(F.nullif(F.col("g.category"), F.lit("")), F.lit("untitled group")),
-                F.lit(") lists "), F.col("n").cast("string"),
-                F.lit(" items in one group; splitting it, or cutting to the ones this role is about, tells a reader which ones you would be hired for."),
-            ).alias("detail"),
-        )
+def _issue(rule: int, leaf_no: Column, path: Column, *detail: Column) -> Column:
+    return F.struct(
+        F.lit(rule).alias("rule"), leaf_no.cast("int").alias("leaf_no"), F.lit(vocab.LINT_RULES[rule]).alias("code"),
+        path.alias("path"), F.concat(*detail).alias("detail"),
     )
 
 
-def job_ends(resumes: DataFrame, key: str) -> DataFrame:
-    return resumes.select(key, F.posexplode("content.experience").alias("entry", "e")).select(
-        key, "entry", F.col("e.end").alias("end")
+def _bullet_issues(bullets: Column) -> list[Column]:
+    """Rules on one bullet at a time."""
+    def long(b: Column) -> Column:
+        n = T.word_count(b["text"])
+        return F.when(
+            n > vocab.MAX_BULLET_WORDS,
+            _issue(0, b["leaf_no"], b["path"], b["path"], F.lit(" runs "), n.cast("string"),
+                   F.lit(f" words; past {vocab.MAX_BULLET_WORDS} a bullet wraps to three or more lines on the page.")),
+        )
+
+    def opener(b: Column) -> Column:
+        found = F.regexp_extract(T.trim(b["text"]), vocab.FIRST_PERSON, 0)
+        return F.when(
+            found != "",
+            _issue(1, b["leaf_no"], b["path"], b["path"], F.lit(" opens with “"), found,
+                   F.lit("”; every other bullet starts with a verb.")),
+        )
+
+    return [F.transform(bullets, long), F.transform(bullets, opener)]
+
+
+def _repeat_issues(ranked: Column, keys: Column) -> Column:
+    """``ranked`` holds (key, leaf_no, path) in order, ``keys`` its keys: equal keys are neighbours."""
+    def repeat(b: Column, i: Column) -> Column:
+        same = (b["k"] != "") & (i > 0) & (F.get(keys, i - 1) == b["k"])
+        first = F.get(ranked, F.array_position(keys, b["k"]).cast("int") - 1)["path"]
+        return F.when(
+            same,
+            _issue(2, b["leaf_no"], b["path"], b["path"], F.lit(" repeats the text already at "), first,
+                   F.lit(", word for word.")),
+        )
+
+    return F.transform(ranked, repeat)
+
+
+def _punctuation_issues(stops: Column, with_stop: Column, without: Column) -> Column:
+    flag_with = with_stop <= without
+    majority = F.greatest(with_stop, without)
+
+    def mixed(b: Column) -> Column:
+        return F.when(
+            (with_stop > 0) & (without > 0) & (b["stop"] == flag_with),
+            _issue(3, b["leaf_no"], b["path"], b["path"], F.lit(" "),
+                   F.when(flag_with, "ends with a period").otherwise("ends without a period"),
+                   F.lit(", while "), majority.cast("string"), F.lit(" other "), T.plural(majority, "bullet"),
+                   F.lit(" end "), F.when(flag_with, "without one").otherwise("with one"), F.lit(".")),
+        )
+
+    return F.transform(stops, mixed)
+
+
+def _date_issues(shaped: Column) -> Column:
+    """Dates whose shape is not the commonest; the earliest shape wins a tie."""
+    names = [name for name, _, _ in vocab.DATE_SHAPES] + ["other"]
+    counts = F.transform(
+        F.array(*[F.lit(n) for n in names]),
+        lambda n: F.struct(
+            F.size(F.filter(shaped, lambda d: d["shape"] == n)).alias("n"),
+            (-F.get(F.filter(shaped, lambda d: d["shape"] == n), 0)["leaf_no"]).alias("first"),
+            F.get(F.filter(shaped, lambda d: d["shape"] == n), 0)["text"].alias("text"),
+            n.alias("shape"),
+        ),
     )
+    main = F.array_max(F.filter(counts, lambda c: c["n"] > 0))
+    # Bound once: an array of one element carries the winner into the inner function.
+    return F.flatten(
+        F.transform(
+            F.array(main),
+            lambda m: F.transform(
+                shaped,
+                lambda d: F.when(
+                    d["shape"] != m["shape"],
+                    _issue(4, d["leaf_no"], d["path"], d["path"], F.lit(" reads “"), d["text"], F.lit("” while "),
+                           m["n"].cast("string"), F.lit(" other dates use the “"), m["text"], F.lit("” form.")),
+                ),
+            ),
+        )
+    )
+
+
+def _stale_issue(ends: Column, now: Column) -> Column:
+    """``ends`` has ``i, text, month, silent`` per job; one silent job silences the rule."""
+    latest = F.array_max(F.transform(ends, lambda e: F.struct(e["month"].alias("m"), (-e["i"]).alias("i"), e["text"].alias("t"))))
+
+    def judge(e: Column) -> Column:
+        months = D.month_index(F.year(now), F.month(now)) - e["m"]
+        years = F.floor(months / 12).cast("int")
+        path = F.concat(F.lit("experience["), (-e["i"]).cast("string"), F.lit("].end"))
+        return F.when(
+            e["m"].isNotNull() & ~F.exists(ends, lambda x: x["silent"]) & (months > vocab.STALE_END_MONTHS),
+            _issue(5, -e["i"], path, path, F.lit(" reads “"), e["t"], F.lit("”, about "), years.cast("string"), F.lit(" "),
+                   T.plural(years, "year"),
+                   F.lit(" ago, and no role is marked current. If it is current, say Present; if not, one line naming the break saves the reader guessing.")),
+        )
+
+    return F.transform(F.array(latest), judge)
+
+
+def _skill_issues(skills: Column) -> Column:
+    def crowded(g: Column, i: Column) -> Column:
+        at = F.concat(F.lit("skills["), i.cast("string"), F.lit("]"))
+        return F.when(
+            F.size(g["items"]) > vocab.MAX_SKILL_GROUP_ITEMS,
+            _issue(6, i, at, at, F.lit(" ("), F.coalesce(F.nullif(g["category"], F.lit("")), F.lit("untitled group")),
+                   F.lit(") lists "), F.size(g["items"]).cast("string"),
+                   F.lit(" items in one group; splitting it, or cutting to the ones this role is about, tells a reader which ones you would be hired for.")),
+        )
+
+    return F.transform(skills, crowded)
 
 
 def lint(resumes: DataFrame, key: str, now: Column) -> DataFrame:
-    """All lint issues: ``key, rule, leaf_no, code, path, detail``; order by rule, leaf_no."""
-    bullets = _bullet_rows(resumes, key)
-    date_rows = L.dated(L.leaves(resumes, key)).select(
-        key, "leaf_no", "path", T.trim(F.col("value")).alias("text")
+    """All lint issues: ``key, rule, leaf_no, code, path, detail``; order by rule, leaf_no.
+
+    A document's bullets and dates are all in its own row, so every rule is evaluated
+    there, in one pass, and nothing is shuffled.
+    """
+    rows = computed(resumes.select(key, "content"), all_leaves=L.leaf_array(F.col("content")))
+    # leaf_no counts every leaf, blank ones included.
+    numbered = F.transform(
+        "all_leaves",
+        lambda l, i: F.struct(
+            i.alias("leaf_no"), l["section"].alias("section"), l["key"].alias("key"), l["path"].alias("path"),
+            F.coalesce(l["value"], F.lit("")).alias("text"),
+        ),
+    )
+    rows = computed(rows, leaves=F.filter(numbered, lambda l: T.trim(l["text"]) != "")).drop("all_leaves")
+    dated = F.filter(
+        "leaves",
+        lambda l: l["section"].isin("experience", "education") & l["key"].isin("start", "end") & ~D.is_ongoing(l["text"]),
+    )
+    rows = computed(
+        rows,
+        bullets=F.filter("leaves", lambda l: l["key"] == "bullets"),
+        dates=F.transform(
+            dated,
+            lambda d: F.struct(
+                d["leaf_no"].alias("leaf_no"), d["path"].alias("path"), T.trim(d["text"]).alias("text"),
+                D.date_shape(T.trim(d["text"])).alias("shape"),
+            ),
+        ),
+        ends=F.transform(
+            "content.experience",
+            lambda e, i: F.struct(
+                i.alias("i"), T.trim(e["end"]).alias("text"), D.end_month_index(e["end"]).alias("month"),
+                (
+                    (F.coalesce(T.trim(e["end"]), F.lit("")) == "")
+                    | F.coalesce(D.is_ongoing(e["end"]), F.lit(True))
+                    | D.end_month_index(e["end"]).isNull()
+                ).alias("silent"),
+            ),
+        ),
+    )
+    rows = computed(
+        rows,
+        ranked=F.array_sort(
+            F.transform(
+                "bullets",
+                lambda b: F.struct(T.bullet_key(b["text"]).alias("k"), b["leaf_no"].alias("leaf_no"), b["path"].alias("path")),
+            )
+        ),
+        stops=F.transform(
+            "bullets",
+            lambda b: F.struct(b["leaf_no"].alias("leaf_no"), b["path"].alias("path"), T.trim(b["text"]).endswith(".").alias("stop")),
+        ),
     )
+    rows = computed(
+        rows,
+        ranked_keys=F.transform("ranked", lambda r: r["k"]),
+        with_stop=F.size(F.filter("stops", lambda b: b["stop"])),
+        without=F.size(F.filter("stops", lambda b: ~b["stop"])),
+    )
+    found = F.concat(
+        *_bullet_issues(F.col("bullets")),
+        _repeat_issues(F.col("ranked"), F.col("ranked_keys")),
+        _punctuation_issues(F.col("stops"), F.col("with_stop"), F.col("without")),
+        _date_issues(F.col("dates")),
+        _stale_issue(F.col("ends"), now),
+        _skill_issues(F.col("content.skills")),
+    )
+    issues = rows.select(key, F.inline(F.filter(found, lambda i: i.isNotNull())))
     empty = L.empty_sections(resumes, key).select(
-        key, F.col("n").alias("leaf_no"), F.lit("empty-section").alias("code"), "path", "detail"
-    )
-    rules = [
-        long_bullets(bullets, key),
-        first_person(bullets, key),
-        repeated_bullets(bullets, key),
-        mixed_punctuation(bullets, key),
-        mixed_dates(date_rows, key),
-        stale_end(job_ends(resumes, key), key, now),
-        oversized_skills(resumes, key),
-        empty,
-    ]
-    out = None
-    for rank, rule in enumerate(rules):
-        ranked = rule.withColumn("rule", F.lit(rank))
-        out = ranked if out is None else out.unionByName(ranked)
-    return out.select(key, "rule", "leaf_no", "code", "path", "detail")
+        key, F.lit(7).alias("rule"), F.col("n").alias("leaf_no"), F.lit(vocab.LINT_RULES[7]).alias("code"), "path", "detail"
+    )
+    return issues.unionByName(empty)
 
 
 def _counted(documents: DataFrame, findings: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import vocab
 from ..functions import dates as D
 from ..functions import text as T
+from ..plans.once import computed
 from ..plans.scan import running
 
 PAGE = ["doc_id", "page"]
@@ -46,31 +47,29 @@ def gutters(rows: DataFrame) -> DataFrame:
     ).withColumn("span", F.col("right") - F.col("left"))
     wide = (F.col("rows") >= 6) & (F.col("span") >= 4 * vocab.MIN_GUTTER_POINTS)
     pages = extent.where(wide)
-    last_cell = F.ceil(F.col("span")).cast("int")
-    touched = (
+    offset = F.col("x") - F.col("left")
+    first = F.greatest(F.lit(0), F.floor(offset).cast("int"))
+    last = F.least(F.ceil(F.col("span")).cast("int"), F.ceil(F.col("right") - F.col("left")).cast("int"))
+    # A run adds one crossing from its first cell on and takes it back after its last.
+    edges = (
         rows.join(pages.select(*PAGE, "left", "span"), PAGE)
-        .select(
-            *PAGE,
-            F.explode(
-                F.sequence(
-                    F.greatest(F.lit(0), F.floor(F.col("x") - F.col("left")).cast("int")),
-                    F.greatest(
-                        F.floor(F.col("x") - F.col("left")).cast("int"),
-                        F.least(last_cell, F.ceil(F.col("right") - F.col("left")).cast("int")),
-                    ),
-                )
-            ).alias("at"),
-        )
+        .where(last >= first)
+        .select(*PAGE, F.inline(F.array(F.struct(first.alias("at"), F.lit(1).alias("d")), F.struct((last + 1).alias("at"), F.lit(-1).alias("d")))))
         .groupBy(*PAGE, "at")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("d").alias("d"))
     )
-    middle = pages.select(
-        *PAGE, "left", "rows",
-        F.ceil(F.col("span") * 0.8).cast("int").alias("to"),
-        F.explode(F.sequence(F.floor(F.col("span") * 0.2).cast("int"), F.ceil(F.col("span") * 0.8).cast("int"))).alias("at"),
+    start, end = F.floor(F.col("span") * 0.2).cast("int"), F.ceil(F.col("span") * 0.8).cast("int")
+    cells = pages.select(*PAGE, F.explode(F.sequence(start, end)).alias("at"), F.lit(0).cast("long").alias("d"))
+    along = Window.partitionBy(*PAGE).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    crossed = (
+        edges.unionByName(cells)
+        .groupBy(*PAGE, "at")
+        .agg(F.sum("d").alias("d"))
+        .withColumn("n", F.sum("d").over(along))
     )
-    low = middle.join(touched, [*PAGE, "at"], "left").where(
-        F.coalesce("n", F.lit(0)) <= F.col("rows") * vocab.MAX_GUTTER_CROSSINGS
+    low = crossed.join(pages.select(*PAGE, "left", "rows", start.alias("from"), end.alias("to")), PAGE).where(
+        F.col("at").between(F.col("from"), F.col("to"))
+        & (F.col("n") <= F.col("rows") * vocab.MAX_GUTTER_CROSSINGS)
     )
     nth = F.row_number().over(Window.partitionBy(*PAGE).orderBy("at"))
     islands = (
@@ -156,11 +155,13 @@ def assemble_lines(ordered: DataFrame) -> DataFrame:
 
 def heading_kind(text: Column, is_list_item: Column) -> Column:
     """The section a whole line names by vocabulary, else null."""
+    # Long lines are most lines; they fail on their first few words.
+    short = text.rlike(rf"^{T.SPACE}*(?:{T.NOT_SPACE}+{T.SPACE}+){{0,4}}{T.NOT_SPACE}*$")
     value = T.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[:.]+$", ""), f"{T.SPACE}+", " "))
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(vocab.SECTION_HEADINGS):
         out = F.when(value.rlike(pattern), kind).otherwise(out)
-    return F.when(~is_list_item & (value != "") & (T.word_count(value) <= 4), out)
+    return F.when(~is_list_item & short, F.when((value != "") & (T.word_count(value) <= 4), out))
 
 
 def _style() -> Column:
@@ -185,7 +186,7 @@ def _has_link(text: Column) -> Column:
 
 def heading_styles(lines: DataFrame) -> DataFrame:
     """Per document: type styles its known headings use, without its commonest style, and their indents."""
-    styled = lines.withColumns({"style": _style(), "kind": heading_kind(F.col("text"), F.col("is_list_item"))})
+    styled = computed(lines, style=_style(), kind=heading_kind(F.col("text"), F.col("is_list_item")))
     per_style = styled.groupBy("doc_id", "style").agg(
         F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first"), F.count("kind").alias("headings")
     )
@@ -209,7 +210,7 @@ def sections(lines: DataFrame) -> DataFrame:
         ~F.col("is_list_item") & F.array_contains("styles", _style()) & _labelish(F.col("text")) & near
         & ~_has_link(F.col("text")) & ~D.has_date_range(F.col("text"))
     )
-    marked = judged.withColumn("own_kind", F.coalesce(known, F.when(custom, "custom"))).drop("styles", "indents")
+    marked = computed(judged, own_kind=F.coalesce(known, F.when(custom, "custom"))).drop("styles", "indents")
     blocked = marked.withColumn("__b", F.floor(F.col("line_no") / LINE_BLOCK))
     heading = F.col("own_kind").isNotNull()
     placed = running(

@@ -35,6 +35,40 @@ def _parent(path: Column) -> Column:
     return F.regexp_replace(path_key(path), r"\.?[^.]*$", "")
 
 
+def _three_lookups(rows: DataFrame, nodes: DataFrame, key: str, number: str) -> DataFrame:
+    """Attach the nodes at a change's path, at its parent and at its citation.
+
+    The three addresses become three rows, so the document's nodes are joined once; a
+    change gets its own three rows back.
+    """
+    wanted = F.array(
+        *[
+            F.struct(F.lit(role).alias("__role"), address.alias("__path"))
+            for role, address in (
+                ("at", path_key(F.col("path"))),
+                ("parent", _parent(F.col("path"))),
+                ("cited", path_key(F.col("citation_path"))),
+            )
+        ]
+    )
+    asked = rows.select(key, number, F.inline(wanted)).where(F.col("__path") != "")
+    right = nodes.select(
+        key, F.col("node_path").alias("__path"), F.struct("node_kind", "node_size", "node_value").alias("__node")
+    )
+    met = salted_join(asked, right, [key, "__path"], [key, number, "__role"], "inner")
+    found = met.groupBy(key, number).agg(
+        *[F.max(F.when(F.col("__role") == role, F.col("__node"))).alias(f"__{role}") for role in ("at", "parent", "cited")]
+    )
+    return rows.join(found, [key, number], "left").select(
+        *rows.columns,
+        *[
+            F.col(f"__{role}.node_{part}").alias(f"{role}_{part}")
+            for role in ("at", "parent", "cited")
+            for part in ("kind", "size", "value")
+        ],
+    )
+
+
 def _flat(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\[(\d+)\]", ".$1"), r"\s+", "")
 
@@ -45,8 +79,6 @@ def validate_changes(changes: DataFrame, resumes: DataFrame, key: str, number: s
     ``changes`` has ``key, number, kind, path, now, citation_path, citation_snippet`` and,
     optionally, ``readable`` (false when the proposal was not a record at all).
     """
-    nodes = L.nodes(resumes, key)
-    spread = [key, number]
     text = lambda c: T.trim(F.coalesce(F.col(c), F.lit("")))
     kind = F.when(text("kind").isin(*vocab.CHANGE_KINDS), text("kind")).otherwise("edit")
     rows = changes.withColumns(
@@ -55,9 +87,7 @@ def validate_changes(changes: DataFrame, resumes: DataFrame, key: str, number: s
             "citation_path": text("citation_path"), "citation_snippet": text("citation_snippet"),
         }
     )
-    rows = _looked_up(rows, nodes, key, path_key(F.col("path")), "at", spread)
-    rows = _looked_up(rows, nodes, key, _parent(F.col("path")), "parent", spread)
-    rows = _looked_up(rows, nodes, key, path_key(F.col("citation_path")), "cited", spread)
+    rows = _three_lookups(rows, L.nodes(resumes, key), key, number)
 
     segments = F.split(path_key(F.col("path")), r"\.")
     last = F.get(segments, F.size(segments) - 1)

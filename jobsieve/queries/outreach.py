@@ -9,6 +9,7 @@ from ..functions import dates as D
 from ..functions import fields as R
 from ..operators import merge
 from ..operators import outreach as O
+from ..session import cut
 from .registry import iso, query, sql_iso, with_views
 
 _NOW = "2000-06-01 00:00:00"
@@ -52,7 +53,8 @@ def _now():
 
 
 def _scheduled(spark, sf):
-    return O.schedule(V.steps(spark, sf), V.STEP_ORDER, V.STEP_BLOCKS)
+    # The steps are a join here; the scans read it several times, so it is made once.
+    return O.schedule(cut(V.steps(spark, sf)), V.STEP_ORDER, V.STEP_BLOCKS)
 
 
 def _queue(spark, sf):

@@ -11,6 +11,7 @@ from ..functions import links
 from ..functions.text import trim
 from ..operators import checks, dedupe, merge, postings, search
 from ..sources import documents as docs
+from ..session import cut
 from ..sources import feeds
 from .registry import iso, query, sql_iso, with_views
 
@@ -485,7 +486,8 @@ def newest_order(spark, sf):
     with_views("searches listings hits", "SELECT query_id, pos, (row_number() OVER (PARTITION BY query_id ORDER BY adapter_rank, pos) - 1) // 18 AS batch FROM hits"),
 )
 def rating_batches(spark, sf):
-    hits = _hits(spark, sf).withColumn("b", F.floor(F.col("pos") / 65536))
+    # A scan reads its input twice; the matches are found once and kept without their texts.
+    hits = cut(_hits(spark, sf).select("query_id", *ORDER)).withColumn("b", F.floor(F.col("pos") / 65536))
     return search.rating_batches(hits, ["query_id"], ["adapter_rank", "b"], ORDER).select("query_id", "pos", "batch")
 
 
@@ -498,7 +500,8 @@ def rating_batches(spark, sf):
     ),
 )
 def batch_budgets(spark, sf):
-    hits = _hits(spark, sf).withColumn("b", F.floor(F.col("pos") / 65536))
+    # A scan reads its input twice; the matches are found once and kept without their texts.
+    hits = cut(_hits(spark, sf).select("query_id", *ORDER)).withColumn("b", F.floor(F.col("pos") / 65536))
     return search.batch_budgets(search.rating_batches(hits, ["query_id"], ["adapter_rank", "b"], ORDER), ["query_id"])
 
 
