@@ -176,7 +176,7 @@ def coverage(pairs: DataFrame, terms: DataFrame, posting_key: str, documents: Da
         F.array_sort(F.collect_list(F.struct("line_no", "ord", "rank", "term", "term_key"))).alias("__terms")
     )
     joined = salted_join(pairs, lists, [posting_key], ["pair_id"], "left")
-    joined = salted_join(joined, documents.select(document_key, "folded"), [document_key], ["pair_id"], "left")
+    joined = salted_join(joined, documents.select(document_key, "folded"), [document_key], ["pair_id"], "left", counted=pairs)
     all_terms = F.coalesce(F.col("__terms"), F.array().cast("array<struct<line_no:int,ord:int,rank:int,term:string,term_key:string>>"))
 
     def hit(t: Column) -> Column:

@@ -55,7 +55,7 @@ def _pointers(seen: DataFrame) -> DataFrame:
     first_link = seen.where(F.col("__b").isNotNull()).groupBy("__b").agg(F.min("node").alias("b"))
     keys = seen.select("external_id", "__b", "node")
     met = salted_join(keys, first_id, ["external_id"], ["external_id", "__b"], "left")
-    met = salted_join(met, first_link, ["__b"], ["external_id", "__b"], "left")
+    met = salted_join(met, first_link, ["__b"], ["external_id", "__b"], "left", counted=keys)
     return met.select(
         "node",
         F.when(F.col("a") < F.col("node"), F.col("a"))

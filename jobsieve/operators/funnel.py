@@ -8,7 +8,7 @@ from .. import vocab
 from ..functions.dates import whole_days_since
 from ..functions.fields import in_vocabulary
 from ..plans.scan import running
-from ..plans.skew import salted_join
+from ..plans.skew import hot_keys, salted_join
 
 
 def valid_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -181,7 +181,7 @@ def board_cards(
     )
     with_version = salted_join(
         with_job, versions.select("version_id", F.col("label").alias("resume_label")),
-        ["version_id"], ["application_id"], "left",
+        ["version_id"], ["application_id"], "left", counted=applications,
     )
     return with_version.select(
         "application_id", "status", "company", "title", "location", "fit_tier", "resume_label",
@@ -199,7 +199,7 @@ def application_detail(
     with_job = salted_join(
         applications, jobs.select("job_id", "company", "title"), ["job_id"], ["application_id"]
     )
-    return salted_join(with_job, pinned, ["version_id"], ["application_id"])
+    return salted_join(with_job, pinned, ["version_id"], ["application_id"], counted=applications)
 
 
 def activity_sessions(events: DataFrame, gap_minutes: int) -> DataFrame:
@@ -208,9 +208,10 @@ def activity_sessions(events: DataFrame, gap_minutes: int) -> DataFrame:
     Days are the blocks, so a very busy application is scanned by many tasks.
     """
     day = events.withColumn("__day", F.to_date("event_at"))
+    hot = hot_keys(day, ["application_id"])
     seen = running(
         day, ["application_id"], ["__day"], ["event_at", "seq"],
-        previous={"__before": F.col("event_at")},
+        previous={"__before": F.col("event_at")}, hot=hot,
     )
     pause = F.unix_micros("event_at") - F.unix_micros("__before")
     starts = seen.withColumn(
@@ -218,7 +219,7 @@ def activity_sessions(events: DataFrame, gap_minutes: int) -> DataFrame:
         F.when(F.col("__before").isNull() | (pause >= gap_minutes * 60_000_000), 1).otherwise(0).cast("long"),
     )
     numbered = running(
-        starts, ["application_id"], ["__day"], ["event_at", "seq"], sums={"session": F.col("__start")}
+        starts, ["application_id"], ["__day"], ["event_at", "seq"], sums={"session": F.col("__start")}, hot=hot
     )
     return numbered.groupBy("application_id", "session").agg(
         F.min("event_at").alias("started_at"),

@@ -11,6 +11,7 @@ from ..functions import dates as D
 from ..functions import text as T
 from ..plans.once import computed
 from ..plans.scan import running
+from ..plans.skew import hot_keys
 
 PAGE = ["doc_id", "page"]
 LINE_BLOCK = 4096
@@ -217,6 +218,7 @@ def sections(lines: DataFrame) -> DataFrame:
         blocked, ["doc_id"], ["__b"], ["line_no"],
         sums={"section_no": heading.cast("long")},
         previous={"__open": F.when(heading, F.struct(F.col("own_kind").alias("kind"), F.col("text").alias("title")))},
+        hot=hot_keys(lines, ["doc_id"]),
     )
     return placed.select(
         *lines.columns, "section_no",
@@ -237,14 +239,15 @@ def entry_chunks(lines: DataFrame, keys: Sequence[str], order: str = "line_no")
     rows = lines.withColumn("__b", F.floor(F.col(order) / LINE_BLOCK)).withColumn(
         "__dated", (plain & D.has_date_range(F.col("text"))).cast("long")
     )
-    looked = running(rows, keys, ["__b"], [order], previous={"__was_item": F.col("is_list_item")})
+    hot = hot_keys(rows, keys)
+    looked = running(rows, keys, ["__b"], [order], previous={"__was_item": F.col("is_list_item")}, hot=hot)
     looked = looked.withColumn("__run_start", plain & F.coalesce("__was_item", F.lit(True)))
-    runs = running(looked, keys, ["__b"], [order], sums={"__run": F.col("__run_start").cast("long")})
-    ranked = running(runs, [*keys, "__run"], ["__b"], [order], sums={"__nth": F.col("__dated")})
+    runs = running(looked, keys, ["__b"], [order], sums={"__run": F.col("__run_start").cast("long")}, hot=hot)
+    ranked = running(runs, [*keys, "__run"], ["__b"], [order], sums={"__nth": F.col("__dated")}, hot=hot)
     begins = F.col("__run_start") | (plain & (F.col("__dated") == 1) & (F.col("__nth") >= 2))
     return running(
         ranked.withColumn("__begins", begins.cast("long")), keys, ["__b"], [order],
-        sums={"chunk": F.col("__begins")},
+        sums={"chunk": F.col("__begins")}, hot=hot,
     ).select(*lines.columns, "chunk")
 
 
@@ -256,10 +259,11 @@ def rejoin_wrapped(lines: DataFrame) -> DataFrame:
     """
     rows = lines.where(T.trim(F.col("text")) != "").withColumn("__b", F.floor(F.col("line_no") / LINE_BLOCK))
     item = F.col("is_list_item")
+    hot = hot_keys(rows, ["doc_id"])
     anchored = running(
         rows, ["doc_id"], ["__b"], ["line_no"],
         sums={"__a": item.cast("long")},
-        previous={"__at": F.when(item, F.struct("page", "x", "font_size"))},
+        previous={"__at": F.when(item, F.struct("page", "x", "font_size"))}, hot=hot,
     )
     indent = F.col("x") - F.col("__at.x")
     continues = (
@@ -273,7 +277,7 @@ def rejoin_wrapped(lines: DataFrame) -> DataFrame:
     broken = F.when(item, 0).otherwise((~continues).cast("long"))
     scanned = running(
         anchored.withColumn("__stop", broken.cast("long")), ["doc_id", "__a"], ["__b"], ["line_no"],
-        sums={"__stops": F.col("__stop")},
+        sums={"__stops": F.col("__stop")}, hot=hot,
     )
     inside = (F.col("__a") > 0) & (F.col("__stops") == 0)
     pieces = F.array_sort(F.collect_list(F.struct("line_no", "text")))

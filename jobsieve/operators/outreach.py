@@ -17,7 +17,7 @@ from ..functions.dates import add_days
 from ..functions.fields import day_label, is_pending, step_state
 from ..functions.text import trim
 from ..plans.scan import running
-from ..plans.skew import salted_join
+from ..plans.skew import hot_keys, salted_join
 
 KEY = ("application_id", "contact_id")
 
@@ -36,15 +36,17 @@ def schedule(steps: DataFrame, order: Sequence[str], blocks: Sequence[str]) -> D
     plus S days when nothing was sent.
     """
     keyed = _sequence_key(steps)
+    hot = hot_keys(keyed, ["__seq"])
     offsets = running(
-        keyed, ["__seq"], blocks, order, sums={"cumulative_offset": F.col("day_offset").cast("long")}
+        keyed, ["__seq"], blocks, order,
+        sums={"cumulative_offset": F.col("day_offset").cast("long")}, hot=hot,
     )
     sent = F.when(
         F.col("sent_at").isNotNull(), F.struct("sent_at", F.col("cumulative_offset").alias("s"))
     )
-    based = running(offsets, ["__seq"], blocks, order, previous={"__last": sent})
+    based = running(offsets, ["__seq"], blocks, order, previous={"__last": sent}, hot=hot)
     anchor = keyed.groupBy("__seq").agg(F.min("created_at").alias("__anchor"))
-    anchored = salted_join(based, anchor, ["__seq"], order, "left")
+    anchored = salted_join(based, anchor, ["__seq"], order, "left", counted=keyed)
     since = F.col("cumulative_offset") - F.coalesce(F.col("__last.s"), F.lit(0))
     return anchored.withColumn(
         "due_at", add_days(F.coalesce("__last.sent_at", "__anchor"), since)

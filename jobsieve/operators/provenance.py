@@ -23,12 +23,13 @@ from . import leaves as L
 
 def _looked_up(rows: DataFrame, nodes: DataFrame, key: str, path: Column, prefix: str, spread: list[str]) -> DataFrame:
     """Attach the node at ``path`` as ``<prefix>_kind/size/value``; null when there is none."""
+    rows = rows.withColumn("__path", path)
     right = nodes.select(
         key, F.col("node_path").alias("__path"),
         F.col("node_kind").alias(f"{prefix}_kind"), F.col("node_size").alias(f"{prefix}_size"),
         F.col("node_value").alias(f"{prefix}_value"),
     )
-    return salted_join(rows.withColumn("__path", path), right, [key, "__path"], spread).drop("__path")
+    return salted_join(rows, right, [key, "__path"], spread).drop("__path")
 
 
 def _parent(path: Column) -> Column:
@@ -400,7 +401,7 @@ def check_paragraphs(paragraphs: DataFrame, resumes: DataFrame, key: str, jobs:
     # Only citations of the posting travel to the job table.
     job_side = salted_join(
         found.where(from_job), jobs.select("job_id", F.struct("title", "company", F.col("jd_text").alias("jdText")).alias("__j")),
-        ["job_id"], spread,
+        ["job_id"], spread, counted=cited,
     )
     name = F.substr(F.col("cite"), F.lit(5))
     job_field = F.lit(None).cast("string")

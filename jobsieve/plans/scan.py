@@ -1,11 +1,11 @@
 """Ordered scans over groups of any size.
 
-A plain window sends all rows of one key to one task. These scans cut every key
-into blocks first: rows are scanned inside ``keys + blocks``, each block is
-reduced to one summary row, only the summaries are scanned per key, and the
-running state is joined back to the rows. ``blocks`` are columns that rise with
-the sort order, such as a day or ``id div 4096``, so no sampling is involved and
-a recomputed task always makes the same blocks.
+A window sends all rows of one key to one task. That is right for keys of ordinary
+size. Keys with very many rows are cut into blocks: rows are scanned inside ``keys +
+blocks``, each block is reduced to one summary row, only the summaries are scanned per
+key, and the running state is joined back to the rows. ``blocks`` are columns that rise
+with the sort order, such as a day or ``id div 4096``, so no sampling is involved and a
+recomputed task always makes the same blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +14,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .skew import HOT_ROWS, hot_keys
+
+
+COUNT_FIRST = object()
+
 
 def running(
     df: DataFrame,
@@ -24,6 +29,8 @@ def running(
     sums: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
     position: str | None = None,
+    hot: DataFrame | None | object = COUNT_FIRST,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add running columns to ``df``.
 
@@ -32,13 +39,47 @@ def running(
     ``position``  name of a 1-based row number within the key.
 
     ``order`` is ascending and must be total inside a key; block columns must be
-    non-null and must rise with it.
+    non-null and must rise with it. ``hot`` is what ``hot_keys`` found on the same or
+    fewer key columns; left out, the keys are counted first. Without keys everything is
+    one group and is always scanned in blocks.
     """
     sums, previous = dict(sums or {}), dict(previous or {})
     if position:
         sums[position] = F.lit(1).cast("long")
     keys, blocks, order = list(keys), list(blocks), list(order)
+    if not keys:
+        return _in_blocks(df, keys, blocks, order, sums, previous)
+    if hot is COUNT_FIRST:
+        hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        return _plain(df, keys, order, sums, previous)
+    same_key = None
+    for k in hot.columns:
+        test = df[k].eqNullSafe(hot[k])
+        same_key = test if same_key is None else same_key & test
+    few = F.broadcast(hot)
+    return _plain(df.join(few, same_key, "left_anti"), keys, order, sums, previous).unionByName(
+        _in_blocks(df.join(few, same_key, "left_semi"), keys, blocks, order, sums, previous)
+    )
+
 
+def _plain(
+    df: DataFrame, keys: list[str], order: list[str], sums: Mapping[str, Column], previous: Mapping[str, Column]
+) -> DataFrame:
+    along = Window.partitionBy(*keys).orderBy(*order)
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    return df.select(
+        "*",
+        *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(n) for n, c in sums.items()],
+        *[F.last(c, ignorenulls=True).over(before).alias(n) for n, c in previous.items()],
+    )
+
+
+def _in_blocks(
+    df: DataFrame, keys: list[str], blocks: list[str], order: list[str],
+    sums: Mapping[str, Column], previous: Mapping[str, Column],
+) -> DataFrame:
     # Keys may be null (a sequence without a contact); compare them as values.
     safe = {k: f"__k{i}" for i, k in enumerate(keys)}
     base = df.select("*", *[F.struct(F.col(k)).alias(s) for k, s in safe.items()])

@@ -6,56 +6,64 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_ROWS = 200_000
+from ..session import cut
+
+HOT_ROWS = 500_000
 SALTS = 64
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys with more than ``hot_rows`` rows, or none at all.
+
+    Counts are combined per task before they are shuffled. There can be at most
+    ``rows / hot_rows`` such keys, so the list is small enough to broadcast.
+    """
+    hot = cut(
+        df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*on)
+    )
+    return None if hot.isEmpty() else hot
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "left",
+    counted: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join a large ``left`` to a ``right`` that has one row per key.
 
-    Keys with more than ``hot_rows`` left rows are split over ``salts`` tasks:
-    the left row picks a salt from its own identity (``spread``), and the one
-    right row of that key is repeated once per salt. There can be at most
-    ``rows / hot_rows`` such keys, which bounds the broadcast list. A salt
-    depends only on the row's own values, so a recomputed task sends its rows to
-    the same place. Null keys never match and are spread too.
+    Without hot keys this is an ordinary join. Otherwise the rows of each hot key are
+    split over ``salts`` tasks: a left row picks a salt from its own identity
+    (``spread``), and the one right row of that key is repeated once per salt. A salt
+    depends only on the row's own values, so a recomputed task sends its rows to the
+    same place. Null keys never match and are spread too. ``counted`` is a cheaper table
+    with the same keys to count hot ones on.
     """
     on = list(on)
-    hot = (
-        left.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > hot_rows)
-        .select(*on, F.lit(True).alias("__hot"))
-    )
-    any_null = None
+    hot = hot_keys(left if counted is None else counted, on, hot_rows)
+    if hot is None:
+        return left.join(right, on, how)
+    hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    any_null = F.lit(False)
     for name in on:
-        test = F.col(name).isNull()
-        any_null = test if any_null is None else (any_null | test)
+        any_null = any_null | F.col(name).isNull()
     own_salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
-    salted_left = left.join(F.broadcast(hot), on, "left").withColumn(
+    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
+    salted_left = left.join(hot, on, "left").withColumn(
         "__salt", F.when(F.col("__hot") | any_null, own_salt).otherwise(F.lit(0))
-    ).drop("__hot")
-    salted_right = (
-        right.join(F.broadcast(hot), on, "left")
-        .withColumn(
-            "__salt",
-            F.explode(
-                F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
-        .drop("__hot")
     )
-    return salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
+    salted_right = right.join(hot, on, "left").withColumn(
+        "__salt", F.explode(F.when(F.col("__hot"), every_salt).otherwise(F.array(F.lit(0))))
+    )
+    return (
+        salted_left.drop("__hot")
+        .join(salted_right.drop("__hot"), [*on, "__salt"], how)
+        .drop("__salt")
+    )
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32 << 20) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobsieve.operators import dedupe, diff, layout, lineage, merge, outreach, search
@@ -12,11 +13,12 @@ from jobsieve.plans import scan, skew
 from jobsieve.plans.rounds import resolve_pointers
 
 
-def test_running_matches_a_walk(spark):
+@pytest.mark.parametrize("hot_rows", [0, 80, 1000])
+def test_running_matches_a_walk(spark, hot_rows):
     rng = random.Random(1)
     rows = [(rng.choice(["hot", "hot", "hot", "x", None]), i, rng.randint(0, 5), rng.choice([None, i])) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, i int, v int, p int").withColumn("b", F.floor(F.col("i") / 16))
-    got = {r["i"]: r for r in scan.running(df, ["k"], ["b"], ["i"], sums={"s": F.col("v")}, previous={"l": F.col("p")}, position="n").collect()}
+    got = {r["i"]: r for r in scan.running(df, ["k"], ["b"], ["i"], sums={"s": F.col("v")}, previous={"l": F.col("p")}, position="n", hot_rows=hot_rows).collect()}
     total, last, count = {}, {}, {}
     for k, i, v, p in rows:
         total[k], count[k] = total.get(k, 0) + v, count.get(k, 0) + 1
@@ -76,13 +78,16 @@ def _schedule_walk(rows):
     return out
 
 
-def test_schedule_is_the_walk(spark):
+@pytest.mark.parametrize("hot_rows", [0, 10**6])
+def test_schedule_is_the_walk(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(outreach, "hot_keys", lambda df, on: skew.hot_keys(df, on, hot_rows))
     rng = random.Random(3)
     start = datetime(2024, 1, 1)
     rows, want = [], {}
     for seq in range(25):
         group = [
-            (seq, rng.choice([None, 1]) if False else (None if seq % 3 else 1), start + timedelta(days=rng.randint(0, 9)), rng.randint(0, 6),
+            (seq, None if seq % 3 else 1, start + timedelta(days=rng.randint(0, 9)), rng.randint(0, 6),
              rng.choice([None, start + timedelta(days=rng.randint(0, 40))]), step)
             for step in range(1, rng.randint(2, 12))
         ]
