@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import vocab
 from ..functions.fields import query_key, tier_rank
 from ..functions.text import SPACE, plural, trim
-from ..plans.scan import running
+from ..plans.scan import global_position, running
 from ..plans.skew import fits_broadcast
 
 GRAM = 3
@@ -174,18 +174,24 @@ def result_summary(results: DataFrame, by: Sequence[str], order: Sequence[str])
     )
 
 
+def with_ratings(listings: DataFrame, ratings: DataFrame, id_column: str = "external_id") -> DataFrame:
+    """Every listing with its rating, or none; ratings of unknown listings are dropped."""
+    return listings.join(ratings.select(id_column, "tier", "reasons"), id_column, "left")
+
+
 def best_fit_order(results: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Strong, possible, reach, then unrated; ties keep the merge order."""
-    return results.withColumn("tier_rank", tier_rank(F.col("tier"))).orderBy("tier_rank", *order)
+    """Strong, possible, reach, then unrated; ties keep the merge order. Adds ``place``."""
+    ranked = results.withColumn("tier_rank", tier_rank(F.col("tier")))
+    return global_position(ranked, ["tier_rank", *order], "place")
 
 
 def newest_order(results: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Newest first, undated last; ties keep the merge order."""
-    return results.orderBy(F.col("posted_at").desc_nulls_last(), *order)
+    """Newest first, undated last; ties keep the merge order. Adds ``place``."""
+    return global_position(results, [F.col("posted_at").desc_nulls_last(), *order], "place")
 
 
 def positions(df: DataFrame, keys: Sequence[str], blocks: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """1-based position within ``keys`` (or overall) without gathering a key in one task."""
+    """1-based position within ``keys`` without gathering a large key in one task."""
     return running(df, keys, blocks, order, position=name)
 
 

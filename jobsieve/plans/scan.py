@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut
 from .skew import HOT_ROWS, hot_keys
 
 
@@ -40,15 +41,14 @@ def running(
 
     ``order`` is ascending and must be total inside a key; block columns must be
     non-null and must rise with it. ``hot`` is what ``hot_keys`` found on the same or
-    fewer key columns; left out, the keys are counted first. Without keys everything is
-    one group and is always scanned in blocks.
+    fewer key columns; left out, the keys are counted first.
     """
     sums, previous = dict(sums or {}), dict(previous or {})
     if position:
         sums[position] = F.lit(1).cast("long")
     keys, blocks, order = list(keys), list(blocks), list(order)
     if not keys:
-        return _in_blocks(df, keys, blocks, order, sums, previous)
+        raise ValueError("a scan over everything is a sort: use global_position")
     if hot is COUNT_FIRST:
         hot = hot_keys(df, keys, hot_rows)
     if hot is None:
@@ -126,3 +126,23 @@ def _in_blocks(
         ],
         *[F.coalesce(F.col(f"__p_{n}"), F.col(f"__cp_{n}")).alias(n) for n in previous],
     )
+
+
+def global_position(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Add the 1-based position of every row in ``order``, over the whole table.
+
+    The table is sorted once by range and written with each row's partition and place in
+    it. What remains is one count per partition: their running total is the only thing
+    that is computed in one place, and it has as many rows as the sort had partitions.
+    """
+    placed = cut(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("__id", 33).alias("__part")
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    row = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        placed.select(*df.columns, part, row.alias("__row"))
+        .join(F.broadcast(offsets), "__part")  # one row per partition
+        .select(*df.columns, (F.col("__before") + F.col("__row") + 1).alias(name))
+    )

@@ -277,6 +277,21 @@ def tailored_versions(spark, sf):
     return merge.append_versions(stored, children).drop("content")
 
 
+@query(
+    "pinned_tailored",
+    with_views(
+        "ev apps",
+        """SELECT application_id, CASE WHEN application_id % 2 = 0 THEN application_id + 5000000 ELSE version_id END AS version_id,
+             CASE WHEN application_id % 2 = 0 AND status = 'sourced' THEN 'tailored' ELSE status END AS status FROM apps""",
+    ),
+)
+def pinned_tailored(spark, sf):
+    apps = V.applications(spark, sf).select("application_id", "version_id", "status")
+    app = F.col("application_id")
+    children = apps.where(app % 2 == 0).select("application_id", (app + 5_000_000).alias("version_id"))
+    return P.pin_tailored(apps, children)
+
+
 # --- reasons, ratings, paragraphs -------------------------------------------
 
 

@@ -167,7 +167,10 @@ def feed_failures(spark, sf):
 
 @query(
     "posting_lookup",
-    """SELECT page_id, page_id % 3 = 1 AS gone, CASE WHEN page_id % 3 = 0 THEN url END AS url FROM pages WHERE page_id % 4 = 2 AND page_id % 13 <> 0""",
+    """SELECT page_id, page_id % 3 = 1 AS gone, CASE WHEN page_id % 3 = 0 THEN url END AS url,
+         'https://jobs.ashbyhq.com/' || CASE WHEN page_id % 3 = 2 THEN 'never-fetched' ELSE 'acme-labs_' || (page_id % 5) || '-' || page_id END
+           || '/' || CASE WHEN page_id % 3 = 1 THEN 'no-such-id' ELSE page_id || 'B' END AS page_url
+       FROM pages WHERE page_id % 4 = 2 AND page_id % 13 <> 0""",
 )
 def posting_lookup(spark, sf):
     """References into fetched boards: present, taken down, or to a board never fetched."""
@@ -181,9 +184,7 @@ def posting_lookup(spark, sf):
         F.when(page % 3 == 1, "no-such-id").otherwise(F.concat(page.cast("string"), F.lit("B"))).alias("job_id"),
     )
     looked = feeds.posting_lookup(refs.drop("page_id"), found)
-    return refs.join(looked, ["board", "org", "job_id"]).where(
-        (F.col("page_id") % 3 != 2) | ~F.col("gone")
-    ).select("page_id", "gone", "url").distinct()
+    return refs.join(looked, ["board", "org", "job_id"]).select("page_id", "gone", "url", "page_url").distinct()
 
 
 @query(
@@ -225,6 +226,44 @@ def people_contacts(spark, sf):
     return feeds.contacts(responses).drop("linkedin_url")
 
 
+@query(
+    "found_contacts",
+    """SELECT c_custkey AS application_id, CASE WHEN c_custkey % 5 <> 0 AND c_nationkey % 4 <> 0 THEN s_name END AS name,
+         CASE WHEN c_custkey % 5 = 0 THEN 'This application has no company name to search on.'
+              WHEN c_nationkey % 4 = 0 THEN 'people search returned 429' END AS reason
+       FROM customer LEFT JOIN supplier ON c_custkey % 5 <> 0 AND c_nationkey % 4 <> 0 AND s_nationkey = c_nationkey""",
+)
+def found_contacts(spark, sf):
+    """Applications looking for people at a nation's suppliers; a quarter of the lookups failed."""
+    nation = F.concat(F.lit("Nation "), F.col("n").cast("string"))
+    apps = V.table(spark, sf, "customer").withColumn("n", F.col("c_nationkey")).select(
+        F.col("c_custkey").alias("application_id"), F.when(F.col("c_custkey") % 5 == 0, "  ").otherwise(nation).alias("company")
+    )
+    people = V.table(spark, sf, "supplier").withColumn("n", F.col("s_nationkey")).where(F.col("n") % 4 != 0).select(
+        nation.alias("company"), F.col("s_name").alias("name")
+    )
+    failed = V.table(spark, sf, "nation").withColumn("n", F.col("n_nationkey")).where(F.col("n") % 4 == 0).select(
+        nation.alias("company"), F.lit("people search returned 429").alias("message")
+    )
+    return feeds.contacts_for(apps, people, failed).select("application_id", "name", "reason")
+
+
+@query(
+    "extracted_pages",
+    """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Model ' || page_id ELSE 'Page' END AS title, 'Site' AS company,
+         CASE WHEN page_id % 2 = 0 THEN 'Oslo' END AS location FROM pages""",
+)
+def extracted_pages(spark, sf):
+    """Model fields over page fields; odd pages got an unusable reply."""
+    page = F.col("page_id")
+    reply = F.concat(F.lit('ok {"title": " Model '), page.cast("string"), F.lit('", "company": " ", "location": "Oslo"}'))
+    jobs = V.table(spark, sf, "pages").select(
+        "page_id", F.lit("Page").alias("title"), F.lit("Site").alias("company"), F.lit(None).cast("string").alias("location"),
+        F.when(page % 2 == 0, reply).otherwise("no object").alias("reply"),
+    )
+    return docs.with_extraction(jobs, "reply").drop("company_blurb")
+
+
 @query(
     "manual_jobs",
     """SELECT p_partkey AS row_id, trim(p_name) AS title, trim(p_brand) AS company, NULL AS location, '' AS jd_text, 'manual' AS source
@@ -465,20 +504,30 @@ _RANK = "CASE tier WHEN 'strong' THEN 0 WHEN 'possible' THEN 1 WHEN 'reach' THEN
 
 @query("best_fit_order", with_views("listings", f"SELECT row_number() OVER (ORDER BY {_RANK}, adapter_rank, pos) AS place, {_RANK} AS tier_rank, pos FROM listings"))
 def best_fit_order(spark, sf):
-    ordered = search.best_fit_order(V.listings(spark, sf), ORDER)
-    blocked = ordered.withColumn("b", F.floor(F.col("pos") / 65536))
-    return search.positions(blocked, [], ["tier_rank", "adapter_rank", "b"], ["tier_rank", *ORDER], "place").select("place", "tier_rank", "pos")
+    return search.best_fit_order(V.listings(spark, sf).select("tier", *ORDER), ORDER).select("place", "tier_rank", "pos")
 
 
 @query("newest_order", with_views("listings", "SELECT row_number() OVER (ORDER BY posted_at DESC NULLS LAST, adapter_rank, pos) AS place, pos FROM listings"))
 def newest_order(spark, sf):
-    ordered = search.newest_order(V.listings(spark, sf), ORDER)
-    # Newest first as an ascending key: age in seconds, undated last; days are the blocks.
-    age = -F.coalesce(F.unix_seconds("posted_at"), F.lit(-(10**15)))
-    blocked = ordered.withColumn("age", age).withColumns(
-        {"day": F.floor(F.col("age") / 86400), "b": F.when(F.col("posted_at").isNull(), F.col("adapter_rank")).otherwise(0)}
+    return search.newest_order(V.listings(spark, sf).select("posted_at", *ORDER), ORDER).select("place", "pos")
+
+
+@query(
+    "rated_listings",
+    with_views(
+        "listings",
+        """SELECT pos, external_id, CASE WHEN pos % 3 = 1 THEN 'reach' END AS tier FROM listings""",
+    ),
+)
+def rated_listings(spark, sf):
+    """Ratings for a third of the listings and for some that do not exist."""
+    doc = F.col("doc_id")
+    ratings = V.table(spark, sf, "documents").where(doc % 3 == 1).select(
+        F.explode(F.array(F.concat(F.lit("doc-"), doc.cast("string")), F.concat(F.lit("ghost-"), doc.cast("string")))).alias("external_id"),
+        F.lit("reach").alias("tier"), F.array(F.lit("r")).alias("reasons"),
     )
-    return search.positions(blocked, [], ["day", "b"], ["age", *ORDER], "place").select("place", "pos")
+    listings = V.listings(spark, sf).select("external_id", "pos")
+    return search.with_ratings(listings, ratings).select("pos", "external_id", "tier")
 
 
 @query(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas, vocab
+from ..functions.links import posting_page_url
 from ..functions.text import optional, title_case_token
 
 # Sources in the order their listings are merged.
@@ -196,6 +197,28 @@ def contacts(people: DataFrame) -> DataFrame:
     )
 
 
+def contacts_for(applications: DataFrame, people: DataFrame, failed: DataFrame) -> DataFrame:
+    """People at each application's company; an application without any keeps one row.
+
+    ``reason`` says why there was nothing to search: no company name, or the lookup of
+    that company failed (``failed`` has ``company, message``, one row per company).
+    """
+    wanted = applications.withColumn("__company", optional(F.col("company")))
+    hits = people.withColumnRenamed("company", "__company")
+    trouble = failed.select(F.col("company").alias("__company"), F.col("message").alias("__message"))
+    return (
+        wanted.join(hits, "__company", "left")
+        .join(trouble, "__company", "left")
+        .withColumn(
+            "reason",
+            F.when(F.col("__company").isNull(), "This application has no company name to search on.").otherwise(
+                F.col("__message")
+            ),
+        )
+        .drop("__company", "__message")
+    )
+
+
 def board_targets(companies: DataFrame, key: str, csv: str) -> DataFrame:
     """Comma-separated board tokens to ``(key, pos, board, token)``.
 
@@ -253,5 +276,6 @@ def posting_lookup(references: DataFrame, feed: DataFrame) -> DataFrame:
         .select(
             "board", "org", "job_id", "listing.*",
             (F.col("listing").isNull() & F.coalesce("answered", F.lit(False))).alias("gone"),
+            posting_page_url(F.col("board"), F.col("org"), F.col("job_id")).alias("page_url"),
         )
     )

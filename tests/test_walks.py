@@ -228,3 +228,12 @@ def test_search_finds_every_substring(spark):
     }
     got = [(r["query_id"], r["external_id"]) for r in search.saved_search_hits(queries, listings).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_global_position_is_a_sort(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, rng.randint(0, 5)])) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, v int").repartition(7)
+    got = {r["i"]: r["n"] for r in scan.global_position(df, [F.col("v").desc_nulls_last(), "i"], "n").collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {r[0]: n + 1 for n, r in enumerate(want)}
