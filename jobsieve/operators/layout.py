@@ -60,23 +60,27 @@ def gutters(rows: DataFrame) -> DataFrame:
         .agg(F.sum("d").alias("d"))
     )
     start, end = F.floor(F.col("span") * 0.2).cast("int"), F.ceil(F.col("span") * 0.8).cast("int")
-    cells = pages.select(*PAGE, F.explode(F.sequence(start, end)).alias("at"), F.lit(0).cast("long").alias("d"))
-    along = Window.partitionBy(*PAGE).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    crossed = (
-        edges.unionByName(cells)
+    # Between two edges the number of crossings is constant: stretches, not cells, are scanned.
+    none = F.lit(0).cast("long")
+    ends = pages.select(
+        *PAGE, F.inline(F.array(F.struct(start.alias("at"), none.alias("d")), F.struct((end + 1).alias("at"), none.alias("d"))))
+    )
+    order = Window.partitionBy(*PAGE).orderBy("at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    stretches = (
+        edges.unionByName(ends)
         .groupBy(*PAGE, "at")
         .agg(F.sum("d").alias("d"))
-        .withColumn("n", F.sum("d").over(along))
-    )
-    low = crossed.join(pages.select(*PAGE, "left", "rows", start.alias("from"), end.alias("to")), PAGE).where(
-        F.col("at").between(F.col("from"), F.col("to"))
-        & (F.col("n") <= F.col("rows") * vocab.MAX_GUTTER_CROSSINGS)
+        .select(*PAGE, "at", F.lead("at").over(order).alias("until"), F.sum("d").over(upto).alias("n"))
+        .join(pages.select(*PAGE, "left", "rows", start.alias("from"), end.alias("to")), PAGE)
+        .where(F.col("at").between(F.col("from"), F.col("to")))
+        .withColumn("busy", (F.col("n") > F.col("rows") * vocab.MAX_GUTTER_CROSSINGS).cast("int"))
     )
-    nth = F.row_number().over(Window.partitionBy(*PAGE).orderBy("at"))
     islands = (
-        low.withColumn("island", F.col("at") - nth)
+        stretches.withColumn("island", F.sum("busy").over(upto))
+        .where(F.col("busy") == 0)
         .groupBy(*PAGE, "left", "to", "island")
-        .agg(F.min("at").alias("start"), (F.max("at") + 1).alias("end"))
+        .agg(F.min("at").alias("start"), F.max("until").alias("end"))
         .withColumn("end", F.least("end", "to"))
         .where(F.col("end") - F.col("start") >= vocab.MIN_GUTTER_POINTS)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import testviews as V
 from ..operators import layout as Y
+from ..session import cut
 from .registry import VIEWS, query, with_views
 
 # --- glyphs -----------------------------------------------------------------
@@ -58,7 +59,8 @@ VIEWS["ex"] = "SELECT doc_id, page, min(x) AS lft, max(right_) - min(x) AS span,
 
 
 def _gutters(spark, sf):
-    rows = Y.baseline_rows(glyphs(spark, sf))
+    # Gutters and reading order both go over the rows more than once; they are made once.
+    rows = cut(Y.baseline_rows(glyphs(spark, sf)))
     return rows, Y.gutters(rows)
 
 
