@@ -214,6 +214,21 @@ def semantic_diff(pairs: DataFrame, key: str, was: str = "was", now: str = "now"
     return one_sided.unionByName(fields).unionByName(lists).unionByName(moved)
 
 
+def value_changes(was: DataFrame, now: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Values gone from and new to each key, as multisets: ``keys, value, removed, added``.
+
+    Both sides are counted before they meet, so a value that repeats very often is one row.
+    """
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(name))
+
+    both = counted(was, "__a").join(counted(now, "__b"), [*keys, value], "full_outer")
+    a, b = F.coalesce("__a", F.lit(0)), F.coalesce("__b", F.lit(0))
+    return both.where(a != b).select(
+        *keys, value, F.greatest(a - b, F.lit(0)).alias("removed"), F.greatest(b - a, F.lit(0)).alias("added")
+    )
+
+
 def word_retention(pairs: DataFrame, keys: Sequence[str], written: str, edited: str) -> DataFrame:
     """Share of the original words still there, counted with multiplicity; 0 for empty text.
 

@@ -118,6 +118,22 @@ def semantic_diff(spark, sf):
     return X.semantic_diff(_revised(spark, sf), "doc_id")
 
 
+@query(
+    "line_changes",
+    with_views(
+        "turns",
+        """, a AS (SELECT conv_id, turn, unnest(string_split(was, chr(10))) AS line FROM turns), b AS (SELECT conv_id, turn, unnest(string_split(now, chr(10))) AS line FROM turns),
+           g AS (SELECT conv_id, turn, line, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY ALL),
+           h AS (SELECT conv_id, turn, line, count(*) AS n FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY ALL)
+           SELECT conv_id, turn, line, n AS removed, 0 AS added FROM g UNION ALL SELECT conv_id, turn, line, 0, n FROM h""",
+    ),
+)
+def line_changes(spark, sf):
+    pairs = V.turns(spark, sf)
+    lines = lambda c: pairs.select("conv_id", "turn", F.explode(F.split(c, "\n")).alias("line"))
+    return X.value_changes(lines("was"), lines("now"), ["conv_id", "turn"], "line")
+
+
 @query("word_diff")
 def word_diff(spark, sf):
     pairs = V.turns(spark, sf)

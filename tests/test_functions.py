@@ -125,3 +125,39 @@ def test_word_diff_rules():
     assert _walk_back(parts, "del").split() == "Led a team of five".split()
     assert _walk_back(parts, "add").split() == "Led one small team".split()
     assert all(p["text"] == p["text"].strip() for p in parts if p["type"] != "same")
+
+
+def test_sql_functions_agree_with_columns(spark):
+    from jobsieve.functions.register import register_all
+
+    assert "fold_plural" in register_all(spark)
+    rows = spark.createDataFrame([("policies", "strong", 0), ("boxes", "x", 5), ("June 2020", "reach", 2), ("A  b\nC", None, 1)], "s string, t string, n int")
+    rows.createOrReplaceTempView("samples")
+    at, now = "timestamp'2024-01-01 06:00:00'", "timestamp'2024-01-03 05:00:00'"
+    got = spark.sql(
+        f"SELECT fold_plural(s), squash(s), date_shape(s), tier_rank(t), day_label(n), whole_days_since({at}, {now}), add_whole_days({at}, n) FROM samples"
+    ).collect()
+    start, end = F.expr(at), F.expr(now)
+    want = rows.select(
+        T.fold_plural(F.col("s")), T.squash(F.col("s")), D.date_shape(F.col("s")), R.tier_rank(F.col("t")), R.day_label(F.col("n")),
+        D.whole_days_since(start, end), D.add_days(start, F.col("n")),
+    ).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_word_diff_keeps_a_longest_common_subsequence():
+    import random
+
+    rng = random.Random(7)
+    for _ in range(60):
+        a = [rng.choice("abcd") for _ in range(rng.randint(1, 9))]
+        b = [rng.choice("abcd") for _ in range(rng.randint(1, 9))]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        from jobsieve.functions.word_diff import _script
+
+        script = _script(a, b)
+        assert sum(k == "same" for k, _ in script) == best[-1][-1]
+        assert [t for k, t in script if k != "add"] == a and [t for k, t in script if k != "del"] == b
