@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
-from .skew import HOT_ROWS, hot_keys
+from .skew import hot_keys
 
 
 COUNT_FIRST = object()
@@ -31,7 +31,7 @@ def running(
     previous: Mapping[str, Column] | None = None,
     position: str | None = None,
     hot: DataFrame | None | object = COUNT_FIRST,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add running columns to ``df``.
 

@@ -12,12 +12,14 @@ HOT_ROWS = 500_000
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
     """The keys with more than ``hot_rows`` rows, or none at all.
 
-    Counts are combined per task before they are shuffled. There can be at most
+    The limit is ``spark.jobsieve.hotRows`` unless given. Counts are combined per task before they are shuffled. There can be at most
     ``rows / hot_rows`` such keys, so the list is small enough to broadcast.
     """
+    if hot_rows is None:
+        hot_rows = int(df.sparkSession.conf.get("spark.jobsieve.hotRows", str(HOT_ROWS)))
     hot = cut(
         df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*on)
     )
@@ -31,7 +33,7 @@ def salted_join(
     spread: Sequence[str],
     how: str = "left",
     counted: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join a large ``left`` to a ``right`` that has one row per key.

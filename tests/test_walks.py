@@ -79,9 +79,8 @@ def _schedule_walk(rows):
 
 
 @pytest.mark.parametrize("hot_rows", [0, 10**6])
-def test_schedule_is_the_walk(spark, monkeypatch, hot_rows):
-    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
-    monkeypatch.setattr(outreach, "hot_keys", lambda df, on: skew.hot_keys(df, on, hot_rows))
+def test_schedule_is_the_walk(spark, hot_rows):
+    spark.conf.set("spark.jobsieve.hotRows", str(hot_rows))
     rng = random.Random(3)
     start = datetime(2024, 1, 1)
     rows, want = [], {}
@@ -98,6 +97,7 @@ def test_schedule_is_the_walk(spark, monkeypatch, hot_rows):
         rows, "application_id int, contact_id int, created_at timestamp, day_offset int, sent_at timestamp, sequence_step int"
     ).withColumn("status", F.lit("scheduled")).withColumn("b", F.floor(F.col("sequence_step") / 3))
     got = {(r["application_id"], r["sequence_step"]): r["due_at"] for r in outreach.schedule(df, ["sequence_step"], ["b"]).collect()}
+    spark.conf.unset("spark.jobsieve.hotRows")
     assert got == want
 
 
