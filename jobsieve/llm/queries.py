@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality, site_lines
+from . import near_duplicates, quality, site_lines
 from .common import table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -86,3 +86,8 @@ def op9_line_dedup(spark, sf_dir):
     rows = site_lines.drop_site_lines(documents(spark, sf_dir))
     n = F.col("__lines")
     return rows.select("doc_id", "source", n["n_lines"].alias("n_lines"), n["n_dropped"].alias("n_dropped"), "text")
+
+
+@query("op8_ngram_jaccard_join")
+def op8_ngram_jaccard_join(spark, sf_dir):
+    return near_duplicates.similar_texts(documents(spark, sf_dir))
