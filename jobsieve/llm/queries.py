@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import near_duplicates, quality, site_lines
+from . import bpe, decontaminate, near_duplicates, quality, site_lines
 from .common import table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -91,3 +91,20 @@ def op9_line_dedup(spark, sf_dir):
 @query("op8_ngram_jaccard_join")
 def op8_ngram_jaccard_join(spark, sf_dir):
     return near_duplicates.similar_texts(documents(spark, sf_dir))
+
+
+@query("op10_benchmark_decontamination")
+def op10_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def vocabulary_path() -> str:
+    """The public byte-level vocabulary that the contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op5_bpe_encoding")
+def op5_bpe_encoding(spark, sf_dir):
+    return bpe.encode_documents(documents(spark, sf_dir), vocabulary_path(), with_ids=False)
