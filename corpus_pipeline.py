@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsieve.llm import quality, site_lines
+from jobsieve.llm import bpe, decontaminate, near_duplicates, quality, site_lines
+from jobsieve.llm.queries import vocabulary_path
 
 #: Near-duplicate search and byte-pair merges cannot be stated in SQL.
 ORACLE_SQL = None
@@ -24,7 +25,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return site_lines.drop_site_lines(docs).drop("__lines")
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup)]
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays."""
+    return near_duplicates.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, their digest and that of the decoded text."""
+    return bpe.encode_documents(docs, vocabulary_path())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("jaccard_join", jaccard_join),
+    ("decontamination", decontamination),
+    ("bpe_encoding", bpe_encoding),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
