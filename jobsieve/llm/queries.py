@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, near_duplicates, quality, site_lines
+from . import bpe, decontaminate, html_text, near_duplicates, quality, secrets, site_lines, warc
 from .common import table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -108,3 +108,53 @@ def vocabulary_path() -> str:
 @query("op5_bpe_encoding")
 def op5_bpe_encoding(spark, sf_dir):
     return bpe.encode_documents(documents(spark, sf_dir), vocabulary_path(), with_ids=False)
+
+
+@query("op1_html_extraction")
+def op1_html_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html_text.extract_main_text(pages)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _secrets_sql() -> str:
+    """Spans by splitting at the matches, as text operations on whole texts."""
+    each = []
+    for i, r in enumerate(secrets.RULES):
+        p = r.pattern.replace("'", "''")
+        each.append(
+            f"SELECT r, {i} AS rank, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, '{p}') AS ms, "
+            f"regexp_extract_all(t, '{p}', {r.group}) AS gs, string_split_regex(t, '{p}') AS ps FROM d WHERE regexp_matches(t, '{p}')"
+        )
+    return f"""
+      d AS (SELECT row_number() OVER () AS r, *, coalesce(text, '') AS t FROM documents),
+      hit AS ({" UNION ALL ".join(each)}),
+      one AS (SELECT r, rank, kind, least, i, length(ms[i]) AS size, length(gs[i]) AS len,
+        sum(length(ps[i])) OVER w + coalesce(sum(length(ms[i])) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+        FROM (SELECT *, unnest(generate_series(1, len(ms))) AS i FROM hit) WINDOW w AS (PARTITION BY r, rank ORDER BY i)),
+      span AS (SELECT r, rank, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + size AS BIGINT) AS x FROM one WHERE len >= least),
+      per AS (SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+        string_agg(x, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(x, ',' ORDER BY s, rank) AS spans FROM span GROUP BY r)"""
+
+
+@query(
+    "op4_secret_scan",
+    f"WITH {_secrets_sql()} SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, "
+    "sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)",
+)
+def op4_secret_scan(spark, sf_dir):
+    found = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    spans = F.col("__spans")
+    of = lambda i: F.filter(spans, lambda s: s["rank"] == i)
+    counts = [F.size(of(i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.BASE)]
+    base = secrets.listed(F.filter(spans, lambda s: s["rank"] < len(secrets.BASE)))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secrets.listed(spans).alias("spans"))
+
+
+@query("op7_warc")
+def op7_warc(spark, sf_dir):
+    rows = warc.archived(table(spark, sf_dir, "pages"))
+    refers = F.regexp_extract("refers_to", r"^<urn:page:(-?\d+)>$", 1).cast("long")
+    return rows.select(
+        F.col("metadata.page_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), refers.alias("refers_to")
+    )
