@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html_text, near_duplicates, quality, secrets, site_lines, warc
+from . import bpe, chat, decontaminate, html_text, katz, near_duplicates, quality, secrets, site_lines, warc
 from .common import table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -158,3 +158,16 @@ def op7_warc(spark, sf_dir):
     return rows.select(
         F.col("metadata.page_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), refers.alias("refers_to")
     )
+
+
+@query("op3_lm_scoring")
+def op3_lm_scoring(spark, sf_dir):
+    return katz.score(documents(spark, sf_dir))
+
+
+@query("op6_chat_formatting")
+def op6_chat_formatting(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    model = chat.fit(turns, "conv_id", "turn", "role", "text")
+    out = chat.parse_transcripts(chat.marked(turns), model)
+    return out.select("conv_id", "turn_no", "role", "n_lines", "rendered")
