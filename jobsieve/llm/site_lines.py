@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.once import computed
+from ..plans.skew import fits_broadcast
+from ..session import cut
 
 #: A line in more than this share of a host's pages is boilerplate.
 RATIO = 0.02
@@ -49,8 +51,8 @@ def drop_site_lines(
     """``pages`` with boilerplate lines removed, and ``n_lines`` and ``n_dropped`` as ``__lines``.
 
     The dropped lines of a host are one small list: lines above the ratio number at most the mean
-    lines per page divided by the ratio. Spark copies the lists to all executors only below its own
-    broadcast limit and splits a hot host otherwise. A null text stays null, an empty one empty; a
+    lines per page divided by the ratio. The lists of all hosts are copied to the executors if their
+    checked size allows; otherwise they are joined, and Spark splits a hot host. A null text stays null, an empty one empty; a
     page may end up empty, and stays.
     """
     common = (
@@ -59,6 +61,9 @@ def drop_site_lines(
         .groupBy(F.col("host").alias("__site"))
         .agg(F.collect_set("line").alias("__common"))
     )
+    common = cut(common)
+    if fits_broadcast(common):
+        common = F.broadcast(common)
     found = pages.join(common, F.col(host).eqNullSafe(F.col("__site")), "left")
     lines = F.col("__all")
     split = computed(found, __all=_lines(F.col(text)))
