@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.once import computed
+from ..plans.skew import fits_broadcast
+from ..session import cut
 
 try:
     from re import _constants as sre, _parser as sre_parse
@@ -203,13 +205,19 @@ def _spans(text: Column, rule: Rule, rank: int, wanted: Column) -> Column:
 def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``__spans``: an array of (start, rank, kind, end), by start and then rule.
 
-    A null text counts as empty and has no spans. Equal texts have equal spans; repeated rows stay.
+    Candidates are copied to the executors if their checked size allows and joined otherwise. A null
+    text counts as empty and has no spans. Equal texts have equal spans; repeated rows stay.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     wanted = sorted(set().union(*[trigrams(q) for q in queries]))
     t = F.coalesce(F.col(text), F.lit(""))
-    found = candidates(postings(docs, wanted, text), rules, wanted).select(F.col("node").alias("__node"), F.col("rules").alias("__rules"))
-    joined = docs.withColumn("__key", _node(t)).join(found, F.col("__key") == F.col("__node"), "left")
+    found = candidates(postings(docs, wanted, text), rules, wanted)
+    found = cut(found.select(F.col("node.a").alias("__a"), F.col("node.b").alias("__b"), F.col("rules").alias("__rules")))
+    if fits_broadcast(found):
+        found = F.broadcast(found)
+    key = _node(t)
+    keyed = docs.withColumns({"__ka": key["a"], "__kb": key["b"]})
+    joined = keyed.join(found, (F.col("__ka") == F.col("__a")) & (F.col("__kb") == F.col("__b")), "left")
     each = []
     for i, (rule, query) in enumerate(zip(rules, queries)):
         asked = t.rlike(rule.pattern) if query is True else F.coalesce(F.col("__rules").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
