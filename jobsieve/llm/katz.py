@@ -25,7 +25,7 @@ from .common import hashed_words, per_text, text_steps
 #: Most classes of their own; the pair table has at most its square of entries.
 VOCABULARY = 2048
 #: Most frequent words whose counts every task holds; counts of all others are joined.
-HELD_COUNTS = 1 << 18
+HELD_COUNTS = 1 << 17
 DISCOUNTED = 5
 #: Classes: all words outside the vocabulary, and the end of a text, also the context of its first word.
 OTHER, END = 0, 1
@@ -103,8 +103,8 @@ def count_words(source: DataFrame) -> Corpus:
     sizes = words.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     # counts held by many words cannot be frequent ones; the frequent end of the list is short
     top = sizes.orderBy(F.desc("c")).limit(HELD_COUNTS).collect()
-    held = words.where(F.col("c") >= _threshold(top, HELD_COUNTS)).toPandas().sort_values("w")
-    word, count = held["w"].to_numpy(np.int64).view(np.uint64), held["c"].to_numpy(np.int64)
+    held = words.where(F.col("c") >= _threshold(top, HELD_COUNTS)).toArrow()
+    word, count = held["w"].to_numpy().astype(np.int64).view(np.uint64), held["c"].to_numpy().astype(np.int64)
     order = np.argsort(word)
     word, count = word[order], count[order]
     own = (count >= _threshold(top, VOCABULARY)) & (word != _END_HASH)
@@ -203,8 +203,9 @@ def table_of(seen: DataFrame, contexts: DataFrame, first: np.ndarray) -> np.ndar
     for r in contexts.select("context", "weight").collect():
         weight[r.context] = r.weight
     table = (weight[:, None] + first[None, :]).astype(np.float32)
-    got = seen.toPandas()
-    table[got["context"].to_numpy(int), got["cls"].to_numpy(int)] = got["logp"].to_numpy(np.float32)
+    for batch in seen.toArrow().to_batches(1 << 18):
+        context, cls, logp = (np.asarray(batch.column(n)) for n in ("context", "cls", "logp"))
+        table[context, cls] = logp
     return table
 
 
