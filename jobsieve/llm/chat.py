@@ -141,9 +141,10 @@ def decode(lines: DataFrame, model: dict[str, np.ndarray], block_lines: int = BL
     """
     marker, feature, bare = observed(F.col("text"))
     seen = computed(lines, m=F.struct(marker.alias("marker"), feature.alias("feature"), bare.alias("bare")))
-    placed = global_position(seen.select("conv", "at", "line", "m.*"), ["conv", "at", "line"], "pos")
+    original = lines.schema["conv"].dataType
+    seen = seen.select(F.col("conv").cast("string").alias("conv"), "at", "line", "m.*")  # pandas has no null numbers
+    placed = global_position(seen, ["conv", "at", "line"], "pos")
     placed = placed.select("conv", "marker", "feature", "bare", "pos", F.floor((F.col("pos") - 1) / block_lines).alias("block"))
-    kind = placed.schema["conv"].dataType.simpleString()
     k = len(ROLES)
 
     def borders(df: pd.DataFrame) -> pd.DataFrame:
@@ -157,7 +158,7 @@ def decode(lines: DataFrame, model: dict[str, np.ndarray], block_lines: int = BL
         return pd.DataFrame(rows, columns=["conv", "block", "best", "marker", "head"])
 
     slim = placed.select("conv", "marker", "feature", "pos", "block")
-    border = slim.groupBy("block").applyInPandas(borders, f"conv {kind}, block bigint, best array<double>, marker int, head boolean")
+    border = slim.groupBy("block").applyInPandas(borders, "conv string, block bigint, best array<double>, marker int, head boolean")
 
     def chain(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("block")
@@ -178,7 +179,7 @@ def decode(lines: DataFrame, model: dict[str, np.ndarray], block_lines: int = BL
         return pd.DataFrame(rows, columns=["conv", "block", "first", "last", "before"])
 
     # one small row per block and conversation at its edges
-    fixed = border.groupBy("conv").applyInPandas(chain, f"conv {kind}, block bigint, first int, last int, before int")
+    fixed = border.groupBy("conv").applyInPandas(chain, "conv string, block bigint, first int, last int, before int")
 
     def roles(df: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("pos").reset_index(drop=True)
@@ -195,7 +196,8 @@ def decode(lines: DataFrame, model: dict[str, np.ndarray], block_lines: int = BL
 
     return (
         placed.groupBy("block").cogroup(fixed.groupBy("block"))
-        .applyInPandas(roles, f"conv {kind}, pos bigint, block bigint, role string, starts bigint, bare string")
+        .applyInPandas(roles, "conv string, pos bigint, block bigint, role string, starts bigint, bare string")
+        .withColumn("conv", F.col("conv").cast(original))
     )
 
 

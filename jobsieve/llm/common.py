@@ -21,6 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(*tables: DataFrame) -> str:
+    """A prefix that no column name of the tables begins with."""
+    prefix = "__"
+    while any(c.startswith(prefix) for t in tables for c in t.columns):
+        prefix += "_"
+    return prefix
+
+
+def own_columns(df: DataFrame, *replaced: str) -> list[Column]:
+    """The table's columns without those whose names the result takes for itself."""
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in replaced]
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

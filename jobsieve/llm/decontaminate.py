@@ -25,13 +25,13 @@ from .common import hashed_words, mix, per_text, text_steps
 
 #: Edits allowed per word of an item.
 EDITS = 0.2
-RECALL = 0.995
+RECALL = 0.998
 #: Output positions in one hash.
 SAMPLED = 2
 #: Items that one pass over the documents searches for.
 BLOCK_ITEMS = 10_000
-#: Items on which the repetitions are measured, each with this many random edits of the allowed number.
-MEASURED_ITEMS, MEASURED_EDITS = 64, 8
+#: Items on which the repetitions are measured, and copies of them with random edits of the allowed number.
+MEASURED_ITEMS, MEASURED_COPIES = 64, 1024
 _PAD = np.uint64(0xFFFFFFFFFFFFFFF1)
 
 
@@ -102,8 +102,9 @@ class Items:
         if not len(self.n):
             return 1
         rng, copies, item = np.random.default_rng(11), [], []
-        for i in range(0, len(self.n), max(1, len(self.n) // MEASURED_ITEMS)):
-            for _ in range(MEASURED_EDITS):
+        some = range(0, len(self.n), max(1, len(self.n) // MEASURED_ITEMS))
+        for i in some:
+            for _ in range(-(-MEASURED_COPIES // len(some))):
                 w = list(self.word[self.at[i] : self.at[i] + self.n[i]])
                 for _ in range(self.d[i]):
                     k, what = rng.integers(0, len(w)), rng.integers(0, 3)

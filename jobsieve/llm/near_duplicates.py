@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
-from .common import hashed_words, mix, per_text, text_steps
+from .common import free, hashed_words, mix, per_text, text_steps
 
 SHINGLE = 5
 #: Jaccard similarity of a link, as a fraction so that the test is exact.
@@ -287,8 +287,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Rows with a null doc_id cannot be told apart and stay.
     """
     found = similar_texts(docs, doc_id, text)
-    first = found.where(F.col(doc_id) == F.col("class_id")).select(F.col(doc_id).alias("__keep")).distinct()
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.join(first, F.col(doc_id) == F.col("__keep"), "left_semi").select(*cols)
+    keep = f"{free(docs)}keep"
+    first = found.where(F.col(doc_id) == F.col("class_id")).select(F.col(doc_id).alias(keep)).distinct()
+    kept = docs.join(first, F.col(doc_id) == F.col(keep), "left_semi")
     null = docs.where(F.col(doc_id).isNull())
     return kept.dropDuplicates([doc_id]).unionByName(null)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.once import computed
-from .common import SPACE, words
+from .common import free, own_columns, words
 
 WINDOW = 8
 #: Rule names by bit. Positions are never reused, so stored ledgers stay readable.
@@ -60,42 +60,46 @@ def _let(value: Column, body) -> Column:
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a ``ledger`` struct: all measurements and ``failed``, a bit for each failed rule.
 
-    A null text counts as empty: no words, so ``few_words`` fails. A text of fewer than eight words
+    A column of that name is replaced. A null text counts as empty: no words, so ``few_words`` fails. A text of fewer than eight words
     has no window. Words and windows are compared by 64-bit hashes within one text. ``n_stutter`` counts
     words equal to the word before.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own, q = own_columns(docs, "ledger"), free(docs)
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = computed(docs, __words=words(F.col(text)), __lines=lines)
+    step = computed(docs, **{f"{q}words": words(F.col(text)), f"{q}lines": lines})
+    word, line = F.col(f"{q}words"), F.col(f"{q}lines")
     step = computed(
         step,
-        __keys=F.transform("__words", lambda w: F.xxhash64(w)),
-        __plain=F.struct(
-            F.size("__words").cast("long").alias("n_words"),
-            F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        **{f"{q}keys": F.transform(word, lambda w: F.xxhash64(w))},
+        **{f"{q}plain": F.struct(
+            F.size(word).cast("long").alias("n_words"),
+            F.length(F.array_join(word, "")).cast("long").alias("word_chars"),
             (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-            F.size("__lines").cast("long").alias("n_lines"),
-            (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+            F.size(line).cast("long").alias("n_lines"),
+            (F.size(line) - F.size(F.array_distinct(line))).cast("long").alias("n_dup_lines"),
             (F.length(t) - F.length(F.regexp_replace(t, r"\p{L}+", ""))).cast("long").alias("n_letters"),
-        ),
-    ).select(*own, "__keys", "__plain")
-    keys, n = F.col("__keys"), F.size("__keys")
+        )},
+    ).select(*own, f"{q}keys", f"{q}plain")
+    keys = F.col(f"{q}keys")
+    n = F.size(keys)
     window = lambda i: F.xxhash64(*[F.get(keys, i + k) for k in range(WINDOW)])
     step = computed(
         step,
-        __stutter=F.size(F.filter(keys, lambda k, i: k == F.get(keys, i - 1))).cast("long"),
-        __hashes=F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(
-            F.array().cast("array<bigint>")
-        ),
-    ).select(*own, "__plain", "__stutter", "__hashes")
-    hashes = F.col("__hashes")
+        **{
+            f"{q}stutter": F.size(F.filter(keys, lambda k, i: k == F.get(keys, i - 1))).cast("long"),
+            f"{q}hashes": F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(
+                F.array().cast("array<bigint>")
+            ),
+        },
+    ).select(*own, f"{q}plain", f"{q}stutter", f"{q}hashes")
+    hashes = F.col(f"{q}hashes")
     repeats = F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _repeat_words(hashes)).otherwise(F.lit(0))
-    plain = [F.col("__plain")[c].alias(c) for c in MEASURES[:-2]]
+    plain = [F.col(f"{q}plain")[c].alias(c) for c in MEASURES[:-2]]
     step = computed(
-        step, __m=F.struct(*plain, F.col("__stutter").alias("n_stutter"), repeats.cast("long").alias("n_repeat_words"))
+        step, **{f"{q}m": F.struct(*plain, F.col(f"{q}stutter").alias("n_stutter"), repeats.cast("long").alias("n_repeat_words"))}
     )
-    m = F.col("__m")
+    m = F.col(f"{q}m")
     fails = {
         "few_words": m["n_words"] < 20,
         "repeated_windows": 100 * m["n_repeat_words"] > 30 * m["n_words"],
@@ -146,5 +150,7 @@ def ablations(ledgers: DataFrame, policy: str) -> DataFrame:
 
 def rejected_out(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
     """The documents that pass a policy, with their own columns."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return ledger(docs, text).where(passes(policy)).select(*cols)
+    q = free(docs)
+    names = [f"{q}{i}" for i in range(len(docs.columns))]
+    kept = ledger(docs.toDF(*names), names[docs.columns.index(text)]).where(passes(policy))
+    return kept.select(*names).toDF(*docs.columns)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans.once import computed
 from ..plans.skew import fits_broadcast
 from ..session import cut
+from .common import free, own_columns
 
 try:
     from re import _constants as sre, _parser as sre_parse
@@ -208,22 +209,23 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     Candidates are copied to the executors if their checked size allows and joined otherwise. A null
     text counts as empty and has no spans. Equal texts have equal spans; repeated rows stay.
     """
+    q = free(docs)
     queries = [trigram_query(r.pattern) for r in rules]
     wanted = sorted(set().union(*[trigrams(q) for q in queries]))
     t = F.coalesce(F.col(text), F.lit(""))
     found = candidates(postings(docs, wanted, text), rules, wanted)
-    found = cut(found.select(F.col("node.a").alias("__a"), F.col("node.b").alias("__b"), F.col("rules").alias("__rules")))
+    found = cut(found.select(F.col("node.a").alias(f"{q}a"), F.col("node.b").alias(f"{q}b"), F.col("rules").alias(f"{q}rules")))
     if fits_broadcast(found):
         found = F.broadcast(found)
     key = _node(t)
-    keyed = docs.withColumns({"__ka": key["a"], "__kb": key["b"]})
-    joined = keyed.join(found, (F.col("__ka") == F.col("__a")) & (F.col("__kb") == F.col("__b")), "left")
+    keyed = docs.withColumns({f"{q}ka": key["a"], f"{q}kb": key["b"]})
+    joined = keyed.join(found, (F.col(f"{q}ka") == F.col(f"{q}a")) & (F.col(f"{q}kb") == F.col(f"{q}b")), "left")
     each = []
     for i, (rule, query) in enumerate(zip(rules, queries)):
-        asked = t.rlike(rule.pattern) if query is True else F.coalesce(F.col("__rules").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
+        asked = t.rlike(rule.pattern) if query is True else F.coalesce(F.col(f"{q}rules").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
         each.append(_spans(t, rule, i, asked))
-    out = computed(joined, __spans=F.array_sort(F.concat(*each)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
+    out = computed(joined, **{f"{q}spans": F.array_sort(F.concat(*each))})
+    return out.select(*own_columns(docs, "__spans"), F.col(f"{q}spans").alias("__spans"))
 
 
 def listed(spans: Column) -> Column:

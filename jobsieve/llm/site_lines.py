@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans.once import computed
 from ..plans.skew import fits_broadcast
 from ..session import cut
+from .common import free
 
 #: A line in more than this share of a host's pages is boilerplate.
 RATIO = 0.02
@@ -48,32 +49,34 @@ def line_shares(pages: DataFrame, host: str = "source", text: str = "text") -> D
 def drop_site_lines(
     pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES
 ) -> DataFrame:
-    """``pages`` with boilerplate lines removed, and ``n_lines`` and ``n_dropped`` as ``__lines``.
+    """``pages`` with boilerplate lines removed, and ``n_lines`` and ``n_dropped`` as ``__lines`` (replaced if there).
 
     The dropped lines of a host are one small list: lines above the ratio number at most the mean
     lines per page divided by the ratio. The lists of all hosts are copied to the executors if their
     checked size allows; otherwise they are joined, and Spark splits a hot host. A null text stays null, an empty one empty; a
     page may end up empty, and stays.
     """
+    q = free(pages)
     common = (
         line_shares(pages, host, text)
         .where((F.col("n_pages") >= min_pages) & (F.col("n_pages") > F.lit(ratio) * F.col("n_host_pages")))
-        .groupBy(F.col("host").alias("__site"))
-        .agg(F.collect_set("line").alias("__common"))
+        .groupBy(F.col("host").alias(f"{q}site"))
+        .agg(F.collect_set("line").alias(f"{q}common"))
     )
     common = cut(common)
     if fits_broadcast(common):
         common = F.broadcast(common)
-    found = pages.join(common, F.col(host).eqNullSafe(F.col("__site")), "left")
-    lines = F.col("__all")
-    split = computed(found, __all=_lines(F.col(text)))
-    kept = F.when(F.col("__common").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__common"), _line_key(x)))
+    found = pages.join(common, F.col(host).eqNullSafe(F.col(f"{q}site")), "left")
+    lines = F.col(f"{q}all")
+    split = computed(found, **{f"{q}all": _lines(F.col(text))})
+    kept = F.when(F.col(f"{q}common").isNull(), lines).otherwise(
+        F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(f"{q}common"), _line_key(x)))
     )
-    out = computed(split, __kept=kept)
-    own = [F.array_join("__kept", "\n").alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns]
+    left = F.col(f"{q}kept")
+    out = computed(split, **{f"{q}kept": kept})
+    own = [F.array_join(left, "\n").alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns if c != "__lines"]
     counts = F.struct(
-        F.coalesce(F.size("__all"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__all") - F.size("__kept"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(lines) - F.size(left), F.lit(0)).cast("long").alias("n_dropped"),
     )
     return out.select(*own, F.when(F.col(text).isNull(), F.struct(F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))).otherwise(counts).alias("__lines"))
