@@ -7,7 +7,8 @@ roles, then lines of one speaker become turns.
 A transcript of any length is decoded in blocks: lines are put in one order and numbered, a block
 is a fixed count of lines. A conversation that crosses block borders sends one matrix per block, its
 best score from each first to each last role. Chaining these fixes the roles at the borders, and each
-block is then decoded by itself. The result is exactly the undivided Viterbi path.
+block is then decoded by itself. The path has exactly the undivided path's score; of paths with equal
+scores the one that enters a block by the first role of the list is taken.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Row, functions as F
 
 from jobsieve.llm import bpe, chat, decontaminate, html_text, katz, near_duplicates, quality, secrets, site_lines, warc
 from jobsieve.llm.common import hashed_words
@@ -311,7 +312,28 @@ def test_viterbi_in_blocks_is_the_undivided_path(spark):
     whole = chat.decode(chat.lines_of(turns, "conv_id", ["turn"], "text"), model).orderBy("pos").collect()
     cut = chat.decode(chat.lines_of(turns, "conv_id", ["turn"], "text"), model, block_lines=7).orderBy("pos").collect()
     assert len(whole) == sum(len((t or "").split("\n")) for _, _, t in rows)
-    assert [(r.conv, r.pos, r.role, r.starts) for r in whole] == [(r.conv, r.pos, r.role, r.starts) for r in cut]
+    line = {r.pos: r for r in whole}
+    assert [(r.conv, r.pos, r.bare) for r in whole] == [(r.conv, r.pos, r.bare) for r in cut]
+    shown = {r.bare: r for r in spark.createDataFrame([(x,) for x in {r.bare for r in whole}], "bare string").select("bare", chat.observed(F.col("bare"))[1].alias("f")).collect()}
+
+    def path_score(rows):
+        total, before = 0.0, None
+        for r in rows:
+            k, raw = chat.ROLES.index(r.role), marks[r.pos]
+            move = model["start"][k] if before is None or before.conv != r.conv else chat._moves(model, np.array([raw]))[0][chat.ROLES.index(before.role), k]
+            total += move + model["emit"][k, shown[r.bare].f] + model["mark"][k, raw]
+            before = r
+        return total
+
+    ordered = chat.lines_of(turns, "conv_id", ["turn"], "text").orderBy("conv", "at", "line").select(chat.observed(F.col("text"))[0].alias("m")).collect()
+    marks = {pos: r.m for pos, r in zip(sorted(line), ordered)}
+    best = 0.0
+    for _, rows_of in itertools.groupby(whole, key=lambda r: r.conv):
+        rows_of = list(rows_of)
+        mark, feature = np.array([marks[r.pos] for r in rows_of]), np.array([shown[r.bare].f for r in rows_of])
+        role = [chat.ROLES[k] for k in chat._path(model, mark, feature, None, None)]
+        best += path_score([Row(conv=r.conv, pos=r.pos, bare=r.bare, role=x) for r, x in zip(rows_of, role)])
+    assert math.isclose(path_score(whole), best, abs_tol=1e-6) and math.isclose(path_score(cut), best, abs_tol=1e-6)
     said = chat.parse_transcripts(turns, model)
     assert said.agg({"n_lines": "sum"}).first()[0] == sum(len((t or "").split("\n")) for _, _, t in rows)
     assert said.where("role = 'user' AND text = 'hi?'").count() > 0
