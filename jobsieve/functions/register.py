@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .text import SPACE
+
+_SPACE = SPACE.replace("\\", "\\\\")
 _FUNCTIONS = (
     (
         "fold_plural(token STRING) RETURNS STRING",
@@ -15,7 +18,7 @@ _FUNCTIONS = (
              WHEN length(token) > 2 AND token LIKE '%s' AND NOT token RLIKE '(?:ss|us|is)$' THEN left(token, length(token) - 1)
              ELSE token END""",
     ),
-    ("squash(value STRING) RETURNS STRING", r"lower(trim(regexp_replace(value, '\\s+', ' ')))"),
+    ("squash(value STRING) RETURNS STRING", f"lower(trim(regexp_replace(value, '{_SPACE}+', ' ')))"),
     (
         "date_shape(value STRING) RETURNS STRING",
         r"""CASE WHEN value RLIKE '^\\d{4}(-\\d{1,2})?$' THEN 'iso'

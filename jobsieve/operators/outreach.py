@@ -187,10 +187,10 @@ def open_sequence(selectors: DataFrame, steps: DataFrame, contacts: DataFrame, q
     application it was written to. Neither: the most urgent queue entry.
     """
     dealt = steps.groupBy("application_id").agg(
-        F.min_by(F.struct("contact_id"), F.struct("sequence_step", "created_at")).alias("dealt")
+        F.min_by(F.struct("contact_id"), F.struct("sequence_step", "created_at", "contact_id")).alias("dealt")
     )
     first_contact = contacts.groupBy("application_id").agg(
-        F.min_by("contact_id", "created_at").alias("first_contact")
+        F.min_by("contact_id", F.struct("created_at", "contact_id")).alias("first_contact")
     )
     owner = contacts.groupBy("contact_id").agg(F.min_by("application_id", F.struct("created_at", "application_id")).alias("owner"))
     written = (
@@ -202,7 +202,7 @@ def open_sequence(selectors: DataFrame, steps: DataFrame, contacts: DataFrame, q
         queue_rows.agg(
             F.min_by(
                 F.struct("application_id", "contact_id"),
-                F.struct("group_rank", "sort_key", "application_id"),
+                F.struct("group_rank", "sort_key", "application_id", "contact_id"),
             ).alias("urgent")
         )
     )

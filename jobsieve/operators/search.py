@@ -175,8 +175,13 @@ def result_summary(results: DataFrame, by: Sequence[str], order: Sequence[str])
 
 
 def with_ratings(listings: DataFrame, ratings: DataFrame, id_column: str = "external_id") -> DataFrame:
-    """Every listing with its rating, or none; ratings of unknown listings are dropped."""
-    return listings.join(ratings.select(id_column, "tier", "reasons"), id_column, "left")
+    """Every listing with its rating, or none; ratings of unknown listings are dropped.
+
+    Of several ratings of one listing the best tier is taken, then the smallest reasons, so a
+    listing stays one row.
+    """
+    one = ratings.groupBy(id_column).agg(F.min(F.struct(tier_rank(F.col("tier")).alias("rank"), "tier", "reasons")).alias("__r"))
+    return listings.join(one.select(id_column, "__r.tier", "__r.reasons"), id_column, "left")
 
 
 def best_fit_order(results: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -159,20 +159,25 @@ def listings(payloads: DataFrame) -> DataFrame:
     return out
 
 
+def _broken() -> Column:
+    return F.col("body").isNull() | F.try_parse_json(F.col("body")).isNull()
+
+
 def failures(payloads: DataFrame) -> DataFrame:
     """Responses that are not valid JSON, one row each: ``provider, org, message``."""
-    return payloads.where(
-        F.col("body").isNull() | F.try_parse_json(F.col("body")).isNull()
-    ).select(
+    return payloads.where(_broken()).select(
         "provider", "org",
         F.concat(F.col("provider"), F.lit(' board "'), F.col("org"), F.lit('" returned invalid JSON')).alias("message"),
     )
 
 
 def search(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Listings and failures. Raises only when there were responses and all of them failed."""
+    """Listings and failures. Raises only when there were responses and all of them failed.
+
+    A bad response costs only itself: others of the same board are read.
+    """
     failed = failures(payloads)
-    good = payloads.join(failed.select("provider", "org").distinct(), ["provider", "org"], "left_anti")
+    good = payloads.where(~_broken())
     if good.isEmpty() and not payloads.isEmpty():
         raise AllSourcesFailed(failed.select("message").first()[0])
     return listings(good), failed

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from datetime import datetime
 
 import pytest
@@ -11,7 +13,7 @@ from jobsieve.functions import dates as D
 from jobsieve.functions import fields as R
 from jobsieve.functions import links as U
 from jobsieve.functions import text as T
-from jobsieve.functions.word_diff import segments
+from jobsieve.functions.word_diff import segments as token_segments
 
 
 def apply(spark, fn, values):
@@ -112,6 +114,14 @@ def _walk_back(parts, keep):
     return "".join(p["text"] for p in parts if p["type"] in ("same", keep))
 
 
+def _tokens(text):
+    return None if text is None else re.findall(r"\s+|\w+%?|\S", text)
+
+
+def segments(was, now, **limits):
+    return token_segments(_tokens(was), _tokens(now), **limits)
+
+
 def test_word_diff_rules():
     assert segments("", "x") == [{"type": "add", "text": "x"}]
     assert segments("x", None) == [{"type": "del", "text": "x"}]
@@ -120,7 +130,10 @@ def test_word_diff_rules():
         {"type": "same", "text": "cut costs "}, {"type": "del", "text": "20%"}, {"type": "add", "text": "25%"},
     ]
     long = " ".join(str(i) for i in range(900))
-    assert [s["type"] for s in segments(long, long + " x")] == ["del", "add"]
+    assert [s["type"] for s in segments(long, long + " x", max_tokens=800)] == ["del", "add"]
+    assert segments(long, long + " x") == [{"type": "same", "text": long + " "}, {"type": "add", "text": "x"}]
+    middle = segments(long, long.replace("450", "changed"))
+    assert [s["type"] for s in middle] == ["same", "del", "add", "same"]
     parts = segments("Led a team of five", "Led one small team")
     assert _walk_back(parts, "del").split() == "Led a team of five".split()
     assert _walk_back(parts, "add").split() == "Led one small team".split()
@@ -131,7 +144,7 @@ def test_sql_functions_agree_with_columns(spark):
     from jobsieve.functions.register import register_all
 
     assert "fold_plural" in register_all(spark)
-    rows = spark.createDataFrame([("policies", "strong", 0), ("boxes", "x", 5), ("June 2020", "reach", 2), ("A  b\nC", None, 1)], "s string, t string, n int")
+    rows = spark.createDataFrame([("policies", "strong", 0), ("boxes", "x", 5), ("June 2020", "reach", 2), ("A \u00a0 b\nC", None, 1)], "s string, t string, n int")
     rows.createOrReplaceTempView("samples")
     at, now = "timestamp'2024-01-01 06:00:00'", "timestamp'2024-01-03 05:00:00'"
     got = spark.sql(
@@ -156,8 +169,9 @@ def test_word_diff_keeps_a_longest_common_subsequence():
         for i in range(len(a)):
             for j in range(len(b)):
                 best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
-        from jobsieve.functions.word_diff import _script
+        from jobsieve.functions.word_diff import kept_pairs
 
-        script = _script(a, b)
-        assert sum(k == "same" for k, _ in script) == best[-1][-1]
-        assert [t for k, t in script if k != "add"] == a and [t for k, t in script if k != "del"] == b
+        pairs = kept_pairs(a, b)
+        assert len(pairs) == best[-1][-1]
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
