@@ -26,16 +26,15 @@ def _first(values: Column) -> Column:
     return F.get(F.filter(values, lambda v: v.isNotNull()), 0)
 
 
-def posting_fields(postings: DataFrame, key: str, body: str) -> DataFrame:
+def posting_fields(postings: DataFrame, key: str, body: str, max_lines: int | None = None) -> DataFrame:
     """``key, title, company, location``; null where the text does not say.
 
-    A labelled line beats "Title at Company", which beats position. Only a posting's
-    heading lines are read, inside its own row.
+    A labelled line beats "Title at Company", which beats position. All lines are read, or
+    the first ``max_lines`` that are not blank (``vocab.POSTING_FIELD_LINES`` for headings only).
     """
-    lines = F.slice(
-        F.filter(F.transform(F.split(F.col(body), r"\r?\n"), trim), lambda l: l != ""),
-        1, vocab.POSTING_FIELD_LINES,
-    )
+    lines = F.filter(F.transform(F.split(F.col(body), r"\r?\n"), trim), lambda l: l != "")
+    if max_lines is not None:
+        lines = F.slice(lines, 1, max_lines)
     rows = postings.select(key, lines.alias("lines"))
     def labelled_value(pattern: str) -> Column:
         matching = F.filter("lines", lambda l: l.rlike(pattern))

@@ -314,7 +314,7 @@ def _posting_fields_sql() -> str:
     unlabelled = " AND ".join(f"NOT regexp_matches(l, {p})" for p in _LABEL.values())
     return f"""
       WITH d AS (SELECT doc_id, {_POST_TEXT} AS body FROM documents),
-        l0 AS (SELECT doc_id, list_filter(list_transform(string_split(body, chr(10)), lambda l: trim(l)), lambda l: l <> '')[1:20] AS ls FROM d),
+        l0 AS (SELECT doc_id, list_filter(list_transform(string_split(body, chr(10)), lambda l: trim(l)), lambda l: l <> '') AS ls FROM d),
         l1 AS (SELECT doc_id, {labelled}, list_filter(ls, lambda l: {unlabelled}) AS rest FROM l0),
         l2 AS (SELECT *,
           list_filter(list_transform(flatten(list_transform(rest, lambda l: regexp_split_to_array(l, {_SEG}))),
