@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import vocab
 from ..functions.text import words
 from . import leaves as L
 
@@ -232,7 +233,8 @@ def value_changes(was: DataFrame, now: DataFrame, keys: Sequence[str], value: st
 def word_retention(pairs: DataFrame, keys: Sequence[str], written: str, edited: str) -> DataFrame:
     """Share of the original words still there, counted with multiplicity; 0 for empty text.
 
-    Words are counted per pair before the sides meet.
+    ``rewritten`` marks pairs that keep less than ``vocab.REWRITTEN_BELOW`` of their words. Words are
+    counted per pair before the sides meet.
     """
     def counts(column: str, name: str) -> DataFrame:
         return (
@@ -254,6 +256,7 @@ def word_retention(pairs: DataFrame, keys: Sequence[str], written: str, edited:
     return pairs.select(*keys).join(kept, list(keys), "left").select(
         *keys, total.alias("words"), hit.alias("kept"),
         F.when(total > 0, hit / total).otherwise(F.lit(0.0)).alias("retained"),
+        ((total > 0) & (hit < total * F.lit(vocab.REWRITTEN_BELOW))).alias("rewritten"),
     )
 
 

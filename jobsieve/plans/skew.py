@@ -9,20 +9,24 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut
 
 HOT_ROWS = 500_000
-SALTS = 64
+#: Tasks over which rows with a null key, which match nothing, are spread.
+NULL_SALTS = 64
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
-    """The keys with more than ``hot_rows`` rows, or none at all.
+def hot_limit(df: DataFrame, hot_rows: int | None = None) -> int:
+    return int(df.sparkSession.conf.get("spark.jobsieve.hotRows", str(HOT_ROWS))) if hot_rows is None else hot_rows
+
+
+def hot_keys(
+    df: DataFrame, on: Sequence[str], hot_rows: int | None = None, counted: bool = False
+) -> DataFrame | None:
+    """The keys with more than ``hot_rows`` rows, or none at all; with ``counted`` their rows as ``__n``.
 
     The limit is ``spark.jobsieve.hotRows`` unless given. Counts are combined per task before they are shuffled. There can be at most
     ``rows / hot_rows`` such keys, so the list is small enough to broadcast.
     """
-    if hot_rows is None:
-        hot_rows = int(df.sparkSession.conf.get("spark.jobsieve.hotRows", str(HOT_ROWS)))
-    hot = cut(
-        df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*on)
-    )
+    found = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_limit(df, hot_rows))
+    hot = cut(found if counted else found.select(*on))
     return None if hot.isEmpty() else hot
 
 
@@ -34,32 +38,37 @@ def salted_join(
     how: str = "left",
     counted: DataFrame | None = None,
     hot_rows: int | None = None,
-    salts: int = SALTS,
+    null_salts: int = NULL_SALTS,
 ) -> DataFrame:
     """Join a large ``left`` to a ``right`` that has one row per key.
 
     Without hot keys this is an ordinary join. Otherwise the rows of each hot key are
-    split over ``salts`` tasks: a left row picks a salt from its own identity
+    split over as many tasks as its rows are times the hot limit: a left row picks a salt from its own identity
     (``spread``), and the one right row of that key is repeated once per salt. A salt
     depends only on the row's own values, so a recomputed task sends its rows to the
     same place. Null keys never match and are spread too. ``counted`` is a cheaper table
     with the same keys to count hot ones on.
     """
     on = list(on)
-    hot = hot_keys(left if counted is None else counted, on, hot_rows)
+    limit = hot_limit(left, hot_rows)
+    hot = hot_keys(left if counted is None else counted, on, limit, counted=True)
     if hot is None:
         return left.join(right, on, how)
-    hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
+    # at least two, so that a key just over the limit is split as well
+    salts = F.greatest(F.lit(2), F.ceil(F.col("__n") / F.lit(limit)).cast("int")).alias("__hot")
+    hot = hot.select(*on, salts)
+    if fits_broadcast(hot):
+        hot = F.broadcast(hot)
     any_null = F.lit(False)
     for name in on:
         any_null = any_null | F.col(name).isNull()
-    own_salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
+    own_salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.coalesce("__hot", F.lit(null_salts))).cast("int")
+    every_salt = F.sequence(F.lit(0), F.col("__hot") - 1)
     salted_left = left.join(hot, on, "left").withColumn(
-        "__salt", F.when(F.col("__hot") | any_null, own_salt).otherwise(F.lit(0))
+        "__salt", F.when(F.col("__hot").isNotNull() | any_null, own_salt).otherwise(F.lit(0))
     )
     salted_right = right.join(hot, on, "left").withColumn(
-        "__salt", F.explode(F.when(F.col("__hot"), every_salt).otherwise(F.array(F.lit(0))))
+        "__salt", F.explode(F.when(F.col("__hot").isNotNull(), every_salt).otherwise(F.array(F.lit(0))))
     )
     return (
         salted_left.drop("__hot")

@@ -151,7 +151,8 @@ def word_diff(spark, sf):
            cb AS (SELECT conv_id, turn, v, count(*) AS n FROM (SELECT conv_id, turn, unnest(b) AS v FROM w) GROUP BY ALL),
            k AS (SELECT conv_id, turn, sum(ca.n) AS words, sum(least(ca.n, coalesce(cb.n, 0))) AS kept FROM ca LEFT JOIN cb USING (conv_id, turn, v) GROUP BY ALL)
            SELECT conv_id, turn, CAST(coalesce(words, 0) AS BIGINT) AS words, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
-             round(CASE WHEN words > 0 THEN kept / words ELSE 0 END, 9) AS retained FROM w LEFT JOIN k USING (conv_id, turn)""",
+             round(CASE WHEN words > 0 THEN kept / words ELSE 0 END, 9) AS retained,
+             coalesce(words, 0) > 0 AND 2 * coalesce(kept, 0) < coalesce(words, 0) AS rewritten FROM w LEFT JOIN k USING (conv_id, turn)""",
     ),
 )
 def word_retention(spark, sf):
