@@ -55,7 +55,7 @@ def salted_join(
     if hot is None:
         return left.join(right, on, how)
     # at least two, so that a key just over the limit is split as well
-    salts = F.greatest(F.lit(2), F.ceil(F.col("__n") / F.lit(limit)).cast("int")).alias("__hot")
+    salts = F.greatest(F.lit(2), F.ceil(F.col("__n") / F.lit(max(1, limit))).cast("int")).alias("__hot")
     hot = hot.select(*on, salts)
     if fits_broadcast(hot):
         hot = F.broadcast(hot)
