@@ -7,10 +7,8 @@ no row is dropped.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas, vocab
@@ -144,92 +142,174 @@ def validate_changes(changes: DataFrame, resumes: DataFrame, key: str, number: s
 
 # --- applying accepted changes ----------------------------------------------
 
+#: The order in which kinds of change are applied, and the separator of a new order.
 _APPLY_ORDER = {"edit": 0, "remove": 1, "add": 2, "reorder": 3}
-_RESULT = "struct<content:string,skipped:array<struct<change_no:bigint,reason:string>>>"
-
-
-def _segments(path: str) -> list[str | int]:
-    flat = path.replace("[", ".").replace("]", "")
-    return [int(s) if s.isdigit() else s for s in flat.split(".") if s]
-
-
-def _child(node, key):
-    if isinstance(node, dict):
-        return node.get(str(key))
-    if isinstance(node, list) and isinstance(key, int) and key < len(node):
-        return node[key]
-    return None
-
-
-def _walk(node, keys):
-    for key in keys:
-        node = _child(node, key)
-    return node
-
-
-def _in_new_order(items: list, order: str) -> list | None:
-    """``items`` as ``order`` lists them, or null when that is not the same items."""
-    wanted = [part.strip() for part in order.split(" · ")]
-    pool: dict[str, list] = {}
-    for item in items:
-        pool.setdefault(item.strip() if isinstance(item, str) else None, []).append(item)
-    if len(wanted) != len(items) or any(not pool.get(w) for w in set(wanted)):
-        return None
-    try:
-        return [pool[w].pop(0) for w in wanted]
-    except IndexError:
-        return None
-
-
-def _land(document: dict, kind: str, path: str, now: str) -> str | None:
-    """Apply one change in place; the reason when it does not land."""
-    keys = _segments(path)
-    if not keys:
-        return "This change names no field in your résumé."
-    at = _walk(document, keys)
-    if kind == "reorder":
-        if not isinstance(at, list):
-            return "That is not a list in your résumé."
-        if not now.strip():
-            return "The model gave no order to put that list in."
-        ordered = _in_new_order(at, now)
-        if ordered is None:
-            return "That order is not the same items the list holds."
-        at[:] = ordered
-        return None
-    if kind == "add" and isinstance(at, list):
-        at.append(now)
-        return None
-    parent, last = _walk(document, keys[:-1]), keys[-1]
-    if not isinstance(parent, (dict, list)):
-        return f"Nothing at {path} to add to." if kind == "add" else f"{path} is not a field in your résumé."
-    indexed = isinstance(parent, list) and isinstance(last, int)
-    if kind == "add":
-        if indexed and last > len(parent):
-            return f"{path} is past the end of that list."
-        if indexed:
-            parent.insert(last, now)
-        elif isinstance(parent, dict):
-            parent[str(last)] = now
-        return None
-    if at is None:
-        return f"{path} is not in your résumé."
-    if kind == "remove":
-        del parent[last if indexed else str(last)]
-    else:
-        parent[last if indexed else str(last)] = now
-    return None
-
-
-def _apply_all(content: str, changes) -> dict:
-    document = json.loads(content)
-    skipped = []
-    for change in sorted(changes, key=lambda c: (c["phase"], c["rank"], c["change_no"])):
-        reason = _land(document, change["kind"], change["path"], change["now"])
-        if reason:
-            skipped.append({"change_no": change["change_no"], "reason": reason})
-    skipped.sort(key=lambda s: s["change_no"])
-    return {"content": json.dumps(document, ensure_ascii=False), "skipped": skipped}
+_ORDER_SEPARATOR = " · "
+#: Why a change does not land; those with an address start with it or name it.
+_NO_FIELD = "This change names no field in your résumé."
+_NO_LIST = "That is not a list in your résumé."
+_NO_ORDER = "The model gave no order to put that list in."
+_OTHER_ITEMS = "That order is not the same items the list holds."
+_NOTHING_AT = "Nothing at {} to add to."
+_PAST_END = "{} is past the end of that list."
+_NOT_A_FIELD = "{} is not a field in your résumé."
+_NOT_IN = "{} is not in your résumé."
+
+_SKIPS = "array<struct<change_no:bigint,reason:string>>"
+
+
+def _texts(record: Column, names: Sequence[str]) -> Column:
+    """The texts a record has, by name."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("key"), record[n].alias("value")) for n in names])
+    return F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
+
+
+def _uniform(content: Column) -> tuple[Column, Column]:
+    """A document whose sections all look alike: basic texts, and entries of (texts, items) by section."""
+
+    def entries(section: str) -> Column:
+        names, items = L.SECTIONS[section]
+        return F.transform(content[section], lambda e: F.struct(_texts(e, names).alias("texts"), e[items].alias("items")))
+
+    sections = F.map_from_arrays(F.array(*map(F.lit, L.SECTIONS)), F.array(*map(entries, L.SECTIONS)))
+    return _texts(content["basics"], L.BASICS), sections
+
+
+def _document(basics: Column, sections: Column) -> Column:
+    """The way back; texts under unknown names go."""
+
+    def record(texts: Column, names: Sequence[str]) -> list[Column]:
+        return [F.try_element_at(texts, F.lit(n)).alias(n) for n in names]
+
+    def entries(section: str) -> Column:
+        names, items = L.SECTIONS[section]
+        return F.transform(
+            F.try_element_at(sections, F.lit(section)), lambda e: F.struct(*record(e["texts"], names), e["items"].alias(items))
+        ).alias(section)
+
+    return F.struct(F.struct(*record(basics, L.BASICS)).alias("basics"), *map(entries, L.SECTIONS))
+
+
+def _address(path: Column) -> list[Column]:
+    """Where a path points: what kind of spot, and its section, entry, name and item number."""
+    key = path_key(path)
+    parts = F.split(key, r"\.")
+    part = lambda i: F.get(parts, F.lit(i))
+    number = lambda i: F.when(part(i).rlike("^[0-9]+$"), F.coalesce(part(i).try_cast("long"), F.lit(1 << 62)))
+    basics, depth = part(0) == "basics", F.size(parts)
+    section = part(0).isin(*L.SECTIONS)
+    entry, item = number(1), number(3)
+    items_name = F.lit(None).cast("string")
+    for name, (_, items) in L.SECTIONS.items():
+        items_name = F.when(part(0) == name, items).otherwise(items_name)
+    listed = F.coalesce(part(2) == items_name, F.lit(False))
+    in_entry = section & entry.isNotNull()
+    spot = (
+        F.when(key == "", "none")
+        .when(depth == 1, F.when(basics, "basics").when(section, "section").otherwise("stray"))
+        .when(basics & (depth == 2), "text")
+        .when(section & (depth == 2), F.when(entry.isNotNull(), "entry").otherwise("stray"))
+        .when(in_entry & (depth == 3), F.when(listed, "items").otherwise("text"))
+        .when(in_entry & (depth == 4) & listed, F.when(item.isNotNull(), "item").otherwise("stray item"))
+        .otherwise("nowhere")
+    )
+    name = F.when(basics, part(1)).otherwise(part(2))
+    return [spot.alias("spot"), part(0).alias("section"), entry.alias("entry"), name.alias("name"), item.alias("item")]
+
+
+def reordered(items: Column, order: Column) -> Column:
+    """``items`` as ``order`` lists them, or null when that is not the same items.
+
+    Both sides sorted by text and position line up one to one, so equal texts keep their order.
+    """
+    by_text = F.array_sort(F.transform(items, lambda x, i: F.struct(T.trim(x).alias("w"), i.alias("i"), x.alias("x"))))
+    wanted = F.transform(F.split(order, _ORDER_SEPARATOR), lambda w, i: F.struct(T.trim(w).alias("w"), i.alias("i")))
+    sought = F.array_sort(wanted)
+    same = F.transform(by_text, lambda x: x["w"]) == F.transform(sought, lambda x: x["w"])
+    placed = F.zip_with(sought, by_text, lambda a, b: F.struct(a["i"].alias("i"), b["x"].alias("x")))
+    return F.when(same, F.transform(F.array_sort(placed), lambda x: x["x"]))
+
+
+def _apply_one(state: Column, c: Column) -> Column:
+    """The document after one change, or as it was with the reason why the change did not land."""
+    basics, sections, kind, now, spot = state["basics"], state["sections"], c["kind"], c["now"], c["spot"]
+    entries = F.try_element_at(sections, c["section"])
+    at = F.when(c["entry"] < F.size(entries), F.get(entries, c["entry"].cast("int")))
+    items = at["items"]
+    in_basics = c["section"] == "basics"
+    text = F.try_element_at(F.when(in_basics, basics).otherwise(at["texts"]), c["name"])
+    told = lambda words: F.replace(F.lit(words), F.lit("{}"), c["path"])
+
+    here = (
+        F.when(spot.isin("items", "item", "stray item"), at.isNotNull())
+        .when(spot == "text", in_basics | at.isNotNull())
+        .otherwise(spot != "nowhere")
+    )
+    present = (
+        F.when(spot == "text", text.isNotNull())
+        .when(spot.isin("entry", "items"), at.isNotNull())
+        .when(spot == "item", F.coalesce(c["item"] < F.size(items), F.lit(False)))
+        .otherwise(spot.isin("basics", "section"))
+    )
+    reason = (
+        F.when(spot == "none", _NO_FIELD)
+        .when(
+            kind == "reorder",
+            F.when(~((spot == "section") | ((spot == "items") & at.isNotNull())), _NO_LIST)
+            .when(T.trim(now) == "", _NO_ORDER)
+            .when((spot == "section") | reordered(items, now).isNull(), _OTHER_ITEMS),
+        )
+        .when(
+            kind == "add",
+            F.when(~here, told(_NOTHING_AT))
+            .when((spot == "item") & (c["item"] > F.size(items)), told(_PAST_END))
+            .when((spot == "entry") & (c["entry"] > F.size(entries)), told(_PAST_END))
+            .when(spot.isin("basics", "section", "entry"), told(_NOTHING_AT)),
+        )
+        .when(~here, told(_NOT_A_FIELD))
+        .when(~present, told(_NOT_IN))
+        .when((kind == "edit") & ~spot.isin("text", "item"), told(_NOT_A_FIELD))
+    )
+
+    def texts_after(texts: Column) -> Column:
+        others = F.map_filter(texts, lambda k, _: k != c["name"])
+        return F.when(kind == "remove", others).otherwise(F.map_concat(others, F.create_map(c["name"], now)))
+
+    def items_after(old: Column) -> Column:
+        n = c["item"].cast("int")
+        inserted = F.concat(F.slice(old, F.lit(1), n), F.array(now), F.slice(old, n + 1, F.size(old)))
+        return (
+            F.when(spot == "stray item", old)
+            .when(kind == "edit", F.transform(old, lambda x, i: F.when(i == n, now).otherwise(x)))
+            .when(kind == "reorder", reordered(old, now))
+            .when(kind == "add", F.when(spot == "items", F.concat(old, F.array(now))).otherwise(inserted))
+            .when(spot == "items", F.slice(old, 1, 0))
+            .otherwise(F.filter(old, lambda _, i: i != n))
+        )
+
+    def entry_after(e: Column) -> Column:
+        return F.struct(
+            F.when(spot == "text", texts_after(e["texts"])).otherwise(e["texts"]).alias("texts"),
+            F.when(spot == "text", e["items"]).otherwise(items_after(e["items"])).alias("items"),
+        )
+
+    def entries_after(old: Column) -> Column:
+        changed = F.transform(old, lambda e, i: F.when(i == c["entry"], entry_after(e)).otherwise(e))
+        gone = F.filter(old, lambda _, i: i != c["entry"])
+        return F.when(spot == "section", F.slice(old, 1, 0)).when(spot == "entry", gone).otherwise(changed)
+
+    def after(why: Column) -> Column:
+        lands = why.isNull() & (spot != "stray")
+        inside = F.when(spot == "basics", F.map_filter(basics, lambda k, _: F.lit(False))).otherwise(texts_after(basics))
+        elsewhere = F.transform_values(sections, lambda k, old: F.when(k == c["section"], entries_after(old)).otherwise(old))
+        skip = F.array(F.struct(c["change_no"].alias("change_no"), why.alias("reason")))
+        return F.struct(
+            F.when(lands & in_basics, inside).otherwise(basics).alias("basics"),
+            F.when(lands & ~in_basics, elsewhere).otherwise(sections).alias("sections"),
+            F.when(why.isNull(), state["skipped"]).otherwise(F.concat(state["skipped"], skip)).alias("skipped"),
+        )
+
+    return F.get(F.transform(F.array(reason), after), F.lit(0))
 
 
 def apply_changes(resumes: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
@@ -238,7 +318,10 @@ def apply_changes(resumes: DataFrame, accepted: DataFrame, key: str) -> DataFram
     Edits first, then removals from the highest index down, additions in review order,
     reorders last; refused changes never apply. Repeated edits of one field reduce to
     the last before anything is gathered, and what is gathered per document otherwise
-    becomes part of that document.
+    becomes part of that document, which takes its changes one by one inside its own row.
+
+    A removed list is an empty one. A text never replaces or joins records: such a change is
+    skipped. A text added under an unknown name lands and is dropped with its name.
     """
     usable = accepted.where(F.col("status") != "refused")
     is_edit = F.col("kind") == "edit"
@@ -252,36 +335,26 @@ def apply_changes(resumes: DataFrame, accepted: DataFrame, key: str) -> DataFram
     phase = F.lit(None).cast("int")
     for kind, rank in _APPLY_ORDER.items():
         phase = F.when(F.col("kind") == kind, rank).otherwise(phase)
+    number = F.col("change_no").cast("long")
     final_index = F.coalesce(F.regexp_extract(path_key(F.col("path")), r"(?:^|\.)(\d+)$", 1).try_cast("long"), F.lit(-1))
     ranked = last_edits.unionByName(others).select(
         key,
         F.struct(
-            "change_no", "kind", "path", F.coalesce("now", F.lit("")).alias("now"),
-            phase.alias("phase"),
-            F.when(F.col("kind") == "remove", -final_index).otherwise(F.col("change_no").cast("long")).alias("rank"),
+            phase.alias("phase"), F.when(F.col("kind") == "remove", -final_index).otherwise(number).alias("rank"),
+            number.alias("change_no"), "kind", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("now", F.lit("")).alias("now"),
+            *_address(F.coalesce("path", F.lit(""))),
         ).alias("c"),
     )
-    gathered = ranked.groupBy(key).agg(F.collect_list("c").alias("__changes"))
-
-    @F.pandas_udf(_RESULT)
-    def applied(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for contents, lists in batches:
-            yield pd.DataFrame(
-                [_apply_all(c, rows if rows is not None else []) for c, rows in zip(contents, lists)],
-                columns=["content", "skipped"],
-            )
-
-    joined = resumes.join(gathered, key, "left")
-    touched = joined.where(F.col("__changes").isNotNull()).select(
-        key, applied(F.to_json("content", {"ignoreNullFields": "true"}), F.col("__changes")).alias("r")
-    )
-    changed = touched.select(
-        key, clean_content(F.from_json("r.content", schemas.RESUME_CONTENT)).alias("content"), F.col("r.skipped").alias("skipped")
-    )
-    same = joined.where(F.col("__changes").isNull()).select(
-        key, F.col("content"), F.array().cast("array<struct<change_no:bigint,reason:string>>").alias("skipped")
+    gathered = ranked.groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("__changes"))
+    basics, sections = _uniform(F.col("content"))
+    start = F.struct(basics.alias("basics"), sections.alias("sections"), F.array().cast(_SKIPS).alias("skipped"))
+    touched = F.col("__changes").isNotNull()
+    done = resumes.join(gathered, key, "left").withColumn("__done", F.when(touched, F.aggregate("__changes", start, _apply_one)))
+    changed = clean_content(_document(F.col("__done.basics"), F.col("__done.sections")))
+    return done.select(
+        key, F.when(touched, changed).otherwise(F.col("content")).alias("content"),
+        F.coalesce(F.array_sort("__done.skipped"), F.array().cast(_SKIPS)).alias("skipped"),
     )
-    return changed.unionByName(same)
 
 
 def skip_report(applied: DataFrame, accepted: DataFrame, key: str) -> DataFrame:

@@ -250,35 +250,51 @@ def _accepted(spark, sf):
         ("remove", "skills[0].items[0]", ""), ("reorder", "custom", "a · b · c"),
         ("edit", "basics.url", "never"), ("remove", "basics.phone", ""),
     ]
+    rows = [(k, p, F.lit(n)) for k, p, n in rows]
+    items = F.get("content.skills", 0)["items"]
+    rows.append(("reorder", "skills[0].items", F.array_join(F.reverse(F.slice(items, 2, F.size(items))), " · ")))
     changes = F.array(
         *[
-            F.struct(F.lit(i).cast("long").alias("change_no"), F.lit(k).alias("kind"), F.lit(p).alias("path"), F.lit(n).alias("now"),
+            F.struct(F.lit(i).cast("long").alias("change_no"), F.lit(k).alias("kind"), F.lit(p).alias("path"), n.alias("now"),
                      F.lit("proposed").alias("status"))
             for i, (k, p, n) in enumerate(rows)
         ]
     )
-    return V.table(spark, sf, "documents").select("doc_id", F.inline(changes))
+    return V.resumes(spark, sf).select("doc_id", F.inline(changes))
 
 
 @query(
     "applied_changes",
     with_views(
         "rs je bl",
-        """, b AS (SELECT doc_id, list(value ORDER BY j) AS v FROM bl WHERE e = 0 GROUP BY doc_id)
-           SELECT r.doc_id, CASE WHEN v IS NULL THEN NULL ELSE array_to_string(list_concat(list_concat(['TOP', 'LAST'], v[4:]), ['ADDED']), '|') END AS bullets,
-             len(string_split(ls[1], ' ')) - 1 AS items, CAST(NULL AS VARCHAR) AS phone,
-             CASE WHEN v IS NULL THEN 8 ELSE 2 + CASE WHEN len(v) < 2 THEN 1 ELSE 0 END + CASE WHEN len(v) < 3 THEN 1 ELSE 0 END END AS skipped
-           FROM rs r LEFT JOIN b USING (doc_id)""",
+        """, b AS (SELECT doc_id, list(value ORDER BY j) AS v FROM bl WHERE e = 0 GROUP BY doc_id),
+             k AS (SELECT r.doc_id, v, list_reverse(string_split(ls[1], ' ')[2:]) AS its FROM rs r LEFT JOIN b USING (doc_id))
+           SELECT doc_id, CASE WHEN v IS NULL THEN NULL ELSE array_to_string(list_concat(list_concat(['TOP', 'LAST'], v[4:]), ['ADDED']), '|') END AS bullets,
+             array_to_string(its, '|') AS items, CAST(NULL AS VARCHAR) AS phone,
+             array_to_string(list_filter([
+               CASE WHEN v IS NULL THEN '0 experience.0.bullets.0 is not a field in your résumé.' END,
+               CASE WHEN v IS NULL THEN '1 experience.0.bullets.0 is not a field in your résumé.' END,
+               CASE WHEN v IS NULL THEN '2 experience[0].bullets[1] is not a field in your résumé.' WHEN len(v) < 2 THEN '2 experience[0].bullets[1] is not in your résumé.' END,
+               CASE WHEN v IS NULL THEN '3 experience[0].bullets[2] is not a field in your résumé.' WHEN len(v) < 3 THEN '3 experience[0].bullets[2] is not in your résumé.' END,
+               CASE WHEN v IS NULL THEN '4 Nothing at experience[0].bullets to add to.' END,
+               CASE WHEN v IS NULL THEN '5 Nothing at experience[0].bullets[0] to add to.' END,
+               '7 That order is not the same items the list holds.', '8 basics.url is not in your résumé.',
+               CASE WHEN trim(array_to_string(its, ' · ')) = '' THEN '10 The model gave no order to put that list in.' END],
+               lambda x: x IS NOT NULL), '|') AS skipped
+           FROM k""",
     ),
 )
 def applied_changes(spark, sf):
     accepted = _accepted(spark, sf)
     applied = P.apply_changes(V.resumes(spark, sf), accepted, "doc_id")
-    skipped = P.skip_report(applied, accepted, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("skipped"))
+    told = F.struct("change_no", F.concat_ws(" ", "change_no", "reason").alias("t"))
+    skipped = P.skip_report(applied, accepted, "doc_id").groupBy("doc_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(told)), lambda x: x["t"]), "|").alias("skipped")
+    )
     return applied.drop("skipped").join(skipped, "doc_id", "left").select(
         "doc_id", F.array_join(F.get("content.experience", 0)["bullets"], "|").alias("bullets"),
-        F.size(F.get("content.skills", 0)["items"]).alias("items"), F.col("content.basics.phone").alias("phone"),
-        F.coalesce("skipped", F.lit(0)).alias("skipped"),
+        F.array_join(F.get("content.skills", 0)["items"], "|").alias("items"), F.col("content.basics.phone").alias("phone"),
+        "skipped",
     )
 
 

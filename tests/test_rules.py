@@ -143,10 +143,37 @@ def test_validation_and_application(spark):
     assert skipped == [(4, "That order is not the same items the list holds."), (5, "projects[4] is not in your résumé.")]
 
 
-def test_reorder_is_a_permutation():
-    assert provenance._in_new_order(["a", "b ", "a"], "b · a · a") == ["b ", "a", "a"]
-    assert provenance._in_new_order(["a", "b"], "a · a") is None
-    assert provenance._in_new_order(["a", "b"], "a · b · c") is None
+def test_reorder_is_a_permutation(spark):
+    rows = [(["a", "b ", "a"], "b · a · a"), (["a", "b"], "a · a"), (["a", "b"], "a · b · c"), ([], "a")]
+    df = spark.createDataFrame(rows, "items array<string>, o string").coalesce(1)
+    got = [r[0] for r in df.select(provenance.reordered(F.col("items"), F.col("o"))).collect()]
+    assert got == [["b ", "a", "a"], None, None, None]
+
+
+def test_every_reason_a_change_does_not_land(spark):
+    good, _ = resumes(spark, RESUME)
+    bullets = RESUME["experience"][0]["bullets"]
+    changes = [
+        ("edit", "", "x"), ("edit", "basics.nothing", "x"), ("edit", "experience[9].title", "x"), ("edit", "basics", "x"),
+        ("remove", "experience[0].title.x", ""), ("remove", "experience.first", ""), ("remove", "experience[0].bullets[99999999999999999999]", ""),
+        ("add", "experience[0].bullets[77]", "x"), ("add", "nowhere.at.all", "x"), ("add", "experience", "x"), ("add", "brand_new", "x"),
+        ("reorder", "basics.name", "x"), ("reorder", "experience[0].bullets", " "), ("reorder", "experience", "x"),
+        ("add", "basics.url", "https://new.example"), ("remove", "custom", ""), ("edit", "experience[0].bullets[0]", "first"),
+        ("reorder", "experience[0].bullets", " · ".join([*bullets[1:], "first"])), ("add", None, "x"),
+    ]
+    accepted = spark.createDataFrame([(0, i, *c, "proposed") for i, c in enumerate(changes)], "doc_id int, change_no long, kind string, path string, now string, status string")
+    row = provenance.apply_changes(good, accepted, "doc_id").collect()[0]
+    reasons = dict(row["skipped"])
+    no_field, at, past, not_in, nothing = "This change names no field in your résumé.", "is not a field in your résumé.", "is past the end of that list.", "is not in your résumé.", "Nothing at {} to add to."
+    assert reasons == {
+        0: no_field, 1: f"basics.nothing {not_in}", 2: f"experience[9].title {at}", 3: f"basics {at}", 4: f"experience[0].title.x {at}",
+        5: f"experience.first {not_in}", 6: f"experience[0].bullets[99999999999999999999] {not_in}", 7: f"experience[0].bullets[77] {past}",
+        8: nothing.format("nowhere.at.all"), 9: nothing.format("experience"), 11: "That is not a list in your résumé.",
+        12: "The model gave no order to put that list in.", 13: "That order is not the same items the list holds.", 18: no_field,
+    }
+    assert row["content"]["basics"]["url"] == "https://new.example" and row["content"]["custom"] == []
+    assert row["content"]["experience"][0]["bullets"] == [*bullets[1:], "first"]
+
 
 
 def test_funnel_rates_are_null_when_sets_do_not_nest(spark):
