@@ -10,7 +10,7 @@ from .. import vocab
 from ..functions.fields import query_key, tier_rank
 from ..functions.text import SPACE, plural, trim
 from ..plans.scan import global_position, running
-from ..plans.skew import fits_broadcast
+from ..plans.skew import fits_broadcast, salted_join
 
 GRAM = 3
 
@@ -44,63 +44,70 @@ def matches(keywords: Column, location: Column, remote_only: Column) -> Column:
     )
 
 
-def _anchored(queries: DataFrame) -> DataFrame:
-    """Queries with one anchor each: a gram of their longest word, whole when it is short.
+#: What an anchor is taken from, longest word first: the keywords, else the place, else nothing.
+_ANY, _WORDS, _PLACE = "a", "k", "p"
+
 
-    The words of a search phrase may be cut at its ends but each lies inside one word
-    of a matching listing, so every listing that matches contains the anchor.
+def _anchor(phrase: Column) -> Column:
+    """A gram of the longest word, whole when it is short; null without words.
+
+    The words of a phrase may be cut at its ends but each lies inside one word of a
+    matching text, so every text that contains the phrase contains the anchor.
     """
-    needle = F.lower(trim(F.coalesce("keywords", F.lit(""))))
     by_length = F.array_sort(
-        F.transform(_words(needle), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
+        F.transform(_words(phrase), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
     )
-    longest = F.get(by_length, 0)["w"]
-    return queries.withColumn("__needle", needle).withColumn(
-        "__anchor",
-        F.when(longest.isNull(), F.lit("")).otherwise(F.substr(longest, F.lit(1), F.lit(GRAM))),
+    return F.substr(F.get(by_length, 0)["w"], F.lit(1), F.lit(GRAM))
+
+
+def _anchored(queries: DataFrame) -> DataFrame:
+    """The search's own columns under free names and its one anchor as ``__gram``."""
+    words = _anchor(F.lower(trim(F.coalesce("keywords", F.lit("")))))
+    place = _anchor(F.lower(trim(F.coalesce("location", F.lit("")))))
+    return queries.select(
+        F.col("query_id").alias("__query"), F.col("keywords").alias("__keywords"),
+        F.col("location").alias("__place"), F.col("remote_only").alias("__remote"),
+        F.coalesce(F.concat(F.lit(_WORDS), words), F.concat(F.lit(_PLACE), place), F.lit(_ANY)).alias("__gram"),
     )
 
 
-def saved_search_hits(
-    queries: DataFrame, listings: DataFrame, listing_id: Sequence[str] = ("external_id",)
-) -> DataFrame:
-    """All (query, listing) matches for many queries at once.
+def _grams_asked_for(asked: DataFrame) -> Column:
+    """Every anchor of a kind and length in use that can lead to a listing, once."""
+    mark, size = F.left("__gram", F.lit(1)), F.length("__gram") - 1
+    kinds = sorted(tuple(r) for r in asked.select(mark, size).distinct().collect())  # at most seven
+    texts = {_WORDS: _haystack(), _PLACE: F.lower(F.coalesce(F.col("location"), F.lit("")))}
+    parts = [F.array(F.lit(_ANY)).cast("array<string>")] if any(k == _ANY for k, _ in kinds) else [F.array().cast("array<string>")]
+    for kind, text in texts.items():
+        sizes = [n for k, n in kinds if k == kind]
+        if sizes:
+            words = F.array_distinct(_words(text))
+            of_size = [F.flatten(F.transform(words, lambda w: _grams(w, n))) for n in sizes]
+            parts.append(F.transform(F.concat(*of_size), lambda g: F.concat(F.lit(kind), g)))
+    return F.array_distinct(F.concat(*parts))
+
+
+def saved_search_hits(queries: DataFrame, listings: DataFrame, max_searches: int = 100_000) -> DataFrame:
+    """All (query, listing) matches for many queries at once, one row per query and listing row.
 
     Substring search as an equi-join: each query brings one anchor gram, each listing
-    the distinct grams of its words, and only pairs that share the anchor are tested.
-    With few queries the anchors travel to the listings and text is never shuffled;
-    otherwise only ids and grams are shuffled to find candidates. Short needles (one
-    or two characters) anchor on grams of their own length.
+    the distinct grams of its words, and only pairs that share the anchor are tested. Up to
+    ``max_searches`` searches of a checked size travel to the listings, and text is never shuffled.
+    Otherwise listings are named by a digest of all their columns; only digests and grams are
+    shuffled to find candidates, and a candidate is joined back to all listing rows of its digest.
+    Equal listing rows are hits each, null columns or not; both ways give the same rows.
     """
-    anchored = _anchored(queries)
-    # At most four lengths, 0 to GRAM: 0 is a search without keywords.
-    lengths = [r[0] for r in anchored.select(F.length("__anchor")).distinct().collect()]
-    distinct_words = F.array_distinct(_words(_haystack()))
-
-    def all_grams(size: int) -> Column:
-        if size == 0:
-            return F.array(F.lit(""))
-        return F.flatten(F.transform(distinct_words, lambda w: _grams(w, size)))
-
-    parts = [all_grams(size) for size in lengths]
-    grams = F.array_distinct(F.concat(*parts)) if parts else F.array(F.lit(""))
-    query_side = anchored.select(
-        "query_id",
-        F.col("keywords").alias("q_keywords"),
-        F.col("location").alias("q_location"),
-        F.col("remote_only").alias("q_remote_only"),
-        F.col("__anchor").alias("gram"),
-    )
-    predicate = matches(F.col("q_keywords"), F.col("q_location"), F.col("q_remote_only"))
-    if fits_broadcast(queries):
-        exploded = listings.withColumn("gram", F.explode(grams))
-        hits = exploded.join(F.broadcast(query_side), "gram").where(predicate)
-        return hits.select("query_id", *listings.columns)
-    ids = listings.select(*listing_id, F.explode(grams).alias("gram"))
-    candidates = ids.join(query_side, "gram").drop("gram")
-    return candidates.join(listings, list(listing_id)).where(predicate).select(
-        "query_id", *listings.columns
-    )
+    asked = _anchored(queries)
+    grams = F.explode(_grams_asked_for(asked))
+    predicate = matches(F.col("__keywords"), F.col("__place"), F.col("__remote"))
+    if fits_broadcast(asked, max_rows=max_searches):
+        met = listings.withColumn("__gram", grams).join(F.broadcast(asked), "__gram")
+    else:
+        digest = F.sha2(F.to_json(F.struct(*listings.columns), {"ignoreNullFields": "false"}), 256)
+        named = listings.withColumn("__digest", digest)
+        keys = named.select("__digest", grams.alias("__gram")).distinct()
+        candidates = salted_join(keys, asked, ["__gram"], ["__digest"], "inner")
+        met = salted_join(candidates, named, ["__digest"], ["__query"], "inner")
+    return met.where(predicate).select(F.col("__query").alias("query_id"), *listings.columns)
 
 
 def adapter_labels(hits: DataFrame, queries: DataFrame, asked: Column) -> DataFrame:
@@ -147,6 +154,11 @@ def save_searches(stored: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def newest_searches(saved: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Saved searches newest first; ties by ``order``. Adds ``place``."""
+    return global_position(saved, [F.col("created_at").desc_nulls_last(), *order], "place")
+
+
 def result_summary(results: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``18 results · 5 rated · jsearch`` per search; sources in first-seen order."""
     per_source = results.groupBy(*by, "source").agg(

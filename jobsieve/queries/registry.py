@@ -110,10 +110,10 @@ VIEWS["listings"] = """
 
 VIEWS["searches"] = r"""
   SELECT item_id AS query_id,
-    CASE WHEN item_id % 11 = 7 THEN ' ' WHEN item_id % 5 = 0 THEN substr(text, 1, 2)
-         ELSE '  ' || upper(regexp_extract(text, '^(\S+ \S)', 1)) END AS keywords,
-    CASE WHEN item_id % 3 = 0 THEN 'SRC1' END AS location, item_id % 4 = 0 AS remote_only
-  FROM benchmark"""
+    CASE WHEN item_id % 11 = 7 THEN ' ' WHEN item_id % 5 = 0 THEN text
+         ELSE '  ' || upper((SELECT w FROM (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i) ORDER BY -length(w), i LIMIT 1)) END AS keywords,
+    CASE WHEN item_id % 3 = 0 OR item_id % 11 = 7 THEN 'SRC1' END AS location, item_id % 4 = 0 AS remote_only
+  FROM (SELECT *, string_split_regex(text, '\s+') AS ws FROM benchmark)"""
 
 VIEWS["hits"] = """
   SELECT query_id, l.* FROM searches s JOIN listings l

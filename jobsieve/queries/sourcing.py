@@ -417,7 +417,7 @@ def first_seen_texts(spark, sf):
 
 
 def _hits(spark, sf):
-    return search.saved_search_hits(V.searches(spark, sf), V.listings(spark, sf), ["external_id", *ORDER])
+    return search.saved_search_hits(V.searches(spark, sf), V.listings(spark, sf))
 
 
 @query("saved_search_hits", with_views("searches listings hits", "SELECT query_id, external_id, pos, source FROM hits"))
@@ -437,7 +437,7 @@ def adapter_labels(spark, sf):
     return search.adapter_labels(_hits(spark, sf), V.searches(spark, sf), F.lit("adzuna,jsearch"))
 
 
-_KEY_JSON = """'{"keywords":"' || trim(lower(keywords)) || '","location":"' || coalesce(lower(location), '') || '","remoteOnly":' || CASE WHEN remote_only THEN 'true' ELSE 'false' END || '}'"""
+_KEY_JSON = """'{"keywords":"' || replace(trim(lower(keywords)), chr(10), '\\n') || '","location":"' || coalesce(lower(location), '') || '","remoteOnly":' || CASE WHEN remote_only THEN 'true' ELSE 'false' END || '}'"""
 
 
 @query(
@@ -458,18 +458,29 @@ def run_history(spark, sf):
     return search.run_history(old, labels, queries, now).select("query_id", "query", "result_count")
 
 
+_SAVED = f"""SELECT min(saved_at) AS oldest, {_KEY_JSON} AS query_key FROM (SELECT *, query_id % 7 * 1000 + query_id AS saved_at FROM searches
+  UNION ALL SELECT query_id, upper(keywords), location, remote_only, query_id * 31 % 5000 FROM searches) GROUP BY 2"""
+
+
+def _saved(spark, sf):
+    """Every search saved twice, the second time in capitals, earlier or later."""
+    q = F.col("query_id")
+    rows = V.searches(spark, sf).withColumn("created_at", q % 7 * 1000 + q)
+    again = rows.withColumn("keywords", F.upper("keywords")).withColumn("created_at", q * 31 % 5000)
+    return search.save_searches(rows, again)
+
+
+@query("saved_searches", with_views("searches", _SAVED))
+def saved_searches(spark, sf):
+    return _saved(spark, sf).select(F.col("created_at").alias("oldest"), "query_key")
+
+
 @query(
-    "saved_searches",
-    with_views("searches", f"SELECT min(query_id % 7 * 1000 + query_id) AS oldest, {_KEY_JSON} AS query_key FROM (SELECT query_id, upper(left(trim(keywords), 1)) AS keywords, location, remote_only FROM searches) GROUP BY 2"),
+    "saved_search_list",
+    with_views("searches", f"SELECT row_number() OVER (ORDER BY oldest DESC, query_key) AS place, query_key FROM ({_SAVED})"),
 )
-def saved_searches(spark, sf):
-    """Searches reduced to their first letter, so that many share a key."""
-    q = F.col("query_id")
-    rows = V.searches(spark, sf).withColumn("keywords", F.left(trim(F.col("keywords")), F.lit(1))).withColumn(
-        "created_at", q % 7 * 1000 + q
-    )
-    saved = search.save_searches(rows.where(q % 2 == 0), rows.where(q % 2 == 1))
-    return saved.select(F.col("created_at").alias("oldest"), "query_key")
+def saved_search_list(spark, sf):
+    return search.newest_searches(_saved(spark, sf), ["query_key"]).select("place", "query_key")
 
 
 @query(

@@ -157,12 +157,14 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search per item: its whole text, or its longest word; some name only a place."""
     item = F.col("item_id")
+    words = F.transform(F.split("text", r"\s+"), lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))
+    longest = F.get(F.array_sort(words), 0)["w"]
     return table(spark, sf_dir, "benchmark").select(
         item.alias("query_id"),
-        F.when(item % 11 == 7, " ").when(item % 5 == 0, F.left(F.col("text"), F.lit(2)))
-        .otherwise(F.concat(F.lit("  "), F.upper(F.regexp_extract("text", r"^(\S+ \S)", 1)))).alias("keywords"),
-        F.when(item % 3 == 0, "SRC1").alias("location"), (item % 4 == 0).alias("remote_only"),
+        F.when(item % 11 == 7, " ").when(item % 5 == 0, F.col("text")).otherwise(F.concat(F.lit("  "), F.upper(longest))).alias("keywords"),
+        F.when((item % 3 == 0) | (item % 11 == 7), "SRC1").alias("location"), (item % 4 == 0).alias("remote_only"),
     )
 
 

@@ -219,15 +219,24 @@ def test_search_finds_every_substring(spark):
     word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 5)))
     texts = [" ".join(word() for _ in range(6)) for _ in range(40)]
     needles = [t[i : i + rng.randint(1, 7)] for t in texts[:20] for i in (rng.randint(0, 3),)] + ["", "zz", "a"]
-    listings = spark.createDataFrame([(f"l{i}", t, "c", None, t[::-1], i % 2 == 0, "s") for i, t in enumerate(texts)],
-                                     "external_id string, title string, company string, location string, description string, remote boolean, source string")
-    queries = spark.createDataFrame([(i, n, None, i % 3 == 0) for i, n in enumerate(needles)], "query_id int, keywords string, location string, remote_only boolean")
-    want = {
-        (i, f"l{j}") for i, n in enumerate(needles) for j, t in enumerate(texts)
-        if n.strip().lower() in f"{t} c {t[::-1]}".lower() and (i % 3 or j % 2 == 0)
-    }
-    got = [(r["query_id"], r["external_id"]) for r in search.saved_search_hits(queries, listings).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    rows = [(f"l{i}", t, "c", None if i % 4 else t[:5], t[::-1], i % 2 == 0, "s") for i, t in enumerate(texts)]
+    rows += [rows[0], (None, *rows[1][1:]), (None, *rows[1][1:]), ("l2", *rows[3][1:])]
+    listings = spark.createDataFrame(rows, "external_id string, title string, company string, location string, description string, remote boolean, source string")
+    asked = [(i, n, None, i % 3 == 0) for i, n in enumerate(needles)] + [(100, " ", texts[4][1:4], False), (101, None, texts[8][:2], True), (102, "a", texts[0][:3], None)]
+    queries = spark.createDataFrame(asked, "query_id int, keywords string, location string, remote_only boolean")
+    squash = lambda t: (t or "").strip().lower()
+    want = sorted(
+        (q, x or "", t) for q, n, place, far in asked for x, t, _, at, d, remote, _ in rows
+        if squash(n) in f"{t} c {d}".lower() and squash(place) in (at or "").lower() and (not far or remote)
+    )
+    for limit in (100_000, 1):  # searches copied to the listings, candidates shuffled
+        for hot in ("500000", "5"):
+            spark.conf.set("spark.jobsieve.hotRows", hot)
+            got = search.saved_search_hits(queries, listings, max_searches=limit).collect()
+            assert sorted((r["query_id"], r["external_id"] or "", r["title"]) for r in got) == want
+    spark.conf.unset("spark.jobsieve.hotRows")
+    none = search.saved_search_hits(queries.limit(0), listings)
+    assert none.count() == 0 and none.columns == ["query_id", *listings.columns]
 
 
 def test_global_position_is_a_sort(spark):
