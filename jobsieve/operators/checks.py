@@ -21,10 +21,6 @@ from . import leaves as L
 # --- posting terms ----------------------------------------------------------
 
 
-def _words_of(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def _token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(vocab.TECH_TOKEN))
 
@@ -107,10 +103,7 @@ def _requirement_clauses(line: Column) -> Column:
 def _requirement_phrase(clause: Column) -> Column:
     """Up to three words of a clause, leading stopwords dropped."""
     words = F.filter(F.split(clause, f"{T.SPACE}+"), lambda w: w != "")
-    stop = _words_of(vocab.TERM_STOPWORDS)
-    flags = F.transform(
-        words, lambda w: F.array_contains(stop, F.regexp_replace(F.lower(w), "[^a-z0-9]", ""))
-    )
+    flags = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", "").isin(*vocab.TERM_STOPWORDS))
     first = F.array_position(flags, F.lit(False)).cast("int")
     kept = F.when(first > 0, F.slice(words, first, 3)).otherwise(F.array().cast("array<string>"))
     return F.regexp_replace(F.array_join(kept, " "), r"[^A-Za-z0-9+#./\s\-]+$", "")
@@ -137,8 +130,7 @@ def posting_terms(postings: DataFrame, key: str, body: str) -> DataFrame:
     found = computed(named, toks=T.tokens(F.col("term"))).withColumn(
         "at", F.struct("line_no", "ord", "rank")
     )
-    stop = _words_of(vocab.TERM_STOPWORDS)
-    good = F.exists("toks", lambda t: ~F.array_contains(stop, t)) & F.col("term").rlike("[A-Za-z]")
+    good = F.exists("toks", lambda t: ~t.isin(*vocab.TERM_STOPWORDS)) & F.col("term").rlike("[A-Za-z]")
     return (
         found.where(good)
         .withColumn("term_key", F.array_join(F.transform("toks", T.fold_plural), " "))
@@ -164,18 +156,25 @@ def folded_text(fields: Column) -> Column:
     )
 
 
-def coverage(pairs: DataFrame, terms: DataFrame, posting_key: str, documents: DataFrame, document_key: str) -> DataFrame:
+def coverage(
+    pairs: DataFrame, terms: DataFrame, posting_key: str, documents: DataFrame, document_key: str, postings: DataFrame | None = None
+) -> DataFrame:
     """Matched and missing terms per ``pairs`` row (``pair_id``, posting and document keys).
 
     ``terms`` has one row per posting and term; ``documents`` has ``folded`` text. A
     posting's term list is bounded by its own text. A popular posting or document may
     appear in many pairs, so both lookups are salted. Returns ``term_list, matched,
-    missing`` arrays in posting order; a pair without terms keeps its row.
+    missing`` arrays in posting order; a pair without terms keeps its row. ``postings``
+    (posting key and ``described``, whether it has any text) adds ``described``; a posting
+    that is not there has none.
     """
     lists = terms.groupBy(posting_key).agg(
         F.array_sort(F.collect_list(F.struct("line_no", "ord", "rank", "term", "term_key"))).alias("__terms")
     )
+    if postings is not None:
+        lists = postings.select(posting_key, F.col("described").alias("__described")).join(lists, posting_key, "left")
     joined = salted_join(pairs, lists, [posting_key], ["pair_id"], "left")
+    described = [] if postings is None else [F.coalesce("__described", F.lit(False)).alias("described")]
     joined = salted_join(joined, documents.select(document_key, "folded"), [document_key], ["pair_id"], "left", counted=pairs)
     all_terms = F.coalesce(F.col("__terms"), F.array().cast("array<struct<line_no:int,ord:int,rank:int,term:string,term_key:string>>"))
 
@@ -190,12 +189,14 @@ def coverage(pairs: DataFrame, terms: DataFrame, posting_key: str, documents: Da
         names(all_terms).alias("term_list"),
         names(F.filter(all_terms, hit)).alias("matched"),
         names(F.filter(all_terms, lambda t: ~hit(t))).alias("missing"),
+        *described,
     )
 
 
 def coverage_outcome(covered: DataFrame) -> DataFrame:
-    """``kind, verdict, summary, error`` per pair; no terms is "not measured"."""
+    """``kind, verdict, summary, error`` per pair; no posting text or no terms is "not measured"."""
     total, hit = F.size("term_list"), F.size("matched")
+    described = F.col("described") if "described" in covered.columns else F.lit(True)
     measured = total > 0
     return covered.select(
         "pair_id",
@@ -204,16 +205,22 @@ def coverage_outcome(covered: DataFrame) -> DataFrame:
         F.when(measured, F.concat(hit.cast("string"), F.lit(" / "), total.cast("string"), F.lit(" JD terms")))
         .otherwise("Not measured")
         .alias("summary"),
-        F.when(~measured, "No terms could be read out of this job description.").alias("error"),
+        F.when(~described, "No job description attached, so there are no terms to cover.").when(~measured, "No terms could be read out of this job description.").alias("error"),
     )
 
 
-def phrase_hits(phrases: DataFrame, lines: DataFrame, lengths: Sequence[int]) -> DataFrame:
-    """Which documents contain which phrases, as an n-gram equi-join.
+#: Tokens of the part of a phrase by which lines are looked up.
+_ANCHOR_TOKENS = 3
+
+
+def phrase_hits(phrases: DataFrame, lines: DataFrame, lengths: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """Which documents contain which phrases of any length, as an n-gram equi-join.
 
-    ``phrases`` has ``phrase_id, term_key``; ``lines`` has ``doc_id, line_no, text``.
-    ``lengths`` are the phrase lengths in tokens. Grams are built inside one line, so
-    no phrase crosses a field. Returns ``phrase_id, doc_id, lines``.
+    ``phrases`` has ``phrase_id, term_key``; ``lines`` has ``doc_id, line_no, text``. A phrase is
+    looked up by its first three tokens, or all it has, and then tested whole. ``lengths`` are the
+    phrase lengths in use, as far as known: without phrases of one or two tokens the grams of that
+    size are not built. Grams are built inside one line, so no phrase crosses a field.
+    Returns ``phrase_id, doc_id, lines``.
     """
     toks = lines.withColumn("__t", F.transform(T.tokens(F.col("text")), T.fold_plural))
     count = F.size("__t")
@@ -224,11 +231,17 @@ def phrase_hits(phrases: DataFrame, lines: DataFrame, lengths: Sequence[int]) ->
         )
         return F.transform(starts, lambda i: F.array_join(F.slice(F.col("__t"), i, n), " "))
 
+    sizes = sorted({min(n, _ANCHOR_TOKENS) for n in lengths})
     exploded = toks.select(
-        "doc_id", "line_no", F.explode(F.array_distinct(F.concat(*[grams(n) for n in lengths]))).alias("term_key")
+        "doc_id", "line_no", F.concat(F.lit(" "), F.array_join("__t", " "), F.lit(" ")).alias("__line"),
+        F.explode(F.array_distinct(F.concat(*[grams(n) for n in sizes]))).alias("__gram"),
     )
+    anchor = F.array_join(F.slice(F.split("term_key", " "), 1, _ANCHOR_TOKENS), " ")
+    asked = phrases.where(F.col("term_key") != "").select("phrase_id", F.col("term_key").alias("__phrase"), anchor.alias("__gram"))
+    whole = F.contains(F.col("__line"), F.concat(F.lit(" "), F.col("__phrase"), F.lit(" ")))
     return (
-        lookup_join(exploded, phrases.select("phrase_id", "term_key"), ["term_key"])
+        lookup_join(exploded, asked, ["__gram"])
+        .where(whole)
         .groupBy("phrase_id", "doc_id")
         .agg(F.count(F.lit(1)).alias("lines"))
     )
@@ -257,12 +270,11 @@ def adverb_stacks(units: DataFrame, keys: Sequence[str], text: str) -> DataFrame
     sentences = units.select(
         *keys, F.posexplode(F.split(F.col(text), rf"(?<=[.!?]){T.SPACE}+")).alias("sentence_no", "sentence")
     )
-    skip = _words_of(vocab.NOT_MANNER_ADVERBS)
     found = F.filter(
         F.regexp_extract_all(
             F.col("sentence"), F.lit(rf"(?i)({T.EDGE_BEFORE}[a-z]{{4,}}ly{T.EDGE_AFTER})"), 1
         ),
-        lambda w: ~F.array_contains(skip, F.lower(w)),
+        lambda w: ~F.lower(w).isin(*vocab.NOT_MANNER_ADVERBS),
     )
     return (
         sentences.withColumn("adverbs", found)

@@ -179,12 +179,15 @@ def step_view(scheduled: DataFrame) -> DataFrame:
     )
 
 
-def open_sequence(selectors: DataFrame, steps: DataFrame, contacts: DataFrame, queue_rows: DataFrame) -> DataFrame:
+def open_sequence(
+    selectors: DataFrame, applications: DataFrame, steps: DataFrame, contacts: DataFrame, queue_rows: DataFrame
+) -> DataFrame:
     """Which sequence each selector ``(selector_id, application_id?, contact_id?)`` opens.
 
     Both given: that pair. Application only: its first dealt sequence, else its
     first contact. Contact only: the contact's application, else the first
-    application it was written to. Neither: the most urgent queue entry.
+    application it was written to. Neither: the most urgent queue entry. A named
+    application that is not in ``applications`` opens nothing.
     """
     dealt = steps.groupBy("application_id").agg(
         F.min_by(F.struct("contact_id"), F.struct("sequence_step", "created_at", "contact_id")).alias("dealt")
@@ -192,12 +195,19 @@ def open_sequence(selectors: DataFrame, steps: DataFrame, contacts: DataFrame, q
     first_contact = contacts.groupBy("application_id").agg(
         F.min_by("contact_id", F.struct("created_at", "contact_id")).alias("first_contact")
     )
+    by_application = (
+        applications.select("application_id").distinct()
+        .join(dealt, "application_id", "left")
+        .join(first_contact, "application_id", "left")
+        .withColumn("__known", F.lit(True))
+    )
     owner = contacts.groupBy("contact_id").agg(F.min_by("application_id", F.struct("created_at", "application_id")).alias("owner"))
     written = (
         steps.where(F.col("contact_id").isNotNull())
         .groupBy("contact_id")
         .agg(F.min_by("application_id", F.struct("created_at", "application_id")).alias("written"))
     )
+    by_contact = owner.join(written, "contact_id", "full")
     urgent = (
         queue_rows.agg(
             F.min_by(
@@ -209,7 +219,7 @@ def open_sequence(selectors: DataFrame, steps: DataFrame, contacts: DataFrame, q
     has_app, has_contact = F.col("application_id").isNotNull(), F.col("contact_id").isNotNull()
     top = urgent.scalar()
     chosen_app = (
-        F.when(has_app, F.col("application_id"))
+        F.when(has_app, F.when(F.col("__known"), F.col("application_id")))
         .when(has_contact, F.coalesce("owner", "written"))
         .otherwise(top["application_id"])
     )
@@ -218,16 +228,12 @@ def open_sequence(selectors: DataFrame, steps: DataFrame, contacts: DataFrame, q
         .when(has_app, F.when(F.col("dealt").isNotNull(), F.col("dealt.contact_id")).otherwise(F.col("first_contact")))
         .otherwise(top["contact_id"])
     )
-    return (
-        selectors.join(dealt, "application_id", "left")
-        .join(first_contact, "application_id", "left")
-        .join(owner, "contact_id", "left")
-        .join(written, "contact_id", "left")
-        .select(
-            "selector_id",
-            chosen_app.alias("open_application_id"),
-            F.when(chosen_app.isNotNull(), chosen_contact).alias("open_contact_id"),
-        )
+    # Half the selectors may have a null key; the salted join spreads them.
+    asked = salted_join(selectors, by_application, ["application_id"], ["selector_id"])
+    return salted_join(asked, by_contact, ["contact_id"], ["selector_id"], counted=selectors).select(
+        "selector_id",
+        chosen_app.alias("open_application_id"),
+        F.when(chosen_app.isNotNull(), chosen_contact).alias("open_contact_id"),
     )
 
 

@@ -168,20 +168,23 @@ def posting_terms(spark, sf):
 
 
 VIEWS["covered"] = f"""
-  SELECT r.doc_id AS pair_id, t.term, t.at_, t.term_key IS NOT NULL AS asked,
+  SELECT r.doc_id AS pair_id, t.term, t.at_, t.term_key IS NOT NULL AS asked, xor(r.doc_id, 1) IN (SELECT doc_id FROM documents WHERE doc_id % 9 <> 4) AS described,
     t.term_key IS NOT NULL AND contains(f.folded, ' ' || t.term_key || ' ') AS hit
-  FROM rs r LEFT JOIN terms t ON t.doc_id = r.doc_id // 2
+  FROM rs r LEFT JOIN terms t ON t.doc_id = xor(r.doc_id, 1) AND t.doc_id % 9 <> 4
   JOIN (SELECT doc_id, string_agg(' ' || {fold_sql('value')} || ' ', chr(10)) AS folded FROM lv
         WHERE key NOT IN ('start', 'end', 'phone') AND NOT (section = 'projects' AND key = 'url') GROUP BY doc_id) f ON f.doc_id = r.doc_id"""
 
 
 def _coverage(spark, sf):
-    """Each resume against the posting of half its number."""
+    """Each resume against its neighbour's posting; one posting in nine is blank."""
     resumes = V.resumes(spark, sf)
     folded = resumes.select("doc_id", K.folded_text(L.searchable_values(F.col("content"))).alias("folded"))
-    pairs = resumes.select(F.col("doc_id").alias("pair_id"), "doc_id", F.floor(F.col("doc_id") / 2).alias("posting_id"))
-    terms = K.posting_terms(V.prose(spark, sf), "doc_id", "text").withColumnRenamed("doc_id", "posting_id")
-    return K.coverage(pairs, terms, "posting_id", folded, "doc_id")
+    pairs = resumes.select(F.col("doc_id").alias("pair_id"), "doc_id", F.col("doc_id").bitwiseXOR(F.lit(1)).alias("posting_id"))
+    blank = F.col("doc_id") % 9 == 4
+    postings = V.prose(spark, sf).select(F.col("doc_id").alias("posting_id"), F.when(blank, "  ").otherwise(F.col("text")).alias("text"))
+    terms = K.posting_terms(postings, "posting_id", "text")
+    described = postings.select("posting_id", (T.trim(F.coalesce("text", F.lit(""))) != "").alias("described"))
+    return K.coverage(pairs, terms, "posting_id", folded, "doc_id", described)
 
 
 @query(
@@ -202,7 +205,8 @@ VIEWS["o_cov"] = """
   SELECT pair_id AS doc_id, 'keyword_coverage' AS kind,
     CASE WHEN count(*) FILTER (WHERE asked) > 0 AND count(*) FILTER (WHERE asked AND NOT hit) = 0 THEN 'pass' ELSE 'warn' END AS verdict,
     CASE WHEN count(*) FILTER (WHERE asked) > 0 THEN count(*) FILTER (WHERE hit) || ' / ' || count(*) FILTER (WHERE asked) || ' JD terms' ELSE 'Not measured' END AS summary,
-    CASE WHEN count(*) FILTER (WHERE asked) = 0 THEN 'No terms could be read out of this job description.' END AS error
+    CASE WHEN NOT bool_and(described) THEN 'No job description attached, so there are no terms to cover.'
+         WHEN count(*) FILTER (WHERE asked) = 0 THEN 'No terms could be read out of this job description.' END AS error
   FROM covered GROUP BY pair_id"""
 
 
@@ -213,18 +217,22 @@ def coverage_outcomes(spark, sf):
 
 @query(
     "phrase_hits",
-    f"""WITH p AS (SELECT item_id, {fold_sql("regexp_extract(text, '^(\\S+\\s+\\S+\\s+\\S+)', 1)")} AS k FROM benchmark),
-          q AS (SELECT item_id AS phrase_id, k FROM p WHERE k <> '' AND len(string_split(k, ' ')) = 3),
+    f"""WITH p AS (SELECT item_id * 1000 + i AS phrase_id, {fold_sql("x")} AS k FROM (
+            SELECT item_id, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS i FROM (
+              SELECT item_id, list_concat([text], string_split_regex(text, '[.!?,\\n]')) AS xs FROM benchmark))),
+          q AS (SELECT * FROM p WHERE k <> ''),
           l AS (SELECT doc_id, ' ' || {fold_sql('line')} || ' ' AS f FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
         SELECT phrase_id, doc_id, count(*) AS lines FROM q JOIN l ON contains(f, ' ' || k || ' ') GROUP BY ALL""",
 )
 def phrase_hits(spark, sf):
-    key = T.term_key(F.regexp_extract("text", r"^(\S+\s+\S+\s+\S+)", 1))
-    phrases = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("phrase_id"), key.alias("term_key")).where(
-        F.size(F.split("term_key", " ")) == 3
+    """Every benchmark text and its clauses as phrases."""
+    text = F.col("text")
+    parts = F.concat(F.array(text), F.split(text, r"[.!?,\n]"))
+    phrases = V.table(spark, sf, "benchmark").select("item_id", F.posexplode(parts).alias("i", "x")).select(
+        (F.col("item_id") * 1000 + F.col("i")).alias("phrase_id"), T.term_key(F.col("x")).alias("term_key")
     )
     lines = V.lines(spark, sf).select("doc_id", F.col("idx").alias("line_no"), F.col("line").alias("text"))
-    return K.phrase_hits(phrases, lines, [3])
+    return K.phrase_hits(phrases, lines)
 
 
 # --- phrasing ---------------------------------------------------------------

@@ -190,7 +190,7 @@ def follow_ups_due(spark, sf):
             wr AS (SELECT contact_id, min_by(application_id, (created_at, application_id)) AS w FROM steps WHERE contact_id IS NOT NULL GROUP BY contact_id),
             top AS (SELECT application_id AS a, contact_id AS c FROM q ORDER BY group_rank, sort_key, application_id LIMIT 1),
             res AS (SELECT selector_id,
-                      CASE WHEN app IS NOT NULL THEN app WHEN con IS NOT NULL THEN coalesce(o, w) ELSE top.a END AS open_application_id,
+                      CASE WHEN app IS NOT NULL THEN CASE WHEN app IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 3) THEN app END WHEN con IS NOT NULL THEN coalesce(o, w) ELSE top.a END AS open_application_id,
                       CASE WHEN con IS NOT NULL THEN con
                            WHEN app IS NOT NULL THEN CASE WHEN d IS NOT NULL THEN d.c ELSE fc.c END ELSE top.c END AS oc
                     FROM sel LEFT JOIN dealt ON dealt.application_id = app LEFT JOIN fc ON fc.application_id = app
@@ -199,13 +199,15 @@ def follow_ups_due(spark, sf):
     ),
 )
 def open_sequences(spark, sf):
+    """One application in seven is unknown and opens nothing."""
     e = F.col("event_id")
     selectors = V.table(spark, sf, "events").select(
         e.alias("selector_id"),
         F.when((e % 4).isin(0, 1), e * 3).alias("application_id"),
         F.when((e % 4).isin(0, 2), e % 1000).alias("contact_id"),
     )
-    return O.open_sequence(selectors, V.steps(spark, sf), V.contacts(spark, sf), _queue(spark, sf))
+    known = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("application_id")).where(F.col("application_id") % 7 != 3)
+    return O.open_sequence(selectors, known, V.steps(spark, sf), V.contacts(spark, sf), _queue(spark, sf))
 
 
 _GREET = "CASE WHEN name <> '' THEN 'Hi ' || regexp_extract(name, '^(\\S+)', 1) || ' — ' ELSE '' END"
