@@ -113,6 +113,17 @@ def fold_replies(steps: DataFrame) -> DataFrame:
     )
 
 
+def reply_events(steps: DataFrame, at: Column, number: Column) -> DataFrame:
+    """The status event each answered step brings to its application, for ``fold_status``.
+
+    ``at`` and ``number`` are the reply's time and its order among events of one time.
+    Folding the same reply again changes nothing.
+    """
+    return steps.where(F.col("status") == "replied").select(
+        "application_id", number.cast("long").alias("seq"), at.cast("timestamp").alias("event_at"), F.lit("replied").alias("status")
+    )
+
+
 def queue(scheduled: DataFrame, order: Sequence[str], now: Column) -> DataFrame:
     """One row per sequence that still matters: replied, due or active.
 

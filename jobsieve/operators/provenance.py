@@ -481,7 +481,8 @@ def check_paragraphs(paragraphs: DataFrame, resumes: DataFrame, key: str, jobs:
     """Attach provenance to letter paragraphs.
 
     ``paragraphs`` has ``row_id, key, job_id, text, citations``; ``jobs`` has ``job_id,
-    title, company, jd_text``. Returns the backed citations and a flag when there are none.
+    title, company, jd_text``. Returns the backed citations, their ``sources`` (path, ``resume`` or
+    ``job``, and the start of the text there) and a flag when there are none.
     """
     usable = paragraphs.where(T.optional(F.col("text")).isNotNull())
     cited = _exploded(usable, "citations")
@@ -503,8 +504,13 @@ def check_paragraphs(paragraphs: DataFrame, resumes: DataFrame, key: str, jobs:
     is_text = T.trim(F.coalesce("__field", F.lit(""))) != ""
     backed = is_text & draws_on(F.coalesce("__field", F.lit("")), F.col("text"))
     present = F.col("cite").isNotNull()
+    source = F.struct(
+        "cite_no", F.col("cite").alias("path"),
+        F.when(F.col("cite").startswith("job."), "job").otherwise("resume").alias("source"), T.snippet(F.col("__field")).alias("snippet"),
+    )
     grouped = resolved.withColumns({"__is_text": is_text, "__backed": backed}).groupBy(*row_id).agg(
         F.first(T.trim(F.col("text"))).alias("text"),
+        F.array_sort(F.collect_list(F.when(present & F.col("__backed"), source))).alias("sources"),
         _paths("backed", present & F.col("__backed")),
         _paths("unresolved", present & ~F.col("__is_text")),
         _paths("unsupported", present & F.col("__is_text") & ~F.col("__backed")),
@@ -514,7 +520,8 @@ def check_paragraphs(paragraphs: DataFrame, resumes: DataFrame, key: str, jobs:
         .when(F.size("unsupported") > 0, F.concat(F.lit("No source — cited "), first_three(F.col("unsupported")), F.lit(", which says nothing this paragraph rests on.")))
         .otherwise(F.lit("No source — nothing in your résumé or the posting backs this paragraph."))
     )
-    return grouped.withColumn("flag", F.when(F.size("backed") == 0, flag))
+    shown = F.transform("sources", lambda c: F.struct(c["path"].alias("path"), c["source"].alias("source"), c["snippet"].alias("snippet")))
+    return grouped.withColumn("sources", shown).withColumn("flag", F.when(F.size("backed") == 0, flag))
 
 
 def draft_citations(drafts: DataFrame, resumes: DataFrame, key: str, row_id: list[str]) -> DataFrame:

@@ -416,8 +416,11 @@ _PARAS = f"""
           FROM x LEFT JOIN lv ON lv.doc_id = x.doc_id AND lv.path = x.cite LEFT JOIN jobs j ON j.job_id = x.doc_id % 50),
     z AS (SELECT *, {_DISTINCTIVE.format(x='field')} AS ft, {_DISTINCTIVE.format(x='text')} AS tt FROM y),
     v AS (SELECT *, coalesce(trim(field), '') <> '' AS isf, coalesce(len(ft) > 0 AND len(list_intersect(ft, tt)) >= least(2, len(ft)), false) AS dr FROM z),
-    g AS (SELECT doc_id, para_no, list(cite ORDER BY n) FILTER (WHERE isf AND dr) AS backed, list(cite ORDER BY n) FILTER (WHERE NOT isf) AS unres, list(cite ORDER BY n) FILTER (WHERE isf AND NOT dr) AS unsup
-          FROM v GROUP BY ALL)"""
+    sn AS (SELECT *, trim(regexp_replace(field, '\\s+', ' ', 'g')) AS flat FROM v),
+    g AS (SELECT doc_id, para_no, string_agg(cite || CASE WHEN starts_with(cite, 'job.') THEN ' job ' ELSE ' resume ' END
+            || CASE WHEN length(flat) > 220 THEN left(flat, 219) || '…' ELSE flat END, '|' ORDER BY n) FILTER (WHERE isf AND dr) AS sources,
+          list(cite ORDER BY n) FILTER (WHERE isf AND dr) AS backed, list(cite ORDER BY n) FILTER (WHERE NOT isf) AS unres, list(cite ORDER BY n) FILTER (WHERE isf AND NOT dr) AS unsup
+          FROM sn GROUP BY ALL)"""
 
 
 def _first_three(x: str) -> str:
@@ -428,7 +431,7 @@ def _first_three(x: str) -> str:
     "paragraph_provenance",
     with_views(
         "rs je bl lv b0 jobs",
-        f"""{_PARAS} SELECT doc_id, para_no, coalesce(array_to_string(backed, ', '), '') AS backed,
+        f"""{_PARAS} SELECT doc_id, para_no, coalesce(array_to_string(backed, ', '), '') AS backed, coalesce(sources, '') AS sources,
               CASE WHEN backed IS NOT NULL THEN NULL WHEN unres IS NOT NULL THEN 'No source — cited ' || {_first_three('unres')} || ', which your résumé does not have.'
                 WHEN unsup IS NOT NULL THEN 'No source — cited ' || {_first_three('unsup')} || ', which says nothing this paragraph rests on.'
                 ELSE 'No source — nothing in your résumé or the posting backs this paragraph.' END AS flag FROM g""",
@@ -437,7 +440,8 @@ def _first_three(x: str) -> str:
 def paragraph_provenance(spark, sf):
     jobs = V.jobs(spark, sf).select("job_id", "title", "company", F.col("title").alias("jd_text"))
     checked = P.check_paragraphs(_paragraphs(spark, sf), V.resumes(spark, sf), "doc_id", jobs, ["doc_id", "para_no"])
-    return checked.select("doc_id", "para_no", F.array_join("backed", ", ").alias("backed"), "flag")
+    told = F.transform("sources", lambda c: F.concat_ws(" ", c["path"], c["source"], c["snippet"]))
+    return checked.select("doc_id", "para_no", F.array_join("backed", ", ").alias("backed"), F.array_join(told, "|").alias("sources"), "flag")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import testviews as V
 from ..functions import dates as D
 from ..functions import fields as R
-from ..operators import merge
+from ..operators import funnel, merge
 from ..operators import outreach as O
 from ..session import cut
 from .registry import iso, query, sql_iso, with_views
@@ -133,6 +133,23 @@ def reply_fold(spark, sf):
     return O.fold_replies(V.steps(spark, sf)).groupBy("sequence_step", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "replied_applications",
+    with_views(
+        "ev steps",
+        """, al AS (SELECT application_id, seq, event_at, status FROM ev UNION ALL
+             SELECT application_id, -sequence_step, CAST(coalesce(sent_at, created_at) AS TIMESTAMP), 'replied' FROM steps WHERE status = 'replied')
+           SELECT application_id, max_by(status, (event_at, seq)) AS status, min(CASE WHEN status = 'replied' THEN event_at END) AS replied_at
+           FROM al GROUP BY application_id""",
+    ),
+)
+def replied_applications(spark, sf):
+    """Applications after their own events and the answers to their steps."""
+    replies = O.reply_events(V.steps(spark, sf), F.coalesce("sent_at", "created_at"), -F.col("sequence_step"))
+    events = V.status_events(spark, sf).select("application_id", "seq", "event_at", "status").unionByName(replies)
+    return funnel.fold_status(events).select("application_id", "status", "replied_at")
+
+
 @query("outreach_queue", with_views("steps", f"{_QUEUE} SELECT * FROM q"))
 def outreach_queue(spark, sf):
     return O.queue_order(_queue(spark, sf)).withColumn("due_at", iso("due_at"))
