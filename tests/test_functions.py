@@ -175,3 +175,29 @@ def test_word_diff_keeps_a_longest_common_subsequence():
         assert len(pairs) == best[-1][-1]
         assert all(a[i] == b[j] for i, j in pairs)
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_sql_functions_equal_the_columns(spark):
+    import json
+
+    from jobsieve.functions import fields
+    from jobsieve.functions import text as T
+    from jobsieve.functions.register import register_all
+    from jobsieve.operators import leaves as L
+    from jobsieve.sources import documents
+
+    register_all(spark)
+    values = ["  a\u00a0", "", "  ", None, "experience[0].bullets[12]", "a..b.", "scheduled", "sent"]
+    df = spark.createDataFrame([(v,) for v in values], "v string").coalesce(1)
+    got = df.selectExpr("optional_text(v)", "required_text(v)", "path_key(v)", "is_pending(v)").collect()
+    v = F.col("v")
+    want = df.select(T.optional(v), T.required(v), fields.path_key(v), fields.is_pending(v)).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+    resume = {"basics": {"name": "N", "label": " "}, "experience": [{"company": "C", "bullets": ["x", " ", "y"]}, {"title": "T"}],
+              "skills": [{"category": "K", "items": ["i"]}]}
+    rows = spark.createDataFrame([(1, json.dumps(resume)), (2, json.dumps({"basics": {"name": "M"}}))], "doc_id int, raw string")
+    good, _ = documents.load_resumes(rows, "doc_id", "raw")
+    good.createOrReplaceTempView("some_resumes")
+    listed = spark.sql("SELECT r.doc_id, l.* FROM some_resumes r, LATERAL resume_leaves(r.content) l").collect()
+    assert sorted(map(str, listed)) == sorted(map(str, L.leaves(good, "doc_id").collect())) and len(listed) == 8
