@@ -147,13 +147,15 @@ def page_sections(spark, sf):
     "heading_styles",
     with_views(
         "segs ln sec",
-        "SELECT doc_id, 'Bold@14.0' AS styles FROM sec GROUP BY doc_id HAVING count(*) > 20",
+        """, st AS (SELECT doc_id, font_name || '@' || font_size AS style, count(*) AS n, min(line_no) AS first,
+                 count(*) FILTER (WHERE own IN ('experience', 'skills')) AS headings FROM sec GROUP BY ALL),
+           co AS (SELECT doc_id, max_by(style, (n, -first)) AS common FROM st GROUP BY doc_id)
+           SELECT doc_id, coalesce(string_agg(style, ',' ORDER BY style) FILTER (WHERE headings > 0 AND style <> common), '') AS styles
+           FROM st JOIN co USING (doc_id) GROUP BY doc_id""",
     ),
 )
 def heading_styles(spark, sf):
-    """Documents long enough that body text is surely the commonest style."""
-    long = lines(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 20)
-    return Y.heading_styles(lines(spark, sf)).join(long, "doc_id").select("doc_id", F.array_join("styles", ",").alias("styles"))
+    return Y.heading_styles(lines(spark, sf)).select("doc_id", F.array_join(F.array_sort("styles"), ",").alias("styles"))
 
 
 @query(
