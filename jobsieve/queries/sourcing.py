@@ -94,8 +94,15 @@ def page_identity(spark, sf):
 # --- feeds ------------------------------------------------------------------
 
 
+_KINDS = ("greenhouse", "lever", "ashby", "jsearch", "remotive", "adzuna")
+_KIND_SQL = "(['" + "', '".join(_KINDS) + "'])"
+
+
 def _feeds(spark, sf):
-    """Every page as one board response, in its provider's own shape; every 13th is cut short."""
+    """Every page as one response, in its provider's own shape; every 13th is cut short.
+
+    Each provider answers for five organisations, many times, well and badly.
+    """
     page = F.col("page_id")
     org = F.concat(F.lit("acme-labs_"), (page % 5).cast("string"))
     one, two = page.cast("string"), F.concat(page.cast("string"), F.lit("b"))
@@ -120,34 +127,41 @@ def _feeds(spark, sf):
         return F.struct(i.alias("job_id"), title.alias("job_title"), F.lit("Oslo").alias("job_city"), F.lit("").alias("job_state"),
                         F.col("url").alias("job_apply_link"), at.alias("job_posted_at_datetime_utc"))
 
-    kind = page % 4
+    def rm(i):
+        return F.struct(i.alias("id"), title.alias("title"), none.alias("company_name"), place.alias("candidate_required_location"),
+                        F.col("url").alias("url"), at.alias("publication_date"))
+
+    def az(i):
+        return F.struct(i.alias("id"), title.alias("title"), F.struct(F.lit("Zuna").alias("display_name")).alias("company"),
+                        F.struct(place.alias("display_name")).alias("location"), F.col("url").alias("redirect_url"), at.alias("created"))
+
+    kind = page % 6
     body = (
         F.when(kind == 0, F.to_json(F.struct(F.array(gh(one), gh(two)).alias("jobs"))))
         .when(kind == 1, F.to_json(F.array(lv(one), lv(two))))
         .when(kind == 2, F.to_json(F.struct(F.array(ab(one), ab(two)).alias("jobs"))))
-        .otherwise(F.to_json(F.struct(F.array(js(one), js(two)).alias("data"))))
+        .when(kind == 3, F.to_json(F.struct(F.array(js(one), js(two)).alias("data"))))
+        .when(kind == 4, F.to_json(F.struct(F.array(rm(one), rm(two)).alias("jobs"))))
+        .otherwise(F.to_json(F.struct(F.array(az(one), az(two)).alias("results"))))
     )
-    provider = F.when(kind == 0, "greenhouse").when(kind == 1, "lever").when(kind == 2, "ashby").otherwise("jsearch")
+    provider = F.element_at(F.array(*[F.lit(p) for p in _KINDS]), (kind + 1).cast("int"))
     broken = page % 13 == 0
-    # Each response has its own id as organisation suffix, so one bad response costs only itself.
     return V.table(spark, sf, "pages").select(
-        provider.alias("provider"), F.concat(org, F.lit("-"), page.cast("string")).alias("org"),
-        F.when(broken, F.left(body, F.length(body) - 3)).otherwise(body).alias("body"),
+        provider.alias("provider"), org.alias("org"), F.when(broken, F.left(body, F.length(body) - 3)).otherwise(body).alias("body")
     )
 
 
 @query(
     "feed_listings",
-    """WITH p AS (SELECT *, page_id % 4 AS k, 'acme-labs_' || (page_id % 5) || '-' || page_id AS org,
+    f"""WITH p AS (SELECT *, page_id % 6 AS k, {_KIND_SQL}[page_id % 6 + 1] AS source, 'acme-labs_' || (page_id % 5) AS org,
            regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, page_id % 2 = 0 AS r FROM pages WHERE page_id % 13 <> 0),
          e AS (SELECT p.*, i, CASE i WHEN 0 THEN CAST(page_id AS VARCHAR) ELSE page_id || 'b' END AS jid FROM p, (VALUES (0), (1)) v(i))
-       SELECT CASE k WHEN 0 THEN 'greenhouse-' || org || '-' || jid WHEN 1 THEN 'lever-' || org || '-' || jid WHEN 2 THEN 'ashby-' || org || '-' || jid ELSE jid END AS external_id,
+       SELECT CASE WHEN k < 3 THEN source || '-' || org || '-' || jid WHEN k = 4 THEN 'remotive-' || jid ELSE jid END AS external_id,
          CASE k WHEN 2 THEN 'Untitled role' ELSE t END AS title,
-         CASE k WHEN 2 THEN 'Named Org' WHEN 3 THEN 'Unknown' ELSE 'Acme Labs ' || (page_id % 5) || ' ' || page_id END AS company,
+         CASE k WHEN 2 THEN 'Named Org' WHEN 3 THEN 'Unknown' WHEN 4 THEN 'Unknown' WHEN 5 THEN 'Zuna' ELSE 'Acme Labs ' || (page_id % 5) END AS company,
          CASE k WHEN 1 THEN NULL WHEN 3 THEN 'Oslo' ELSE CASE WHEN r THEN 'Remote - EU' ELSE 'Oslo' END END AS location,
          url, CASE k WHEN 1 THEN '<p>x</p>' END AS description, '2024-03-01 10:00:00.000000' AS posted_at,
-         CASE k WHEN 1 THEN true WHEN 3 THEN NULL ELSE r END AS remote,
-         CASE k WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' ELSE 'jsearch' END AS source, i AS pos
+         CASE k WHEN 1 THEN true WHEN 3 THEN NULL WHEN 4 THEN true WHEN 5 THEN NULL ELSE r END AS remote, source, i AS pos
        FROM e""",
 )
 def feed_listings(spark, sf):
@@ -157,9 +171,8 @@ def feed_listings(spark, sf):
 
 @query(
     "feed_failures",
-    """SELECT p AS provider, o AS org, p || ' board "' || o || '" returned invalid JSON' AS message
-       FROM (SELECT (['greenhouse', 'lever', 'ashby', 'jsearch'])[page_id % 4 + 1] AS p, 'acme-labs_' || (page_id % 5) || '-' || page_id AS o
-             FROM pages WHERE page_id % 13 = 0)""",
+    f"""SELECT p AS provider, o AS org, p || ' board "' || o || '" returned invalid JSON' AS message
+       FROM (SELECT {_KIND_SQL}[page_id % 6 + 1] AS p, 'acme-labs_' || (page_id % 5) AS o FROM pages WHERE page_id % 13 = 0)""",
 )
 def feed_failures(spark, sf):
     return feeds.failures(_feeds(spark, sf))
@@ -167,24 +180,27 @@ def feed_failures(spark, sf):
 
 @query(
     "posting_lookup",
-    """SELECT page_id, page_id % 3 = 1 AS gone, CASE WHEN page_id % 3 = 0 THEN url END AS url,
-         'https://jobs.ashbyhq.com/' || CASE WHEN page_id % 3 = 2 THEN 'never-fetched' ELSE 'acme-labs_' || (page_id % 5) || '-' || page_id END
-           || '/' || CASE WHEN page_id % 3 = 1 THEN 'no-such-id' ELSE page_id || 'B' END AS page_url
-       FROM pages WHERE page_id % 4 = 2 AND page_id % 13 <> 0""",
+    f"""WITH w AS (SELECT page_id, url, page_id // 6 % 3 AS m, {_KIND_SQL}[page_id % 3 + 1] AS board,
+           CASE WHEN page_id // 6 % 3 = 2 THEN 'never-fetched' ELSE 'acme-labs_' || (page_id % 5) END AS org FROM pages),
+         answered AS (SELECT DISTINCT {_KIND_SQL}[page_id % 6 + 1] AS board, 'acme-labs_' || (page_id % 5) AS org FROM pages WHERE page_id % 13 <> 0),
+         f AS (SELECT w.*, m = 0 AND page_id % 6 < 3 AND page_id % 13 <> 0 AS here, a.board IS NOT NULL AS asked FROM w LEFT JOIN answered a USING (board, org))
+       SELECT page_id, NOT here AND asked AS gone, CASE WHEN here THEN url END AS url,
+         CASE board WHEN 'greenhouse' THEN 'https://job-boards.greenhouse.io/' || org || '/jobs/' WHEN 'lever' THEN 'https://jobs.lever.co/' || org || '/'
+           ELSE 'https://jobs.ashbyhq.com/' || org || '/' END || CASE m WHEN 1 THEN 'no-such-id-' || page_id ELSE page_id || 'B' END AS page_url
+       FROM f""",
 )
 def posting_lookup(spark, sf):
-    """References into fetched boards: present, taken down, or to a board never fetched."""
+    """A reference per page into one of the boards: present, taken down, cut short, or to a board never fetched."""
     page = F.col("page_id")
-    found = feeds.listings(_feeds(spark, sf))
-    refs = V.table(spark, sf, "pages").where((page % 4 == 2) & (page % 13 != 0)).select(
-        "page_id", F.lit("ashby").alias("board"),
-        F.when(page % 3 == 2, "never-fetched").otherwise(
-            F.concat(F.lit("acme-labs_"), (page % 5).cast("string"), F.lit("-"), page.cast("string"))
-        ).alias("org"),
-        F.when(page % 3 == 1, "no-such-id").otherwise(F.concat(page.cast("string"), F.lit("B"))).alias("job_id"),
+    mode = F.floor(page / 6) % 3
+    found, _ = feeds.search(_feeds(spark, sf))
+    refs = V.table(spark, sf, "pages").select(
+        "page_id", F.element_at(F.array(*[F.lit(p) for p in _KINDS[:3]]), (page % 3 + 1).cast("int")).alias("board"),
+        F.when(mode == 2, "never-fetched").otherwise(F.concat(F.lit("acme-labs_"), (page % 5).cast("string"))).alias("org"),
+        F.when(mode == 1, F.concat(F.lit("no-such-id-"), page.cast("string"))).otherwise(F.concat(page.cast("string"), F.lit("B"))).alias("job_id"),
     )
     looked = feeds.posting_lookup(refs.drop("page_id"), found)
-    return refs.join(looked, ["board", "org", "job_id"]).select("page_id", "gone", "url", "page_url").distinct()
+    return refs.join(looked, ["board", "org", "job_id"]).select("page_id", "gone", "url", "page_url")
 
 
 @query(
@@ -228,22 +244,22 @@ def people_contacts(spark, sf):
 
 @query(
     "found_contacts",
-    """SELECT c_custkey AS application_id, CASE WHEN c_custkey % 5 <> 0 AND c_nationkey % 4 <> 0 THEN s_name END AS name,
-         CASE WHEN c_custkey % 5 = 0 THEN 'This application has no company name to search on.'
-              WHEN c_nationkey % 4 = 0 THEN 'people search returned 429' END AS reason
-       FROM customer LEFT JOIN supplier ON c_custkey % 5 <> 0 AND c_nationkey % 4 <> 0 AND s_nationkey = c_nationkey""",
+    """WITH a AS (SELECT o_orderkey AS application_id, o_custkey AS k, o_custkey % 5 = 0 AS blank, o_custkey % 4 = 0 AS bad FROM orders)
+       SELECT application_id, s_name AS name,
+         CASE WHEN blank THEN 'This application has no company name to search on.' WHEN bad THEN 'people search returned 429' END AS reason
+       FROM a LEFT JOIN supplier ON NOT blank AND NOT bad AND s_suppkey // 3 = k""",
 )
 def found_contacts(spark, sf):
-    """Applications looking for people at a nation's suppliers; a quarter of the lookups failed."""
-    nation = F.concat(F.lit("Nation "), F.col("n").cast("string"))
-    apps = V.table(spark, sf, "customer").withColumn("n", F.col("c_nationkey")).select(
-        F.col("c_custkey").alias("application_id"), F.when(F.col("c_custkey") % 5 == 0, "  ").otherwise(nation).alias("company")
-    )
-    people = V.table(spark, sf, "supplier").withColumn("n", F.col("s_nationkey")).where(F.col("n") % 4 != 0).select(
-        nation.alias("company"), F.col("s_name").alias("name")
+    """Applications looking for the three people of their company; a quarter of the lookups failed."""
+    name = lambda c: F.concat(F.lit("Company "), c.cast("string"))
+    apps = V.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("application_id"),
+        F.when(F.col("o_custkey") % 5 == 0, "  ").otherwise(name(F.col("o_custkey"))).alias("company"),
     )
-    failed = V.table(spark, sf, "nation").withColumn("n", F.col("n_nationkey")).where(F.col("n") % 4 == 0).select(
-        nation.alias("company"), F.lit("people search returned 429").alias("message")
+    company = F.floor(F.col("s_suppkey") / 3)
+    people = V.table(spark, sf, "supplier").where(company % 4 != 0).select(name(company).alias("company"), F.col("s_name").alias("name"))
+    failed = V.table(spark, sf, "customer").where(F.col("c_custkey") % 4 == 0).select(
+        name(F.col("c_custkey")).alias("company"), F.lit("people search returned 429").alias("message")
     )
     return feeds.contacts_for(apps, people, failed).select("application_id", "name", "reason")
 
@@ -696,11 +712,12 @@ def replaced_checks(spark, sf):
         """SELECT job_id, a.application_id, coalesce(a.status, 'sourced') AS status, a.application_id IS NULL AS created
            FROM (SELECT DISTINCT job_id FROM jobs) j LEFT JOIN (
              SELECT job_id, min_by(application_id, (created_at, application_id)) AS application_id, min_by(status, (created_at, application_id)) AS status
-             FROM apps WHERE application_id % 3 = 0 AND job_id % 2 = 0 GROUP BY job_id) a USING (job_id)""",
+             FROM (SELECT * REPLACE (job_id * 2 AS job_id) FROM apps) GROUP BY job_id) a USING (job_id)""",
     ),
 )
 def found_applications(spark, sf):
-    apps = V.applications(spark, sf).where((F.col("application_id") % 3 == 0) & (F.col("job_id") % 2 == 0))
+    """Applications stand for jobs of even number, so jobs of odd number have none yet."""
+    apps = V.applications(spark, sf).withColumn("job_id", F.col("job_id") * 2)
     return merge.find_or_create_applications(apps, V.jobs(spark, sf))
 
 
