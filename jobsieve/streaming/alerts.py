@@ -49,10 +49,9 @@ class DueAlerts(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
             for row in frame.itertuples(index=False):
-                self.steps.updateValue(
-                    (int(row.sequence_step),),
-                    (int(row.day_offset), _utc(row.created_at), _utc(row.sent_at), row.status, False),
-                )
+                number = (int(row.sequence_step),)
+                facts = (int(row.day_offset), _utc(row.created_at), _utc(row.sent_at), row.status)
+                self.steps.updateValue(number, (*facts, self._alerted(number, facts)))
         self._reset_timer()
         return iter(())
 
@@ -71,6 +70,13 @@ class DueAlerts(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    def _alerted(self, number: tuple[int], facts: tuple) -> bool:
+        """Whether the step has alerted already; new facts may alert anew, a repeated row may not."""
+        if not self.steps.containsKey(number):
+            return False
+        offset, created, sent, status, alerted = self.steps.getValue(number)
+        return bool(alerted) and (offset, _utc(created), _utc(sent), status) == facts
+
     def _load(self) -> dict[int, dict]:
         names = ("day_offset", "created_at", "sent_at", "status", "alerted")
         out = {}

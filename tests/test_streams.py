@@ -39,6 +39,7 @@ def test_alert_follows_a_late_send(spark, tmp_path):
         [("a", 1, 0, day(1), None, "scheduled", day(1)), ("a", 2, 4, day(1), None, "scheduled", day(1))],
         [("a", 1, 0, day(1), day(5), "sent", day(5))],
         [("b", 1, 0, day(20), None, "scheduled", day(20))],
+        [("a", 2, 4, day(1), None, "scheduled", day(20))],  # redelivered after its alert
         [("b", 1, 0, day(20), day(21), "sent", day(28))],
     ]
     try:
