@@ -639,12 +639,20 @@ def phrasing_outcome(documents: DataFrame, flags: DataFrame, key: str) -> DataFr
 # --- fidelity and confidence ------------------------------------------------
 
 
+def _beside(resumes: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
+    """``key, content, back``: each document with its re-parsed one, or null; the one join here."""
+    return resumes.select(key, "content").join(parsed.select(key, F.col("content").alias("back")), key, "left")
+
+
+def _survived() -> Column:
+    value, back = F.col("value"), F.col("back")
+    return (T.trim(value) != "") & F.coalesce((value == back) | ((T.trim(back) != "") & (T.plain(value) == T.plain(back))), F.lit(False))
+
+
 def dropped_leaves(resumes: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
     """Leaves with ``survived``: the re-parsed document has the same text at the same path."""
-    back = L.leaves(parsed, key).select(key, "path", F.col("value").alias("__back"))
-    return L.leaves(resumes, key).join(back, [key, "path"], "left").withColumn(
-        "survived", F.coalesce(T.plain(F.col("value")) == T.plain(F.col("__back")), F.lit(False))
-    ).drop("__back")
+    rows = _beside(resumes, parsed, key).select(key, F.posexplode(L.leaf_array(F.col("content"), F.col("back"))).alias("leaf_no", "l"))
+    return rows.select(key, "leaf_no", "l.*").where(T.trim(F.col("value")) != "").withColumn("survived", _survived()).drop("back")
 
 
 def fidelity(resumes: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
@@ -652,19 +660,20 @@ def fidelity(resumes: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
 
     A document the parser could not read has no row in ``parsed`` and is "not measured".
     """
-    leaf_counts = dropped_leaves(resumes, parsed, key).groupBy(key).agg(
-        F.count(F.lit(1)).alias("checked"), F.count_if(~F.col("survived")).alias("dropped")
-    )
-    sizes = lambda df, p: df.select(
-        key, *[F.size(F.col(f"content.{s}")).alias(f"{p}_{s}") for s in L.SECTIONS]
-    )
+    pair = _beside(resumes, parsed, key)
     lost = F.lit(False)
-    for s in L.SECTIONS:
-        lost = lost | ((F.col(f"a_{s}") > 0) & (F.col(f"b_{s}") < F.col(f"a_{s}")))
-    both = sizes(resumes, "a").join(sizes(parsed, "b"), key, "left").withColumn(
-        "measured", F.col("b_skills").isNotNull()
-    ).select(key, "measured", F.coalesce(lost, F.lit(False)).alias("structural_loss"))
-    joined = both.join(leaf_counts, key, "left")
+    for section in L.SECTIONS:
+        before, after = F.size(F.col(f"content.{section}")), F.size(F.col(f"back.{section}"))
+        lost = lost | ((before > 0) & (after < before))
+    measured = F.col("back").isNotNull()
+    rows = pair.select(
+        key, measured.alias("measured"), (measured & F.coalesce(lost, F.lit(False))).alias("structural_loss"),
+        F.explode_outer(L.leaf_array(F.col("content"), F.col("back"))).alias("l"),
+    ).select(key, "measured", "structural_loss", "l.value", "l.back")
+    filled = F.coalesce(T.trim(F.col("value")) != "", F.lit(False))
+    joined = rows.groupBy(key, "measured", "structural_loss").agg(
+        F.count_if(filled).alias("checked"), F.count_if(filled & ~_survived()).alias("dropped")
+    )
     dropped = F.when(F.col("measured"), F.coalesce("dropped", F.lit(0))).otherwise(F.lit(0).cast("long"))
     checked = F.when(F.col("measured"), F.coalesce("checked", F.lit(0))).otherwise(F.lit(0).cast("long"))
     ratio = dropped / F.greatest(checked, F.lit(1))
@@ -711,10 +720,9 @@ def low_confidence(scored: DataFrame) -> DataFrame:
 
 def field_recall(labelled: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
     """Per document, how many labelled leaves were read back exactly."""
-    got = L.leaves(parsed, key).select(key, "path", F.col("value").alias("__got"))
-    return L.leaves(labelled, key).join(got, [key, "path"], "left").groupBy(key).agg(
-        F.count(F.lit(1)).alias("labelled"),
-        F.count_if(F.col("value").eqNullSafe(F.col("__got"))).alias("found"),
+    rows = _beside(labelled, parsed, key).select(key, F.explode(L.leaf_array(F.col("content"), F.col("back"))).alias("l"))
+    return rows.select(key, "l.value", "l.back").where(T.trim(F.col("value")) != "").groupBy(key).agg(
+        F.count(F.lit(1)).alias("labelled"), F.count_if(F.coalesce(F.col("value") == F.col("back"), F.lit(False))).alias("found")
     ).withColumn("recall", F.col("found") / F.col("labelled"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab
 from ..functions.text import words
+from ..plans.once import computed
 from . import leaves as L
 
 
@@ -21,79 +22,64 @@ def field_change(was: Column, now: Column) -> Column:
     return F.when(a == b, F.lit(None).cast("string")).when(a == "", "add").when(b == "", "remove").otherwise("edit")
 
 
-def _occurrences(pairs: DataFrame, keys: Sequence[str], items: str, index: str) -> DataFrame:
-    nth = Window.partitionBy(*keys, "value").orderBy(index)
-    return pairs.select(*keys, F.posexplode(items).alias(index, "value")).withColumn(
-        "nth", F.row_number().over(nth)
-    )
-
-
-def _pairing(was: DataFrame, now: DataFrame, keys: Sequence[str], on: Sequence[str]) -> DataFrame:
-    return was.join(now, [*keys, *on], "full_outer")
-
-
-def _descends(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys whose matched old positions go down somewhere along the new order."""
-    along = Window.partitionBy(*keys).orderBy("now_i")
-    return (
-        matched.withColumn("__before", F.lag("was_i").over(along))
-        .where(F.col("was_i") < F.col("__before"))
-        .select(*keys)
-        .distinct()
-    )
-
-
 def list_diff(pairs: DataFrame, keys: Sequence[str], was: str = "was", now: str = "now", path: str = "path") -> DataFrame:
     """Changes between two string lists: ``keys, seq, kind, path, was_text, now_text``.
 
     Equal lists give nothing, the same items in another order one reorder. Otherwise
     items left over on both sides pair up as edits in order, the rest are additions or
     removals, and a reorder is added when the kept items changed order. ``seq`` orders
-    the changes.
+    the changes. The pairs are shuffled once, by their keys; nothing is joined.
     """
     keys = list(keys)
-    old = F.coalesce(F.col(was), F.array().cast("array<string>"))
-    new = F.coalesce(F.col(now), F.array().cast("array<string>"))
-    lists = pairs.select(*keys, F.col(path).alias("path"), old.alias("was"), new.alias("now")).where(
-        ~F.col("was").eqNullSafe(F.col("now"))
-    )
-    shuffled = F.array_sort("was") == F.array_sort("now")
-    moved_only = lists.where(shuffled).select(
-        *keys, F.lit(0).cast("long").alias("seq"), F.lit("reorder").alias("kind"), "path",
-        F.array_join("was", " · ").alias("was_text"), F.array_join("now", " · ").alias("now_text"),
-    )
-    differing = lists.where(~shuffled)
-    both = _pairing(
-        _occurrences(differing, keys, "was", "was_i"),
-        _occurrences(differing, keys, "now", "now_i"),
-        keys, ["value", "nth"],
-    )
-    kept = both.where(F.col("was_i").isNotNull() & F.col("now_i").isNotNull())
+    lists = pairs.select(*keys, F.col(path).alias("path"), F.col(was).alias("was"), F.col(now).alias("now"))
+    return _list_changes(lists.repartition(*keys), keys)
 
-    def slots(side: str) -> DataFrame:
-        other = "now_i" if side == "was_i" else "was_i"
-        return both.where(F.col(other).isNull()).select(
-            *keys, F.col(side), F.col("value").alias(f"{side}_value"),
-            F.row_number().over(Window.partitionBy(*keys).orderBy(side)).alias("slot"),
-        )
 
-    left_over = slots("was_i").join(slots("now_i"), [*keys, "slot"], "full_outer")
-    paths = differing.select(*keys, "path")
-    has_was, has_now = F.col("was_i").isNotNull(), F.col("now_i").isNotNull()
-    at = F.coalesce("now_i", "was_i")
-    edits = left_over.join(paths, keys).select(
-        *keys,
-        F.when(has_now, F.col("now_i")).otherwise(F.col("was_i") + 1_000_000_000).cast("long").alias("seq"),
-        F.when(has_was & has_now, "edit").when(has_now, "add").otherwise("remove").alias("kind"),
-        F.concat(F.col("path"), F.lit("["), at.cast("string"), F.lit("]")).alias("path"),
-        F.col("was_i_value").alias("was_text"), F.col("now_i_value").alias("now_text"),
-    )
+def _list_changes(lists: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``list_diff`` of rows that are already together by (some of) their keys.
+
+    Both lists become rows of one table. An item's number among its equals on its own side
+    meets the same number on the other side in a window; items alone there are left over.
+    """
     none = F.lit(None).cast("string")
-    reordered = _descends(kept, keys).join(paths, keys).select(
-        *keys, F.lit(2_000_000_000).cast("long").alias("seq"), F.lit("reorder").alias("kind"), "path",
-        none.alias("was_text"), none.alias("now_text"),
+    lists = lists.select(*keys, "path", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("was", "now")])
+    differing = computed(lists.where(F.col("was") != F.col("now")), moved=F.array_sort("was") == F.array_sort("now"))
+
+    def items(side: int, name: str) -> Column:
+        one = lambda v, i: F.struct(F.lit(side).alias("side"), i.alias("i"), v.alias("value"))
+        whole = F.array(F.array_join(name, " · "))
+        return F.transform(F.when(F.col("moved"), whole).otherwise(F.col(name)), one)
+
+    rows = differing.select(*keys, "path", "moved", F.inline(F.concat(items(0, "was"), items(1, "now"))))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "side", "value").orderBy("i")))
+    met = Window.partitionBy(*keys, "value", "nth")
+    rows = rows.select(
+        *keys, "path", "moved", "side", "i", "value",
+        (~F.col("moved") & (F.count(F.lit(1)).over(met) == 2)).alias("kept"),
+        F.min(F.when(F.col("side") == 0, F.col("i"))).over(met).alias("was_i"),
+    )
+    along = Window.partitionBy(*keys, "kept", "side").orderBy("i")
+    falls = F.col("kept") & (F.col("side") == 1) & (F.col("was_i") < F.lag("was_i").over(along))
+    slots = rows.withColumn("falls", F.coalesce(falls, F.lit(False))).withColumn(
+        "slot", F.when(F.col("kept"), 0).otherwise(F.row_number().over(along))
+    )
+    item = F.struct("i", "value")
+    changes = slots.groupBy(*keys, "path", "moved", "slot").agg(
+        F.max(F.when(F.col("side") == 0, item)).alias("w"), F.max(F.when(F.col("side") == 1, item)).alias("n"),
+        F.max("falls").alias("falls"),
+    ).where((F.col("slot") > 0) | F.col("falls"))
+    whole = F.col("moved") | (F.col("slot") == 0)
+    has_was, has_now = F.col("w").isNotNull(), F.col("n").isNotNull()
+    at = F.coalesce("n.i", "w.i").cast("string")
+    return changes.select(
+        *keys,
+        F.when(F.col("moved"), 0).when(whole, 2_000_000_000).when(has_now, F.col("n.i")).otherwise(F.col("w.i") + 1_000_000_000)
+        .cast("long").alias("seq"),
+        F.when(whole, "reorder").when(has_was & has_now, "edit").when(has_now, "add").otherwise("remove").alias("kind"),
+        F.when(whole, F.col("path")).otherwise(F.concat(F.col("path"), F.lit("["), at, F.lit("]"))).alias("path"),
+        F.when(F.col("slot") == 0, none).otherwise(F.col("w.value")).alias("was_text"),
+        F.when(F.col("slot") == 0, none).otherwise(F.col("n.value")).alias("now_text"),
     )
-    return moved_only.unionByName(edits).unionByName(reordered)
 
 
 _IDENTITY = {
@@ -114,105 +100,89 @@ _SUMMARY = {
 _COMPARED = {"experience", "education", "projects"}
 
 
-def _one_entry(section: str, fields: tuple[str, ...], items: str):
-    compared = fields if section in _COMPARED else ()
-    empty = "array<struct<key:string,value:string>>"
-
-    def one(e: Column, i: Column) -> Column:
-        values = [
-            F.struct(F.lit(f).alias("key"), F.coalesce(e[f], F.lit("")).alias("value")) for f in compared
-        ]
-        return F.struct(
-            F.lit(section).alias("section"),
-            i.alias("i"),
-            _IDENTITY[section](e).alias("value"),
-            _SUMMARY[section](e).alias("summary"),
-            F.array(*values).cast(empty).alias("fields"),
-            F.lit(items).alias("list_key"),
-            e[items].alias("list"),
-        )
+_FIELDS = "array<struct<key:string,value:string>>"
+
 
-    return one
+def _plain_fields(e: Column, names: Sequence[str]) -> Column:
+    values = [F.struct(F.lit(f).alias("key"), F.coalesce(e[f], F.lit("")).alias("value")) for f in names]
+    return F.array(*values).cast(_FIELDS)
 
 
-def _entry_array(content: Column) -> Column:
-    return F.concat(
-        *[
-            F.transform(content[section], _one_entry(section, fields, items))
-            for section, (fields, items) in L.SECTIONS.items()
-        ]
+def _entry(side: int, section: str, i: Column, value: Column, summary: Column, fields: Column, key: str, items: Column) -> Column:
+    return F.struct(
+        F.lit(side).alias("side"), F.lit(section).alias("section"), i.alias("i"), value.alias("value"), summary.alias("summary"),
+        fields.alias("fields"), F.lit(key).alias("list_key"), items.alias("list"),
     )
 
 
-def _entries(pairs: DataFrame, key: str, column: str, side: str) -> DataFrame:
-    nth = Window.partitionBy(key, "section", "value").orderBy("i")
-    rows = pairs.select(key, F.inline(_entry_array(F.col(column)))).withColumn(
-        "nth", F.row_number().over(nth)
-    )
-    return rows.select(
-        key, "section", "value", "nth",
-        *[F.col(c).alias(f"{side}_{c}") for c in ("i", "summary", "fields", "list_key", "list")],
+def _entry_array(content: Column, side: int) -> Column:
+    """All entries of a document; the basics are one entry that both sides always have."""
+
+    def listed(section: str, fields: tuple[str, ...], items: str) -> Column:
+        compared = fields if section in _COMPARED else ()
+        return F.transform(
+            content[section],
+            lambda e, i: _entry(
+                side, section, i, _IDENTITY[section](e), _SUMMARY[section](e), _plain_fields(e, compared), items, e[items]
+            ),
+        )
+
+    none = F.lit(None).cast("string")
+    basics = _entry(
+        side, "basics", F.lit(0), F.lit(""), none, _plain_fields(content["basics"], L.BASICS), "", F.lit(None).cast("array<string>")
     )
+    sections = F.array(F.array(basics), *[listed(s, fields, items) for s, (fields, items) in L.SECTIONS.items()])
+    return F.flatten(F.filter(sections, lambda x: x.isNotNull()))
 
 
 def semantic_diff(pairs: DataFrame, key: str, was: str = "was", now: str = "now") -> DataFrame:
-    """Changes between two nested documents: ``key, kind, path, was_text, now_text``."""
-    changes = [F.col("kind"), F.col("path"), F.col("was_text"), F.col("now_text")]
-    basics = pairs.select(
-        key,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f"basics.{k}").alias("path"),
-                        F.col(f"{was}.basics.{k}").alias("was_text"),
-                        F.col(f"{now}.basics.{k}").alias("now_text"),
-                    )
-                    for k in L.BASICS
-                ]
-            )
-        ),
-    )
-    both = _entries(pairs, key, was, "was").join(
-        _entries(pairs, key, now, "now"), [key, "section", "value", "nth"], "full_outer"
-    )
-    has_was, has_now = F.col("was_i").isNotNull(), F.col("now_i").isNotNull()
-    at = F.concat(F.col("section"), F.lit("["), F.coalesce("now_i", "was_i").cast("string"), F.lit("]"))
-    one_sided = both.where(~(has_was & has_now)).select(
-        key, F.when(has_now, "add").otherwise("remove").alias("kind"), at.alias("path"),
-        F.col("was_summary").alias("was_text"), F.col("now_summary").alias("now_text"),
+    """Changes between two nested documents: ``key, kind, path, was_text, now_text``.
+
+    Entries pair by section, identity and number among equals. The pairs are shuffled once by
+    their key; pairing, order and list items are windows and groups on top of that.
+    """
+    entries = F.concat(_entry_array(F.col(was), 0), _entry_array(F.col(now), 1))
+    rows = pairs.select(key, was, now).repartition(key).select(key, F.inline(entries)).withColumn(
+        "nth", F.row_number().over(Window.partitionBy(key, "side", "section", "value").orderBy("i"))
+    )
+    entry = F.struct("i", "summary", "fields", "list_key", "list")
+    both = rows.groupBy(key, "section", "value", "nth").agg(
+        *[F.first(F.when(F.col("side") == n, entry), ignorenulls=True).alias(c) for n, c in enumerate(("w", "n"))]
+    )
+    has_was, has_now = F.col("w").isNotNull(), F.col("n").isNotNull()
+    numbered = F.concat(F.col("section"), F.lit("["), F.coalesce("n.i", "w.i").cast("string"), F.lit("]"))
+    both = both.select(
+        key, "section", "w", "n", (has_was & has_now).alias("matched"),
+        F.when(F.col("section") == "basics", F.col("section")).otherwise(numbered).alias("at"),
+    )
+    along = Window.partitionBy(key, "section", "matched").orderBy("n.i")
+    falls = F.coalesce(F.col("matched") & (F.col("w.i") < F.lag("w.i").over(along)), F.lit(False)).cast("int")
+    ordered = both.withColumn("falls", falls).withColumn("n_falls", F.sum("falls").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    none = F.lit(None).cast("string")
+
+    def change(kind: Column, path: Column, old: Column, new: Column) -> Column:
+        return F.struct(kind.alias("kind"), path.alias("path"), old.alias("was_text"), new.alias("now_text"))
+
+    one_sided = F.array(
+        change(F.when(has_now, "add").otherwise("remove"), F.col("at"), F.col("w.summary"), F.col("n.summary"))
     )
-    matched = both.where(has_was & has_now)
-    field_pairs = matched.select(
-        key,
-        F.inline(
-            F.zip_with(
-                "was_fields", "now_fields",
-                lambda a, b: F.struct(
-                    F.concat(at, F.lit("."), a["key"]).alias("path"),
-                    a["value"].alias("was_text"), b["value"].alias("now_text"),
-                ),
-            )
+    blank = lambda c: F.nullif(c, F.lit(""))
+    fields = F.zip_with(
+        "w.fields", "n.fields",
+        lambda a, b: change(
+            field_change(a["value"], b["value"]), F.concat(F.col("at"), F.lit("."), a["key"]), blank(a["value"]), blank(b["value"])
         ),
     )
-    fields = basics.unionByName(field_pairs).withColumn(
-        "kind", field_change(F.col("was_text"), F.col("now_text"))
-    ).where(F.col("kind").isNotNull())
-    blank = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
-    fields = fields.select(key, "kind", "path", blank("was_text"), blank("now_text"))
-    lists = list_diff(
-        matched.select(
-            key, F.concat(at, F.lit("."), F.col("now_list_key")).alias("path"),
-            F.col("was_list").alias("was"), F.col("now_list").alias("now"),
-        ).withColumn("__path", F.col("path")),
-        [key, "__path"],
-    ).select(key, *changes)
-    none = F.lit(None).cast("string")
-    moved = _descends(matched, [key, "section"]).select(
-        key, F.lit("reorder").alias("kind"), F.col("section").alias("path"),
-        none.alias("was_text"), none.alias("now_text"),
+    moved = F.array(
+        change(F.when((F.col("falls") == 1) & (F.col("n_falls") == 1), "reorder"), F.col("section"), none, none)
+    )
+    found = F.when(F.col("matched"), F.concat(F.filter(fields, lambda f: f["kind"].isNotNull()), F.filter(moved, lambda f: f["kind"].isNotNull())))
+    changes = ordered.select(key, F.inline(found.otherwise(one_sided)))
+    path = F.concat(F.col("at"), F.lit("."), F.col("n.list_key"))
+    lists = both.where("matched").select(
+        key, path.alias("__path"), path.alias("path"), F.col("w.list").alias("was"), F.col("n.list").alias("now")
     )
-    return one_sided.unionByName(fields).unionByName(lists).unionByName(moved)
+    return changes.unionByName(_list_changes(lists, [key, "__path"]).select(key, "kind", "path", "was_text", "now_text"))
 
 
 def value_changes(was: DataFrame, now: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

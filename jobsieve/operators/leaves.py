@@ -21,7 +21,7 @@ SECTIONS = {
 SECTION_RANK = {"basics": 0, **{s: i + 1 for i, s in enumerate(SECTIONS)}}
 
 
-def _leaf(section: str, entry: Column, key: str, item: Column, value: Column, rank: int) -> Column:
+def _leaf(section: str, entry: Column, key: str, item: Column, value: Column, rank: int, back: Column | None = None) -> Column:
     """``item`` is null for a plain field and the list index for a list element."""
     at = F.lit(section) if section == "basics" else F.concat(F.lit(section), F.lit("["), entry.cast("string"), F.lit("]"))
     path = F.concat(at, F.lit("."), F.lit(key))
@@ -34,31 +34,39 @@ def _leaf(section: str, entry: Column, key: str, item: Column, value: Column, ra
         item.cast("int").alias("item"),
         path.alias("path"),
         value.alias("value"),
+        *([] if back is None else [back.alias("back")]),
     )
 
 
-def _section_leaves(content: Column, section: str) -> Column:
+def _section_leaves(content: Column, section: str, back: Column | None) -> Column:
     fields, items = SECTIONS[section]
 
     def entry_leaves(entry: Column, i: Column) -> Column:
+        other = None if back is None else F.get(back[section], i)
         plain = F.array(
-            *[_leaf(section, i, f, F.lit(None).cast("int"), entry[f], r) for r, f in enumerate(fields)]
+            *[_leaf(section, i, f, F.lit(None).cast("int"), entry[f], r, None if other is None else other[f]) for r, f in enumerate(fields)]
+        )
+        listed = F.transform(
+            entry[items],
+            lambda v, j: _leaf(section, i, items, j, v, len(fields), None if other is None else F.get(other[items], j)),
         )
-        listed = F.transform(entry[items], lambda v, j: _leaf(section, i, items, j, v, len(fields)))
         return F.concat(plain, listed)
 
     return F.flatten(F.transform(content[section], entry_leaves))
 
 
-def leaf_array(content: Column) -> Column:
-    """Every leaf in document order, blanks included."""
+def leaf_array(content: Column, back: Column | None = None) -> Column:
+    """Every leaf in document order, blanks included.
+
+    With another document as ``back``, each leaf also has that document's value at its path.
+    """
     basics = F.array(
         *[
-            _leaf("basics", F.lit(0), k, F.lit(None).cast("int"), content["basics"][k], r)
+            _leaf("basics", F.lit(0), k, F.lit(None).cast("int"), content["basics"][k], r, None if back is None else back["basics"][k])
             for r, k in enumerate(BASICS)
         ]
     )
-    return F.concat(basics, *[_section_leaves(content, s) for s in SECTIONS])
+    return F.concat(basics, *[_section_leaves(content, s, back) for s in SECTIONS])
 
 
 def leaves(resumes: DataFrame, key: str, content: str = "content") -> DataFrame:
