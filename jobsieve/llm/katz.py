@@ -1,12 +1,11 @@
 """Katz backoff scoring.
 
-Counts of words and word pairs come from the training documents. Frequent words are classes of their
-own, all others share one class, whose words are told apart by their counts: so the pair table is
-bounded by the square of the vocabulary and every word still has its own probability. Pair counts up
-to five are discounted by Good and Turing's estimate; what a context loses goes to the pairs it has
-not seen, in proportion to the lower order, with a backoff weight that makes each context sum to one
-exactly. Counts, discounted probabilities and weights are written as tables; tokens are scored from
-the second order down: a seen pair by its own entry, any other by weight times the first order.
+Counts of all words and of all word pairs come from the training documents; nothing is left out or
+pooled. Pair counts up to five are discounted by Good and Turing's estimate; what a context loses
+goes to the words it has not been seen with, in proportion to the first order, with a backoff weight
+that makes each context sum to one exactly. Words the training texts lack are one class with one
+count. Counts, weights and the documents' distinct pairs are tables joined by key; only the most
+frequent words and pairs, a bounded number, are copied to the tasks, so that no key of a join is hot.
 """
 
 from __future__ import annotations
@@ -22,28 +21,21 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut
 from .common import hashed_words, per_text, text_steps
 
-#: Most classes of their own; the pair table has at most its square of entries.
-VOCABULARY = 2048
-#: Most frequent words whose counts every task holds; counts of all others are joined.
+#: Most frequent words, and pairs, whose values every task holds; those of all others are joined.
 HELD_COUNTS = 1 << 17
 DISCOUNTED = 5
-#: Classes: all words outside the vocabulary, and the end of a text, also the context of its first word.
-OTHER, END = 0, 1
+#: The end of a text, also the context of its first word.
 _END_HASH = np.uint64(0x1F0E0D0C0B0A0908)
 
 
 @dataclass
 class Corpus:
-    """Training counts: words, tokens, distinct tokens, and the words held by every task."""
+    """Training counts: words, tokens, distinct tokens, and the count from which every task holds a word."""
 
     words: DataFrame
     n: int
     v: int
-    held: np.ndarray
-    held_count: np.ndarray
-    classes: np.ndarray
-    other_n: int
-    other_v: int
+    least: int
 
 
 def _tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,34 +92,28 @@ def count_words(source: DataFrame) -> Corpus:
 
     words = cut(source.select("held", "text").mapInArrow(run, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c")))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    sizes = words.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    # counts held by many words cannot be frequent ones; the frequent end of the list is short
-    top = sizes.orderBy(F.desc("c")).limit(HELD_COUNTS).collect()
-    held = words.where(F.col("c") >= _threshold(top, HELD_COUNTS)).toArrow()
-    word, count = held["w"].to_numpy().astype(np.int64).view(np.uint64), held["c"].to_numpy().astype(np.int64)
-    order = np.argsort(word)
-    word, count = word[order], count[order]
-    own = (count >= _threshold(top, VOCABULARY)) & (word != _END_HASH)
-    classes = word[own]
-    other_n = int(n - count[own].sum() - count[word == _END_HASH].sum())
-    other_v = int(v - own.sum() - (word == _END_HASH).sum())
-    return Corpus(words, int(n), int(v), word, count, classes, other_n, other_v)
-
-
-def _class_of(token: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(token), np.int64)
-    if len(classes):
-        at = np.minimum(np.searchsorted(classes, token), len(classes) - 1)
-        out = np.where(classes[at] == token, at + 2, OTHER)
-    out[token == _END_HASH] = END
-    return out
+    return Corpus(words, int(n), int(v), _least(words))
+
+
+def _least(counts: DataFrame) -> int:
+    """The count from which the rows of ``counts`` are few enough to be held by every task."""
+    sizes = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    # counts held by many rows cannot be frequent ones; the frequent end of the list is short
+    return _threshold(sizes.orderBy(F.desc("c")).limit(HELD_COUNTS).collect(), HELD_COUNTS)
+
 
+def _before(token: np.ndarray) -> np.ndarray:
+    """The token before each. Every text closes with an end, so before a text's first there is one too."""
+    return np.roll(token, 1)
 
-def _pairs(cls: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The class before each token; before a text's first there is an end."""
-    before = np.roll(cls, 1)
-    before[begin[:-1]] = END
-    return before
+
+def _pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One 64-bit key of a pair of word hashes; ``_pair_column`` is the same in Spark."""
+    return (context << np.uint64(1) | context >> np.uint64(63)) ^ word
+
+
+def _pair_column(context, word):
+    return F.shiftleft(context, 1).bitwiseOR(F.shiftrightunsigned(context, 63)).bitwiseXOR(F.col(word))
 
 
 def discounts(sizes: dict[int, int], most: int = DISCOUNTED) -> list[float]:
@@ -144,129 +130,214 @@ def discounts(sizes: dict[int, int], most: int = DISCOUNTED) -> list[float]:
     return out
 
 
-def fit(source: DataFrame, corpus: Corpus) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """(seen pairs with log10 probabilities, contexts with log10 backoff weights, first order)."""
-    classes = corpus.classes
-    size = len(classes) + 2
+def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of the columns in order, and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
+
+
+def _kept(c, factor: list[float]):
+    """What the discount leaves of a count, as a column."""
+    out = c.cast("double")
+    for r, d in enumerate(factor, 1):
+        out = F.when(c == r, F.lit(r * d)).otherwise(out)
+    return out
+
+
+def fit(source: DataFrame, corpus: Corpus) -> tuple[DataFrame, DataFrame, list[float], int]:
+    """(pairs with counts, words with count, backoff weight and denominator, discounts, mass of the first order).
+
+    A word's first order is its count plus one by the mass; the words unknown to the training texts
+    share the one that is left. ``weight`` and ``whole`` are log10 and belong to the word as a context.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = []
+            contexts, words = [], []
             for _, token, begin, train in _runs(b.column(1), ~b.column(0).to_numpy(zero_copy_only=False)):
-                cls = _class_of(token, classes)
-                keys.append((_pairs(cls, begin) * size + cls)[np.repeat(train, np.diff(begin))])
-            pair, count = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(count.astype(np.int64))], names=["pair", "c"])
-
-    raw = source.select("held", "text").mapInArrow(run, "pair bigint, c bigint")
-    pairs = cut(
-        raw.groupBy("pair").agg(F.sum("c").alias("c"))
-        .select(F.floor(F.col("pair") / size).cast("int").alias("context"), F.pmod("pair", F.lit(size)).cast("int").alias("cls"), "c")
-    )
-    singles = {r.cls: r.c for r in pairs.groupBy("cls").agg(F.sum("c").alias("c")).collect()}
-    first = np.array([singles.get(i, 0) + 1 for i in range(size)], float)
-    first = first / first.sum()
+                here = np.repeat(train, np.diff(begin))
+                contexts.append(_before(token)[here])
+                words.append(token[here])
+            (context, word), count = _distinct(np.concatenate(contexts), np.concatenate(words))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(context.view(np.int64)), pa.array(word.view(np.int64)), pa.array(count.astype(np.int64))],
+                names=["context", "w", "c"],
+            )
+
+    raw = source.select("held", "text").mapInArrow(run, "context bigint, w bigint, c bigint")
+    pairs = cut(raw.groupBy("context", "w").agg(F.sum("c").alias("c")))
     few = pairs.where(F.col("c") <= DISCOUNTED + 1).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
     factor = discounts({r.c: r.n for r in few})
-    kept = F.col("c").cast("double")
-    for r, d in enumerate(factor, 1):
-        kept = F.when(F.col("c") == r, F.lit(r * d)).otherwise(kept)
-    low = source.sparkSession.createDataFrame([(i, float(p)) for i, p in enumerate(first)], "cls int, p1 double")
-    rows = pairs.join(F.broadcast(low), "cls").select("context", "cls", "c", kept.alias("kept"), "p1")
-    sums = rows.groupBy("context").agg(
-        F.sum("c").alias("total"), F.sum("kept").alias("kept_sum"), F.sum("p1").alias("low"), F.count(F.lit(1)).alias("seen")
+    mass = corpus.n + corpus.v + 1
+
+    # frequent words, which follow many contexts, are copied; all others have few pairs each
+    count = corpus.words.select("w", F.col("c").alias("cw"))
+    often = F.broadcast(count.where(F.col("cw") >= corpus.least))
+    rare = pairs.join(often, "w", "left_anti").join(count.where(F.col("cw") < corpus.least), "w")
+    rows = pairs.join(often, "w").select("context", "c", "cw").union(rare.select("context", "c", "cw"))
+    sums = rows.groupBy(F.col("context").alias("w")).agg(
+        F.sum("c").alias("c"), F.sum(F.col("c") - _kept(F.col("c"), factor)).alias("lost"), F.sum(F.col("cw") + 1).alias("low")
     )
     # a context without low counts gives up one count, so that unseen pairs keep a probability
-    spare = F.when((F.col("total") - F.col("kept_sum") < 1e-9) & (F.col("seen") < size), F.lit(1.0)).otherwise(F.lit(0.0))
-    left = 1 - F.col("kept_sum") / F.col("whole")
-    contexts = cut(
-        sums.withColumn("whole", F.col("total") + spare)
-        .select(
-            "context", "whole",
-            F.when(F.col("seen") < size, F.log10(left / (1 - F.col("low")))).otherwise(F.lit(float("-inf"))).alias("weight"),
-            F.when(F.col("seen") < size, F.lit(1.0)).otherwise(F.col("whole") / F.col("kept_sum")).alias("scale"),
+    spare = F.when(F.col("lost") < 1e-9, F.lit(1.0)).otherwise(F.lit(0.0))
+    whole = F.col("c") + spare
+    words = cut(
+        sums.select(
+            "w", "c", F.log10((F.col("lost") + spare) / whole / ((F.lit(mass) - F.col("low")) / F.lit(float(mass)))).alias("weight"),
+            F.log10(whole).alias("whole"),
         )
     )
-    seen = cut(
-        rows.join(contexts, "context").select("context", "cls", F.log10(F.col("kept") / F.col("whole") * F.col("scale")).alias("logp"))
-    )
-    return seen, contexts, np.log10(first)
+    return pairs, words, factor, mass
 
 
-def table_of(seen: DataFrame, contexts: DataFrame, first: np.ndarray) -> np.ndarray:
-    """log10 probability of each class in each context: its own entry, or backoff weight and first order.
+def table_of(pairs: DataFrame, words: DataFrame, factor: list[float], mass: int) -> np.ndarray:
+    """log10 probability of each word, and last of all unknown ones, in each known context.
 
-    The table has at most the square of the vocabulary, whatever the corpus.
+    Pulls the whole model to one place: for looking at small ones.
     """
-    size = len(first)
-    weight = np.zeros(size)
-    for r in contexts.select("context", "weight").collect():
-        weight[r.context] = r.weight
-    table = (weight[:, None] + first[None, :]).astype(np.float32)
-    for batch in seen.toArrow().to_batches(1 << 18):
-        context, cls, logp = (np.asarray(batch.column(n)) for n in ("context", "cls", "logp"))
-        table[context, cls] = logp
+    rows = words.collect()
+    at = {r.w: i for i, r in enumerate(rows)}
+    first = np.log10(np.array([r.c + 1 for r in rows] + [1]) / mass)
+    table = np.array([r.weight for r in rows])[:, None] + first[None, :]
+    for r in pairs.select("context", "w", F.log10(_kept(F.col("c"), factor)).alias("kept")).collect():
+        table[at[r.context], at[r.w]] = r.kept - rows[at[r.context]].whole
     return table
 
 
+def _sorted_by(frame: DataFrame, key: str, *values: str) -> list[np.ndarray]:
+    """Key as unsigned and values of a table of bounded size, in the key's order."""
+    t = frame.select(key, *values).toArrow()
+    k = t[key].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(k)
+    return [k[order], *[t[v].to_numpy().astype(float)[order] for v in values]]
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in the sorted keys, whether it is there) of each wanted key."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _take(values: np.ndarray, at: np.ndarray, here: np.ndarray) -> np.ndarray:
+    return np.where(here, values[at], 0.0) if len(values) else np.zeros(len(at))
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Null texts are empty and have only the end. A word outside the vocabulary has the probability of
-    the common class times ``(c + 1) / (n + v + 1)`` within it. Words are told apart by 64-bit hashes
-    of their folded bytes. Without training documents every word is unknown and counts are zero.
+    Null texts are empty and have only the end. ``base_score`` has the first order alone: a word's
+    count plus one by ``n + v + 1``. In ``score`` a pair seen in training has its own probability; any
+    other has its context's backoff weight times the first order, and after an unknown context just
+    the first order. Words are told apart by 64-bit hashes of their folded bytes, pairs by 64 bits of
+    both. Without training documents every word is unknown and counts are zero.
     """
     source = _prepared(docs, doc_id, text)
     corpus = count_words(source)
-    seen, contexts, first = fit(source, corpus)
+    pairs, words, factor, mass = fit(source, corpus)
+    unit = math.log10(mass)
+    log_kept = F.log10(_kept(F.col("c"), factor))
+    keyed = pairs.select(_pair_column("context", "w").alias("pair"), "c", log_kept.alias("kept"))
+    log_count = F.log10(F.col("c") + F.lit(1.0))
     send = docs.sparkSession.sparkContext.broadcast(
-        (table_of(seen, contexts, first), corpus.held, corpus.held_count, corpus.classes)
+        (
+            _sorted_by(words.where(F.col("c") >= corpus.least).withColumn("log", log_count), "w", "log", "weight", "whole"),
+            _sorted_by(keyed.where(F.col("c") >= _least(pairs)), "pair", "kept"),
+        )
     )
     kind = source.schema["id"].dataType.simpleString()
 
+    # A seen pair has log10 kept - whole(context); any other weight(context) + log10 first order. All pairs
+    # of a training text are seen, so its score needs only the pairs' counts and sums over its words, which
+    # are also its contexts. A held-out text starts from all pairs unseen and corrects the seen ones.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, held_count, classes = send.value
+        (held, log, weight, whole), (held_pairs, pair_kept) = send.value
         for b in batches:
-            for i, token, begin, _ in _runs(b.column(3), np.zeros(b.num_rows, bool)):
+            out = b.column(2).to_numpy(zero_copy_only=False)
+            for i, token, begin, test in _runs(b.column(3), out):
                 n = len(begin) - 1
-                cls = _class_of(token, classes)
-                model = table[_pairs(cls, begin), cls].astype(float)
-                at = np.minimum(np.searchsorted(held, token), max(len(held) - 1, 0))
-                count = np.where(held[at] == token, held_count[at], 0) if len(held) else np.zeros(len(token), np.int64)
-                here = count > 0
-                common = here & (cls == OTHER)
                 text_of = np.repeat(np.arange(n), np.diff(begin))
-                total = lambda x: np.bincount(text_of, x, n)
-                base = total(np.where(here, np.log10(count + 1.0), 0.0))
-                inner = total(np.where(common, np.log10(count + 1.0), 0.0))
-                rare = np.flatnonzero(~here)
-                ends = np.searchsorted(rare, begin).astype(np.int32)
+                total = lambda of, x: np.bincount(of, x, n)
+                at, here = _found(held, token)
+                own = np.where(test[text_of], _take(weight + log - unit, at, here), -_take(whole, at, here))
+                (rare_of, rare), rare_n = _distinct(text_of[~here], token[~here])
+                (of, context, word), times = _distinct(text_of, _before(token), token)
+                pair, apart = _pair(context, word), test[of]
+                (c_at, c_here), (w_at, w_here) = _found(held, context), _found(held, word)
+                change = -_take(whole + weight, c_at, c_here) - _take(log - unit, w_at, w_here)
+                change = np.where(apart, change, 0.0)
+                lacks = np.where(apart, ~c_here + 2 * ~w_here, 0).astype(np.int8)
+                p_at, local = _found(held_pairs, pair)
+                local &= lacks == 0
+                inner = total(of[local], (times * (_take(pair_kept, p_at, local) + change))[local])
+                send_on = ~local
+                of, pair, times, apart = of[send_on], pair[send_on], times[send_on], apart[send_on]
+                lists = lambda of, x, kind: pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.array(x, kind)
+                )
+                of_test, of_train = of[apart], of[~apart]
+                part = lambda x: x[send_on][apart]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(i, n), b.column(1).slice(i, n), b.column(2).slice(i, n),
-                        pa.array(np.diff(begin)), pa.array(total(here).astype(np.int64)), pa.array(total(cls == OTHER).astype(np.int64)),
-                        pa.array(base), pa.array(inner), pa.array(total(model)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(token[rare].view(np.int64))),
+                        b.column(0).slice(i, n), b.column(1).slice(i, n), b.column(2).slice(i, n), pa.array(np.diff(begin)),
+                        pa.array(total(text_of, here).astype(np.int64)), pa.array(total(text_of, _take(log, at, here))),
+                        pa.array(total(text_of, own) + inner),
+                        lists(rare_of, rare.view(np.int64), pa.int64()), lists(rare_of, rare_n, pa.int32()),
+                        lists(of_train, pair[~apart].view(np.int64), pa.int64()), lists(of_train, times[~apart], pa.int32()),
+                        lists(of_test, pair[apart].view(np.int64), pa.int64()), lists(of_test, times[apart], pa.int32()),
+                        lists(of_test, part(change), pa.float64()), lists(of_test, part(lacks), pa.int8()),
+                        lists(of_test, part(context).view(np.int64), pa.int64()), lists(of_test, part(word).view(np.int64), pa.int64()),
+                    ],
+                    names=[
+                        "row", "id", "held", "n_tokens", "known", "base", "own", "rare", "rare_n", "pair", "pair_n", "test", "test_n",
+                        "change", "lacks", "context", "w",
                     ],
-                    names=["row", "id", "held", "n_tokens", "known", "others", "base", "inner", "model", "rare"],
                 )
 
     schema = (
-        f"row bigint, id {kind}, held boolean, n_tokens bigint, known bigint, others bigint, base double, inner double, "
-        "model double, rare array<bigint>"
+        f"row bigint, id {kind}, held boolean, n_tokens bigint, known bigint, base double, own double, rare array<bigint>, "
+        "rare_n array<int>, pair array<bigint>, pair_n array<int>, test array<bigint>, test_n array<int>, change array<double>, "
+        "lacks array<tinyint>, context array<bigint>, w array<bigint>"
     )
     # row numbers are settled by writing the table
     parts = cut(source.select(F.monotonically_increasing_id().alias("row"), "id", "held", "text").mapInArrow(run, schema))
-    rare = parts.select("row", F.explode("rare").alias("w"))
-    found = rare.join(corpus.words, "w").groupBy("row").agg(
-        F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("logs")
-    )
-    all_of = parts.drop("rare").join(found, "row", "left").fillna(0, ["more", "logs"])
-    unit = math.log10(corpus.n + corpus.v + 1)
-    inner_unit = math.log10(corpus.other_n + corpus.other_v + 1)
-    return all_of.select(
-        F.col("id").alias(doc_id), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + F.col("more")).alias("n_known"),
+    # joined only for words that no task holds, and for pairs: one row per text and pair
+    values = words.select("w", log_count.alias("log"), "weight", "whole")
+    rare = parts.select("row", "held", F.inline(F.arrays_zip(F.col("rare").alias("w"), F.col("rare_n").alias("n"))))
+    in_words = rare.join(values, "w").groupBy("row").agg(
+        F.sum("n").alias("more"), F.sum(F.col("n") * F.col("log")).alias("logs"),
+        F.sum(F.col("n") * F.when(F.col("held"), F.col("weight")).otherwise(-F.col("whole"))).alias("words_own"),
+    )
+    of_train = parts.select("row", F.inline(F.arrays_zip(F.col("pair").alias("pair"), F.col("pair_n").alias("n"))))
+    in_train = of_train.join(keyed.select("pair", "kept"), "pair").groupBy("row").agg(F.sum(F.col("n") * F.col("kept")).alias("train_own"))
+    zipped = F.arrays_zip(
+        F.col("test").alias("pair"), F.col("test_n").alias("n"), F.col("change").alias("change"), F.col("lacks").alias("lacks"),
+        F.col("context").alias("context"), F.col("w").alias("w"),
+    )
+    of_test = parts.where("held").select("row", F.inline(zipped))
+    seen = cut(of_test.join(keyed.select("pair", "kept"), "pair").drop("pair"))
+    in_test = seen.groupBy("row").agg(F.sum(F.col("n") * (F.col("kept") + F.col("change"))).alias("test_own"))
+    asked = F.filter(
+        F.array(F.struct(F.lit(1).alias("bit"), F.col("context").alias("w")), F.struct(F.lit(2).alias("bit"), F.col("w").alias("w"))),
+        lambda x: F.col("lacks").cast("int").bitwiseAND(x["bit"]) > 0,
+    )
+    lacking = seen.select("row", "n", F.inline(asked)).join(values, "w")
+    gain = F.when(F.col("bit") == 1, -F.col("whole") - F.col("weight")).otherwise(F.lit(unit) - F.col("log"))
+    in_lacking = lacking.groupBy("row").agg(F.sum(F.col("n") * gain).alias("lacking_own"))
+    all_of = parts.select("row", "id", "held", "n_tokens", "known", "base", "own")
+    for sums in (in_words, in_train, in_test, in_lacking):
+        all_of = all_of.join(sums, "row", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    # the rare words of a held-out text lack their first order in ``own``, known or not
+    first = F.when(F.col("held"), zero("logs") - F.col("n_unheld") * F.lit(unit)).otherwise(F.lit(0.0))
+    return all_of.withColumn("n_unheld", F.col("n_tokens") - F.col("known")).select(
+        F.col("id").alias(doc_id), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + zero("more")).alias("n_known"),
         F.lit(corpus.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("logs") - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
-        (F.col("model") + F.col("inner") + F.col("logs") - F.col("others") * F.lit(inner_unit)).alias("score"),
+        (F.col("base") + zero("logs") - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
+        (F.col("own") + zero("words_own") + first + zero("train_own") + zero("test_own") + zero("lacking_own")).alias("score"),
     )

@@ -300,6 +300,47 @@ def test_every_context_sums_to_one(spark):
     assert np.allclose((10**table).sum(axis=1), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("held_by_tasks", [1 << 17, 20, 0])
+def test_scores_have_every_word_pair(spark, monkeypatch, held_by_tasks):
+    # more words than any fixed vocabulary of the module; pairs of rare words carry the text
+    monkeypatch.setattr(katz, "HELD_COUNTS", held_by_tasks)
+    rng = random.Random(11)
+    follows = {i: [rng.randrange(4000) for _ in range(2)] for i in range(4000)}
+
+    def chain(n):
+        out = [rng.randrange(4000)]
+        for _ in range(n):
+            out.append(rng.choice(follows[out[-1]]) if rng.random() < 0.9 and out[-1] in follows else rng.randrange(5000))
+        return " ".join(f"w{w}" for w in out)
+
+    texts = ["", None] + ["the end"] * 30 + [chain(rng.randrange(300)) for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    tokens = [[None, *(t or "").split(), None] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    count = Counter(w for t, h in zip(tokens, held) if not h for w in t[1:])
+    pairs = Counter(p for t, h in zip(tokens, held) if not h for p in zip(t, t[1:]))
+    mass = sum(count.values()) + len(count) + 1
+    factor = katz.discounts(Counter(pairs.values()))
+    kept = {p: c * factor[c - 1] if c <= len(factor) else c for p, c in pairs.items()}
+    lost, low = Counter(), Counter()
+    for (a, b), c in pairs.items():
+        lost[a] += c - kept[a, b]
+        low[a] += count[b] + 1
+    spare = {a: float(lost[a] < 1e-9) for a in count}
+
+    def chance(a, b):
+        if (a, b) in pairs:
+            return kept[a, b] / (count[a] + spare[a])
+        first = (count[b] + 1) / mass
+        return first * ((lost[a] + spare[a]) / (count[a] + spare[a]) / (1 - low[a] / mass) if a in count else 1)
+
+    assert len(count) > 2500
+    got = {r.doc_id: r for r in katz.score(rows).collect()}
+    for i, t in enumerate(tokens):
+        assert math.isclose(got[i].score, sum(math.log10(chance(a, b)) for a, b in zip(t, t[1:])), rel_tol=1e-9)
+        assert got[i].n_known == sum(count[w] > 0 for w in t[1:])
+
+
 # ---- transcripts
 
 
