@@ -169,7 +169,7 @@ def _roots(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _verify(similar: tuple[int, int]):
-    def group(ids: list[int], sides: list[int], texts: list[str]) -> pd.DataFrame:
+    def group(one_block: bool, ids: list[int], sides: list[int], texts: list[str]) -> pd.DataFrame:
         data = [t.encode() for t in texts]
         grams, begin = shingles(
             np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(x) for x in data], dtype=np.int64)
@@ -178,11 +178,11 @@ def _verify(similar: tuple[int, int]):
         side, node = np.array(sides), np.array(ids, np.int64)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         pick = lambda at: [sets[i] for i in at]
-        if not len(right):
+        if one_block:
             link = _linked(sets, None, similar)
-        else:
+        else:  # of two blocks one may be empty; the other's own links are counted where it stands alone
             link = np.zeros((len(sets), len(sets)), bool)
-            if len(left):
+            if len(left) and len(right):
                 across = _linked(pick(left), pick(right), similar)
                 link[np.ix_(left, right)] = across
                 link[np.ix_(right, left)] = across.T
@@ -194,7 +194,7 @@ def _verify(similar: tuple[int, int]):
             for c, i, j, node, side, text in zip(b["comp"], b["i"], b["j"], b["node"], b["side"], b["text"], strict=True):
                 if (c, i, j) != key:
                     if len(ids) > 1:
-                        out.append(group(ids, sides, texts))
+                        out.append(group(key[1] == key[2], ids, sides, texts))
                         made += len(ids)
                     key, ids, sides, texts = (c, i, j), [], [], []
                 ids.append(node)
@@ -204,7 +204,7 @@ def _verify(similar: tuple[int, int]):
                     yield pd.concat(out)
                     out, made = [], 0
         if len(ids) > 1:
-            out.append(group(ids, sides, texts))
+            out.append(group(key[1] == key[2], ids, sides, texts))
         if out:
             yield pd.concat(out)
 

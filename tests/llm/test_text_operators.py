@@ -144,6 +144,19 @@ def test_links_and_classes(spark, block):
     assert kept.count() == len({id(g) for g in group.values()})
 
 
+def test_links_with_more_blocks_than_texts(spark):
+    rng = random.Random(8)
+    texts = []
+    for size in (2, 2, 3, 6):
+        w = prose(rng, 80, 10**6).split()
+        texts += [" ".join([*w, f"end{k}"]) for k in range(size)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    links = brute_links(texts)
+    for block_bytes in (20, 150, 700):
+        got = {r.doc_id: r.n_links for r in near_duplicates.similar_texts(rows, block_bytes=block_bytes).collect()}
+        assert got == {i: len(links[i]) for i in range(len(texts))}
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id bigint, text string")
