@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a site go from its documents; all documents stay."""
-    return site_lines.drop_site_lines(docs).drop("__lines")
+    """Boilerplate lines of a site go from its documents; all documents stay. Near copies count as one page."""
+    return site_lines.drop_site_lines(docs, classes=near_duplicates.text_classes(docs)).drop("__lines")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

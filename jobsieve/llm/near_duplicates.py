@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
 from .common import free, hashed_words, mix, per_text, text_steps
@@ -223,9 +223,34 @@ def similar_texts(
     Null counts as empty; texts without words have no shingles and so no links, but equal ones
     share a class. Rows with a null doc_id take part; a class of only such rows has a null id.
     """
+    signed, named = _classed(docs, doc_id, text, similar, trees, recall, block_texts, block_bytes)
+    smallest = named.groupBy("root").agg(F.min("id").alias("class_id"))
+    final = named.join(smallest, "root").select(
+        "__node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"
+    )
+    rows = signed.select("__id", "__node").join(final, "__node", "left")
+    return rows.select(F.col("__id").alias(doc_id), "class_id", "n_links", "n_copies")
+
+
+def node_of(text: str) -> Column:
+    """The 64-bit hash that stands for a text."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def text_classes(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(node, root) of the distinct texts, by hash, that belong to another text's class; root is the class's smallest hash."""
+    _, named = _classed(docs.select(F.lit(None).cast("long").alias("id"), F.col(text).alias("text")), "id", "text")
+    return named.where("root <> __node").select(F.col("__node").alias("node"), "root")
+
+
+def _classed(
+    docs: DataFrame, doc_id: str, text: str, similar: tuple[int, int] = SIMILAR, trees: int = TREES, recall: float = RECALL,
+    block_texts: int = BLOCK_TEXTS, block_bytes: int = BLOCK_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """(all rows with id and text hash; the distinct texts with smallest id, copies, links and class root)."""
     depth = prefix_depth(similar[0] / similar[1], trees, DEPTH, recall)
     t = F.coalesce(F.col(text), F.lit(""))
-    source = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(t).alias("__node"), t.alias("__text"))
+    source = docs.select(F.col(doc_id).alias("__id"), node_of(text).alias("__node"), t.alias("__text"))
     id_type = source.schema["__id"].dataType.simpleString()
     signed = cut(source.mapInArrow(_sign(trees, depth), f"__id {id_type}, __node bigint, __keys array<bigint>"))
 
@@ -237,8 +262,7 @@ def similar_texts(
 
     nodes = signed.groupBy("__node").agg(F.min("__id").alias("id"), F.count(F.lit(1)).alias("n_copies"))
     if groups is None:
-        final = nodes.select("__node", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_copies")
-        return _answer(signed, final, doc_id)
+        return signed, cut(nodes.withColumns({"n_links": F.lit(0).cast("long"), "root": F.col("__node")}))
 
     # whole texts of the grouped nodes, each node once
     once = source.groupBy("__node").agg(F.first("__text").alias("text"))
@@ -268,17 +292,7 @@ def similar_texts(
     else:
         named = named.join(classes.select(F.col("node").alias("__node"), "root"), "__node", "left")
         named = named.withColumn("root", F.coalesce("root", "__node"))
-    named = cut(named)
-    smallest = named.groupBy("root").agg(F.min("id").alias("class_id"))
-    final = named.join(smallest, "root").select(
-        "__node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"
-    )
-    return _answer(signed, final, doc_id)
-
-
-def _answer(signed: DataFrame, final: DataFrame, doc_id: str) -> DataFrame:
-    rows = signed.select("__id", "__node").join(final, "__node", "left")
-    return rows.select(F.col("__id").alias(doc_id), "class_id", "n_links", "n_copies")
+    return signed, cut(named)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -93,6 +93,17 @@ def test_copies_of_a_page_are_one_page(spark):
     assert out.where("text = 'same\ntext'").count() == 50
 
 
+def test_near_copies_of_a_page_are_one_page(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    shared = "\n".join(prose(rng, 12, 10**6) for _ in range(6))
+    texts = [f"menu\n{shared}\nlast words {i}" for i in range(12)] + [f"menu\n{prose(rng, 20, 10**6)}" for _ in range(40)]
+    pages = [(i, t, "a", None, None) for i, t in enumerate([*texts, None, ""])]
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(pages, SCHEMA), "").collect()}
+    assert out == {i: t and t.removeprefix("menu\n") for i, t, *_ in pages}
+
+
 # ---- near duplicates
 
 
