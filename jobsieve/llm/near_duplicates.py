@@ -296,13 +296,16 @@ def _classed(
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose doc_id is its class's smallest; of repeated rows with that id, one.
+    """One row of each class: of the smallest doc_id, and of rows that share it of the smallest text hash.
 
-    Rows with a null doc_id cannot be told apart and stay.
+    A class of only null ids keeps one of them. Rows of one text and doc_id are the same to it.
     """
-    found = similar_texts(docs, doc_id, text)
-    keep = f"{free(docs)}keep"
-    first = found.where(F.col(doc_id) == F.col("class_id")).select(F.col(doc_id).alias(keep)).distinct()
-    kept = docs.join(first, F.col(doc_id) == F.col(keep), "left_semi")
-    null = docs.where(F.col(doc_id).isNull())
-    return kept.dropDuplicates([doc_id]).unionByName(null)
+    _, named = _classed(docs, doc_id, text)
+    q = free(docs)
+    order = F.struct(F.col("id").isNull(), "id", "__node")
+    first = named.groupBy("root").agg(F.min(order).alias("first")).select(
+        F.col("first.id").alias(f"{q}id"), F.col("first.__node").alias(f"{q}first")
+    )
+    keyed = docs.withColumn(f"{q}node", node_of(text))
+    same = (F.col(f"{q}node") == F.col(f"{q}first")) & F.col(doc_id).eqNullSafe(F.col(f"{q}id"))
+    return keyed.join(first, same, "left_semi").dropDuplicates([f"{q}node"]).drop(f"{q}node")

@@ -168,6 +168,16 @@ def test_links_with_more_blocks_than_texts(spark):
         assert got == {i: len(links[i]) for i in range(len(texts))}
 
 
+def test_one_row_of_each_class_whatever_its_id(spark):
+    rng = random.Random(6)
+    a, b, c, d = (prose(rng, 60, 10**6) for _ in range(4))
+    near = lambda t: f"{t} end"
+    rows = [(1, a), (1, b), (2, near(a)), (None, c), (None, c), (None, near(c)), (5, near(b)), (None, d), (7, near(d)), (7, near(d))]
+    kept = near_duplicates.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text.removesuffix(" end")) for r in kept) == sorted([(1, a), (1, b), (0, c), (7, d)])
+    assert {r.text for r in kept if r.doc_id} == {a, b, near(d)}
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id bigint, text string")
