@@ -60,40 +60,49 @@ SHORT_WORDS = 8
 #: Share of stop words from which a block is running text, and below which it is a list of labels.
 MANY_STOPS, FEW_STOPS = 0.08, 0.02
 LINK_SHARE = 0.5
+#: How an element stands apart: not, by a hint that a layout wrapper of the article may have too, or for certain.
+OPEN, HINTED, SHUT = 0, 1, 2
 
 
-def _apart(name: str, attributes: str, in_main: bool) -> bool:
+def _apart(name: str, attributes: str, in_main: bool) -> int:
     """Whether an element is no part of the article. An article may have a header of its own."""
-    if name in APART:
-        return not (name == "header" and in_main)
+    if name in APART and name != "form":
+        return OPEN if name == "header" and in_main else SHUT
+    found = HINTED if name == "form" else OPEN
     if not attributes or name in ("body", "html", "article", "main"):
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return SHUT
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                return True
+                return SHUT
         elif key in ("class", "id", "role") and _HINT.search(value):
-            return True
-    return False
+            found = HINTED
+    return found
+
 
+def blocks(html: str, wrappers: frozenset[int] = frozenset()) -> tuple[list[tuple[str, str, bool, int, int]], dict[int, set[str]]]:
+    """(text, text inside links, whether it stands apart, number of its article or 0, hint) of each block, in order.
 
-def blocks(html: str) -> list[tuple[str, str, bool, int]]:
-    """(text, text inside links, whether it stands apart, number of its article or 0) of each block, in order."""
-    out: list[tuple[str, str, bool, int]] = []
+    Elements that stand apart only by a hint are numbered as they begin; ``hint`` is the outermost one
+    around a block that nothing else sets apart, or 0. Those among ``wrappers`` count as open. Also
+    which of main and article each of the others holds.
+    """
+    out: list[tuple[str, str, bool, int, int]] = []
+    holds: dict[int, set[str]] = {}
     text: list[str] = []
     linked: list[str] = []
-    # open elements: name, whether it and all below stand apart, number of the article
-    stack: list[tuple[str, bool, int]] = []
-    apart, main, mains, links, at = False, 0, 0, 0, 0
+    # open elements: name, whether it and all below stand apart (and by which hint), number of the article
+    stack: list[tuple[str, tuple[int, int], int]] = []
+    apart, main, mains, links, at, hints = (OPEN, 0), 0, 0, 0, 0, 0
 
     def close() -> None:
         if text:
             words = " ".join(unescape("".join(text)).split())
             if words:
-                out.append((words, " ".join(unescape("".join(linked)).split()), apart, main))
+                out.append((words, " ".join(unescape("".join(linked)).split()), apart[0] != OPEN, main, apart[1]))
             text.clear()
             linked.clear()
 
@@ -119,23 +128,31 @@ def blocks(html: str) -> list[tuple[str, str, bool, int]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     gone = stack[k:]
-                    if any(g[1] or g[0] not in INLINE for g in gone):
+                    if any(g[1][0] or g[0] not in INLINE for g in gone):
                         close()
                     del stack[k:]
                     links -= sum(g[0] == "a" for g in gone)
-                    apart, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                    apart, main = (stack[-1][1], stack[-1][2]) if stack else ((OPEN, 0), 0)
                     break
             continue
         if name in VOID or m[4].endswith("/"):
             continue
         if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == name:
             stack.pop()
-            apart, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            apart, main = (stack[-1][1], stack[-1][2]) if stack else ((OPEN, 0), 0)
         inside = main
-        if name in MAIN and not main and not apart:
+        if name in MAIN and not main and apart[0] == OPEN:
             mains += 1
             inside = mains
-        below = apart or _apart(name, m[4], bool(main))
+        if name in MAIN and not main and apart[0] == HINTED:
+            holds.setdefault(apart[1], set()).add(name)
+        below, how = apart, _apart(name, m[4], bool(main))
+        if how == HINTED:
+            hints += 1
+            if apart[0] == OPEN and hints not in wrappers:
+                below = (HINTED, hints)
+        elif how == SHUT:
+            below = (SHUT, 0)
         if below != apart or inside != main:
             close()
         stack.append((name, below, inside))
@@ -144,7 +161,15 @@ def blocks(html: str) -> list[tuple[str, str, bool, int]]:
     if at < len(html):
         add(html[at:])
     close()
-    return out
+    return out, holds
+
+
+def _stops(tokens: list[str]) -> int:
+    return sum(t.strip(".,;:!?\"'()").lower() in STOP_WORDS for t in tokens)
+
+
+def _mostly_links(words: str, linked: str) -> bool:
+    return bool(linked) and len(linked) > LINK_SHARE * len(words)
 
 
 def _first_label(words: str, linked: str, apart: bool, main: int) -> bool | None:
@@ -152,20 +177,45 @@ def _first_label(words: str, linked: str, apart: bool, main: int) -> bool | None
     if apart:
         return False
     tokens = words.split()
-    if linked and len(linked) > LINK_SHARE * len(words):
+    if _mostly_links(words, linked):
         return None if main and len(tokens) >= SHORT_WORDS else False
     if len(tokens) < SHORT_WORDS:
         return None
-    stops = sum(t.strip(".,;:!?\"'()").lower() in STOP_WORDS for t in tokens)
+    stops = _stops(tokens)
     if stops >= MANY_STOPS * len(tokens):
         return True
     return False if stops < FEW_STOPS * len(tokens) and not main else None
 
 
+def _wrappers(found: list[tuple[str, str, bool, int, int]], holds: dict[int, set[str]], label: list[bool | None]) -> set[int]:
+    """Hinted elements that are layout around the article: their names do not set them apart.
+
+    One with a main element is. Else, if the page has no article elsewhere, one with most of its
+    words is, when it holds an article or when nothing outside is running text.
+    """
+    more = {h for h, kinds in holds.items() if "main" in kinds}
+    if more or any(b[3] for b in found):
+        return more
+    size: dict[int, int] = {}
+    for words, _, apart, _, hint in found:
+        if hint or not apart:
+            size[hint] = size.get(hint, 0) + len(words.split())
+    for h, n in size.items():
+        if h and 2 * n > sum(size.values()) and ("article" in holds.get(h, ()) or True not in label):
+            more.add(h)
+    return more
+
+
 def main_text(html: str) -> str:
     """The text of the blocks that are the article's, joined by one space."""
-    found = blocks(html)
-    label = [_first_label(*b) for b in found]
+    wrappers: frozenset[int] = frozenset()
+    while True:
+        found, holds = blocks(html, wrappers)
+        label = [_first_label(*b[:4]) for b in found]
+        more = _wrappers(found, holds, label)
+        if not more:
+            break
+        wrappers |= more
     before: list[tuple[int, bool] | None] = []
     last: dict[int, tuple[int, bool]] = {}
     for i, (b, x) in enumerate(zip(found, label)):

@@ -462,6 +462,26 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+TEXT = "This is the text of it and that is all there is to it"
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content-sidebar-wrap'", "div class=has-sidebar", "div class='right-sidebar x'", "div id=no-comments", "div class='fixed-header'", "form"])
+@pytest.mark.parametrize("inner", ["<main><p>{}</p></main>", "<article><p>{}</p></article>", "<div><p>{}</p></div>"])
+def test_wrappers_do_not_empty_the_page(wrapper, inner):
+    name = wrapper.split()[0]
+    page = f"<body><{wrapper}><nav>Home</nav>{inner.format(TEXT)}<div class=sidebar><p>More of the same to be seen in here</p></div></{name}><footer>f</footer></body>"
+    assert html_text.main_text(page) == TEXT
+    nested = f"<div class=has-sidebar>{page}</div>"
+    assert html_text.main_text(nested) == TEXT
+
+
+def test_hints_still_hold_beside_the_article():
+    comments = "<div id=comments><article><p>" + TEXT.replace("text", "view") * 3 + "</p></article></div>"
+    assert html_text.main_text(f"<article><p>{TEXT}</p></article>{comments}") == TEXT
+    assert html_text.main_text(f"<main><p>{TEXT}</p></main><div class=related><article><p>{TEXT}</p></article></div>") == TEXT
+    assert html_text.main_text(f"<p>{TEXT}</p><div class=cookie-notice><p>We use it and the like</p></div>") == TEXT
+
+
 def test_pages_keep_their_columns(spark):
     rows = spark.createDataFrame([(1, None, "u"), (2, "<p>x</p>", "u"), (2, "<p>x</p>", "u")], "page_id int, html string, text string")
     out = html_text.extract_main_text(rows)
