@@ -60,6 +60,10 @@ SHORT_WORDS = 8
 #: Share of stop words from which a block is running text, and below which it is a list of labels.
 MANY_STOPS, FEW_STOPS = 0.08, 0.02
 LINK_SHARE = 0.5
+#: The end of a sentence.
+_SENTENCE = re.compile(r"[.!?…。！？।؟։](?=\W|$)")
+
+
 #: How an element stands apart: not, by a hint that a layout wrapper of the article may have too, or for certain.
 OPEN, HINTED, SHUT = 0, 1, 2
 
@@ -172,8 +176,17 @@ def _mostly_links(words: str, linked: str) -> bool:
     return bool(linked) and len(linked) > LINK_SHARE * len(words)
 
 
-def _first_label(words: str, linked: str, apart: bool, main: int) -> bool | None:
-    """True for text, False for none, None if undecided."""
+def _known_language(found: list[tuple[str, str, bool, int, int]]) -> bool:
+    """Whether the page's long blocks have as many stop words as running text; without them it has none to judge by."""
+    long = [t for words, linked, apart, *_ in found if not apart and not _mostly_links(words, linked) and len(t := words.split()) >= SHORT_WORDS]
+    return sum(map(_stops, long)) >= MANY_STOPS * sum(map(len, long))
+
+
+def _first_label(words: str, linked: str, apart: bool, main: int, known: bool = True) -> bool | None:
+    """True for text, False for none, None if undecided.
+
+    Where no stop words are ``known`` long blocks with sentences are text, other long ones undecided.
+    """
     if apart:
         return False
     tokens = words.split()
@@ -184,6 +197,8 @@ def _first_label(words: str, linked: str, apart: bool, main: int) -> bool | None
     stops = _stops(tokens)
     if stops >= MANY_STOPS * len(tokens):
         return True
+    if not known:
+        return True if _SENTENCE.search(words) else None
     return False if stops < FEW_STOPS * len(tokens) and not main else None
 
 
@@ -211,7 +226,8 @@ def main_text(html: str) -> str:
     wrappers: frozenset[int] = frozenset()
     while True:
         found, holds = blocks(html, wrappers)
-        label = [_first_label(*b[:4]) for b in found]
+        known = _known_language(found)
+        label = [_first_label(*b[:4], known) for b in found]
         more = _wrappers(found, holds, label)
         if not more:
             break

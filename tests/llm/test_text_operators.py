@@ -482,6 +482,21 @@ def test_hints_still_hold_beside_the_article():
     assert html_text.main_text(f"<p>{TEXT}</p><div class=cookie-notice><p>We use it and the like</p></div>") == TEXT
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Вчера вечером мы долго гуляли вдоль реки и говорили о новой книге.",
+        "Wczoraj wieczorem długo spacerowaliśmy wzdłuż rzeki, rozmawiając później przy herbacie.",
+        "Dün akşam nehir boyunca uzun süre yürüdük ve yeni kitaptan konuştuk.",
+    ],
+)
+def test_text_of_other_languages(text):
+    links = "<ul>" + "".join(f"<li><a href=x>{w} {w}</a>" for w in text.split()) + "</ul>"
+    assert html_text.main_text(f"<body>{links}<div><p>{text}</p><p>{text}</p></div>{links}</body>") == f"{text} {text}"
+    labels = "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa"
+    assert html_text.main_text(f"<body><p>{labels}</p><p>{TEXT}</p></body>") == TEXT
+
+
 def test_pages_keep_their_columns(spark):
     rows = spark.createDataFrame([(1, None, "u"), (2, "<p>x</p>", "u"), (2, "<p>x</p>", "u")], "page_id int, html string, text string")
     out = html_text.extract_main_text(rows)
