@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by banded MinHash, with exact verification.
 
-Texts are sets of five-word shingles. Every distinct text gets ``trees`` signature sequences; a
-tree's sequences, sorted, form a prefix trie. Two texts are candidates if in some tree their
-sequences share a prefix. The prefix starts at its full depth and is shortened until a pair at the
-threshold is met in some tree with the target recall.
+Texts are sets of five-word shingles. Every distinct text gets ``trees`` signature sequences. Two
+texts are candidates if in some tree their sequences share a prefix of one fixed depth: the longest
+with which a pair at the threshold is met in some tree with the target recall. It follows from a
+formula before any data are read; no sorted tries are built, and candidates meet by equal key.
 
 Texts that meet are grouped, the groups' whole texts brought together in blocks of bounded size,
 and all pairs of a group compared exactly. A block sends out one row per text: its links and the
@@ -254,7 +254,7 @@ def _classed(
     id_type = source.schema["__id"].dataType.simpleString()
     signed = cut(source.mapInArrow(_sign(trees, depth), f"__id {id_type}, __node bigint, __keys array<bigint>"))
 
-    # the trees' leaves: whoever shares a prefix with a smaller text is linked to the smallest of them
+    # equal keys: whoever shares a prefix with a smaller text is linked to the smallest of them
     leaves = signed.select("__node", F.explode("__keys").alias("key"))
     meet = leaves.groupBy("key").agg(F.min("__node").alias("low"), F.max("__node").alias("high")).where("low < high")
     edges = leaves.join(meet, "key").select(F.col("__node").alias("node"), F.col("low").alias("root"))
