@@ -66,4 +66,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cuts/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def discard(table: DataFrame | None) -> None:
+    """Delete what ``cut`` wrote for ``table``, once nothing reads it any more.
+
+    Only the table that ``cut`` returned knows its folder; for any other nothing happens.
+    """
+    path = getattr(table, "cut_path", None)
+    if path is None:
+        return
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
