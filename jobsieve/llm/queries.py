@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, html_text, katz, near_duplicates, quality, secrets, site_lines, warc
+from . import bpe, chat, decontaminate, html_text, katz, near_duplicates, quality, repair, secrets, site_lines, vantage, vector_codes, warc
 from .common import table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -171,3 +171,123 @@ def op6_chat_formatting(spark, sf_dir):
     model = chat.fit(turns, "conv_id", "turn", "role", "text")
     out = chat.parse_transcripts(chat.marked(turns), model)
     return out.select("conv_id", "turn_no", "role", "n_lines", "rendered")
+
+
+#: A vector that is there and whose components are all finite.
+_FINITE_SQL = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _codes_sql() -> str:
+    """Rounds of assignment and new entries, unrolled; products of the integer parts are exact in doubles."""
+    parts, rounds = vector_codes.PARTS, vector_codes.ROUNDS
+    steps = [
+        f"""
+      kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+        list_transform(embedding, lambda x: floor({vector_codes.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {_FINITE_SQL}),
+      part AS MATERIALIZED (SELECT r, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) AS t(p)),
+      book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM part WHERE r <= {vector_codes.ENTRIES})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""
+      near{i} AS MATERIALIZED (SELECT r, p, min({{'d': list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c), 'e': e}}) AS m
+        FROM part JOIN book{i} USING (p) GROUP BY r, p)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""
+      mean{i} AS (SELECT p, e, list(y ORDER BY j) AS c FROM (
+        SELECT p, m.e AS e, j, floor(sum(x[j]) / count(*)) AS y FROM near{i} JOIN part USING (r, p), range(1, 1000) AS t(j)
+        WHERE j <= len(x) GROUP BY p, m.e, j) GROUP BY p, e),
+      book{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM book{i} b LEFT JOIN mean{i} n ON n.p = b.p AND n.e = b.e)"""
+            )
+    return f"""WITH {",".join(steps)},
+      sha AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS h
+        FROM book{rounds}),
+      coded AS (SELECT r, string_agg(lower(printf('%02x', CAST(m.e AS BIGINT))), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error
+        FROM near{rounds} GROUP BY r)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+    FROM kept JOIN coded USING (r), sha"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11_vector_codes(spark, sf_dir):
+    rows, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", ["label"])
+    rows = vector_codes.with_group_error(rows, "label")
+    sha = F.lit(vector_codes.fingerprint(books)).alias("codebooks_sha256")
+    return rows.select("vec_id", vector_codes.text_codes(F.col("code")).alias("code"), "error", "label_error", sha)
+
+
+def _repair_sql() -> str:
+    """Costs, letters and text from each row to the end, worked out from the last row back to the first."""
+    put, role = {"E": "u", "s": "u", "u": "a", "a": "u"}, {"u": "user", "a": "assistant"}
+    kept = {("E", "s"): "s", ("E", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    gap = lambda state: "''" if state == "E" else "chr(10)"
+
+    def ways(state: str) -> str:
+        out, at, letters, text = [], state, "", "''"
+        for cost in (0, 2, 4):
+            nxt = put[at]
+            out.append(f"{{'c': {cost + 3} + f.{at}.c, 'a': '{letters}D' || f.{at}.a, 't': {text} || f.{at}.t}}")
+            new = f"{text} || {gap(at)} || '{role[nxt]}:' || r.text || f.{nxt}.t"
+            out.append(f"CASE WHEN r.stays THEN {{'c': {cost + 2} + r.more + f.{nxt}.c, 'a': '{letters}R' || f.{nxt}.a, 't': {new}}} END")
+            for (before, initial), to in kept.items():
+                if before == at:
+                    same = f"{text} || {gap(at)} || r.role || ':' || r.text || f.{to}.t"
+                    out.append(
+                        f"CASE WHEN r.stays AND r.initial = '{initial}' THEN "
+                        f"{{'c': {cost} + r.more + f.{to}.c, 'a': '{letters}K' || f.{to}.a, 't': {same}}} END"
+                    )
+            letters, text, at = letters + "I", f"{text} || {gap(at)} || '{role[nxt]}:'", nxt
+        return f"list_min([{', '.join(out)}]) AS {state}"
+
+    ends = {"E": "0, 'a': '', 't': ''", "s": "4, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'",
+            "u": "2, 'a': 'I', 't': chr(10) || 'assistant:'", "a": "0, 'a': '', 't': ''"}
+    return rf"""WITH RECURSIVE
+      tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) AS t(i)),
+      raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_concat([4294967295],
+          list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+            lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind
+        FROM conversations, tab),
+      conv AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+      hurt AS (SELECT g, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+          CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM raw JOIN conv ON raw.conv_id IS NOT DISTINCT FROM conv.conv_id, range(2) AS t(again)
+        WHERE kind <> 0 AND (again = 0 OR kind = 3)),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS initial,
+          regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last FROM hurt),
+      faults AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY pos) > 1 THEN 'duplicate'
+          WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY g ORDER BY pos) AS prior FROM placed),
+      rows AS (SELECT *, fault IN ('', 'truncated') AS stays, CAST(fault = 'truncated' AS BIGINT) AS more FROM faults),
+      told AS (SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+          count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+          count(*) FILTER (fault = 'truncated') AS truncated,
+          count(*) FILTER (prior IS NOT NULL AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY g),
+      f AS (SELECT g, coalesce(n, 0) AS i, {", ".join(f"{{'c': CAST({e.split(',', 1)[0]} AS BIGINT),{e.split(',', 1)[1]}}} AS {s}" for s, e in ends.items())}
+        FROM conv LEFT JOIN told USING (g)
+        UNION ALL SELECT f.g, f.i - 1, {", ".join(ways(s) for s in "Esua")} FROM f JOIN rows r ON r.g = f.g AND r.pos = f.i)
+    SELECT conv_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
+      f.E.c AS cost, f.E.a AS audit, sha256(f.E.t) AS repaired_sha256
+    FROM conv JOIN f USING (g) LEFT JOIN told USING (g) WHERE f.i = 0"""
+
+
+@query("op12_conversation_repair", _repair_sql())
+def op12_conversation_repair(spark, sf_dir):
+    rows = repair.damaged(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    out = repair.repair(rows, "conv", "turn", "role", "text", F.col("lost"))
+    return out.withColumnRenamed("conv", "conv_id")
+
+
+@query(
+    "op13_nearest_neighbours",
+    f"""WITH e AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        WHERE {_FINITE_SQL} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      d AS (SELECT q.vec_id AS query_id, q.v AS qv, e.vec_id, sqrt(list_reduce(
+          list_transform(list_zip(q.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score
+        FROM e AS q JOIN e ON e.vec_id IS DISTINCT FROM q.vec_id AND len(e.v) = len(q.v) WHERE q.vec_id % 100 = 0)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, qv ORDER BY score, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score
+    FROM d QUALIFY rank <= 10""",
+)
+def op13_nearest_neighbours(spark, sf_dir):
+    return vantage.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=100)
