@@ -134,7 +134,46 @@ def line_changes(spark, sf):
     return X.value_changes(lines("was"), lines("now"), ["conv_id", "turn"], "line")
 
 
-@query("word_diff")
+# Lengths of common subsequences by diagonals of the table, from its end; the letters say which way each
+# cell is left (m both, d the old token, a the new one) and are followed from the beginning.
+_WHITE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_WORD_DIFF = rf"""
+  , pairs AS (SELECT row_number() OVER () AS g, * FROM turns),
+  cut AS (SELECT *, regexp_extract_all(was, '{_WHITE}+|[\p{{L}}\p{{N}}]+(?:[''’\-/.][\p{{L}}\p{{N}}]+)*%?|[^ ]') AS a,
+      regexp_extract_all(now, '{_WHITE}+|[\p{{L}}\p{{N}}]+(?:[''’\-/.][\p{{L}}\p{{N}}]+)*%?|[^ ]') AS b FROM pairs),
+  diag AS (SELECT g, a, b, CAST(len(a) AS INT) AS n, CAST(len(b) AS INT) AS m, CAST(len(a) + len(b) - 1 AS INT) AS s,
+      list_resize(CAST([] AS INT[]), len(a) + 2, 0) AS l1, list_resize(CAST([] AS INT[]), len(a) + 2, 0) AS l2, '' AS way FROM cut
+    UNION ALL
+    SELECT g, a, b, n, m, s - 1,
+      list_concat(list_transform(range(0, n + 1), lambda i: CAST(CASE WHEN i >= n OR s - i >= m OR i > s THEN 0 WHEN a[i + 1] = b[s - i + 1] THEN l2[i + 2] + 1
+        ELSE greatest(l1[i + 2], l1[i + 1]) END AS INT)), [0]),
+      l1,
+      array_to_string(list_transform(range(0, n), lambda i: CASE WHEN s - i >= m OR i > s THEN '.' WHEN a[i + 1] = b[s - i + 1] THEN 'm'
+        WHEN l1[i + 2] >= l1[i + 1] THEN 'd' ELSE 'a' END), '')
+    FROM diag WHERE s >= 0),
+  walk AS (SELECT g, list_reduce(list({{'i': CAST(0 AS INT), 's': s + 1, 'way': way}} ORDER BY s), lambda w, x:
+      CASE WHEN x.s <> w.s OR w.i >= n OR w.s - w.i >= m THEN w
+        ELSE {{'i': w.i + CASE WHEN x.way[w.i + 1] = 'a' THEN 0 ELSE 1 END, 's': w.s + CASE WHEN x.way[w.i + 1] = 'm' THEN 2 ELSE 1 END, 'way': w.way || x.way[w.i + 1]}} END,
+      {{'i': CAST(0 AS INT), 's': CAST(0 AS INT), 'way': ''}}) AS w FROM diag WHERE s < n + m - 1 GROUP BY g, n, m),
+  ops AS (SELECT g, conv_id, turn, a, b, coalesce(w.way || repeat('d', len(a) - w.i) || repeat('a', len(b) - (w.s - w.i)), repeat('d', len(a)) || repeat('a', len(b))) AS ops
+    FROM cut LEFT JOIN walk USING (g)),
+  op AS (SELECT g, conv_id, turn, k, o, CASE WHEN o = 'a' THEN b[count(*) FILTER (o <> 'd') OVER w] ELSE a[count(*) FILTER (o <> 'a') OVER w] END AS token
+    FROM (SELECT g, conv_id, turn, a, b, k, ops[k] AS o FROM (SELECT *, unnest(range(1, len(ops) + 1)) AS k FROM ops)) WINDOW w AS (PARTITION BY g ORDER BY k)),
+  run AS (SELECT g, conv_id, turn, o, min(k) AS k, string_agg(token, '' ORDER BY k) AS text
+    FROM (SELECT *, k - row_number() OVER (PARTITION BY g, o ORDER BY k) AS block FROM op) GROUP BY g, conv_id, turn, o, block),
+  piece AS (SELECT * FROM (SELECT g, conv_id, turn, k, unnest(CASE WHEN o = 'm' THEN [{{'part': 1, 'type': 'same', 'text': text}}] ELSE [
+      {{'part': 0, 'type': 'same', 'text': regexp_extract(text, '^{_WHITE}*')}},
+      {{'part': 1, 'type': CASE o WHEN 'd' THEN 'del' ELSE 'add' END, 'text': regexp_replace(text, '^{_WHITE}+|{_WHITE}+$', '', 'g')}},
+      {{'part': 2, 'type': 'same', 'text': CASE WHEN regexp_matches(text, '^{_WHITE}*$') THEN '' ELSE regexp_extract(text, '{_WHITE}*$') END}}] END, recursive := true)
+      FROM run) WHERE text <> ''),
+  put AS (SELECT * FROM (SELECT *, lag(text) OVER (PARTITION BY g ORDER BY k, part) AS before FROM piece)
+    WHERE NOT (type = 'same' AND regexp_matches(text, '^{_WHITE}+$') AND before IS NOT NULL AND regexp_matches(before, '{_WHITE}$'))),
+  block AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k, part) - row_number() OVER (PARTITION BY g, type ORDER BY k, part) AS block FROM put)
+  SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY g ORDER BY min(3 * k + part)) - 1 AS INT) AS seq, type, string_agg(text, '' ORDER BY k, part) AS text
+  FROM block GROUP BY g, conv_id, turn, type, block"""
+
+
+@query("word_diff", with_views("turns", _WORD_DIFF).replace("WITH ", "WITH RECURSIVE ", 1))
 def word_diff(spark, sf):
     pairs = V.turns(spark, sf)
     return pairs.select("conv_id", "turn", F.posexplode(word_segments(F.col("was"), F.col("now"))).alias("seq", "s")).select(

@@ -158,23 +158,70 @@ def test_sql_functions_agree_with_columns(spark):
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
 
 
-def test_word_diff_keeps_a_longest_common_subsequence():
+def _aligned(a, b):
+    """The alignment by the whole table of lengths."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            out.append(("same", a[i]))
+            i, j = i + 1, j + 1
+        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
+            out.append(("del", a[i]))
+            i += 1
+        else:
+            out.append(("add", b[j]))
+            j += 1
+    return out
+
+
+def test_word_diff_aligns_as_the_whole_table_does():
     import random
 
+    from jobsieve.functions.word_diff import alignment
+
     rng = random.Random(7)
-    for _ in range(60):
-        a = [rng.choice("abcd") for _ in range(rng.randint(1, 9))]
-        b = [rng.choice("abcd") for _ in range(rng.randint(1, 9))]
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a)):
-            for j in range(len(b)):
-                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
-        from jobsieve.functions.word_diff import kept_pairs
-
-        pairs = kept_pairs(a, b)
-        assert len(pairs) == best[-1][-1]
-        assert all(a[i] == b[j] for i, j in pairs)
-        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    for size in [9] * 200 + [70] * 20 + [300]:
+        letters = "abcd" if size < 100 else [str(k) for k in range(40)]
+        a = [rng.choice(letters) for _ in range(rng.randint(0, size))]
+        b = [rng.choice(letters) for _ in range(rng.randint(0, size))]
+        assert list(alignment(a, b)) == _aligned(a, b)
+
+
+def test_word_diff_of_long_texts_is_quick():
+    import random
+    import time
+
+    from jobsieve.functions.word_diff import alignment
+
+    rng = random.Random(8)
+    a = [str(rng.randrange(2000)) for _ in range(20_000)]
+    b = [str(rng.randrange(2000)) for _ in range(20_000)]
+    began = time.process_time()
+    kinds = [k for k, _ in alignment(a, b)]
+    assert time.process_time() - began < 10
+    assert kinds.count("same") + kinds.count("del") == len(a) and kinds.count("same") + kinds.count("add") == len(b)
+
+
+def test_word_diff_segments():
+    """Gaps stay outside of changes, and one gap is left where a deletion meets an addition."""
+    assert segments("Cut latency by sharding", "Cutting latency by sharding") == [
+        {"type": "del", "text": "Cut"}, {"type": "add", "text": "Cutting"}, {"type": "same", "text": " latency by sharding"},
+    ]
+    assert segments("Built APIs at scale", "Built internal REST APIs at scale") == [
+        {"type": "same", "text": "Built "}, {"type": "add", "text": "internal REST"}, {"type": "same", "text": " APIs at scale"},
+    ]
+    assert segments("Shipped the ledger.", "Shipped the ledger!") == [
+        {"type": "same", "text": "Shipped the ledger"}, {"type": "del", "text": "."}, {"type": "add", "text": "!"},
+    ]
+    for was, now in (("Improved database performance", "Cut p99 latency"), ("a b c", "a c"), ("a c", "a b c")):
+        assert "  " not in "".join(s["text"] for s in segments(was, now))
+    assert segments("a\u00a0b", "a c") == [
+        {"type": "same", "text": "a\u00a0"}, {"type": "del", "text": "b"}, {"type": "same", "text": " "}, {"type": "add", "text": "c"},
+    ]
 
 
 def test_sql_functions_equal_the_columns(spark):
