@@ -30,26 +30,26 @@ def required(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
-
-
-def fold_plural(token: Column) -> Column:
-    """The form a plain plural shares with its singular, and nothing more."""
-    size = F.length(token)
-    return (
-        F.when((size > 3) & token.endswith("ies"), F.concat(F.left(token, size - 3), F.lit("y")))
-        .when((size > 4) & token.rlike("(?:ses|xes|zes|ches|shes)$"), F.left(token, size - 2))
-        .when(
-            (size > 2) & token.endswith("s") & ~token.rlike("(?:ss|us|is)$"),
-            F.left(token, size - 1),
-        )
-        .otherwise(token)
-    )
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+# Plural endings of a token: "-ies" becomes "-y"; "-es" goes after s, x, z, ch and sh if two letters
+# stand before these; any other "-s" goes unless it follows s, u or i.
+_IES = "(?<=[a-z0-9])ies(?![a-z0-9])"
+_S = "(?:(?<=[a-z0-9]{2}[sxz])e|(?<=[a-z0-9][cs]h)e|(?<=[a-z0-9][a-hj-rtv-z0-9]))s(?![a-z0-9])"
+
+
+def fold_plural(tokens: Column) -> Column:
+    """The form a plain plural shares with its singular, and nothing more.
+
+    For one lower-case token, or any number of them in one text.
+    """
+    return F.regexp_replace(F.regexp_replace(tokens, _IES, "y"), _S, "")
 
 
 def term_key(text: Column) -> Column:
     """Folded tokens joined by one space: the comparison key of a term or field."""
-    return F.array_join(F.transform(tokens(text), fold_plural), " ")
+    return fold_plural(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")))
 
 
 def plain(text: Column, extra_quote: bool = False) -> Column:

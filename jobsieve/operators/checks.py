@@ -49,39 +49,37 @@ def _is_tech(token: Column, ordinal: Column, gap: Column) -> Column:
     lower = F.lower(token)
     starts = (ordinal == 0) | gap.rlike(vocab.SENTENCE_GAP)
     shaped = (
-        lower.isin(*vocab.KNOWN_TECH)
-        | token.rlike(r"^.[^A-Z]*[A-Z]")
-        | token.rlike(r"[0-9+#./]")
+        token.rlike(r"^.[^A-Z]*[A-Z]|[0-9+#./]")
         | (F.length(token).between(2, 6) & (token == F.upper(token)))
         | (token.rlike(r"^[A-Z][a-z]") & ~starts)
     )
-    return shaped & ~lower.isin(*vocab.TERM_STOPWORDS) & ~lower.isin(*vocab.COMMON_CAPITALISED)
+    # most tokens are plain lower-case words, which only their name can tell
+    named = lower.isin(*vocab.KNOWN_TECH) | (token.rlike("[A-Z0-9+#./]") & shaped)
+    return named & ~lower.isin(*vocab.TERM_STOPWORDS) & ~lower.isin(*vocab.COMMON_CAPITALISED)
 
 
-def _phrase_pattern(phrase: str) -> str:
-    words = [w for w in "".join(ch if ch.isalnum() else " " for ch in phrase.lower()).split()]
-    return r"(?i)(?<![A-Za-z0-9])" + r"[\s\-]+".join(words) + r"(?![A-Za-z0-9])"
+def _any_phrase() -> str:
+    """Where a known skill of several words begins, with the skill itself captured.
+
+    The match has no width, so that skills may overlap; no skill is the beginning of another.
+    """
+    parts = ["".join(ch if ch.isalnum() else " " for ch in p.lower()).split() for p in vocab.KNOWN_SKILL_PHRASES]
+    either = "|".join(r"[\s\-]+".join(words) for words in parts)
+    return rf"(?i)(?<![A-Za-z0-9])(?=({either})(?![A-Za-z0-9]))"
 
 
 def _known_phrases(line: Column) -> Column:
-    """Known skills of several words; the first sighting per line, in the line's casing."""
-    found = []
-    for phrase in vocab.KNOWN_SKILL_PHRASES:
-        pattern = _phrase_pattern(phrase)
-        found.append(
-            F.when(
-                line.rlike(pattern),
-                _candidate(
-                    _token_count(F.get(F.split(line, pattern, 2), 0)), 1, F.regexp_extract(line, pattern, 0)
-                ),
-            )
-        )
-    any_phrase = "|".join(
-        f"(?:{_phrase_pattern(p).removeprefix('(?i)')})" for p in vocab.KNOWN_SKILL_PHRASES
-    )
-    return F.when(line.rlike(f"(?i){any_phrase}"), F.array_compact(F.array(*found))).otherwise(
-        F.array().cast(_CANDIDATES)
+    """Known skills of several words where they stand, in the line's casing."""
+    padded = F.concat(F.lit(" "), line)  # a match without width would cut nothing off a line it begins
+    found = F.regexp_extract_all(padded, F.lit(_any_phrase()), 1)
+    widths = F.transform(F.split(padded, _any_phrase(), -1), lambda piece: F.length(piece))
+    placed = F.transform(
+        found,
+        lambda text, i: _candidate(
+            _token_count(F.left(padded, F.aggregate(F.slice(widths, 1, i + 1), F.lit(0), lambda n, w: n + w))), 1, text
+        ),
     )
+    return F.when(line.rlike(_any_phrase()), placed).otherwise(F.array().cast(_CANDIDATES))
 
 
 def _requirement_clauses(line: Column) -> Column:
@@ -102,42 +100,63 @@ def _requirement_clauses(line: Column) -> Column:
 
 def _requirement_phrase(clause: Column) -> Column:
     """Up to three words of a clause, leading stopwords dropped."""
-    words = F.filter(F.split(clause, f"{T.SPACE}+"), lambda w: w != "")
-    flags = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", "").isin(*vocab.TERM_STOPWORDS))
-    first = F.array_position(flags, F.lit(False)).cast("int")
-    kept = F.when(first > 0, F.slice(words, first, 3)).otherwise(F.array().cast("array<string>"))
-    return F.regexp_replace(F.array_join(kept, " "), r"[^A-Za-z0-9+#./\s\-]+$", "")
+    word = f"{T.NOT_SPACE}+"
+    says_nothing = lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", "").isin(*vocab.TERM_STOPWORDS)
+    words = F.regexp_extract_all(clause, F.lit(word), F.lit(0))
+    first = F.array_position(F.transform(words, says_nothing), F.lit(False)).cast("int")
+    # what is left without plain stopwords in front nearly always starts with a word that says something
+    rest = F.regexp_replace(clause, rf"(?i)^(?:{T.SPACE}*(?:{'|'.join(vocab.TERM_STOPWORDS)})(?={T.SPACE}|\z))*+{T.SPACE}*", "")
+    kept = (
+        F.when(~says_nothing(F.regexp_extract(rest, f"^({word})", 1)), F.regexp_extract(rest, f"^({word}(?:{T.SPACE}+{word}){{0,2}})", 1))
+        .when(first > 0, F.array_join(F.slice(words, first, 3), " "))
+        .otherwise("")
+    )
+    return F.regexp_replace(kept, r"[^A-Za-z0-9+#./\s\-]+$", "")
+
+
+_TERM = "struct<line_no:int,ord:int,rank:int,term_key:string,term:string>"
+
+
+def _line_terms(line: Column, line_no: Column) -> Column:
+    """Candidate terms of one line, with their keys first."""
+    tech = F.filter(_tokens(line), lambda c: _is_tech(c["text"], c["ord"], c["gap"]))
+    asked = F.transform(_requirement_clauses(line), lambda c: _candidate(c["ord"], 0, _requirement_phrase(c["text"])))
+    phrases = F.transform(
+        F.concat(asked, _known_phrases(line)),
+        lambda c: F.struct(c["ord"], c["rank"], F.regexp_replace(T.trim(c["text"]), f"{T.SPACE}+", " ").alias("text"), c["gap"]),
+    )
+    return F.transform(
+        F.concat(phrases, tech),
+        lambda c: F.struct(
+            T.term_key(c["text"]).alias("term_key"), line_no.alias("line_no"), c["ord"].alias("ord"), c["rank"].alias("rank"),
+            c["text"].alias("term"),
+        ),
+    )
+
+
+def term_lists(postings: DataFrame, key: str, body: str, keep: Sequence[str] = ()) -> DataFrame:
+    """What each posting asks for, in its own row: ``key``, the ``keep`` columns and ``terms`` in posting order.
+
+    A term has ``line_no, ord, rank, term_key, term``. Candidates of all lines are one array of the
+    row; sorted by their keys, the first of each is its first sighting, whose casing stays. Nothing
+    is shuffled, and a posting's terms are bounded by its own text.
+    """
+    found = F.flatten(F.transform(F.split(F.col(body), r"\r?\n"), _line_terms))
+    good = F.filter(
+        found, lambda c: c["term"].rlike("[A-Za-z]") & F.exists(T.tokens(c["term"]), lambda t: ~t.isin(*vocab.TERM_STOPWORDS))
+    )
+    rows = computed(postings.select(key, *keep, body), __found=F.sort_array(good))
+    first = F.filter("__found", lambda c, i: (i == 0) | (c["term_key"] != F.get("__found", i - 1)["term_key"]))
+    placed = F.transform(first, lambda c: F.struct(*[c[x].alias(x) for x in ("line_no", "ord", "rank", "term_key", "term")]))
+    return rows.select(key, *keep, F.sort_array(placed).alias("terms"))
 
 
 def posting_terms(postings: DataFrame, key: str, body: str) -> DataFrame:
     """What each posting asks for: ``key, line_no, ord, rank, term_key, term``.
 
-    Order in the posting is ``(line_no, ord, rank)``. Terms are unique per key, in
-    their first casing. Lines and tokens are exploded in the scan; only candidate
-    terms reach the shuffle, already combined per task.
+    Order in the posting is ``(line_no, ord, rank)``. Terms are unique per key, in their first casing.
     """
-    lines = postings.select(
-        key, F.posexplode(F.split(F.col(body), r"\r?\n")).alias("line_no", "line")
-    )
-    line = F.col("line")
-    candidates = F.concat(_requirement_clauses(line), _known_phrases(line), _tokens(line))
-    exploded = lines.select(key, "line_no", F.explode(candidates).alias("c")).select(
-        key, "line_no", "c.*"
-    )
-    kept = exploded.where((F.col("rank") < 2) | _is_tech(F.col("text"), F.col("ord"), F.col("gap")))
-    text = F.when(F.col("rank") == 0, _requirement_phrase(F.col("text"))).otherwise(F.col("text"))
-    named = computed(kept, term=F.regexp_replace(T.trim(text), f"{T.SPACE}+", " "))
-    found = computed(named, toks=T.tokens(F.col("term"))).withColumn(
-        "at", F.struct("line_no", "ord", "rank")
-    )
-    good = F.exists("toks", lambda t: ~t.isin(*vocab.TERM_STOPWORDS)) & F.col("term").rlike("[A-Za-z]")
-    return (
-        found.where(good)
-        .withColumn("term_key", F.array_join(F.transform("toks", T.fold_plural), " "))
-        .groupBy(key, "term_key")
-        .agg(F.min("at").alias("at"), F.min_by("term", "at").alias("term"))
-        .select(key, "at.line_no", "at.ord", "at.rank", "term_key", "term")
-    )
+    return term_lists(postings, key, body).select(key, F.inline("terms")).select(key, "line_no", "ord", "rank", "term_key", "term")
 
 
 # --- coverage ---------------------------------------------------------------
@@ -161,35 +180,41 @@ def coverage(
 ) -> DataFrame:
     """Matched and missing terms per ``pairs`` row (``pair_id``, posting and document keys).
 
-    ``terms`` has one row per posting and term; ``documents`` has ``folded`` text. A
-    posting's term list is bounded by its own text. A popular posting or document may
-    appear in many pairs, so both lookups are salted. Returns ``term_list, matched,
-    missing`` arrays in posting order; a pair without terms keeps its row. ``postings``
-    (posting key and ``described``, whether it has any text) adds ``described``; a posting
-    that is not there has none.
+    ``terms`` has one row per posting with its ``terms`` (``term_lists``), or one per posting and
+    term; ``documents`` has ``folded`` text. A popular posting or document may appear in many
+    pairs, so both lookups are salted. Returns ``term_list, matched, missing`` arrays in posting
+    order; a pair without terms keeps its row. ``described``, whether a posting has any text, is
+    taken from ``terms`` or from ``postings`` (posting key and ``described``), if either has it; a
+    posting that is not there has none.
     """
-    lists = terms.groupBy(posting_key).agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "ord", "rank", "term", "term_key"))).alias("__terms")
-    )
+    lists = terms
+    if "terms" not in terms.columns:
+        lists = terms.groupBy(posting_key).agg(
+            F.array_sort(F.collect_list(F.struct("line_no", "ord", "rank", "term_key", "term"))).alias("terms")
+        )
     if postings is not None:
-        lists = postings.select(posting_key, F.col("described").alias("__described")).join(lists, posting_key, "left")
+        lists = postings.select(posting_key, "described").join(lists, posting_key, "left")
+    described = [F.col("described").alias("__described")] if "described" in lists.columns else []
+    lists = lists.select(posting_key, F.col("terms").alias("__terms"), *described)
     joined = salted_join(pairs, lists, [posting_key], ["pair_id"], "left")
-    described = [] if postings is None else [F.coalesce("__described", F.lit(False)).alias("described")]
     joined = salted_join(joined, documents.select(document_key, "folded"), [document_key], ["pair_id"], "left", counted=pairs)
-    all_terms = F.coalesce(F.col("__terms"), F.array().cast("array<struct<line_no:int,ord:int,rank:int,term:string,term_key:string>>"))
+    # one-token terms are looked up among the document's tokens, the few longer ones in its text
+    tokens = F.array_distinct(F.split(F.coalesce("folded", F.lit("")), "[ \n]+"))
+    of = F.coalesce("__terms", F.array().cast(f"array<{_TERM}>"))
+    keyed = computed(joined.withColumn("__terms", of), __own=F.array_intersect(F.transform("__terms", lambda t: t["term_key"]), tokens))
 
     def hit(t: Column) -> Column:
-        return F.coalesce(
-            F.contains(F.col("folded"), F.concat(F.lit(" "), t["term_key"], F.lit(" "))), F.lit(False)
-        )
+        inside = F.contains(F.col("folded"), F.concat(F.lit(" "), t["term_key"], F.lit(" ")))
+        return F.array_contains("__own", t["term_key"]) | F.coalesce(F.contains(t["term_key"], F.lit(" ")) & inside, F.lit(False))
 
     names = lambda arr: F.transform(arr, lambda t: t["term"])
-    return joined.select(
+    measured = computed(keyed, __hits=F.transform("__terms", lambda t: F.struct(hit(t).alias("hit"), t["term"].alias("term"))))
+    return measured.select(
         *pairs.columns,
-        names(all_terms).alias("term_list"),
-        names(F.filter(all_terms, hit)).alias("matched"),
-        names(F.filter(all_terms, lambda t: ~hit(t))).alias("missing"),
-        *described,
+        names(F.col("__terms")).alias("term_list"),
+        names(F.filter("__hits", lambda t: t["hit"])).alias("matched"),
+        names(F.filter("__hits", lambda t: ~t["hit"])).alias("missing"),
+        *([F.coalesce("__described", F.lit(False)).alias("described")] if described else []),
     )
 
 
@@ -209,44 +234,6 @@ def coverage_outcome(covered: DataFrame) -> DataFrame:
     )
 
 
-#: Tokens of the part of a phrase by which lines are looked up.
-_ANCHOR_TOKENS = 3
-
-
-def phrase_hits(phrases: DataFrame, lines: DataFrame, lengths: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """Which documents contain which phrases of any length, as an n-gram equi-join.
-
-    ``phrases`` has ``phrase_id, term_key``; ``lines`` has ``doc_id, line_no, text``. A phrase is
-    looked up by its first three tokens, or all it has, and then tested whole. ``lengths`` are the
-    phrase lengths in use, as far as known: without phrases of one or two tokens the grams of that
-    size are not built. Grams are built inside one line, so no phrase crosses a field.
-    Returns ``phrase_id, doc_id, lines``.
-    """
-    toks = lines.withColumn("__t", F.transform(T.tokens(F.col("text")), T.fold_plural))
-    count = F.size("__t")
-
-    def grams(n: int) -> Column:
-        starts = F.when(count >= n, F.sequence(F.lit(1), count - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.array_join(F.slice(F.col("__t"), i, n), " "))
-
-    sizes = sorted({min(n, _ANCHOR_TOKENS) for n in lengths})
-    exploded = toks.select(
-        "doc_id", "line_no", F.concat(F.lit(" "), F.array_join("__t", " "), F.lit(" ")).alias("__line"),
-        F.explode(F.array_distinct(F.concat(*[grams(n) for n in sizes]))).alias("__gram"),
-    )
-    anchor = F.array_join(F.slice(F.split("term_key", " "), 1, _ANCHOR_TOKENS), " ")
-    asked = phrases.where(F.col("term_key") != "").select("phrase_id", F.col("term_key").alias("__phrase"), anchor.alias("__gram"))
-    whole = F.contains(F.col("__line"), F.concat(F.lit(" "), F.col("__phrase"), F.lit(" ")))
-    return (
-        lookup_join(exploded, asked, ["__gram"])
-        .where(whole)
-        .groupBy("phrase_id", "doc_id")
-        .agg(F.count(F.lit(1)).alias("lines"))
-    )
-
-
 # --- phrasing ---------------------------------------------------------------
 
 

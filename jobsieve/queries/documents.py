@@ -9,6 +9,7 @@ from .. import vocab
 from ..functions import text as T
 from ..operators import checks as K
 from ..operators import leaves as L
+from ..operators import phrases as phrase_search
 from ..sources import documents as docs
 from .registry import VIEWS, fold_sql, plain_sql, query, with_views
 
@@ -182,9 +183,8 @@ def _coverage(spark, sf):
     pairs = resumes.select(F.col("doc_id").alias("pair_id"), "doc_id", F.col("doc_id").bitwiseXOR(F.lit(1)).alias("posting_id"))
     blank = F.col("doc_id") % 9 == 4
     postings = V.prose(spark, sf).select(F.col("doc_id").alias("posting_id"), F.when(blank, "  ").otherwise(F.col("text")).alias("text"))
-    terms = K.posting_terms(postings, "posting_id", "text")
-    described = postings.select("posting_id", (T.trim(F.coalesce("text", F.lit(""))) != "").alias("described"))
-    return K.coverage(pairs, terms, "posting_id", folded, "doc_id", described)
+    terms = K.term_lists(postings.withColumn("described", T.trim(F.coalesce("text", F.lit(""))) != ""), "posting_id", "text", ["described"])
+    return K.coverage(pairs, terms, "posting_id", folded, "doc_id")
 
 
 @query(
@@ -232,7 +232,7 @@ def phrase_hits(spark, sf):
         (F.col("item_id") * 1000 + F.col("i")).alias("phrase_id"), T.term_key(F.col("x")).alias("term_key")
     )
     lines = V.lines(spark, sf).select("doc_id", F.col("idx").alias("line_no"), F.col("line").alias("text"))
-    return K.phrase_hits(phrases, lines)
+    return phrase_search.phrase_hits(phrases, lines)
 
 
 # --- phrasing ---------------------------------------------------------------

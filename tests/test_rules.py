@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from jobsieve import schemas
+from jobsieve.functions import text as T
 from jobsieve.operators import checks as K
 from jobsieve.operators import funnel, provenance, postings
 from jobsieve.sources import documents, feeds
@@ -216,3 +217,56 @@ def test_posting_fields(spark):
     )
     got = {r["id"]: (r["title"], r["company"], r["location"]) for r in postings.posting_fields(df, "id", "body").collect()}
     assert got == {1: ("Staff Engineer", "Acme", "Remote"), 2: ("A", "B", "Oslo, NO"), 3: (None, None, None)}
+
+
+def _fold(token):
+    if len(token) > 3 and token.endswith("ies"):
+        return token[:-3] + "y"
+    if len(token) > 4 and token.endswith(("ses", "xes", "zes", "ches", "shes")):
+        return token[:-2]
+    if len(token) > 2 and token.endswith("s") and not token.endswith(("ss", "us", "is")):
+        return token[:-1]
+    return token
+
+
+def test_term_keys_fold_each_token(spark):
+    import itertools
+    import random
+    import re
+
+    rng = random.Random(4)
+    ends = ["ies", "ses", "xes", "zes", "ches", "shes", "es", "s", "ss", "us", "is", "", "e"]
+    words = ["".join(p) + e for n in range(4) for p in itertools.product("ash1", repeat=n) for e in ends]
+    texts = [" ".join(rng.sample(words, 6)) for _ in range(1500)] + words + ["Gases, BOXES/policies!", " --s ies ", "É ties", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select("t", T.term_key(F.col("t")).alias("k")).collect():
+        assert r.k == " ".join(_fold(x) for x in re.split("[^a-z0-9]+", r.t.lower()) if x), r
+
+
+def test_phrases_by_automaton_by_join_and_by_hand(spark):
+    import random
+
+    from jobsieve.operators.phrases import Automaton, phrase_hits
+
+    rng = random.Random(5)
+    some = lambda n: [rng.choice("abc") for _ in range(rng.randrange(1, n))]
+    for _ in range(300):
+        asked, line = [some(5) for _ in range(rng.randrange(1, 7))], some(30)
+        inside = lambda p: any(line[i : i + len(p)] == p for i in range(len(line)))
+        want = {tuple(p) for p in asked if inside(p)}
+        assert {tuple(asked[n]) for n in Automaton(asked).found(line)} == want
+
+    phrases = [(i, " ".join(some(6))) for i in range(40)] + [(99, ""), (98, "a b"), (97, "a b")]
+    lines = [(d if d else None, n, rng.choice([" ", ", "]).join(some(40)).upper()) for d in range(6) for n in range(8)] + [(7, 0, None), (7, 1, "")]
+    want = {}
+    for i, p in phrases:
+        for d, _, t in lines:
+            if p and t and f" {p} " in f" {t.lower().replace(',', '')} ":
+                want[i, d] = want.get((i, d), 0) + 1
+    p = spark.createDataFrame(phrases, "phrase_id int, term_key string")
+    x = spark.createDataFrame(lines, "doc_id int, line_no int, text string")
+    for limits in ({}, {"max_rows": 3}):
+        rows = [(r.phrase_id, r.doc_id, r.lines) for r in phrase_hits(p, x, **limits).collect()]
+        got = {(i, d): n for i, d, n in rows}
+        assert len(rows) == len(got)
+        assert got == want
