@@ -24,7 +24,7 @@ def _match_key(url: Column) -> list[Column]:
     ]
 
 
-def _fold_incoming(listings: DataFrame, order: Sequence[str]) -> DataFrame:
+def fold_incoming(listings: DataFrame, order: Sequence[str]) -> DataFrame:
     """All sightings of one posting as one row.
 
     The first sighting names title, company and source; the last known location
@@ -60,7 +60,7 @@ def merge_jobs(stored: DataFrame, listings: DataFrame, order: Sequence[str], now
     jd_text, source, scraped_at``. Known postings keep title, company and source; the
     body follows the refresh rule and ``scraped_at`` moves only when it changed.
     """
-    incoming = _fold_incoming(listings, order)
+    incoming = fold_incoming(listings, order)
     old = stored.select(
         *[F.col(c).alias(f"s_{c}") for c in stored.columns], *_match_key(F.col("url"))
     )
@@ -223,12 +223,3 @@ def delete_resumes(resumes: DataFrame, wanted: DataFrame, pins: DataFrame) -> tu
     gone = asked.where(F.coalesce("pins", F.lit(0)) == 0)
     return resumes.join(gone, "resume_id", "left_anti"), refused
 
-
-def write_atomically(df: DataFrame, path: str, partition: str) -> None:
-    """Replace only the partitions present in ``df``."""
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )

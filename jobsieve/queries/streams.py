@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import testviews as V
 from ..session import prepare, shared_folder
-from ..streaming import alerts, folds
+from ..streaming import alerts, folds, joblog
 from .registry import REGISTRY, iso, query, sql_iso, with_views
 
 
@@ -151,3 +151,34 @@ def streamed_due_alerts(spark, sf):
     finally:
         spark.conf.set(store, before)
     return found.withColumn("due_at", iso("due_at"))
+
+
+@query(
+    "incremental_jobs",
+    with_views(
+        "listings",
+        """, bl AS (SELECT *, pos % 3 AS batch FROM listings UNION ALL SELECT *, 3 FROM listings WHERE pos % 3 = 0),
+        n AS (SELECT *, (batch, adapter_rank, pos) AS node, batch || ':' || external_id AS xid,
+          CASE WHEN url IS NOT NULL THEN batch || ':jobs.example.com/p/' || (pos - pos % 5) || '?id=1|' || lower(title) || '|' || lower(company) END AS b FROM bl),
+        m AS (SELECT *, min(node) OVER (PARTITION BY xid) AS fa, CASE WHEN b IS NOT NULL THEN min(node) OVER (PARTITION BY b) END AS fb FROM n),
+        p AS (SELECT *, CASE WHEN fa < node THEN fa WHEN fb < node THEN fb END AS ptr FROM m),
+        r AS (SELECT node, node AS root FROM p WHERE ptr IS NULL UNION ALL SELECT p.node, r.root FROM r JOIN p ON p.ptr = r.node),
+        g AS (SELECT root, min_by(description, p.node) FILTER (WHERE coalesce(description, '') <> '') AS description FROM p JOIN r USING (node) GROUP BY root),
+        kept AS (SELECT node, title, company, location, url, CASE WHEN url IS NOT NULL THEN 'https://jobs.example.com/p/' || (pos - pos % 5) || '?id=1' END AS cu,
+            coalesce(nullif(trim(g.description), ''),
+              'No description was returned by ' || source || ' for this listing.' || coalesce(' Open ' || url || ' for the full posting.', '')) AS body
+          FROM g JOIN p ON g.root = p.node),
+        fo AS (SELECT cu, min_by(title, node) AS title, min_by(company, node) AS company, max_by(location, node) AS location,
+            max_by(body, (length(body), -node[1], -node[2], -node[3])) FILTER (WHERE NOT starts_with(body, 'No description was returned by')) AS real,
+            min_by(body, node) FILTER (WHERE starts_with(body, 'No description was returned by')) AS ph
+          FROM kept GROUP BY cu, CASE WHEN cu IS NULL THEN title END, CASE WHEN cu IS NULL THEN company END, CASE WHEN cu IS NULL THEN location END)
+        SELECT cu AS url, title, company, location, md5(coalesce(real, ph)) AS jd_md5 FROM fo""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def incremental_jobs(spark, sf):
+    """Listings arrive in three batches, one of them twice, and the first once more as a new batch."""
+    listings = V.listings(spark, sf)
+    log = joblog.JobLog(spark, _folder(spark))
+    for number, part in ((0, 0), (1, 1), (1, 1), (2, 2), (3, 0)):
+        log.append(listings.where(F.col("pos") % 3 == part), number, ["adapter_rank", "pos"])
+    return log.jobs().select("url", "title", "company", "location", F.md5("jd_text").alias("jd_md5"))

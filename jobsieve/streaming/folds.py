@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import dedupe, funnel, merge
+from ..operators import funnel
 from ..operators.outreach import _sequence_key
 from ..functions.fields import is_pending
 
@@ -105,49 +105,3 @@ def run_available(stream: DataFrame, mode: str, path: str) -> DataFrame:
         stream.schema.add("batch", "long")
     ).parquet(f"{path}/out")
 
-
-JOB_BUCKETS = 256
-
-
-def _bucket():
-    """Which part of the job table a posting belongs to: by link, else by title and company."""
-    return F.pmod(F.xxhash64(F.coalesce("url", F.concat_ws("|", "title", "company"))), F.lit(JOB_BUCKETS)).cast("int")
-
-
-def incremental_merge(table: str, order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` step that resolves a batch of listings and merges it into ``table``.
-
-    The table is split into buckets by posting key. A batch reads and rewrites only the
-    buckets its postings fall into, and running a batch twice changes nothing.
-    """
-    from ..functions.links import canonical_url
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        spark = batch.sparkSession
-        kept = dedupe.dedupe_listings(batch, order).withColumn("canonical", canonical_url(F.col("url")))
-        placed = kept.withColumn(
-            "bucket",
-            F.pmod(F.xxhash64(F.coalesce("canonical", F.concat_ws("|", "title", "company"))), F.lit(JOB_BUCKETS)).cast("int"),
-        )
-        # At most JOB_BUCKETS values.
-        touched = [r[0] for r in placed.select("bucket").distinct().collect()]
-        schema = (
-            "job_id string, url string, title string, company string, location string, jd_text string, "
-            "source string, scraped_at timestamp, bucket int"
-        )
-        try:
-            stored = spark.read.schema(schema).parquet(table).where(F.col("bucket").isin(touched))
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            stored = spark.createDataFrame([], schema)
-        now = F.current_timestamp()
-        merged = merge.merge_jobs(stored.drop("bucket"), placed, order, now).drop("outcome")
-        named = merged.withColumn(
-            "job_id", F.coalesce("job_id", F.sha2(F.to_json(F.struct("url", "title", "company", "location")), 256))
-        ).withColumn("bucket", _bucket())
-        merge.write_atomically(named, table, "bucket")
-
-    return step

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from jobsieve.operators import funnel
-from jobsieve.streaming import alerts, folds
+from jobsieve.streaming import alerts, folds, joblog
 
 
 def _files(spark, folder, batches, schema):
@@ -51,13 +51,13 @@ def test_alert_follows_a_late_send(spark, tmp_path):
 
 
 def test_incremental_merge_is_idempotent(spark, tmp_path):
-    step = folds.incremental_merge(str(tmp_path / "jobs"), ["adapter_rank", "pos"])
+    step = joblog.incremental_merge(str(tmp_path / "jobs"), ["adapter_rank", "pos"])
     schema = "adapter_rank int, pos int, external_id string, url string, title string, company string, location string, description string, source string"
     one = spark.createDataFrame([(0, 0, "a", "https://x.io/1?ref=q", "T", "C", None, None, "s"), (0, 1, "b", None, "U", "C", "Oslo", "body", "s")], schema)
     two = spark.createDataFrame([(0, 2, "c", "https://x.io/1", "T2", "C", "Rome", "real body", "s")], schema)
     for batch_id, batch in enumerate([one, two, two]):
         step(batch, batch_id)
-    rows = {r["title"]: (r["location"], r["jd_text"]) for r in spark.read.parquet(str(tmp_path / "jobs")).collect()}
+    rows = {r["title"]: (r["location"], r["jd_text"]) for r in joblog.JobLog(spark, str(tmp_path / "jobs")).jobs().collect()}
     assert rows == {"T": ("Rome", "real body"), "U": ("Oslo", "body")}
 
 
@@ -78,3 +78,54 @@ def test_thread_replies(spark, tmp_path):
     )
     got = folds.thread_replies(mail, sent, "ME@x.io", "30 days").collect()
     assert [(r["application_id"], r["received_at"]) for r in got] == [(1, t("2024-01-03"))]
+
+
+LISTING = "adapter_rank int, pos int, external_id string, url string, title string, company string, location string, description string, source string"
+
+
+def _random_listings(rng, n, start):
+    out = []
+    for i in range(n):
+        url = rng.choice([None, f"https://x.io/{rng.randrange(30)}?utm_source=a"])
+        text = rng.choice([None, "", "x" * rng.randrange(1, 9), f"{'y' * rng.randrange(1, 9)}"])
+        out.append((0, start + i, f"e{start + i}", url, rng.choice("TU"), rng.choice("CD"), rng.choice([None, "Oslo", "Rome"]), text, "s"))
+    return out
+
+
+def test_log_equals_one_merge_and_rewrites_in_proportion(spark, tmp_path):
+    import random
+
+    from jobsieve.operators import merge
+
+    rng = random.Random(2)
+    log = joblog.JobLog(spark, str(tmp_path / "log"))
+    batches = [_random_listings(rng, 25, 100 * b) for b in range(7)]
+    for b, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, LISTING).coalesce(1)
+        log.append(df, b, ["adapter_rank", "pos"])
+        log.append(df, b, ["adapter_rank", "pos"])  # delivered again
+    assert log.status()["last"] == 6 and len(log.status()["segments"]) <= 3
+    # every row was rewritten about log2(7) times, not once per batch
+    assert 0 < log.status()["rewritten"] < 2.8 * log.status()["appended"]
+    everything = spark.createDataFrame(sum(batches, []), LISTING)
+    stored = spark.createDataFrame([], "job_id string, url string, title string, company string, location string, jd_text string, source string, scraped_at timestamp")
+    want = merge.merge_jobs(stored, everything, ["adapter_rank", "pos"], F.current_timestamp())
+    columns = ["url", "title", "company", "location", "jd_text", "source"]
+    rows = log.jobs().collect()
+    assert sorted(str([r[c] for c in columns]) for r in rows) == sorted(str([r[c] for c in columns]) for r in want.collect())
+    assert len({r.job_id for r in rows}) == len(rows)
+
+
+def test_log_ignores_an_unfinished_commit_and_refuses_two(spark, tmp_path):
+    import pytest
+
+    log = joblog.JobLog(spark, str(tmp_path / "log"))
+    assert log.jobs().count() == 0
+    one = spark.createDataFrame([(0, 0, "a", "https://x.io/1", "T", "C", None, None, "s")], LISTING)
+    log.append(one, 0, ["adapter_rank", "pos"])
+    (tmp_path / "log" / "manifests" / "000000000002.json").write_text('{"version": 2, "segm')
+    assert log.status()["version"] == 1 and log.jobs().count() == 1
+    log.append(one, 1, ["adapter_rank", "pos"])
+    assert log.status()["version"] == 3 and log.status()["last"] == 1
+    with pytest.raises(joblog.ConflictError):
+        log._commit({"version": 3})
