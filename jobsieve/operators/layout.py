@@ -1,10 +1,10 @@
-"""From typeset glyph runs to lines, sections and entries, over a glyph or line table."""
+"""From the lines of a document to sections and entries, over a line table."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions import dates as D
@@ -13,151 +13,9 @@ from ..plans.once import computed
 from ..plans.scan import running
 from ..plans.skew import hot_keys
 
-PAGE = ["doc_id", "page"]
 LINE_BLOCK = 4096
 
 
-def baseline_rows(glyphs: DataFrame) -> DataFrame:
-    """Add ``row_y``: the baseline of the row a glyph run belongs to.
-
-    From the top, a row takes every run within the tolerance of its first one. Only the
-    distinct heights of a page are gathered - a page holds as many as its height allows,
-    however many runs it has.
-    """
-    def grow(rows: Column, y: Column) -> Column:
-        last = F.get(rows, F.size(rows) - 1)["row_y"]
-        fits = last.isNotNull() & (y - last <= vocab.BASELINE_TOLERANCE)
-        return F.concat(rows, F.array(F.struct(y.alias("y"), F.when(fits, last).otherwise(y).alias("row_y"))))
-
-    heights = glyphs.groupBy(*PAGE).agg(F.array_sort(F.collect_set("y")).alias("ys"))
-    rows = heights.select(
-        *PAGE,
-        F.inline(F.aggregate("ys", F.array().cast("array<struct<y:double,row_y:double>>"), grow)),
-    )
-    return glyphs.join(rows, [*PAGE, "y"])
-
-
-def gutters(rows: DataFrame) -> DataFrame:
-    """The x that splits a two-column page, one row per page; null for one column.
-
-    Runs are counted per point of page width before pages are grouped, so what is
-    scanned per page is its width, not its text.
-    """
-    extent = rows.groupBy(*PAGE).agg(
-        F.min("x").alias("left"), F.max("right").alias("right"), F.count_distinct("row_y").alias("rows")
-    ).withColumn("span", F.col("right") - F.col("left"))
-    wide = (F.col("rows") >= 6) & (F.col("span") >= 4 * vocab.MIN_GUTTER_POINTS)
-    pages = extent.where(wide)
-    offset = F.col("x") - F.col("left")
-    first = F.greatest(F.lit(0), F.floor(offset).cast("int"))
-    last = F.least(F.ceil(F.col("span")).cast("int"), F.ceil(F.col("right") - F.col("left")).cast("int"))
-    # A run adds one crossing from its first cell on and takes it back after its last.
-    edges = (
-        rows.join(pages.select(*PAGE, "left", "span"), PAGE)
-        .where(last >= first)
-        .select(*PAGE, F.inline(F.array(F.struct(first.alias("at"), F.lit(1).alias("d")), F.struct((last + 1).alias("at"), F.lit(-1).alias("d")))))
-        .groupBy(*PAGE, "at")
-        .agg(F.sum("d").alias("d"))
-    )
-    start, end = F.floor(F.col("span") * 0.2).cast("int"), F.ceil(F.col("span") * 0.8).cast("int")
-    # Between two edges the number of crossings is constant: stretches, not cells, are scanned.
-    none = F.lit(0).cast("long")
-    ends = pages.select(
-        *PAGE, F.inline(F.array(F.struct(start.alias("at"), none.alias("d")), F.struct((end + 1).alias("at"), none.alias("d"))))
-    )
-    order = Window.partitionBy(*PAGE).orderBy("at")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    stretches = (
-        edges.unionByName(ends)
-        .groupBy(*PAGE, "at")
-        .agg(F.sum("d").alias("d"))
-        .select(*PAGE, "at", F.lead("at").over(order).alias("until"), F.sum("d").over(upto).alias("n"))
-        .join(pages.select(*PAGE, "left", "rows", start.alias("from"), end.alias("to")), PAGE)
-        .where(F.col("at").between(F.col("from"), F.col("to")))
-        .withColumn("busy", (F.col("n") > F.col("rows") * vocab.MAX_GUTTER_CROSSINGS).cast("int"))
-    )
-    islands = (
-        stretches.withColumn("island", F.sum("busy").over(upto))
-        .where(F.col("busy") == 0)
-        .groupBy(*PAGE, "left", "to", "island")
-        .agg(F.min("at").alias("start"), F.max("until").alias("end"))
-        .withColumn("end", F.least("end", "to"))
-        .where(F.col("end") - F.col("start") >= vocab.MIN_GUTTER_POINTS)
-    )
-    best = islands.groupBy(*PAGE).agg(
-        F.max_by(F.struct("left", "start", "end"), F.struct(F.col("end") - F.col("start"), -F.col("start"))).alias("b")
-    )
-    return extent.select(*PAGE).join(best, PAGE, "left").select(
-        *PAGE, (F.col("b.left") + (F.col("b.start") + F.col("b.end")) / 2).alias("gutter")
-    )
-
-
-def reading_order(rows: DataFrame, page_gutters: DataFrame) -> DataFrame:
-    """Add ``band`` and ``side``; lines are read by ``(band, side, row_y)``.
-
-    A row with a run across the gutter spans the page and ends a band; inside a band
-    the left column (0) comes before the right (1), and the spanning row (2) last.
-    """
-    placed = rows.join(page_gutters, PAGE, "left")
-    crosses = F.col("gutter").isNotNull() & (F.col("x") < F.col("gutter")) & (F.col("right") > F.col("gutter"))
-    per_row = placed.groupBy(*PAGE, "row_y").agg(F.max(crosses).alias("full"))
-    before = Window.partitionBy(*PAGE).orderBy("row_y").rowsBetween(Window.unboundedPreceding, -1)
-    banded = per_row.withColumn(
-        "band", F.coalesce(F.sum(F.col("full").cast("int")).over(before), F.lit(0))
-    )
-    return placed.join(banded, [*PAGE, "row_y"]).withColumn(
-        "side",
-        F.when(F.col("gutter").isNull(), 0)
-        .when(F.col("full"), 2)
-        .when(F.col("right") <= F.col("gutter"), 0)
-        .otherwise(1),
-    ).drop("full", "gutter")
-
-
-def assemble_lines(ordered: DataFrame) -> DataFrame:
-    """One row per line: text with spaces at gaps, bullet stripped, extent and main font.
-
-    What is gathered is one printed line.
-    """
-    runs = F.array_sort(F.collect_list(F.struct("x", "y", "right", "str", "size", "font")))
-    lines = ordered.groupBy(*PAGE, "band", "side", "row_y").agg(runs.alias("runs"))
-    hanging = F.trim(F.get("runs", 0)["str"]).rlike(vocab.BULLET_ONLY)
-    ink = F.when(hanging & (F.size("runs") > 1), F.slice("runs", 2, F.size("runs"))).otherwise(F.col("runs"))
-    lines = lines.withColumns({"hanging": hanging, "ink": ink})
-    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("cursor"))
-    joined = F.aggregate(
-        "ink", start,
-        lambda acc, g: F.struct(
-            F.concat(
-                acc["text"],
-                F.when((acc["text"] != "") & (g["x"] - acc["cursor"] > vocab.SPACE_GAP), " ").otherwise(""),
-                g["str"],
-            ).alias("text"),
-            g["right"].alias("cursor"),
-        ),
-    )["text"]
-    fonts = F.array_distinct(F.transform("ink", lambda g: g["font"]))
-    weight = lambda font: F.aggregate(
-        F.filter("ink", lambda g: g["font"] == font), F.lit(0), lambda n, g: n + F.length(F.trim(g["str"]))
-    )
-    main = F.get(
-        F.array_sort(F.transform(fonts, lambda f, i: F.struct((-weight(f)).alias("n"), i.alias("i"), f.alias("f")))), 0
-    )["f"]
-    lines = lines.withColumn("joined", joined).withColumn(
-        "stripped", F.regexp_replace("joined", vocab.BULLET_GLYPHS, "")
-    )
-    return lines.select(
-        *PAGE, "band", "side", "row_y",
-        F.trim("stripped").alias("text"),
-        F.get("ink", 0)["y"].alias("y"),
-        F.array_min(F.transform("ink", lambda g: g["x"])).alias("x"),
-        F.array_max(F.transform("ink", lambda g: g["right"])).alias("right"),
-        F.array_max(F.transform("ink", lambda g: g["size"])).alias("font_size"),
-        main.alias("font_name"),
-        (F.col("hanging") | (F.col("stripped") != F.col("joined"))).alias("is_list_item"),
-    )
-
-
 def heading_kind(text: Column, is_list_item: Column) -> Column:
     """The section a whole line names by vocabulary, else null."""
     # Long lines are most lines; they fail on their first few words.

@@ -5,41 +5,50 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import testviews as V
-from ..operators import layout as Y
-from ..session import cut
+from ..operators import layout, pages as Y
 from .registry import VIEWS, query, with_views
 
 # --- glyphs -----------------------------------------------------------------
-# Words of a document set eight to a row in two columns, fifty rows to a page; every
-# tenth row has one run across the gutter.
-
-VIEWS["gl"] = """
-  SELECT doc_id, r // 50 AS page, CAST(10.0 * r + 0.5 * (c % 2) AS DOUBLE) AS y, CAST(10.0 * r AS DOUBLE) AS ry, CAST(x AS DOUBLE) AS x,
-    CAST(CASE WHEN r % 10 = 0 AND c = 3 THEN x + 200.0 ELSE x + least(55.0, 5.0 * length(w)) END AS DOUBLE) AS right_, w, c, r
+# Words of a document set eight to a row in two columns, fifty rows to a page; every tenth row has one
+# run across the gutter, every seventh hangs from a bullet. Heights within a row drift by 0.6 up to
+# 3.6 points and the next row begins at 5, so only the distance from a row's first run tells rows apart.
+
+VIEWS["gl0"] = """
+  SELECT doc_id, r // 50 AS page, CAST(5.0 * r + 0.6 * ((doc_id + 3 * r + c) % 7) AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x,
+    CAST(CASE WHEN r % 10 = 0 AND c = 3 THEN x + 200.0 ELSE x + least(55.0, 5.0 * length(w)) END AS DOUBLE) AS right_,
+    CASE WHEN r % 7 = 3 AND c % 4 = 0 THEN '•' WHEN r % 7 = 5 AND c = 0 THEN '- ' || w ELSE w END AS w,
+    CAST(CASE WHEN c = 0 THEN 12.0 ELSE 10.0 END AS DOUBLE) AS size, CASE WHEN c < 2 THEN 'Bold' ELSE 'Text' END AS font
   FROM (SELECT *, i // 8 AS r, i % 8 AS c, 40.0 + 60.0 * (i % 8) + CASE WHEN i % 8 >= 4 THEN 40.0 ELSE 0.0 END AS x
         FROM (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS w
               FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS ws FROM documents)))"""
+# The first run of each row, carried along the heights of a page.
+VIEWS["gl"] = """
+  SELECT g.*, h.ry FROM gl0 g JOIN (
+    SELECT doc_id, page, unnest(ys) AS y, unnest(list_reduce(ys, lambda a, y: CASE WHEN y - a.first <= 2.5
+        THEN {'first': a.first, 'out': list_append(a.out, a.first)} ELSE {'first': y, 'out': list_append(a.out, y)} END,
+        {'first': ys[1], 'out': CAST([] AS DOUBLE[])}).out) AS ry
+    FROM (SELECT doc_id, page, list(DISTINCT y ORDER BY y) AS ys FROM gl0 GROUP BY ALL)) h USING (doc_id, page, y)"""
 
 
 def glyphs(spark, sf):
     words = V.table(spark, sf, "documents").select(
-        "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)).alias("i", "str")
+        "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)).alias("i", "w")
     )
-    r, c = F.floor(F.col("i") / 8), F.col("i") % 8
-    placed = words.select("doc_id", "str", r.alias("r"), c.alias("c")).withColumn(
+    placed = words.select("doc_id", "w", F.floor(F.col("i") / 8).alias("r"), (F.col("i") % 8).alias("c")).withColumn(
         "x", F.lit(40.0) + 60.0 * F.col("c") + F.when(F.col("c") >= 4, 40.0).otherwise(0.0)
     )
-    across = (F.col("r") % 10 == 0) & (F.col("c") == 3)
-    width = F.when(across, 200.0).otherwise(F.least(F.lit(55.0), 5.0 * F.length("str")))
+    r, c = F.col("r"), F.col("c")
+    width = F.when((r % 10 == 0) & (c == 3), 200.0).otherwise(F.least(F.lit(55.0), 5.0 * F.length("w")))
+    text = F.when((r % 7 == 3) & (c % 4 == 0), "•").when((r % 7 == 5) & (c == 0), F.concat(F.lit("- "), F.col("w"))).otherwise(F.col("w"))
+    drift = F.lit(0.6).cast("decimal(2,1)") * ((F.col("doc_id") + 3 * r + c) % 7).cast("int")
     return placed.select(
-        "doc_id", F.floor(F.col("r") / 50).cast("int").alias("page"), "x",
-        (10.0 * F.col("r") + 0.5 * (F.col("c") % 2)).alias("y"), (F.col("x") + width).alias("right"), "str",
-        F.when(F.col("c") == 0, 12.0).otherwise(10.0).alias("size"),
-        F.when(F.col("c") < 2, "Bold").otherwise("Text").alias("font"),
+        "doc_id", F.floor(r / 50).cast("int").alias("page"), "x", (F.lit(5).cast("decimal(2,1)") * r.cast("int") + drift).cast("double").alias("y"),
+        (F.col("x") + width).alias("right"), text.alias("str"), F.when(c == 0, 12.0).otherwise(10.0).alias("size"),
+        F.when(c < 2, "Bold").otherwise("Text").alias("font"),
     )
 
 
-@query("text_rows", with_views("gl", "SELECT doc_id, page, ry AS row_y, count(*) AS runs FROM gl GROUP BY ALL"))
+@query("text_rows", with_views("gl0 gl", "SELECT doc_id, page, ry AS row_y, count(*) AS runs FROM gl GROUP BY ALL"))
 def text_rows(spark, sf):
     return Y.baseline_rows(glyphs(spark, sf)).groupBy("doc_id", "page", "row_y").agg(F.count(F.lit(1)).alias("runs"))
 
@@ -58,39 +67,35 @@ VIEWS["gut"] = """
 VIEWS["ex"] = "SELECT doc_id, page, min(x) AS lft, max(right_) - min(x) AS span, count(DISTINCT ry) AS nrows FROM gl GROUP BY ALL"
 
 
-def _gutters(spark, sf):
-    # Gutters and reading order both go over the rows more than once; they are made once.
-    rows = cut(Y.baseline_rows(glyphs(spark, sf)))
-    return rows, Y.gutters(rows)
-
-
-@query("page_gutters", with_views("gl ex gut", "SELECT doc_id, page, gutter FROM gut"))
+@query("page_gutters", with_views("gl0 gl ex gut", "SELECT doc_id, page, gutter FROM gut"))
 def page_gutters(spark, sf):
-    return _gutters(spark, sf)[1]
-
-
-def _lines(spark, sf):
-    return Y.assemble_lines(Y.reading_order(*_gutters(spark, sf)))
+    return Y.gutters(glyphs(spark, sf))
 
 
 @query(
     "page_lines",
     with_views(
-        "gl ex gut",
+        "gl0 gl ex gut",
         """, fu AS (SELECT doc_id, page, ry, bool_or(coalesce(x < gutter AND right_ > gutter, false)) AS f FROM gl JOIN gut USING (doc_id, page) GROUP BY ALL),
            ba AS (SELECT *, CAST(coalesce(sum(CAST(f AS INT)) OVER (PARTITION BY doc_id, page ORDER BY ry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS band FROM fu),
-           si AS (SELECT *, CASE WHEN gutter IS NULL THEN 0 WHEN f THEN 2 WHEN right_ <= gutter THEN 0 ELSE 1 END AS side,
-                    lag(right_) OVER (PARTITION BY doc_id, page, ry, CASE WHEN gutter IS NULL THEN 0 WHEN f THEN 2 WHEN right_ <= gutter THEN 0 ELSE 1 END ORDER BY x) AS pr
+           si AS (SELECT *, CASE WHEN gutter IS NULL THEN 0 WHEN f THEN 2 WHEN right_ <= gutter THEN 0 ELSE 1 END AS side
                   FROM gl JOIN gut USING (doc_id, page) JOIN ba USING (doc_id, page, ry)),
-           ha AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, ry, side ORDER BY x) AS k, count(*) OVER (PARTITION BY doc_id, page, ry, side) AS kn,
-                    regexp_matches(first_value(w) OVER (PARTITION BY doc_id, page, ry, side ORDER BY x), '^[•‣▪●◦⁃∙*·]$') AS hang FROM si),
-           tx AS (SELECT doc_id, page, band, side, ry, string_agg(CASE WHEN k = CASE WHEN hang AND kn > 1 THEN 2 ELSE 1 END OR x - pr <= 1.2 THEN w ELSE ' ' || w END, '' ORDER BY x) AS t
-                  FROM ha WHERE NOT (hang AND kn > 1 AND k = 1) GROUP BY ALL)
-           SELECT doc_id, page, band, side, ry AS row_y, trim(regexp_replace(t, '^[•‣▪●◦⁃∙*·]\\s*|^[-–—]\\s+', '')) AS text FROM tx""",
+           nu AS (SELECT *, lag(right_) OVER l AS pr, row_number() OVER l AS k, count(*) OVER (PARTITION BY doc_id, page, ry, side) AS kn,
+                    first_value(w) OVER l IN ('•', '‣', '▪', '●', '◦', '⁃', '∙', '*', '·') AS hang
+                  FROM si WINDOW l AS (PARTITION BY doc_id, page, ry, side ORDER BY x, y, right_, w, size, font)),
+           ink AS (SELECT * FROM nu WHERE NOT (hang AND kn > 1 AND k = 1)),
+           fo AS (SELECT doc_id, page, ry, side, max_by(font, (n, -k)) AS font_name FROM (
+                    SELECT doc_id, page, ry, side, font, sum(length(w)) AS n, min(k) AS k FROM ink GROUP BY ALL) GROUP BY ALL),
+           tx AS (SELECT doc_id, page, band, side, ry, bool_or(hang) AS hang, min_by(y, k) AS y, min(x) AS x, max(right_) AS r, max(size) AS z,
+                    string_agg(CASE WHEN k = CASE WHEN hang AND kn > 1 THEN 2 ELSE 1 END OR x - pr <= 1.2 THEN w ELSE ' ' || w END, '' ORDER BY k) AS t
+                  FROM ink GROUP BY ALL),
+           st AS (SELECT *, regexp_replace(t, '^[•‣▪●◦⁃∙*·]\\s*|^[-–—]\\s+', '') AS s FROM tx)
+           SELECT doc_id, page, band, side, ry AS row_y, trim(s) AS text, y, x, r AS "right", z AS font_size, font_name, hang OR s <> t AS is_list_item
+           FROM st JOIN fo USING (doc_id, page, ry, side)""",
     ),
 )
 def page_lines(spark, sf):
-    return _lines(spark, sf).select("doc_id", "page", "band", "side", "row_y", "text")
+    return Y.page_lines(glyphs(spark, sf))
 
 
 # --- lines ------------------------------------------------------------------
@@ -140,7 +145,7 @@ VIEWS["sec"] = """
     ),
 )
 def page_sections(spark, sf):
-    return Y.sections(lines(spark, sf)).select("doc_id", "line_no", "section_no", "kind", "title", "is_heading")
+    return layout.sections(lines(spark, sf)).select("doc_id", "line_no", "section_no", "kind", "title", "is_heading")
 
 
 @query(
@@ -155,7 +160,7 @@ def page_sections(spark, sf):
     ),
 )
 def heading_styles(spark, sf):
-    return Y.heading_styles(lines(spark, sf)).select("doc_id", F.array_join(F.array_sort("styles"), ",").alias("styles"))
+    return layout.heading_styles(lines(spark, sf)).select("doc_id", F.array_join(F.array_sort("styles"), ",").alias("styles"))
 
 
 @query(
@@ -172,7 +177,7 @@ def heading_styles(spark, sf):
        SELECT doc_id, line_no, CAST(chunk AS BIGINT) AS chunk FROM wk""",
 )
 def entry_chunks(spark, sf):
-    return Y.entry_chunks(lines(spark, sf), ["doc_id"]).select("doc_id", "line_no", "chunk")
+    return layout.entry_chunks(lines(spark, sf), ["doc_id"]).select("doc_id", "line_no", "chunk")
 
 
 @query(
@@ -189,4 +194,4 @@ def entry_chunks(spark, sf):
     ),
 )
 def rejoined_bullets(spark, sf):
-    return Y.rejoin_wrapped(lines(spark, sf)).select("doc_id", "line_no", "text")
+    return layout.rejoin_wrapped(lines(spark, sf)).select("doc_id", "line_no", "text")
