@@ -31,7 +31,7 @@ _EDGES = re.compile(f"^{SPACE}+|{SPACE}+$", re.ASCII)
 
 def by_page(glyphs: DataFrame, *columns: str) -> DataFrame:
     """The one shuffle: runs of a page together, from the top and from the left."""
-    return glyphs.select(*columns).repartition(*PAGE).sortWithinPartitions(*PAGE, "y", "x", "right", "str")
+    return glyphs.select(*columns).repartition(*PAGE).sortWithinPartitions(*PAGE, "y", "x")
 
 
 def _pages(batch: pa.RecordBatch) -> tuple[pa.DictionaryArray, list[int], list[int]]:

@@ -185,7 +185,7 @@ def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = table(spark, sf_dir, "conversations")
+    talk = spread(table(spark, sf_dir, "conversations"), "conv_id")
     later = talk.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("now"))
     return talk.select("conv_id", "turn", F.col("text").alias("was")).join(later, ["conv_id", "turn"])
 
