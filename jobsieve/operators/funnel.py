@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import vocab
@@ -11,14 +13,20 @@ from ..plans.scan import running
 from ..plans.skew import hot_keys, salted_join
 
 
+def _in_list(rows: DataFrame, column: str, values: Sequence[str], name: str) -> tuple[DataFrame, DataFrame]:
+    ok = F.coalesce(in_vocabulary(F.col(column), values), F.lit(False))
+    reason = F.concat(F.lit('"'), F.coalesce(column, F.lit("")), F.lit(f'" is not a {name}. Legal values: {", ".join(values)}.'))
+    return rows.where(ok), rows.where(~ok).withColumn("reason", reason)
+
+
 def valid_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Events with a known status, and the rest with a reason."""
-    ok = in_vocabulary(F.col("status"), vocab.APPLICATION_STATUSES)
-    legal = ", ".join(vocab.APPLICATION_STATUSES)
-    reason = F.concat(
-        F.lit('"'), F.coalesce("status", F.lit("")), F.lit(f'" is not a pipeline status. Legal values: {legal}.')
-    )
-    return events.where(ok), events.where(~ok).withColumn("reason", reason)
+    """Events with a known status, and the rest, those without one included, with a reason."""
+    return _in_list(events, "status", vocab.APPLICATION_STATUSES, "pipeline status")
+
+
+def valid_tiers(ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ratings with a known ``tier``, and the rest with a reason."""
+    return _in_list(ratings, "tier", vocab.FIT_TIERS, "fit tier")
 
 
 def _stamps(status: Column, at: Column) -> list[Column]:
@@ -144,15 +152,18 @@ def funnel_conversions(applications: DataFrame) -> DataFrame:
 
 
 def funnel_cube(applications: DataFrame, *dimensions: str) -> DataFrame:
-    """Milestone reach over every combination of ``dimensions``."""
-    return applications.cube(*dimensions).agg(
-        F.grouping_id().alias("level"),
-        F.count(F.lit(1)).alias("in_pipeline"),
-        *[
-            F.count(column).alias(label.lower())
-            for label, column in vocab.FUNNEL_STAGES
-            if column
-        ],
+    """Milestone reach over every combination of ``dimensions``.
+
+    Applications are counted once, by all dimensions together; the combinations are sums of these
+    counts, so rows are multiplied only after they have been combined, and a dimension may have many
+    values, such as the resume version.
+    """
+    milestones = [(label.lower(), column) for label, column in vocab.FUNNEL_STAGES if column]
+    counted = applications.groupBy(*dimensions).agg(
+        F.count(F.lit(1)).alias("in_pipeline"), *[F.count(column).alias(label) for label, column in milestones]
+    )
+    return counted.cube(*dimensions).agg(
+        F.grouping_id().alias("level"), *[F.sum(c).alias(c) for c in ("in_pipeline", *[label for label, _ in milestones])]
     )
 
 

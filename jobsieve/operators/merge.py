@@ -15,7 +15,7 @@ from ..functions.links import canonical_url
 from ..functions.text import optional, trim
 
 
-def _match_key(url: Column) -> list[Column]:
+def match_key(url: Column) -> list[Column]:
     """Link when there is one; otherwise title, company and location, null-safe."""
     no_link = url.isNull()
     return [
@@ -40,7 +40,7 @@ def fold_incoming(listings: DataFrame, order: Sequence[str]) -> DataFrame:
     # Order columns are numeric, so "earliest among equals" is the largest negated order.
     earliest = [-F.col(c) for c in order]
     return (
-        rows.select("*", *_match_key(F.col("__url")))
+        rows.select("*", *match_key(F.col("__url")))
         .groupBy("__u", "__t")
         .agg(
             F.first("__url", ignorenulls=True).alias("in_url"),
@@ -62,7 +62,7 @@ def merge_jobs(stored: DataFrame, listings: DataFrame, order: Sequence[str], now
     """
     incoming = fold_incoming(listings, order)
     old = stored.select(
-        *[F.col(c).alias(f"s_{c}") for c in stored.columns], *_match_key(F.col("url"))
+        *[F.col(c).alias(f"s_{c}") for c in stored.columns], *match_key(F.col("url"))
     )
     joined = old.alias("o").join(
         incoming.alias("i"),
@@ -193,13 +193,16 @@ def edit_working_version(versions: DataFrame, edits: DataFrame) -> tuple[DataFra
 
 
 def find_or_create_applications(applications: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One application per wanted job: the oldest existing one, else a new ``sourced`` row."""
+    """One application per wanted job: the oldest existing one, else a new ``sourced`` row.
+
+    Ids are text; a new application's follows from its job, so that it is the same every time.
+    """
     oldest = applications.groupBy("job_id").agg(
         F.min_by(F.struct("application_id", "status"), F.struct("created_at", "application_id")).alias("a")
     )
     return jobs.select("job_id").distinct().join(oldest, "job_id", "left").select(
         "job_id",
-        F.col("a.application_id").alias("application_id"),
+        F.coalesce(F.col("a.application_id").cast("string"), F.md5(F.concat(F.lit("application:"), F.col("job_id").cast("string")))).alias("application_id"),
         F.coalesce("a.status", F.lit(vocab.DEFAULT_STATUS)).alias("status"),
         F.col("a").isNull().alias("created"),
     )

@@ -454,20 +454,29 @@ def valid_ratings(entries: DataFrame, known: DataFrame, keys: list[str], order:
     ).select(*keys, "r.*")
 
 
+def _read_replies(replies: DataFrame) -> DataFrame:
+    parsed = replies.withColumn("__r", F.from_json(T.first_json_object(F.col("reply")), schemas.FIT_REPLY))
+    return parsed.withColumn("reason", F.when(F.col("__r.ratings").isNull(), "no ratings could be read"))
+
+
 def rating_entries(replies: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rating entries read out of raw model replies, and the replies that held none.
 
     ``replies`` has ``keys, reply_no, reply``. An unreadable reply costs only its own listings.
     """
-    parsed = replies.withColumn("__r", F.from_json(T.first_json_object(F.col("reply")), schemas.FIT_REPLY))
-    ok = F.col("__r.ratings").isNotNull()
-    entries = parsed.where(ok).select(
+    parsed = _read_replies(replies)
+    entries = parsed.where(F.col("reason").isNull()).select(
         *keys, "reply_no", F.posexplode("__r.ratings").alias("entry_no", "e")
     ).select(
         *keys, "reply_no", "entry_no", T.trim(F.col("e.externalId")).alias("external_id"),
         F.col("e.tier").alias("tier"), F.col("e.reasons").alias("reasons"),
     )
-    return entries, parsed.where(~ok).select(*keys, "reply_no", F.lit("no ratings could be read").alias("reason"))
+    return entries, rating_chunks(replies, keys).where(F.col("reason").isNotNull())
+
+
+def rating_chunks(replies: DataFrame, keys: list[str]) -> DataFrame:
+    """Every reply with the ``reason`` it could not be read for, null where it could."""
+    return _read_replies(replies).select(*keys, "reply_no", "reason")
 
 
 def draws_on(field: Column, paragraph: Column) -> Column:

@@ -366,9 +366,24 @@ def long_lines(spark, sf):
     return K.long_bullets(_line_bullets(spark, sf), "doc_id").select("doc_id", "path")
 
 
-@query("first_person_lines", with_views("segs", "SELECT doc_id, 'lines[' || idx || ']' AS path FROM segs WHERE regexp_matches(trim(line), '(?i)^(i[''’](m|ve|d|ll)|i|my|mine|me)\\b')"))
+_OPENERS = ["I ", "My ", "I’ve ", "me, ", "Mine", "Im ", "IT "]
+
+
+@query(
+    "first_person_lines",
+    with_views(
+        "segs",
+        f"""SELECT doc_id, 'lines[' || idx || ']' AS path FROM (
+              SELECT doc_id, idx, CASE WHEN idx % 3 = 0 THEN [{", ".join(f"'{o}'" for o in _OPENERS)}][1 + (doc_id + idx) % {len(_OPENERS)}] || line ELSE line END AS line FROM segs)
+            WHERE regexp_matches(trim(line), '(?i)^(i[''’](m|ve|d|ll)|i|my|mine|me)([^A-Za-z0-9_]|$)')""",
+    ),
+)
 def first_person_lines(spark, sf):
-    return K.first_person(_line_bullets(spark, sf), "doc_id").select("doc_id", "path")
+    """Every third line opens with a word of the writer, or one that only looks like it."""
+    at = F.col("leaf_no")
+    opener = F.get(F.array(*[F.lit(o) for o in _OPENERS]), ((F.col("doc_id") + at) % len(_OPENERS)).cast("int"))
+    lines = _line_bullets(spark, sf).withColumn("text", F.when(at % 3 == 0, F.concat(opener, F.col("text"))).otherwise(F.col("text")))
+    return K.first_person(lines, "doc_id").select("doc_id", "path")
 
 
 @query(

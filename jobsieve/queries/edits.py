@@ -9,6 +9,7 @@ from ..functions.word_diff import word_diff as word_segments
 from ..operators import diff as X
 from ..operators import merge
 from ..operators import provenance as P
+from ..operators import pull_in
 from .documents import _DISTINCTIVE
 from .registry import VIEWS, query, with_views
 
@@ -432,6 +433,22 @@ def batch_ratings(spark, sf):
     return P.valid_ratings(entries, known, ["external_id"], ["reply_no", "entry_no"]).select("external_id", "tier")
 
 
+@query(
+    "rating_runs",
+    """WITH c AS (SELECT doc_id % 14 AS run, doc_id AS chunk_no, doc_id % 7 = 0 OR (doc_id % 14 = 3 AND doc_id % 4 = 1) AS bad FROM labels)
+       SELECT run, count(*) AS chunks, count(*) FILTER (bad) AS failed, CASE WHEN bool_and(bad) THEN 'error' WHEN bool_or(bad) THEN 'partial' ELSE 'rated' END AS outcome,
+         CASE WHEN bool_and(bad) THEN 'no ratings could be read' END AS error FROM c GROUP BY run""",
+)
+def rating_runs(spark, sf):
+    """Replies to the chunks of fourteen runs; in two of them none can be read, in one only some."""
+    doc = F.col("doc_id")
+    bad = (doc % 7 == 0) | ((doc % 14 == 3) & (doc % 4 == 1))
+    replies = V.table(spark, sf, "labels").select(
+        (doc % 14).alias("run"), doc.alias("reply_no"), F.when(bad, "sorry").otherwise('{"ratings": []}').alias("reply")
+    )
+    return pull_in.rating_runs(P.rating_chunks(replies, ["run"]).withColumnRenamed("reply_no", "chunk_no"), "run")
+
+
 def _paragraphs(spark, sf):
     doc, c = F.col("doc_id"), F.col("content")
     summary = c["basics"]["summary"]

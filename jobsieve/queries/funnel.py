@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import testviews as V
+from .. import vocab
 from ..functions.dates import age_label
 from ..operators import funnel as O
 from ..operators import lineage, outreach
@@ -60,14 +61,42 @@ def funnel_conversions(spark, sf):
     "funnel_cube",
     with_views(
         "ev apps",
-        """SELECT source, fit_tier, grouping(source, fit_tier) AS level, count(*) AS in_pipeline,
+        """SELECT source, fit_tier, version_id, grouping(source, fit_tier, version_id) AS level, count(*) AS in_pipeline,
              count(applied_at) AS applied, count(replied_at) AS replied, count(interview_at) AS interview,
              count(offered_at) AS offer
-           FROM apps GROUP BY CUBE (source, fit_tier)""",
+           FROM apps GROUP BY CUBE (source, fit_tier, version_id)""",
     ),
 )
 def funnel_cube(spark, sf):
-    return O.funnel_cube(V.applications(spark, sf), "source", "fit_tier")
+    return O.funnel_cube(V.applications(spark, sf), "source", "fit_tier", "version_id")
+
+
+@query(
+    "refused_statuses",
+    with_views(
+        "ev",
+        f"""SELECT seq, status, '"' || coalesce(status, '') || '" is not a pipeline status. Legal values: {", ".join(vocab.APPLICATION_STATUSES)}.' AS reason
+            FROM (SELECT seq, CASE WHEN seq % 5 = 0 THEN upper(status) WHEN seq % 7 = 0 THEN NULL ELSE status END AS status FROM ev)
+            WHERE status IS NULL OR status NOT IN ({", ".join(repr(v) for v in vocab.APPLICATION_STATUSES)})""",
+    ),
+)
+def refused_statuses(spark, sf):
+    """Some events come with a status in capitals, some without one."""
+    seq = F.col("seq")
+    status = F.when(seq % 5 == 0, F.upper("status")).when(seq % 7 != 0, F.col("status"))
+    return O.valid_events(V.status_events(spark, sf).withColumn("status", status))[1].select("seq", "status", "reason")
+
+
+@query(
+    "refused_tiers",
+    f"""SELECT doc_id, tier, '"' || coalesce(tier, '') || '" is not a fit tier. Legal values: {", ".join(vocab.FIT_TIERS)}.' AS reason
+        FROM (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'strong' WHEN quality = 1 THEN 'Possible' WHEN doc_id % 3 = 0 THEN 'reach' END AS tier FROM labels)
+        WHERE tier IS NULL OR tier NOT IN ({", ".join(repr(v) for v in vocab.FIT_TIERS)})""",
+)
+def refused_tiers(spark, sf):
+    good = F.col("quality") == 1
+    tier = F.when(good & (F.col("toxic") == 0), "strong").when(good, "Possible").when(F.col("doc_id") % 3 == 0, "reach")
+    return O.valid_tiers(V.table(spark, sf, "labels").select("doc_id", tier.alias("tier")))[1]
 
 
 @query(
@@ -321,6 +350,14 @@ def live_shelf(spark, sf):
     return lineage.shelf(_shelf(spark, sf)).select("resume_id", iso("updated_at").alias("updated_at"))
 
 
+@query(
+    "archived_shelf",
+    with_views("versions", f"SELECT resume_id, {sql_iso('max(created_at)')} AS archived_at FROM versions WHERE resume_id % 3 = 0 GROUP BY resume_id"),
+)
+def archived_shelf(spark, sf):
+    return lineage.shelf(_shelf(spark, sf), archived=True).select("resume_id", iso("archived_at").alias("archived_at"))
+
+
 @query(
     "source_documents",
     with_views(

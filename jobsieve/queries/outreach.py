@@ -436,6 +436,26 @@ def normal_dates(spark, sf):
     return _spelt(spark, sf).select("o_orderkey", normal.alias("normal"), D.human_month(normal).alias("label"))
 
 
+_MONTH_LABEL = """CASE WHEN regexp_full_match(trim({0}), '\\d{{4}}-\\d{{2}}') AND CAST(right(trim({0}), 2) AS INT) BETWEEN 1 AND 12
+  THEN ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'][CAST(right(trim({0}), 2) AS INT)] || ' ' || left(trim({0}), 4) ELSE {0} END"""
+
+
+@query(
+    "range_labels",
+    f"""SELECT o_orderkey, CASE WHEN coalesce(s, '') = '' AND coalesce(e, '') = '' THEN ''
+          ELSE coalesce({_MONTH_LABEL.format('s')}, '') || ' -- ' || CASE WHEN coalesce(e, '') = '' THEN 'Present' ELSE {_MONTH_LABEL.format('e')} END END AS label
+        FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN year(o_orderdate) || '-13' WHEN 2 THEN CAST(year(o_orderdate) AS VARCHAR)
+                ELSE strftime(o_orderdate, '%Y-%m') END AS s,
+              CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, ' %Y-%m ') WHEN 1 THEN '' END AS e FROM orders)""",
+)
+def range_labels(spark, sf):
+    o, at = F.col("o_orderkey"), F.col("o_orderdate")
+    year = F.year(at).cast("string")
+    start = F.when(o % 5 == 1, F.concat(year, F.lit("-13"))).when(o % 5 == 2, year).when(o % 5 > 2, F.date_format(at, "yyyy-MM"))
+    end = F.when(o % 3 == 0, F.concat(F.lit(" "), F.date_format(at, "yyyy-MM"), F.lit(" "))).when(o % 3 == 1, "")
+    return V.table(spark, sf, "orders").select("o_orderkey", D.range_label(start, end).alias("label"))
+
+
 @query(
     "date_ranges",
     """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS start,

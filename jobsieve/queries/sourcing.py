@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import testviews as V
@@ -9,10 +11,11 @@ from .. import vocab
 from ..functions import fields as R
 from ..functions import links
 from ..functions.text import trim
-from ..operators import checks, dedupe, merge, postings, search
+from ..operators import checks, dedupe, merge, postings, pull_in, search
 from ..sources import documents as docs
-from ..session import cut
+from ..session import cut, shared_folder
 from ..sources import feeds
+from ..sources.manifest import TableSet
 from .registry import iso, query, sql_iso, with_views
 
 ORDER = ["adapter_rank", "pos"]
@@ -709,7 +712,8 @@ def replaced_checks(spark, sf):
     "found_applications",
     with_views(
         "ev apps jobs",
-        """SELECT job_id, a.application_id, coalesce(a.status, 'sourced') AS status, a.application_id IS NULL AS created
+        """SELECT job_id, coalesce(CAST(a.application_id AS VARCHAR), md5('application:' || job_id)) AS application_id, coalesce(a.status, 'sourced') AS status,
+             a.application_id IS NULL AS created
            FROM (SELECT DISTINCT job_id FROM jobs) j LEFT JOIN (
              SELECT job_id, min_by(application_id, (created_at, application_id)) AS application_id, min_by(status, (created_at, application_id)) AS status
              FROM (SELECT * REPLACE (job_id * 2 AS job_id) FROM apps) GROUP BY job_id) a USING (job_id)""",
@@ -721,6 +725,53 @@ def found_applications(spark, sf):
     return merge.find_or_create_applications(apps, V.jobs(spark, sf))
 
 
+@query(
+    "pulled_in",
+    with_views(
+        "listings",
+        f"""{_STORED},
+            ra AS (SELECT cu, kt, kc, kl, max_by(tier, (adapter_rank, pos)) FILTER (tier IS NOT NULL) AS tier FROM (
+                SELECT *, CASE WHEN cu IS NULL THEN title END AS kt, CASE WHEN cu IS NULL THEN company END AS kc, CASE WHEN cu IS NULL THEN location END AS kl
+                FROM (SELECT * REPLACE (first_value(tier) OVER (PARTITION BY external_id ORDER BY tier IS NULL, adapter_rank, pos) AS tier) FROM inc)) GROUP BY ALL)
+            SELECT CASE WHEN job_id IS NULL THEN b.cu ELSE su END AS url, coalesce(s_title, title) AS title, coalesce(s_company, company) AS company,
+              coalesce(location, s_location) AS location, md5(jd) AS jd_md5,
+              CASE WHEN job_id % 4 = 0 THEN 'app-' || job_id WHEN seen AND job_id IS NOT NULL THEN md5('application:job-' || job_id) END AS known_application,
+              seen OR job_id % 4 = 0 AS has_application, CASE WHEN job_id % 4 = 0 THEN 'applied' WHEN seen THEN 'sourced' END AS status,
+              CASE WHEN seen AND ra.tier IS NOT NULL THEN ra.tier WHEN job_id % 4 = 0 THEN 'reach' END AS fit_tier
+            FROM b LEFT JOIN ra ON seen AND b.cu IS NOT DISTINCT FROM ra.cu AND b.kt IS NOT DISTINCT FROM ra.kt
+              AND b.kc IS NOT DISTINCT FROM ra.kc AND b.kl IS NOT DISTINCT FROM ra.kl""",
+    ),
+)
+def pulled_in(spark, sf):
+    """Listings with their ratings into stored jobs and applications, both written as one version, and all of it twice."""
+    when = lambda day: F.lit(f"2023-01-{day:02d}").cast("timestamp")
+    name = lambda c: F.concat(F.lit("job-"), F.col(c).cast("string"))
+    stored = _stored(spark, sf)
+    older = stored.where(F.col("job_id") % 4 == 0).select(
+        F.concat(F.lit("app-"), F.col("job_id").cast("string")).alias("application_id"), name("job_id").alias("job_id"), F.lit("applied").alias("status"),
+        when(2).alias("created_at"), F.lit("reach").alias("fit_tier"), F.lit(None).cast("array<string>").alias("fit_reasons"),
+    )
+    newer = older.withColumns({"application_id": F.concat(F.lit("later-"), "application_id"), "status": F.lit("offer"), "created_at": when(3)})
+    listings = V.listings(spark, sf)
+    ratings = listings.where(F.col("tier").isNotNull()).groupBy("external_id").agg(
+        F.min_by(F.struct("tier", F.array(F.col("title")).alias("reasons")), F.struct(*ORDER)).alias("r")
+    ).select("external_id", "r.*")
+    tables = TableSet(spark, f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}")
+    tables.replace({"jobs": stored.withColumn("job_id", name("job_id")), "applications": older.unionByName(newer)})
+    for _ in range(2):
+        held = tables.read()
+        tables.replace(pull_in.pull_in(held["jobs"], held["applications"], listings, ratings, ORDER, when(4)))
+    held = tables.read()
+    apps = held["applications"].where(~F.col("application_id").startswith("later-"))
+    one = held["jobs"].join(apps.withColumnRenamed("status", "app_status"), "job_id", "left")
+    id_ = F.col("application_id")
+    return one.select(
+        "url", "title", "company", "location", F.md5("jd_text").alias("jd_md5"),
+        F.when(F.col("job_id").startswith("job-"), id_).alias("known_application"), id_.isNotNull().alias("has_application"),
+        F.col("app_status").alias("status"), "fit_tier",
+    )
+
+
 @query(
     "refused_deletions",
     """SELECT r AS resume_id, n AS pins, 'Can''t delete this résumé: ' || n || ' application' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' pin one of its versions. Archive it instead.' AS reason

@@ -6,21 +6,18 @@ segments hold, so two of them can be merged into one at any time. Segments are m
 while the older one is at most ``FANOUT`` times the newer: a row is rewritten a logarithmic number of
 times over the life of the table, and a commit on average rewrites a few times the batch's bytes.
 
-What counts is the newest manifest, a small file that lists the segments and the last batch taken in.
-It is created exclusively and is valid only when whole, so a commit happens entirely or not at all,
-two writers cannot both make the same version, and a batch that is delivered again is left alone.
-Segments that neither the newest manifest nor the one before it names are deleted.
+What counts is the newest manifest, which lists the segments and the last batch taken in: a commit
+happens entirely or not at all, and a batch that is delivered again is left alone. Segments that neither the newest manifest nor the one before it names are deleted.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import dedupe, merge
+from ..sources.manifest import Manifests
 
 #: An older segment is merged with the newer ones up to this many times their size.
 FANOUT = 2
@@ -34,56 +31,10 @@ SEGMENT = (
 )
 
 
-class ConflictError(RuntimeError):
-    """Another writer has committed in the meantime; the batch has to be run again."""
-
-
 class JobLog:
     def __init__(self, spark: SparkSession, path: str, file_bytes: int = FILE_BYTES, fanout: int = FANOUT) -> None:
-        self.spark, self.path, self.file_bytes, self.fanout = spark, path.rstrip("/"), file_bytes, fanout
-        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    # --- manifests ---
-
-    def _versions(self) -> list[int]:
-        folder = self._fs_path(f"{self.path}/manifests")
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
-
-    def _manifest(self, version: int) -> dict | None:
-        """A manifest, or none if its writer did not finish it."""
-        text = self.spark.read.text(f"{self.path}/manifests/{version:012d}.json", wholetext=True).collect()
-        try:
-            return json.loads(text[0][0]) if text else None
-        except json.JSONDecodeError:
-            return None
-
-    def _newest(self, below: int | None = None) -> dict:
-        for version in reversed(self._versions()):
-            if (below is None or version < below) and (found := self._manifest(version)):
-                return found
-        return {"version": 0, "last": None, "segments": [], "appended": 0, "rewritten": 0}
-
-    def _commit(self, manifest: dict) -> None:
-        file = self._fs_path(f"{self.path}/manifests/{manifest['version']:012d}.json")
-        try:
-            out = self._fs.create(file, False)
-        except Exception as error:
-            if "AlreadyExists" not in str(error):
-                raise
-            raise ConflictError(f"{file.toString()} is there already") from None
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-
-    # --- segments ---
-
-    def _write(self, rows: DataFrame) -> dict:
-        folder = f"{self.path}/segments/{uuid.uuid4().hex}"
-        rows.write.parquet(folder)
-        return {"path": folder, "bytes": self._fs.getContentSummary(self._fs_path(folder)).getLength()}
+        self.spark, self.file_bytes, self.fanout = spark, file_bytes, fanout
+        self.manifests = Manifests(spark, path)
 
     def _rows(self, segments: Sequence[dict]) -> DataFrame:
         if not segments:
@@ -92,11 +43,11 @@ class JobLog:
 
     def append(self, listings: DataFrame, batch_id: int, order: Sequence[str], now: Column | None = None) -> None:
         """Take in one batch; ``order`` is unique and numeric within it, batch ids rise."""
-        state = self._newest()
+        state = self.status()
         if state["last"] is not None and batch_id <= state["last"]:
             return
         folded = fold_batch(dedupe.dedupe_listings(listings, order), batch_id, order, F.current_timestamp() if now is None else now)
-        segments, tail, merged = list(state["segments"]), [self._write(folded)], []
+        segments, tail, merged = list(state["segments"]), [self.manifests.write(folded)], []
         appended, rewritten = state["appended"] + tail[0]["bytes"], state["rewritten"]
         while segments and segments[-1]["bytes"] <= self.fanout * sum(s["bytes"] for s in tail):
             tail.insert(0, segments.pop())
@@ -104,22 +55,19 @@ class JobLog:
             size = sum(s["bytes"] for s in tail)
             files = max(1, -(-size // self.file_bytes))
             merged = tail
-            tail = [self._write(folded_again(self._rows(tail).repartition(files, "u", "t")))]
+            tail = [self.manifests.write(folded_again(self._rows(tail).repartition(files, "u", "t")))]
             rewritten += tail[0]["bytes"]
-        version = (self._versions() or [0])[-1] + 1
-        if self._newest()["version"] != state["version"]:
-            raise ConflictError("another batch was committed meanwhile")
-        self._commit({
-            "version": version, "last": batch_id, "segments": [*segments, *tail], "appended": appended, "rewritten": rewritten,
-            "merged": [s["path"] for s in merged],
-        })
+        self.manifests.commit(
+            state,
+            {"last": batch_id, "segments": [*segments, *tail], "appended": appended, "rewritten": rewritten, "merged": [s["path"] for s in merged]},
+        )
         # readers of the manifest before this one may still be at its segments; those it had merged away are free
         for old in state.get("merged", []):
-            self._fs.delete(self._fs_path(old), True)
+            self.manifests.delete(old)
 
     def jobs(self) -> DataFrame:
         """The table: ``job_id, url, title, company, location, jd_text, source, scraped_at``."""
-        rows = folded_again(self._rows(self._newest()["segments"]))
+        rows = folded_again(self._rows(self.status()["segments"]))
         body = F.coalesce("real", "placeholder")
         return rows.select(
             F.sha2(F.to_json(F.struct("u", "t")), 256).alias("job_id"), "url", "first.title", "first.company", "location",
@@ -128,7 +76,7 @@ class JobLog:
 
     def status(self) -> dict:
         """Version, last batch, segments and the bytes appended and rewritten so far."""
-        return self._newest()
+        return {"last": None, "segments": [], "appended": 0, "rewritten": 0} | self.manifests.newest()
 
 
 def fold_batch(listings: DataFrame, batch_id: int, order: Sequence[str], now: Column) -> DataFrame:

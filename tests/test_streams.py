@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from jobsieve.operators import funnel
+from jobsieve.sources import manifest
 from jobsieve.streaming import alerts, folds, joblog
 
 
@@ -127,5 +128,5 @@ def test_log_ignores_an_unfinished_commit_and_refuses_two(spark, tmp_path):
     assert log.status()["version"] == 1 and log.jobs().count() == 1
     log.append(one, 1, ["adapter_rank", "pos"])
     assert log.status()["version"] == 3 and log.status()["last"] == 1
-    with pytest.raises(joblog.ConflictError):
-        log._commit({"version": 3})
+    with pytest.raises(manifest.ConflictError):
+        log.manifests.commit({"version": 1}, {})
