@@ -206,8 +206,9 @@ def search(
     """
     spark = df.sparkSession
     zero = F.forall(F.col("vec"), lambda x: x == 0)
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").alias("vec"))
     rows = rows.where(finite(F.col("vec"))).where(~zero)
+    kind = rows.schema["vec"].dataType.simpleString()
     hashed = F.xxhash64("id", "vec")
     lengths = rows.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
     common = lengths.orderBy(F.desc("n"), "dim").limit(1).collect()
@@ -217,7 +218,7 @@ def search(
     router = Router.fit(np.array([r[0] for r in sample], np.float64).reshape(-1, dim), levels)
 
     # every row with its cell, and for each cell the ranges of its distances
-    routed = cut(rows.mapInArrow(_route(router), "id long, vec array<double>, cell int, n long, low array<double>, high array<double>"))
+    routed = cut(rows.mapInArrow(_route(router), f"id long, vec {kind}, cell int, n long, low array<double>, high array<double>"))
     of = lambda name, f: F.array(*[f(F.get(name, F.lit(i))) for i in range(levels)]).cast("array<double>").alias(name)
     cells = (
         routed.where(F.col("n").isNotNull()).groupBy("cell").agg(F.sum("n").alias("n"), of("low", F.min), of("high", F.max))
@@ -230,36 +231,43 @@ def search(
     placed = whole.join(small, "cell").withColumn("shard", F.pmod(F.xxhash64("id", "vec"), "shards").cast("int"))
     is_query = F.col("id").isNotNull() & (F.pmod("id", F.lit(every)) == 0)
     asked = whole.where(is_query).dropDuplicates(["id", "vec"])
-    total = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("blocks"))
-    total = cut(total)
+    # Blocks of queries: near cells, which visit about the same shards, share one; a full cell has several.
+    # One row per cell: at most 2 ** MAX_LEVELS of them and the lengths of other vectors.
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    total = cut(
+        asked.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+        .select("cell", F.ceil(F.col("m") / block_queries).cast("int").alias("blocks"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"))
+        .select("cell", "blocks", F.floor(F.col("before") / block_queries).alias("first"))
+    )
     queries = cut(
         asked.join(F.broadcast(total) if fits_broadcast(total) else total, "cell")
-        .select("id", "vec", "cell", F.xxhash64("vec").alias("key"), F.pmod(F.xxhash64("vec", "id"), "blocks").cast("int").alias("part"))
-    )
-    # a block holds queries of one cell, so that they visit about the same shards
-    queries = queries.withColumn("home", F.col("cell"))
+        .select(
+            "id", "vec", "cell", F.xxhash64("vec").alias("key"), F.col("cell").alias("home"),
+            (F.col("first") + F.pmod(F.xxhash64("vec", "id"), "blocks")).cast("int").alias("block"),
+        )
+    )
 
     def run(visits: DataFrame) -> DataFrame:
         pairs = visits.join(small, "cell").select(
-            "id", "vec", "key", "tau", "cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "home", "part"
+            "id", "vec", "key", "tau", "cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block"
         )
-        asked_of = pairs.select("cell", "shard", "home", "part").distinct()
+        asked_of = pairs.select("cell", "shard", "block").distinct()
         stored = placed.join(asked_of, ["cell", "shard"]).select(
-            "cell", "shard", "home", "part", F.lit(0).alias("kind"), "id", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("tau"), "vec"
+            "cell", "shard", "block", F.lit(0).alias("kind"), "id", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("tau"), "vec"
         )
-        coming = pairs.select("cell", "shard", "home", "part", F.lit(1).alias("kind"), "id", "key", "tau", "vec")
-        where = ["cell", "shard", "home", "part"]
+        coming = pairs.select("cell", "shard", "block", F.lit(1).alias("kind"), "id", "key", "tau", "vec")
+        where = ["cell", "shard", "block"]
         tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         together = stored.unionByName(coming).repartition(tasks, *where).sortWithinPartitions(*where, "kind")
         return together.mapInArrow(_visit(k, factor, leaf_rows), "query_id long, key long, vec_id long, score double")
 
     unbounded = F.lit(float("inf")).alias("tau")
-    found = cut(_best(run(queries.select("id", "vec", "key", "cell", "home", "part", unbounded)), k))
+    found = cut(_best(run(queries.select("id", "vec", "key", "cell", "block", unbounded)), k))
     kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), "key", F.col("score").alias("tau"))
     elsewhere = queries.join(kth, ["id", "key"], "left").withColumn("tau", F.coalesce("tau", unbounded))
     if len(known) > 1:
         more = elsewhere.where(F.col("cell") >= 0).mapInArrow(
-            _elsewhere(router, known, factor), "id long, vec array<double>, key long, tau double, cell int, home int, part int"
+            _elsewhere(router, known, factor), f"id long, vec {kind}, key long, tau double, cell int, block int"
         )
         found = _best(found.drop("rank").unionByName(run(more)), k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -280,6 +288,7 @@ def _route(router: Router):
         count: dict[int, list] = {}
         for batch in batches:
             vec = batch.column(1)
+            kind = vec.type
             size = vec.value_lengths().to_numpy(zero_copy_only=False)
             cell = -size.astype(np.int64)
             same = np.flatnonzero(size == router.dim)
@@ -301,7 +310,7 @@ def _route(router: Router):
             n = len(count)
             low, high = (pa.array([list(v[i]) for v in count.values()], lists) for i in (1, 2))
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64()), pa.nulls(n, lists), pa.array(list(count), pa.int32()), pa.array([v[0] for v in count.values()], pa.int64()), low, high],
+                [pa.nulls(n, pa.int64()), pa.nulls(n, kind), pa.array(list(count), pa.int32()), pa.array([v[0] for v in count.values()], pa.int64()), low, high],
                 names=names,
             )
 
@@ -326,9 +335,9 @@ def _elsewhere(router: Router, known: list, factor: float):
                 at, to = np.nonzero(~(factor * least > (tau + slack)[:, None]) & (cells[None] != home[:, None]))
                 if len(at):
                     take = pa.array(at)
-                    out = {c: batch.column(c).take(take) for c in ("id", "vec", "key", "tau", "home", "part")}
+                    out = {c: batch.column(c).take(take) for c in ("id", "vec", "key", "tau", "block")}
                     out["cell"] = pa.array(cells[to], pa.int32())
-                    yield pa.RecordBatch.from_pydict({c: out[c] for c in ("id", "vec", "key", "tau", "cell", "home", "part")})
+                    yield pa.RecordBatch.from_pydict({c: out[c] for c in ("id", "vec", "key", "tau", "cell", "block")})
 
     return run
 
@@ -339,14 +348,14 @@ def _visit(k: int, factor: float, leaf_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, tree, ids = None, [], None, None
         for batch in batches:
-            where = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "shard", "home", "part", "kind")], 1)
+            where = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "shard", "block", "kind")], 1)
             cuts = np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(where)]):
-                piece, place = batch.slice(a, b - a), tuple(where[a][:4].tolist())
+                piece, place = batch.slice(a, b - a), tuple(where[a][:3].tolist())
                 if place != at:
                     at, held, tree = place, [], None
                 points = matrix(piece.column("vec"))
-                if where[a][4] == 0:
+                if where[a][3] == 0:
                     held.append((piece.column("id"), points))
                     continue
                 if tree is None:
