@@ -9,6 +9,8 @@ from .. import vocab
 # Whitespace as web text has it: Java's \s leaves out the no-break space and kin.
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 NOT_SPACE = r"[^\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: The kinds of white space that Java's class leaves out.
+WIDE_SPACE = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # ASCII word edges.
 EDGE_BEFORE = r"(?<![A-Za-z0-9_])"
 EDGE_AFTER = r"(?![A-Za-z0-9_])"

@@ -8,23 +8,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions.fields import query_key, tier_rank
-from ..functions.text import SPACE, plural, trim
+from ..functions.text import WIDE_SPACE, plural, trim
+from ..plans.once import computed
 from ..plans.scan import global_position, running
 from ..plans.skew import fits_broadcast, salted_join
+from ..session import cut
 
 GRAM = 3
 
 
+def _plain_gaps(text: Column) -> Column:
+    """Every kind of white space as one that a short pattern knows."""
+    return F.translate(text, WIDE_SPACE, " " * len(WIDE_SPACE))
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
+    return F.regexp_extract_all(_plain_gaps(text), F.lit(r"\S+"), F.lit(0))
 
 
-def _grams(word: Column, size: int) -> Column:
-    """Substrings of ``size`` characters; a shorter word is its own gram."""
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(word) - (size - 1), F.lit(1))),
-        lambda i: F.substr(word, i, F.lit(size)),
-    )
+def _grams(text: Column, size: int) -> Column:
+    """The stretches of ``size`` characters inside the words of a text, each once."""
+    return F.array_distinct(F.regexp_extract_all(_plain_gaps(text), F.lit(rf"(?=(\S{{{size}}}))"), F.lit(1)))
 
 
 def _haystack() -> Column:
@@ -33,22 +37,28 @@ def _haystack() -> Column:
     )
 
 
-def matches(keywords: Column, location: Column, remote_only: Column) -> Column:
-    """The search predicate against the current listing row."""
+def matches(keywords: Column, location: Column, remote_only: Column, haystack: Column | None = None) -> Column:
+    """The search predicate against the current listing row, whose searched text may be given."""
     needle = F.lower(trim(F.coalesce(keywords, F.lit(""))))
     place = F.lower(trim(F.coalesce(location, F.lit(""))))
     return (
-        ((needle == "") | F.contains(_haystack(), needle))
+        ((needle == "") | F.contains(_haystack() if haystack is None else haystack, needle))
         & ((place == "") | F.contains(F.lower(F.coalesce(F.col("location"), F.lit(""))), place))
         & (~F.coalesce(remote_only, F.lit(False)) | F.coalesce(F.col("remote"), F.lit(False)))
     )
 
 
-#: What an anchor is taken from, longest word first: the keywords, else the place, else nothing.
-_ANY, _WORDS, _PLACE = "a", "k", "p"
+#: What an anchor is taken from: a whole word, else a gram of the keywords, else of the place, else nothing.
+_ANY, _WHOLE, _PART, _PLACE = "a", "w", "k", "p"
+
+
+def _inner(phrase: Column) -> Column:
+    """The words between the first and the last, which every text with the phrase has as whole words."""
+    words = _words(phrase)
+    return F.array_distinct(F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2)).otherwise(F.array().cast("array<string>")))
 
 
-def _anchor(phrase: Column) -> Column:
+def _gram(phrase: Column) -> Column:
     """A gram of the longest word, whole when it is short; null without words.
 
     The words of a phrase may be cut at its ends but each lies inside one word of a
@@ -60,53 +70,72 @@ def _anchor(phrase: Column) -> Column:
     return F.substr(F.get(by_length, 0)["w"], F.lit(1), F.lit(GRAM))
 
 
-def _anchored(queries: DataFrame) -> DataFrame:
-    """The search's own columns under free names and its one anchor as ``__gram``."""
-    words = _anchor(F.lower(trim(F.coalesce("keywords", F.lit("")))))
-    place = _anchor(F.lower(trim(F.coalesce("location", F.lit("")))))
-    return queries.select(
-        F.col("query_id").alias("__query"), F.col("keywords").alias("__keywords"),
-        F.col("location").alias("__place"), F.col("remote_only").alias("__remote"),
-        F.coalesce(F.concat(F.lit(_WORDS), words), F.concat(F.lit(_PLACE), place), F.lit(_ANY)).alias("__gram"),
+def _anchored(queries: DataFrame, listings: DataFrame, max_searches: int) -> DataFrame:
+    """The search's own columns under free names and its one anchor as ``__gram``.
+
+    A phrase is looked up by the one of its inner words that the fewest listings have; which one it
+    is changes what is tested, not what is found.
+    """
+    words, place = F.lower(trim(F.coalesce("keywords", F.lit("")))), F.lower(trim(F.coalesce("location", F.lit(""))))
+    own = queries.select(
+        F.col("query_id").alias("__query"), F.col("keywords").alias("__keywords"), F.col("location").alias("__place"),
+        F.col("remote_only").alias("__remote"), _inner(words).alias("__inner"),
+        F.coalesce(F.concat(F.lit(_PART), _gram(words)), F.concat(F.lit(_PLACE), _gram(place)), F.lit(_ANY)).alias("__other"),
+    )
+    asked = own.select(F.explode("__inner").alias("__word")).distinct()
+    held = listings.select(F.explode(F.array_distinct(_words(_haystack()))).alias("__word"))
+    if fits_broadcast(asked, max_rows=max_searches):
+        asked = F.broadcast(asked)
+    counts = held.join(asked, "__word").groupBy("__word").agg(F.count(F.lit(1)).alias("__n"))
+    numbered = own.select(F.xxhash64("__keywords").alias("__phrase"), F.explode("__inner").alias("__word")).distinct()
+    rarest = numbered.join(counts, "__word", "left").groupBy("__phrase").agg(
+        F.min_by("__word", F.struct(F.coalesce("__n", F.lit(0)), -F.length("__word"), "__word")).alias("__rare")
+    )
+    joined = own.withColumn("__phrase", F.xxhash64("__keywords")).join(rarest, "__phrase", "left")
+    # of two phrases with one hash the word may be the other's
+    fits = F.array_contains("__inner", F.col("__rare"))
+    word = F.when(fits, F.col("__rare")).otherwise(F.get("__inner", 0))
+    return joined.select(
+        "__query", "__keywords", "__place", "__remote", F.coalesce(F.concat(F.lit(_WHOLE), word), "__other").alias("__gram")
     )
 
 
-def _grams_asked_for(asked: DataFrame) -> Column:
+def _grams_asked_for(asked: DataFrame, hay: Column) -> Column:
     """Every anchor of a kind and length in use that can lead to a listing, once."""
     mark, size = F.left("__gram", F.lit(1)), F.length("__gram") - 1
-    kinds = sorted(tuple(r) for r in asked.select(mark, size).distinct().collect())  # at most seven
-    texts = {_WORDS: _haystack(), _PLACE: F.lower(F.coalesce(F.col("location"), F.lit("")))}
+    whole = mark == _WHOLE
+    kinds = sorted(tuple(r) for r in asked.select(mark, F.when(whole, 0).otherwise(size)).distinct().collect())  # at most eight
+    texts = {_PART: hay, _PLACE: F.lower(F.coalesce(F.col("location"), F.lit("")))}
     parts = [F.array(F.lit(_ANY)).cast("array<string>")] if any(k == _ANY for k, _ in kinds) else [F.array().cast("array<string>")]
+    if any(k == _WHOLE for k, _ in kinds):
+        parts.append(F.transform(F.array_distinct(_words(hay)), lambda w: F.concat(F.lit(_WHOLE), w)))
     for kind, text in texts.items():
         sizes = [n for k, n in kinds if k == kind]
-        if sizes:
-            words = F.array_distinct(_words(text))
-            of_size = [F.flatten(F.transform(words, lambda w: _grams(w, n))) for n in sizes]
-            parts.append(F.transform(F.concat(*of_size), lambda g: F.concat(F.lit(kind), g)))
-    return F.array_distinct(F.concat(*parts))
+        parts += [F.transform(_grams(text, n), lambda g: F.concat(F.lit(kind), g)) for n in sizes]
+    return F.concat(*parts)
 
 
 def saved_search_hits(queries: DataFrame, listings: DataFrame, max_searches: int = 100_000) -> DataFrame:
     """All (query, listing) matches for many queries at once, one row per query and listing row.
 
-    Substring search as an equi-join: each query brings one anchor gram, each listing
-    the distinct grams of its words, and only pairs that share the anchor are tested. Up to
+    Substring search as an equi-join: each query brings one anchor, its rarest whole word or a gram of a
+    short phrase, each listing its distinct words and grams, and only pairs that share the anchor are tested. Up to
     ``max_searches`` searches of a checked size travel to the listings, and text is never shuffled.
     Otherwise listings are named by a digest of all their columns; only digests and grams are
     shuffled to find candidates, and a candidate is joined back to all listing rows of its digest.
     Equal listing rows are hits each, null columns or not; both ways give the same rows.
     """
-    asked = _anchored(queries)
-    grams = F.explode(_grams_asked_for(asked))
-    predicate = matches(F.col("__keywords"), F.col("__place"), F.col("__remote"))
+    asked = cut(_anchored(queries, listings, max_searches))
+    grams = F.explode(_grams_asked_for(asked, F.col("__hay")))
+    predicate = matches(F.col("__keywords"), F.col("__place"), F.col("__remote"), F.col("__hay"))
     if fits_broadcast(asked, max_rows=max_searches):
-        met = listings.withColumn("__gram", grams).join(F.broadcast(asked), "__gram")
+        met = computed(listings, __hay=_haystack()).withColumn("__gram", grams).join(F.broadcast(asked), "__gram")
     else:
         digest = F.sha2(F.to_json(F.struct(*listings.columns), {"ignoreNullFields": "false"}), 256)
         named = listings.withColumn("__digest", digest)
-        keys = named.select("__digest", grams.alias("__gram")).distinct()
+        keys = computed(named, __hay=_haystack()).select("__digest", grams.alias("__gram")).distinct()
         candidates = salted_join(keys, asked, ["__gram"], ["__digest"], "inner")
-        met = salted_join(candidates, named, ["__digest"], ["__query"], "inner")
+        met = salted_join(candidates, named, ["__digest"], ["__query"], "inner").withColumn("__hay", _haystack())
     return met.where(predicate).select(F.col("__query").alias("query_id"), *listings.columns)
 
 

@@ -109,11 +109,10 @@ VIEWS["listings"] = """
   FROM documents LEFT JOIN labels USING (doc_id)"""
 
 VIEWS["searches"] = r"""
-  SELECT item_id AS query_id,
-    CASE WHEN item_id % 11 = 7 THEN ' ' WHEN item_id % 5 = 0 THEN text
-         ELSE '  ' || upper((SELECT w FROM (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS i) ORDER BY -length(w), i LIMIT 1)) END AS keywords,
-    CASE WHEN item_id % 3 = 0 OR item_id % 11 = 7 THEN 'SRC1' END AS location, item_id % 4 = 0 AS remote_only
-  FROM (SELECT *, string_split_regex(text, '\s+') AS ws FROM benchmark)"""
+  SELECT item_id * 100 + i AS query_id, CASE WHEN i = 0 AND item_id % 11 = 7 THEN ' ' WHEN i % 2 = 1 THEN '  ' || upper(left(x, 2)) || substr(x, 3) ELSE x END AS keywords,
+    CASE WHEN item_id % 3 = 0 OR (i = 0 AND item_id % 11 = 7) THEN 'SRC1' END AS location, item_id % 4 = 0 AS remote_only
+  FROM (SELECT item_id, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS i
+        FROM (SELECT item_id, list_concat([text], string_split_regex(text, '[.!?,\n]')) AS xs FROM benchmark)) WHERE i = 0 OR trim(x) <> ''"""
 
 VIEWS["hits"] = """
   SELECT query_id, l.* FROM searches s JOIN listings l

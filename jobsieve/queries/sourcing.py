@@ -477,15 +477,16 @@ def run_history(spark, sf):
     return search.run_history(old, labels, queries, now).select("query_id", "query", "result_count")
 
 
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
 _SAVED = f"""SELECT min(saved_at) AS oldest, {_KEY_JSON} AS query_key FROM (SELECT *, query_id % 7 * 1000 + query_id AS saved_at FROM searches
-  UNION ALL SELECT query_id, upper(keywords), location, remote_only, query_id * 31 % 5000 FROM searches) GROUP BY 2"""
+  UNION ALL SELECT query_id, translate(keywords, '{_SMALL}', '{_SMALL.upper()}'), location, remote_only, query_id * 31 % 5000 FROM searches) GROUP BY 2"""
 
 
 def _saved(spark, sf):
     """Every search saved twice, the second time in capitals, earlier or later."""
     q = F.col("query_id")
     rows = V.searches(spark, sf).withColumn("created_at", q % 7 * 1000 + q)
-    again = rows.withColumn("keywords", F.upper("keywords")).withColumn("created_at", q * 31 % 5000)
+    again = rows.withColumn("keywords", F.translate("keywords", _SMALL, _SMALL.upper())).withColumn("created_at", q * 31 % 5000)
     return search.save_searches(rows, again)
 
 

@@ -157,14 +157,15 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search per item: its whole text, or its longest word; some name only a place."""
-    item = F.col("item_id")
-    words = F.transform(F.split("text", r"\s+"), lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))
-    longest = F.get(F.array_sort(words), 0)["w"]
-    return table(spark, sf_dir, "benchmark").select(
-        item.alias("query_id"),
-        F.when(item % 11 == 7, " ").when(item % 5 == 0, F.col("text")).otherwise(F.concat(F.lit("  "), F.upper(longest))).alias("keywords"),
-        F.when((item % 3 == 0) | (item % 11 == 7), "SRC1").alias("location"), (item % 4 == 0).alias("remote_only"),
+    """Each item's whole text and each of its clauses as a search; some name only a place."""
+    parts = F.concat(F.array("text"), F.split("text", r"[.!?,\n]"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(parts).alias("i", "x"))
+    item, i, x = F.col("item_id"), F.col("i"), F.col("x")
+    blank = (i == 0) & (item % 11 == 7)
+    return rows.where((i == 0) | (F.trim("x") != "")).select(
+        (item * 100 + i).alias("query_id"),
+        F.when(blank, " ").when(i % 2 == 1, F.concat(F.lit("  "), F.upper(F.left(x, F.lit(2))), F.substr(x, F.lit(3)))).otherwise(x).alias("keywords"),
+        F.when((item % 3 == 0) | blank, "SRC1").alias("location"), (item % 4 == 0).alias("remote_only"),
     )
 
 

@@ -219,6 +219,7 @@ def test_search_finds_every_substring(spark):
     word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 5)))
     texts = [" ".join(word() for _ in range(6)) for _ in range(40)]
     needles = [t[i : i + rng.randint(1, 7)] for t in texts[:20] for i in (rng.randint(0, 3),)] + ["", "zz", "a"]
+    needles += [t[i : i + rng.randint(6, 24)] for t in texts for i in (rng.randint(0, 3),)]  # with whole words inside
     rows = [(f"l{i}", t, "c", None if i % 4 else t[:5], t[::-1], i % 2 == 0, "s") for i, t in enumerate(texts)]
     rows += [rows[0], (None, *rows[1][1:]), (None, *rows[1][1:]), ("l2", *rows[3][1:])]
     listings = spark.createDataFrame(rows, "external_id string, title string, company string, location string, description string, remote boolean, source string")
