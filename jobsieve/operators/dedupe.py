@@ -95,7 +95,10 @@ def listing_owners(listings: DataFrame, order: Sequence[str] = ("adapter_rank",
 
 
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key. A plain minimum, so duplicates combine before the shuffle."""
+    """The first row of each key. A plain minimum, so duplicates combine before the shuffle.
+
+    The key is what is shuffled: give a digest in place of long texts.
+    """
     rest = [c for c in df.columns if c not in keys]
     return (
         df.groupBy(*keys)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,11 +19,12 @@ def resolve_pointers(
     ``nodes`` has ``node`` (unique), ``ptr`` (null on a terminal) and the numeric
     ``sums`` columns. Returns ``node, root`` and, per sum, the total over the
     chain including both ends. Each round doubles the distance covered, so a
-    chain of length n needs about log2(n) joins; only open nodes take part.
-    Nodes on a cycle reach no terminal and are left out. Set ``skewed`` when many
-    nodes may share one pointer.
+    chain of length n needs about log2(n) joins. A round writes only the nodes that
+    were open before it; the resolved ones stay where they were written and are
+    read as targets. Nodes on a cycle reach no terminal and are left out. Set
+    ``skewed`` when many nodes may share one pointer.
     """
-    current = cut(
+    first = cut(
         nodes.select(
             "node",
             "ptr",
@@ -30,28 +32,32 @@ def resolve_pointers(
             *sums,
         )
     )
-    still_open = current.where(F.col("ptr").isNotNull()).count()
+    resolved = [first.where(F.col("ptr").isNull())]
+    waiting = first.where(F.col("ptr").isNotNull())
+    still_open = waiting.count()
     while still_open:
-        target = current.select(
+        targets = reduce(DataFrame.unionByName, [waiting, *resolved]).select(
             F.col("node").alias("ptr"),
             F.col("ptr").alias("__ptr"),
             F.col("root").alias("__root"),
             *[F.col(s).alias(f"__{s}") for s in sums],
         )
-        waiting = current.where(F.col("ptr").isNotNull()).drop("root")
         if skewed:
-            met = salted_join(waiting, target, ["ptr"], ["node"], "inner")
+            met = salted_join(waiting.drop("root"), targets, ["ptr"], ["node"], "inner")
         else:
-            met = waiting.join(target, "ptr", "inner")
-        moved = met.select(
-            "node",
-            F.col("__ptr").alias("ptr"),
-            F.col("__root").alias("root"),
-            *[(F.col(s) + F.col(f"__{s}")).alias(s) for s in sums],
+            met = waiting.drop("root").join(targets, "ptr", "inner")
+        moved = cut(
+            met.select(
+                "node",
+                F.col("__ptr").alias("ptr"),
+                F.col("__root").alias("root"),
+                *[(F.col(s) + F.col(f"__{s}")).alias(s) for s in sums],
+            )
         )
-        current = cut(current.where(F.col("ptr").isNull()).unionByName(moved))
-        left = current.where(F.col("ptr").isNotNull()).count()
+        resolved.append(moved.where(F.col("ptr").isNull()))
+        waiting = moved.where(F.col("ptr").isNotNull())
+        left = waiting.count()
         if left == still_open:  # only cycles remain
             break
         still_open = left
-    return current.where(F.col("ptr").isNull()).select("node", "root", *sums)
+    return reduce(DataFrame.unionByName, resolved).select("node", "root", *sums)

@@ -428,8 +428,8 @@ def listing_owners(spark, sf):
 )
 def first_seen_texts(spark, sf):
     """Exact copies of a text, the first sighting kept."""
-    rows = V.table(spark, sf, "documents").select("text", "doc_id", "source")
-    return dedupe.first_seen(rows, ["text"], ["doc_id"]).select(F.md5("text").alias("text_md5"), "doc_id", "source")
+    rows = V.table(spark, sf, "documents").select(F.md5("text").alias("text_md5"), "doc_id", "source")
+    return dedupe.first_seen(rows, ["text_md5"], ["doc_id"])
 
 
 # --- searches ---------------------------------------------------------------

@@ -247,3 +247,21 @@ def test_global_position_is_a_sort(spark):
     got = {r["i"]: r["n"] for r in scan.global_position(df, [F.col("v").desc_nulls_last(), "i"], "n").collect()}
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert got == {r[0]: n + 1 for n, r in enumerate(want)}
+
+
+def test_pointer_rounds_write_only_open_nodes(spark, monkeypatch):
+    from jobsieve.plans import rounds
+
+    written = []
+    real = rounds.cut
+    monkeypatch.setattr(rounds, "cut", lambda df: written.append(t := real(df)) or t)
+    n = 300
+    chain = [(i, i - 1 if i % n else None, 1) for i in range(n)] + [(1000, 1001, 1), (1001, 1000, 1), (2000, None, 5)]
+    nodes = spark.createDataFrame(chain, "node long, ptr long, w long")
+    for skewed in (False, True):
+        written.clear()
+        got = {r.node: (r.root, r.w) for r in rounds.resolve_pointers(nodes, ["w"], skewed).collect()}
+        assert got == {**{i: (0, i + 1) for i in range(n)}, 2000: (2000, 5)}
+        sizes = [t.count() for t in written]
+        # what round r writes is what the rounds before it left open, the two nodes of the cycle included
+        assert sizes == [len(chain), *[max(0, n - 2**r) + 2 for r in range(len(sizes) - 1)]]
